@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import license_scan, quality
+from rankweave.llm import html_extract, license_scan, quality
 from rankweave.llm.common import table
 
 
@@ -18,8 +18,12 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_license": op2_license}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op8_html": op8_html}
 
 
 def oracle_sql() -> dict[str, str]:
