@@ -1,3 +1,10 @@
 """Rankweave: set-enrichment analytics expressed as Spark DataFrame plans."""
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package travel to the Python workers by value: executors need no copy of it.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
