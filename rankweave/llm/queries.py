@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import html_extract, license_scan, quality
+from rankweave.llm import decontaminate, html_extract, license_scan, quality
 from rankweave.llm.common import table
 
 
@@ -22,9 +22,13 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_license": op2_license, "op8_html": op8_html}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op8_html": op8_html, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
