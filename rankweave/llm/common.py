@@ -92,3 +92,14 @@ def plain_words(text: str) -> list[bytes]:
     Every byte of a non-ASCII character is 0x80 or more, so cutting bytes equals cutting characters.
     """
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
+
+
+def worker_state(name: str, make):
+    """An object that is made once in a Python worker and kept for its later tasks (its value must not depend on the task)."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_rankweave_worker_state", types.ModuleType("_rankweave_worker_state"))
+    if not hasattr(held, name):
+        setattr(held, name, make())
+    return getattr(held, name)
