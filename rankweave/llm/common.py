@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -45,9 +46,16 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/rankweave-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects their plans as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_written(df_paths: list[str] | None = None) -> None:
     """Remove tables that written() made, all of this process if none are named."""
     for spark, path in list(_written):
