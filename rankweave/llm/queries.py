@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import decontaminate, fingerprint, html_extract, license_scan, line_dedup, near_dup, packing, quality
+from rankweave.llm import decontaminate, fingerprint, html_extract, license_scan, line_dedup, near_dup, packing, quality, suffix_dedup
 from rankweave.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_lines": op3_lines, "op5_pack": op5_pack, "op6_near": op6_near, "op7_fingerprint": op7_fingerprint, "op8_html": op8_html, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_lines": op3_lines, "op4_suffix": op4_suffix, "op5_pack": op5_pack, "op6_near": op6_near, "op7_fingerprint": op7_fingerprint, "op8_html": op8_html, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
