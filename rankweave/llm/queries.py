@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import decontaminate, fingerprint, html_extract, license_scan, line_dedup, near_dup, packing, quality, suffix_dedup
+from rankweave.llm import decontaminate, fingerprint, html_extract, license_scan, line_dedup, near_dup, packing, quality, suffix_dedup, warc
 from rankweave.llm.common import table
 
 
@@ -42,13 +42,18 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc.header_text("headers"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_lines": op3_lines, "op4_suffix": op4_suffix, "op5_pack": op5_pack, "op6_near": op6_near, "op7_fingerprint": op7_fingerprint, "op8_html": op8_html, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_lines": op3_lines, "op4_suffix": op4_suffix, "op5_pack": op5_pack, "op6_near": op6_near, "op7_fingerprint": op7_fingerprint, "op8_html": op8_html, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op9_warc": warc.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
