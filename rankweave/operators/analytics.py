@@ -94,7 +94,7 @@ def bland_altman(a: DataFrame, b: DataFrame, margin: float = 0.1) -> DataFrame:
     s = d.agg(F.count("*").alias("n"), F.avg("d").alias("bias"), F.stddev_pop("d").alias("sd"), F.stddev_samp("d").alias("ss"))
 
     @F.udf("double")
-    def tost(n: int, bias: float, ss: float) -> float | None:
+    def tost(n, bias, ss):
         if n is None or n < 2 or ss is None:
             return None
         if ss == 0:

@@ -126,7 +126,7 @@ def _expression(spark: SparkSession, d: str) -> DataFrame:
 def _window_lists(spark: SparkSession, d: str) -> DataFrame:
     ordered = _orders(spark, d).persist()
     lists = trajectory.window_scores(_expression(spark, d), ordered, CELLS, STEP)
-    return lists.withColumn("score", F.round("score", 2))
+    return lists.withColumn("score", F.round("score", 6))
 
 
 WINDOWS = f"""{{scores}}cells AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS cell_id, epoch(o_orderdate)::DOUBLE AS pseudotime, o_orderstatus AS lineage FROM orders),
@@ -139,7 +139,7 @@ known AS (SELECT e.* FROM expression e JOIN cells USING (cell_id)),
 total AS (SELECT gene, sum(value) AS total FROM known GROUP BY gene),
 inside AS (SELECT window_id, gene, sum(value) AS inside FROM held JOIN known USING (cell_id) GROUP BY ALL),
 lists AS (
-  SELECT window_id::INT AS window_id, g.gene, round(coalesce(inside, 0) / {CELLS} - (coalesce(total, 0) - coalesce(inside, 0)) / greatest(n - {CELLS}, 1), 2) AS score
+  SELECT window_id::INT AS window_id, g.gene, round(coalesce(inside, 0) / {CELLS} - (coalesce(total, 0) - coalesce(inside, 0)) / greatest(n - {CELLS}, 1), 6) AS score
   FROM ids, (SELECT DISTINCT gene FROM expression) g LEFT JOIN total USING (gene) LEFT JOIN inside USING (window_id, gene)),
 listed AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, gene) - 1 AS rnk, count(*) OVER (PARTITION BY window_id) AS n FROM lists)""".replace("{scores}", "")
 WINDOWS = WINDOWS.replace("FROM ids, (SELECT DISTINCT gene FROM expression) g LEFT JOIN total USING (gene) LEFT JOIN inside USING (window_id, gene)", "FROM (SELECT window_id, n, gene FROM ids, (SELECT DISTINCT gene FROM expression)) g LEFT JOIN total USING (gene) LEFT JOIN inside USING (window_id, gene)")
@@ -221,12 +221,18 @@ def _z_source(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "events").groupBy(F.col("event_type").alias("gene"), day.alias("day")).agg(F.count("*").cast("double").alias("value")).withColumn("pos", F.unix_seconds("day")).select("gene", "pos", "value")
 
 
+def _known_p(salt: str) -> F.Column:
+    """A p-value between 0 and 1 that depends on the pathway's name alone: input for the calibration queries."""
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(salt), "pathway").cast("binary")), 1, 4), 16, 10).cast("double")
+    return (digits + 1) / 65537
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     es = lambda power: lambda s, d: _rounded(enrichment.enrichment(met(s, d), power), "es")
     windowed = lambda s, d: _rounded(trajectory_es(s, d).select("pathway", "window_id", F.col("es").alias("nes")), "nes", digits=6)
     n_win = lambda s, d: trajectory.window_count(_table(s, d, "orders").count(), CELLS, STEP)
-    fake_p = lambda s, d: enrichment.enrichment(met(s, d)).select("pathway", F.col("es").alias("nes"), F.round(F.lit(1.0) / (1 + F.length("pathway") + F.abs(F.crc32(F.col("pathway").cast("binary")) % 97)), 6).alias("pval"))
-    other = lambda s, d: enrichment.enrichment(met(s, d), 0.0).select("pathway", F.col("es").alias("nes"), F.round(F.lit(1.0) / (1 + F.length("pathway") + F.abs(F.crc32(F.col("pathway").cast("binary")) % 89)), 6).alias("pval"))
+    known = lambda power, salt: lambda s, d: enrichment.enrichment(met(s, d), power).select("pathway", F.round("es", 9).alias("nes"), _known_p(salt).alias("pval"))
+    fake_p, other = known(1.0, "a"), known(0.0, "b")
     return {
         "enrichment_score": es(1.0),
         "enrichment_score_classic": es(0.0),
@@ -251,7 +257,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "heatmap": lambda s, d: _rounded(analytics.heatmap(windowed(s, d), [0, 1, 2]), "w0", "w1", "w2", digits=5),
         "top_variable": lambda s, d: _rounded(analytics.top_variable(windowed(s, d), n_win(s, d), 10), "variance", digits=6),
         "peak_order": lambda s, d: analytics.peak_order(windowed(s, d), n_win(s, d)),
-        "smoothed": lambda s, d: _rounded(trajectory.smoothed(windowed(s, d)), "nes_smooth", digits=5),
+        "smoothed": lambda s, d: _rounded(trajectory.smoothed(windowed(s, d)), "nes_smooth", digits=7),
         "rolling_z": lambda s, d: _rounded(analytics.rolling_z(_z_source(s, d), 4), "m", "z", digits=6),
         "progress": lambda s, d: _rounded(analytics.progress(_z_source(s, d), "gene", "pos").select("gene", "pos", "progress"), "progress"),
         "top_by_p": lambda s, d: analytics.top_by_p(_rounded(_gsea(s, d), "es", "nes", "pval", "padj")).select("pathway", "pval"),
@@ -280,6 +286,12 @@ def oracle_sql() -> dict[str, str]:
     walk = f"{TRAJECTORY}, v AS (SELECT pathway, window_id, round(es, 6) AS nes FROM es), grid AS (SELECT pathway, window_id, coalesce(nes, 0) AS v FROM (SELECT DISTINCT pathway FROM v), (SELECT window_id::INT AS window_id FROM ids) LEFT JOIN v USING (pathway, window_id))".replace(
         "FROM (SELECT DISTINCT pathway FROM v), (SELECT window_id::INT AS window_id FROM ids) LEFT JOIN", "FROM (SELECT pathway, window_id FROM (SELECT DISTINCT pathway FROM v), (SELECT window_id::INT AS window_id FROM ids)) LEFT JOIN"
     )
+    known = f"""{base}, {es_sql(name='ea')}, {es_sql(power=0.0, name='eb')},
+        a AS (SELECT pathway, round(es, 9) AS nes, (('0x' || substr(md5('a' || pathway), 1, 4))::INT + 1) / 65537.0::DOUBLE AS pval FROM ea),
+        b AS (SELECT pathway, round(es, 9) AS nes, (('0x' || substr(md5('b' || pathway), 1, 4))::INT + 1) / 65537.0::DOUBLE AS pval FROM eb),
+        u AS (SELECT pathway, -log10(greatest(pval, 1e-300)) AS x FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
+        o AS (SELECT *, row_number() OVER (ORDER BY pval, pathway) AS i, count(*) OVER () AS n, cume_dist() OVER (ORDER BY pval) AS c FROM a),
+        j AS (SELECT a.pathway, a.nes - b.nes AS d, abs(log10(a.pval + 1e-300) - log10(b.pval + 1e-300)) AS lp FROM a JOIN b USING (pathway))"""
     days = "WITH z AS (SELECT event_type AS gene, epoch(date_trunc('day', ts))::BIGINT AS pos, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
     return {
         "enrichment_score": es(1.0),
@@ -309,12 +321,18 @@ def oracle_sql() -> dict[str, str]:
         "heatmap": f"{walk} SELECT pathway, round(coalesce(avg(CASE WHEN window_id = 0 THEN nes END), 0), 5) AS w0, round(coalesce(avg(CASE WHEN window_id = 1 THEN nes END), 0), 5) AS w1, round(coalesce(avg(CASE WHEN window_id = 2 THEN nes END), 0), 5) AS w2 FROM v GROUP BY pathway",
         "top_variable": f"{walk} SELECT pathway, round(var_samp(v), 6) AS variance FROM grid GROUP BY pathway ORDER BY var_samp(v) DESC, pathway LIMIT 10",
         "peak_order": f"{walk} SELECT pathway, window_id AS peak_window FROM (SELECT *, row_number() OVER (PARTITION BY pathway ORDER BY v DESC, window_id) AS r FROM grid) WHERE r = 1",
-        "smoothed": f"{walk} SELECT pathway, window_id, nes, round(avg(nes) OVER (PARTITION BY pathway ORDER BY window_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 5) AS nes_smooth FROM v",
+        "smoothed": f"{walk} SELECT pathway, window_id, nes, round(avg(nes) OVER (PARTITION BY pathway ORDER BY window_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 7) AS nes_smooth FROM v",
         "rolling_z": days + """, a AS (SELECT gene, pos, avg(value) OVER w AS m, count(*) OVER w AS c FROM z WINDOW w AS (PARTITION BY gene ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)),
             b AS (SELECT gene, pos, m, avg(m) OVER (PARTITION BY gene) AS u, coalesce(stddev_samp(m) OVER (PARTITION BY gene), 0) AS sd FROM a WHERE c = 4)
             SELECT gene, pos, round(m, 6) AS m, round((m - u) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS z FROM b""",
         "progress": days + " SELECT gene, pos, round(CASE WHEN count(*) OVER (PARTITION BY gene) > 1 THEN (row_number() OVER (PARTITION BY gene ORDER BY pos) - 1) / (count(*) OVER (PARTITION BY gene) - 1.0) ELSE 0.0 END, 8) AS progress FROM z",
         "top_by_p": GSEA + "SELECT pathway, round(pval, 8) AS pval FROM adjusted ORDER BY adjusted.pval, pathway LIMIT 5",
+        "stability": f"{known} SELECT pathway, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS sd, round(min(x), 8) AS low, round(max(x), 8) AS high, round(stddev_samp(x) / avg(x), 8) AS cv FROM u GROUP BY pathway",
+        "calibration": f"{known} SELECT 0 AS replicate, round(max(abs(i / n::DOUBLE - pval)), 8) AS ks, round(avg((pval < 0.05)::INT::DOUBLE), 8) AS below_05, max(n) AS n FROM o",
+        "qq": f"{known} SELECT 0 AS replicate, pathway, round(-log10(i / (n + 1.0)), 8) AS expected, round(-log10(pval), 8) AS observed, round(c, 8) AS ecdf FROM o",
+        "agreement": f"{known} SELECT count(*) AS n, round(sqrt(avg(d * d)), 8) AS rmse, round(avg(abs(d)), 8) AS mae, round(max(abs(d)), 8) AS most, round(avg(lp), 8) AS logp_mae, sum((abs(d) > 0.1)::INT)::BIGINT AS outliers FROM j",
+        "tail_band": f"{known}, q AS (SELECT pathway, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM u GROUP BY pathway) SELECT pathway, round(low, 8) AS low, round(high, 8) AS high, round(-log10(pval), 8) AS x, -log10(pval) BETWEEN low AND high AS inside FROM a JOIN q USING (pathway)",
+        "bland_altman": f"{known} SELECT count(*) AS n, round(avg(d), 8) AS bias, round(avg(d) - 1.96 * stddev_pop(d), 8) AS low, round(avg(d) + 1.96 * stddev_pop(d), 8) AS high FROM j",
         "by_rank": f"WITH {SCORES} SELECT gene, CASE WHEN rnk < 100 THEN 'top' ELSE 'bottom' END AS side FROM ranks WHERE rnk < 100 OR rnk >= n - 100",
         "anchor_matrix": f"{walk} SELECT pathway, least(2, floor(window_id / (10.0 / 3)))::INT AS bin, round(avg(nes), 5) AS value FROM v GROUP BY ALL",
         "metadata_merge": "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
