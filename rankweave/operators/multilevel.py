@@ -23,10 +23,10 @@ CURVE_DDL = "thresholds array<double>, log_probs array<double>, populations arra
 
 
 def size_key(size: Column, width: int | None, n: Column) -> Column:
-    """A size rounded to a multiple of width, halves up, at least 1 and less than the list's length."""
+    """A size rounded to a multiple of width, halves up, at least width, and less than the list's length."""
     if not width:
         return F.least(size, n - 1).cast("int")
-    return F.greatest(F.lit(1), F.least(F.expr("0") + F.floor((size + width // 2) / width) * width, n - 1)).cast("int")
+    return F.least(F.greatest(F.lit(width), F.floor((size + width // 2) / width) * width), n - 1).cast("int")
 
 
 def metric_of(es: np.ndarray, sign: int, two_sided: bool) -> np.ndarray:

@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "tail_curve_query": f"""{base}, {es_sql()}, x AS (SELECT pathway, abs(es) AS m, (abs(es) >= 0.05)::INT + (abs(es) >= 0.1)::INT + (abs(es) >= 0.2)::INT AS l FROM es),
             c AS (SELECT * FROM (VALUES (0, 0.0, [0.02, 0.05, 0.1]), (1, -0.7, [0.06, 0.1, 0.2]), (2, -1.4, [0.1, 0.2, 0.3]), (3, -2.1, [0.2, 0.3, 0.4])) t(l, lp, pop))
             SELECT pathway, round(CASE WHEN m < 1e-10 THEN 1.0 ELSE exp(lp::DOUBLE) * len(list_filter(pop, lambda v: v::DOUBLE >= m)) / 3.0 END, 8) AS pval, round(CASE WHEN m < 1e-10 THEN 0.0 ELSE 1 / sqrt(3.0) END, 8) AS log2err FROM x JOIN c USING (l)""",
-        "size_bins": f"{base}, {es_sql()} SELECT pathway, size, greatest(1, (size + 5) // 10 * 10)::INT AS size_key FROM es",
+        "size_bins": f"{base}, {es_sql()} SELECT pathway, size, greatest(10, (size + 5) // 10 * 10)::INT AS size_key FROM es",
         "ordered_cells": f"WITH {WINDOWS} SELECT cell_id, pseudotime, pos FROM ordered",
         "windows": f"WITH {WINDOWS} SELECT window_id::INT AS window_id, cell_id FROM held",
         "window_times": f"WITH {WINDOWS} SELECT window_id::INT AS window_id, min(pseudotime) AS pt_start, max(pseudotime) AS pt_end, round(avg(pseudotime), 2) AS pt_mid FROM held GROUP BY window_id",
