@@ -6,7 +6,7 @@ notices, menus, sidebars or reader comments). Pass one classifies each block by
 density as good, bad, short or near-good. Pass two gives short and near-good blocks the label of
 their nearest decided neighbours: between two neighbours of one label, that label; between different ones, the nearer one's
 (a tie goes to bad, unless the block is near-good; an undecided heading goes with the block after it). Where a page names its main element (article or main),
-blocks outside it are bad, length alone decides inside it, and undecided blocks there have their neighbours there.
+blocks outside it are left out, and inside it length or stop words alone make a block good.
 
 Defined results: null or empty html, or a page without main text, gives an empty text and n_chars 0. Character
 references are decoded once. White space inside a block becomes one space; blocks are joined in page order by one space. Unclosed and
@@ -164,10 +164,8 @@ def _squeezed(block: Block) -> str:
     return " ".join(_html.unescape("".join(block.parts)).split())
 
 
-def first_pass(block: Block, text: str, main_found: bool) -> str:
+def first_pass(block: Block, text: str) -> str:
     """good, bad, near (near-good) or short, from length, link density and stop-word density."""
-    if not block.wanted or main_found and not block.main:
-        return "bad"
     if block.linked > LINKS_HIGH * len(text) and not (block.main and len(text) - block.linked >= LENGTH_LOW):
         return "bad"
     words = text.lower().split()
@@ -184,7 +182,7 @@ def first_pass(block: Block, text: str, main_found: bool) -> str:
 
 
 def second_pass(found: list[tuple[Block, str]], labels: list[str], edge: str) -> list[bool]:
-    """Which blocks to keep: undecided ones take the label of their nearest decided neighbours; edge stands where there is none."""
+    """Which blocks to keep: undecided ones take the label of their nearest decided neighbours; edge is for pages without any."""
     n = len(labels)
     before, after = [-1] * n, [n] * n
     for i in range(n):
@@ -193,8 +191,8 @@ def second_pass(found: list[tuple[Block, str]], labels: list[str], edge: str) ->
         after[i] = i if labels[i] in ("good", "bad") else after[i + 1] if i + 1 < n else n
     keep = [False] * n
     for i in range(n - 1, -1, -1):
-        left = labels[before[i]] if before[i] >= 0 else edge
-        right = labels[after[i]] if after[i] < n else edge
+        sides = [labels[k] for k in (before[i], after[i]) if 0 <= k < n] or [edge]
+        left, right = sides[0], sides[-1]
         if left == right:
             keep[i] = left == "good"
         elif labels[i] == "near":
@@ -211,9 +209,9 @@ def extract(page: str) -> str:
     """The main text of a page."""
     found = [(b, s) for b in blocks(page) if (s := _squeezed(b))]
     main_found = any(b.main and b.wanted for b, _ in found)
-    if main_found:  # neighbours are those in the main element
-        found = [(b, s) for b, s in found if b.main and b.wanted]
-    labels = [first_pass(b, s, main_found) for b, s in found]
+    # neighbours are running text: not what stands in dropped containers, or outside a main element
+    found = [(b, s) for b, s in found if b.wanted and (b.main or not main_found)]
+    labels = [first_pass(b, s) for b, s in found]
     if "good" not in labels:
         labels = ["good" if x == "near" else x for x in labels]
     keep = second_pass(found, labels, "good" if main_found else "bad")
