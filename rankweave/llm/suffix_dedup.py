@@ -32,9 +32,9 @@ from rankweave.llm.similar import Powers, mixed
 LENGTH = 200
 Q = 40
 #: Segments of one anchor bucket that one task may refine.
-HOT = 20_000
+HOT = 6_000
 #: Bytes of segments in a task, about.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 
 _PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
