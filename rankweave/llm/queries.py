@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op4_suffix": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}

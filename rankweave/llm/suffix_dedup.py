@@ -350,3 +350,21 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pd.Series([None if x is None else _kept(x.encode("utf-8", "surrogatepass"), None if s is None else list(s))[0].decode("utf-8", "replace") for x, s in zip(text, spans, strict=True)])
 
     return _with_spans(docs, hot).withColumn("text", left("text", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The rows of removed() in DuckDB SQL, over hexadecimal text.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT k, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+r AS (SELECT k, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+s AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS gap FROM r),
+t AS (SELECT k, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS span FROM s),
+spans AS (SELECT k, min(i) AS a, max(i) + 200 AS b FROM t GROUP BY k, span),
+cuts AS (
+  SELECT k, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS f, a AS e FROM spans
+  UNION ALL SELECT spans.k, max(b), any_value(length(h) // 2) FROM spans JOIN d USING (k) GROUP BY spans.k),
+kept AS (SELECT k, string_agg(substr(h, 2 * f + 1, 2 * (e - f)), '' ORDER BY f) AS left_hex FROM cuts JOIN d USING (k) GROUP BY k),
+n AS (SELECT k, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY k)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_hex, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (k) LEFT JOIN kept USING (k)
+"""
