@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import bound_batches, row_key, texts_of, written
 from rankweave.llm.similar import ROWS_DDL, bucket_rows, candidate_groups, char_shingles, min_hashes, mixed, resolve
 
-CHARS = 5
+CHARS = 8
 PERCENT = 80
 MIN_CHARS = 30
 HASHES, BANDS = 40, 10
-#: Most of the 16 coarse symbols that may differ between candidates (at 0.8, 3 differ on average, 10 or more in 1 of 10,000 pairs).
-COARSE, MOST = 16, 10
+#: Most of the 16 four-bit symbols, of hashes outside the shared band, that may differ between candidates (at 0.8, 3 differ on average, 9 or more in 1 of 1,000 pairs).
+COARSE, MOST = 16, 8
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("weight", pa.int32())])
 
@@ -97,8 +97,11 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in places:
                 h = h * np.uint64(0x9E3779B97F4A7C15) + made[:, p].astype(np.uint64) + np.uint64(1)
             keys[:, b] = mixed(h)
-        nibbles = (made[:, :COARSE] >> np.uint32(28)).astype(np.uint8)
-        yield from bucket_rows(names, keys, nibbles[:, ::2] << 4 | nibbles[:, 1::2])
+        nibbles = (made >> np.uint32(28)).astype(np.uint8)
+        width = HASHES // BANDS
+        others = (np.arange(BANDS)[:, None] * width + width + np.arange(COARSE)) % HASHES
+        coarse = nibbles[:, others]
+        yield from bucket_rows(names, keys, coarse[:, :, ::2] << 4 | coarse[:, :, 1::2], _differing, MOST)
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,17 +133,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("row_key").agg(F.collect_set("line").alias("gone"))
 
 
-_KEPT = "if(gone is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n'))"
+_KEPT = "if(__gone is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(__gone, i)), '\\n'))"
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_chars (of what is left) and kept_sha256."""
-    gone = written(removed_lines(docs), "gone")
+    gone = written(removed_lines(docs), "gone").withColumnRenamed("gone", "__gone")
     text = F.coalesce(F.expr(_KEPT), F.lit(""))
     return _keyed(docs).join(gone, "row_key", "left").select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
         F.length(text).cast("long").alias("n_chars"),
         F.sha2(text, 256).alias("kept_sha256"),
     )
@@ -148,8 +151,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that are copies; a document that loses all its text goes. n_chars follows the text if there is such a column."""
-    gone = written(removed_lines(docs), "gone").select(F.col("row_key").alias("__key"), "gone")
+    gone = written(removed_lines(docs), "gone").select(F.col("row_key").alias("__key"), F.col("gone").alias("__gone"))
     kept = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(gone, F.col("__row") == F.col("__key"), "left")
-    kept = kept.withColumn("__text", F.expr(_KEPT)).where(F.col("gone").isNull() | (F.trim("__text") != ""))
-    columns = [F.col("__text").alias("text") if c == "text" else F.when(F.col("gone").isNull(), F.col(f"`{c}`")).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    kept = kept.withColumn("__text", F.expr(_KEPT)).where(F.col("__gone").isNull() | (F.trim("__text") != ""))
+    columns = [F.col("__text").alias("text") if c == "text" else F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns)

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import bound_batches, written
 from rankweave.llm.graph import components
 
-#: A bucket with more nodes than this in one batch, or in all, is joined by a star without comparing checks: its nodes become one candidate group.
+#: A bucket with more nodes than this in one batch is joined there, and only one node of each tree goes on.
 BATCH_BUCKET = 16
-BUCKET = 1024
+#: A bucket with more nodes than this is joined by a star without comparing checks: its nodes become one candidate group.
+BUCKET = 8192
 #: A block of a candidate group holds about so many shingles.
 BLOCK_SHINGLES = 300_000
 
@@ -159,28 +160,36 @@ _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 ROWS_DDL = "key long, node long, check binary, other long"
 
 
-def bucket_rows(nodes: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows for the bucket join from distinct nodes, their keys (n, k) and checks (n, bytes); crowded buckets shrink to one row and a star of edges."""
+def bucket_rows(nodes: np.ndarray, keys: np.ndarray, checks: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the bucket join from distinct nodes, their keys (n, k) and checks, (n, bytes) or (n, k, bytes).
+
+    Crowded buckets are joined here by edges, and one node of each tree stands for it: so a hot bucket sends few rows from each batch.
+    """
     n, k = keys.shape
     if not n:
         return
-    flat = keys.ravel()
-    owner = np.repeat(np.arange(n), k)
+    flat, owner = keys.ravel(), np.repeat(np.arange(n), k)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    raw = checks.reshape(n * k, -1)[order] if checks.ndim == 3 else checks[owner]
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     sizes = np.diff(np.r_[first, len(flat)])
-    crowded = np.repeat(sizes > BATCH_BUCKET, sizes)
-    at = np.repeat(first, sizes)
-    stays = ~crowded | (np.arange(len(flat)) == at)
-    star = ~stays
-    pairs = np.unique(np.stack([nodes[owner[star]], nodes[owner[at[star]]]], 1), axis=0) if star.any() else np.zeros((0, 2), np.int64)
-    raw = checks[owner[stays]]
+    stays = np.ones(len(flat), bool)
+    pairs: set[tuple[int, int]] = set()
+    for a, m in zip(first[sizes > BATCH_BUCKET], sizes[sizes > BATCH_BUCKET], strict=True):
+        place = {int(x): a + i for i, x in enumerate(nodes[owner[a : a + m]])}
+        forest = Forest(m)
+        for u, v in bucket_edges(nodes[owner[a : a + m]], raw[a : a + m], distance, most):
+            pairs.add((u, v))
+            forest.join(place[u] - a, place[v] - a)
+        stays[a : a + m] = [forest.find(i) == i for i in range(m)]
+    raw = np.ascontiguousarray(raw[stays])
     width = raw.shape[1]
-    values = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
-    yield pa.RecordBatch.from_arrays([pa.array(flat[stays].astype(np.int64)), pa.array(nodes[owner[stays]]), values, pa.nulls(len(raw), pa.int64())], schema=_ROWS)
-    if len(pairs):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 0]), pa.nulls(len(pairs), pa.binary()), pa.array(pairs[:, 1])], schema=_ROWS)
+    values = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+    yield pa.RecordBatch.from_arrays([pa.array(flat[stays].view(np.int64)), pa.array(nodes[owner[stays]]), values, pa.nulls(len(raw), pa.int64())], schema=_ROWS)
+    if pairs:
+        made = np.array(sorted(pairs), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 0]), pa.nulls(len(made), pa.binary()), pa.array(made[:, 1])], schema=_ROWS)
 
 
 def candidate_groups(rows: DataFrame, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> DataFrame:

@@ -41,7 +41,7 @@ def sentence(rng, n, size=400):
 @pytest.mark.parametrize("shape", ["path", "star", "random", "empty"])
 def test_components(spark, shape):
     rng = random.Random(1)
-    edges = {"path": [(i, i + 1) for i in range(200)], "star": [(0, i) for i in range(1, 200)] + [(500, i) for i in range(501, 600)], "random": [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(7, 7)], "empty": []}[shape]
+    edges = {"path": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 200)] + [(500, i) for i in range(501, 600)], "random": [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(7, 7)], "empty": []}[shape]
     rng.shuffle(edges)
     sets = Sets({x for e in edges for x in e})
     for a, b in edges:
@@ -139,7 +139,7 @@ def test_blocks_of_a_group(spark, monkeypatch):
 
 def lines_brute(texts, ids):
     occ = [(i, k, line_dedup.squeezed(x)) for i, t in sorted(zip(ids, texts, strict=True)) for k, x in enumerate((t or "").split("\n")) if len(x) >= 30 and len(line_dedup.squeezed(x)) >= 30]
-    sets = {s: {s[a : a + 5] for a in range(len(s) - 4)} for _, _, s in occ}
+    sets = {s: {s[a : a + line_dedup.CHARS] for a in range(len(s) - line_dedup.CHARS + 1)} for _, _, s in occ}
     comps = Sets(sets)
     names = sorted(sets)
     for x, a in enumerate(names):
