@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps; nothing is collected and no node's neighbours meet in one row."""
+"""Connected components by alternating large-star and small-star steps; nothing is collected and no node's neighbours meet in one row.
+
+The least neighbours are written before they are joined: both sides of the join are then plain shuffles, of which Spark splits
+the partition of a hub.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +15,13 @@ from rankweave.llm.common import written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("__m")).select("u", F.least("u", "__m").alias("__m"))
+    least = written(least, "least")
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("__m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("__m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("__m")), "least")
     moved = edges.join(least, "u").where(F.col("v") != F.col("__m")).select(F.col("v").alias("u"), F.col("__m").alias("v"))
     return moved.unionByName(least.select("u", F.col("__m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
