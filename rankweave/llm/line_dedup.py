@@ -105,8 +105,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a[:, None, :] ^ b[None, :, :]
-    return ((x & 15) != 0).sum(2) + ((x >> 4) != 0).sum(2)
+    x = a ^ b
+    return ((x & 15) != 0).sum(-1) + ((x >> 4) != 0).sum(-1)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

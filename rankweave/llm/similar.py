@@ -141,14 +141,15 @@ class Forest:
 
 
 def bucket_edges(nodes: np.ndarray, checks: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> list[tuple[int, int]]:
-    """A forest over the nodes of one bucket: pairs with distance <= most, or a star where there are more than BUCKET nodes."""
-    if len(nodes) == 2:
-        return [(int(nodes[0]), int(nodes[1]))] if distance(checks[:1], checks[1:])[0, 0] <= most else []
+    """A forest over the nodes of one bucket: pairs with distance <= most, or a star where there are more than BUCKET nodes.
+
+    distance compares rows of checks that broadcast against each other.
+    """
     if len(nodes) > BUCKET:
         return [(int(nodes[0]), int(x)) for x in nodes[1:]]
     out, forest = [], Forest(len(nodes))
     for i in range(len(nodes) - 1):
-        near = np.flatnonzero(distance(checks[i : i + 1], checks[i + 1 :])[0] <= most)
+        near = np.flatnonzero(distance(checks[i], checks[i + 1 :]) <= most)
         for j in near:
             if forest.join(i, i + 1 + int(j)):
                 out.append((int(nodes[i]), int(nodes[i + 1 + j])))
@@ -213,8 +214,10 @@ def candidate_groups(rows: DataFrame, distance: Callable[[np.ndarray, np.ndarray
                     k, n, c = k[:1], n[:1], c[:1]
                 held.append((k, n, c))
                 first, ends = first[:-1], ends[:-1]
-            out = []
-            for a, b in zip(first[ends - first > 1], ends[ends - first > 1], strict=True):
+            two = first[ends - first == 2]
+            two = two[(nodes[two] != nodes[two + 1]) & (distance(checks[two], checks[two + 1]) <= most)]
+            out = list(zip(nodes[two].tolist(), nodes[two + 1].tolist(), strict=True))
+            for a, b in zip(first[ends - first > 2], ends[ends - first > 2], strict=True):
                 u, i = np.unique(nodes[a:b], return_index=True)
                 if len(u) > 1:
                     out += bucket_edges(u, checks[a:b][i], distance, most)
@@ -294,15 +297,23 @@ def resolve(members: DataFrame, shingles: Callable[[str, Powers], np.ndarray], p
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         powers, out = Powers(), []
-        for (_, a, b), own in rows.groupby(["group", "a", "b"], sort=True):
-            own = own.sort_values("node").reset_index(drop=True)
-            if len(own) < 2:
+        group, a, b, node, block = (rows[c].to_numpy() for c in ("group", "a", "b", "node", "block"))
+        text = rows["text"].to_numpy()
+        order = np.lexsort((node, b, a, group))
+        own = np.stack([group, a, b], 1)[order]
+        first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(1)])
+        for low, high in zip(first, np.r_[first[1:], len(order)], strict=True):
+            at = order[low:high]
+            if len(at) < 2:
+                continue
+            sets = [shingles(text[i], powers) for i in at]
+            if len(at) == 2:
+                shared = len(np.intersect1d(*sets, assume_unique=True))
+                if shared and 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared):
+                    out.append((int(node[at[0]]), int(node[at[1]])))
                 continue
-            sets = [shingles(x, powers) for x in own["text"]]
-            block = own["block"].to_numpy()
-            left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-            node = own["node"].to_numpy()
-            out += [(int(node[i]), int(node[j])) for i, j in linked(sets, left, right, percent)]
+            left, right = np.flatnonzero(block[at] == own[low, 1]), np.flatnonzero(block[at] == own[low, 2])
+            out += [(int(node[at[i]]), int(node[at[j]])) for i, j in linked(sets, left, right, percent)]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     bound_batches(members.sparkSession)
