@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import bound_batches, row_key, texts_of, written
 from rankweave.llm.similar import ROWS_DDL, bucket_rows, candidate_groups, char_shingles, min_hashes, mixed, resolve
 
-CHARS = 8
+CHARS = 5
 PERCENT = 80
 MIN_CHARS = 30
 HASHES, BANDS = 40, 10
-#: Most of the 16 four-bit symbols, of hashes outside the shared band, that may differ between candidates (at 0.8, 3 differ on average, 9 or more in 1 of 1,000 pairs).
-COARSE, MOST = 16, 8
+#: Most of the 16 four-bit symbols, of hashes outside the shared band, that may differ between candidates (at 0.8, 3 differ on average, 11 or more in 1 of 50,000 pairs).
+COARSE, MOST = 16, 10
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("weight", pa.int32())])
 

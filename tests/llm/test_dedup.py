@@ -185,6 +185,16 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_link_on_five_characters(spark):
+    """One changed character in a line of 60 leaves 51 of 61 shingles of five characters: a link."""
+    line = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    other = line[:30] + "#" + line[31:]
+    sets = [{x[a : a + 5] for a in range(56)} for x in (line, other)]
+    assert (len(sets[0] & sets[1]), len(sets[0] | sets[1])) == (51, 61)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs_of(spark, [line, other], [0, 1])).collect()}
+    assert got == {0: 0, 1: 1}
+
+
 # suffixes
 
 
