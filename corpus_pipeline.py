@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are copies of a line that stays."""
-    return line_dedup.drop_lines(docs)
+    return line_dedup.drop_lines(docs, line_dedup.EVERY_LINE)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Fuzzy line de-duplication by MinHash.
 
-Lines (cut at newlines) of at least MIN_CHARS characters, lower-cased and with white space squeezed, are nodes: equal lines are one node. Their 5-character
-shingles give HASHES minhashes in BANDS bands; lines that share a band and whose coarse signatures are near form candidate groups, and their
+Lines (cut at newlines) of at least `least` characters, lower-cased and with white space squeezed, are nodes: equal lines are one node. The queries take
+every line that isn't blank (EVERY_LINE). The 5-character shingles of lines of at least MIN_CHARS characters give HASHES minhashes in BANDS bands; lines that share a band and whose coarse signatures are near form candidate groups, and their
 links are decided on whole shingle sets: 100 * intersection >= PERCENT * union. (At a Jaccard similarity of 0.8, bands miss 1 pair in 200; at 0.9, fewer than 1 in 10,000.)
-Of each component one line stays: the first by (doc_id, row key, line number). Shorter lines are left alone: they hold too few shingles to tell a copy from chance.
+Of each component one line stays: the first by (doc_id, row key, line number). Lines under MIN_CHARS are copies only if they are equal: they hold too few shingles
+for links.
 
 Defined results: a null text has no lines; an empty line is kept; a null doc_id sorts first; rows with equal doc_id and text are one
 document and get equal results.
@@ -24,7 +25,10 @@ from rankweave.llm.similar import ROWS_DDL, bucket_rows, candidate_groups, char_
 
 CHARS = 5
 PERCENT = 80
+#: Fewest characters of a line with fuzzy links.
 MIN_CHARS = 30
+#: `least` for which every line that isn't blank is a node.
+EVERY_LINE = 1
 HASHES, BANDS = 40, 10
 #: Most of the 16 four-bit symbols, of hashes outside the shared band, that may differ between candidates (at 0.8, 3 differ on average, 11 or more in 1 of 50,000 pairs).
 COARSE, MOST = 16, 10
@@ -36,8 +40,8 @@ def squeezed(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _long_lines(text: str) -> list[tuple[int, str]]:
-    return [(i, s) for i, x in enumerate(text.split("\n")) if len(x) >= MIN_CHARS and len(s := squeezed(x)) >= MIN_CHARS]
+def _lines_from(text: str, least: int) -> list[tuple[int, str]]:
+    return [(i, s) for i, x in enumerate(text.split("\n")) if len(x) >= least and len(s := squeezed(x)) >= least]
 
 
 def _node(line: str) -> int:
@@ -49,12 +53,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [
             (doc, key, i, _node(s), len(s))
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), strict=True)
-            for i, s in _long_lines(text)
+            for i, s in _lines_from(text, least)
         ]
         columns = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
@@ -77,7 +81,7 @@ def line_signatures(lines: list[str]) -> np.ndarray:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        distinct = {_node(s): s for text in texts_of(batch) for _, s in _long_lines(text)}
+        distinct = {_node(s): s for text in texts_of(batch) for _, s in _lines_from(text, MIN_CHARS)}
         names = np.array(sorted(distinct), np.int64)
         if not len(names):
             continue
@@ -109,12 +113,12 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((x & 15) != 0).sum(-1) + ((x >> 4) != 0).sum(-1)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """(row_key, gone): the numbers of the lines of a document that are copies of a line that stays; documents without are left out."""
     spark = docs.sparkSession
     bound_batches(spark)
     keyed = _keyed(docs)
-    lines = written(keyed.mapInArrow(_lines, "doc_id long, row_key long, line int, node long, weight int"), "lines")
+    lines = written(keyed.mapInArrow(lambda batches: _lines(batches, least), "doc_id long, row_key long, line int, node long, weight int"), "lines")
     groups = candidate_groups(keyed.select("text").mapInArrow(_banded, ROWS_DDL), _differing, MOST)
     chosen = lines.join(groups, "node").groupBy("node").agg(F.min(F.struct("row_key", "line")).alias("p"), F.max("weight").alias("weight"), F.max("component").alias("group"))
     chosen = chosen.select("node", "p.row_key", "p.line", "weight", "group")
@@ -136,9 +140,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 _KEPT = "if(__gone is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(__gone, i)), '\\n'))"
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_chars (of what is left) and kept_sha256."""
-    gone = written(removed_lines(docs), "gone").withColumnRenamed("gone", "__gone")
+    gone = written(removed_lines(docs, least), "gone").withColumnRenamed("gone", "__gone")
     text = F.coalesce(F.expr(_KEPT), F.lit(""))
     return _keyed(docs).join(gone, "row_key", "left").select(
         "doc_id",
@@ -149,9 +153,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that are copies; a document that loses all its text goes. n_chars follows the text if there is such a column."""
-    gone = written(removed_lines(docs), "gone").select(F.col("row_key").alias("__key"), F.col("gone").alias("__gone"))
+    gone = written(removed_lines(docs, least), "gone").select(F.col("row_key").alias("__key"), F.col("gone").alias("__gone"))
     kept = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(gone, F.col("__row") == F.col("__key"), "left")
     kept = kept.withColumn("__text", F.expr(_KEPT)).where(F.col("__gone").isNull() | (F.trim("__text") != ""))
     columns = [F.col("__text").alias("text") if c == "text" else F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]

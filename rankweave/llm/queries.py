@@ -19,7 +19,7 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), line_dedup.EVERY_LINE)
 
 
 def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:

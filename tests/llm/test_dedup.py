@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankweave.llm import graph, line_dedup, near_dup, packing, similar, suffix_dedup
+from rankweave.llm import graph, line_dedup, near_dup, packing, queries, similar, suffix_dedup
 from test_filters import DOCS, HARD, contaminated, docs_of, lowered
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,6 +195,18 @@ def test_lines_link_on_five_characters(spark):
     assert got == {0: 0, 1: 1}
 
 
+def test_short_lines_of_the_queries(spark, tmp_path):
+    """Equal lines of any length are copies, blank lines stay, and short lines have no fuzzy links."""
+    texts = ["All rights reserved.\n\nx", "  all RIGHTS reserved. \n\nall rights reserved!\nx", "x\nx", "\n \n"]
+    docs = docs_of(spark, texts, [0, 1, 2, 3])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in queries.op3_lines(spark, str(tmp_path)).collect()}
+    kept = [texts[0], "\nall rights reserved!", "", texts[3]]
+    assert got == {i: (len(t.split("\n")), n, hashlib.sha256(k.encode()).hexdigest()) for i, (t, n, k) in enumerate(zip(texts, (0, 2, 2, 0), kept, strict=True))}
+    stage = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, docs, str(tmp_path)).collect()}
+    assert stage == {0: kept[0], 1: kept[1], 3: kept[3]}
+
+
 # suffixes
 
 
