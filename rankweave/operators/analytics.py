@@ -21,6 +21,11 @@ def _filled(results: DataFrame, n_windows: int, value: str) -> DataFrame:
     return grid.join(mean, ["pathway", "window_id"], "left").select("pathway", "window_id", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def heatmap_long(results: DataFrame, n_windows: int, value: str = "nes") -> DataFrame:
+    """(pathway, window_id, value): what heatmap() holds of all windows, one row for each pathway and window; absent values are 0."""
+    return _filled(results, n_windows, value).select("pathway", "window_id", F.col("v").alias("value"))
+
+
 def top_variable(results: DataFrame, n_windows: int, k: int = 30, value: str = "nes") -> DataFrame:
     """(pathway, variance): the k pathways of largest sample variance over the zero-filled windows."""
     return _filled(results, n_windows, value).groupBy("pathway").agg(F.var_samp("v").alias("variance")).orderBy(F.desc("variance"), "pathway").limit(k)

@@ -23,6 +23,8 @@ def anchor_matrix(results: DataFrame, points: int = 61, value: str = "nes_smooth
     """(pathway, bin, value): means on a grid of `points` equal parts of the time axis."""
     if low is None or high is None:
         low, high = results.agg(F.min("pt_mid"), F.max("pt_mid")).first()
+    if low is None or high is None:  # no times, no rows
+        low = high = 0.0
     width = (high - low) / points if high > low else 1.0
     at = F.least(F.lit(points - 1), F.floor((F.col("pt_mid") - low) / width)).cast("int")
     return results.where("pt_mid is not null").groupBy("pathway", at.alias("bin")).agg(F.avg(value).alias("value"))

@@ -255,6 +255,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lineage_filter": lambda s, d: prep.lineage_filter(_table(s, d, "orders"), "o_orderstatus", "f").select("o_orderkey"),
         "log_normalised": lambda s, d: _rounded(trajectory.log_normalised(_expression(s, d)), "value", digits=6),
         "heatmap": lambda s, d: _rounded(analytics.heatmap(windowed(s, d), [0, 1, 2]), "w0", "w1", "w2", digits=5),
+        "heatmap_all": lambda s, d: _rounded(analytics.heatmap_long(windowed(s, d), n_win(s, d)), "value", digits=5),
         "top_variable": lambda s, d: _rounded(analytics.top_variable(windowed(s, d), n_win(s, d), 10), "variance", digits=6),
         "peak_order": lambda s, d: analytics.peak_order(windowed(s, d), n_win(s, d)),
         "smoothed": lambda s, d: _rounded(trajectory.smoothed(windowed(s, d)), "nes_smooth", digits=7),
@@ -269,6 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bland_altman": lambda s, d: _rounded(analytics.bland_altman(fake_p(s, d), other(s, d)).drop("tost_p"), "bias", "low", "high"),
         "by_rank": lambda s, d: analytics.by_rank(ranks(s, d), 100, 100).select("gene", "side"),
         "anchor_matrix": lambda s, d: _rounded(anchors.anchor_matrix(windowed(s, d).withColumn("pt_mid", F.col("window_id").cast("double")), 3, "nes", 0.0, 10.0), "value", digits=5),
+        "anchor_matrix_all": lambda s, d: _rounded(anchors.anchor_matrix(windowed(s, d).withColumn("pt_mid", F.col("window_id").cast("double")), value="nes"), "value", digits=5),
         "metadata_merge": lambda s, d: sources.merge_metadata(_table(s, d, "customer").select("c_custkey", "c_nationkey"), _table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select("c_custkey", "n_name"),
         # Monte-Carlo operators: their draws aren't SQL; tests compare them with plain permutation and calibration
         "nes_background": nes_background,
@@ -319,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "lineage_filter": "SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderstatus, '(?i)f')",
         "log_normalised": f"WITH {WINDOWS}, t AS (SELECT cell_id, sum(value) AS total FROM expression GROUP BY cell_id) SELECT cell_id, gene, round(CASE WHEN total > 0 THEN ln(1 + value * 10000.0 / total) ELSE 0.0 END, 6) AS value FROM expression JOIN t USING (cell_id)",
         "heatmap": f"{walk} SELECT pathway, round(coalesce(avg(CASE WHEN window_id = 0 THEN nes END), 0), 5) AS w0, round(coalesce(avg(CASE WHEN window_id = 1 THEN nes END), 0), 5) AS w1, round(coalesce(avg(CASE WHEN window_id = 2 THEN nes END), 0), 5) AS w2 FROM v GROUP BY pathway",
+        "heatmap_all": f"{walk} SELECT pathway, window_id, round(v, 5) AS value FROM grid",
         "top_variable": f"{walk} SELECT pathway, round(var_samp(v), 6) AS variance FROM grid GROUP BY pathway ORDER BY var_samp(v) DESC, pathway LIMIT 10",
         "peak_order": f"{walk} SELECT pathway, window_id AS peak_window FROM (SELECT *, row_number() OVER (PARTITION BY pathway ORDER BY v DESC, window_id) AS r FROM grid) WHERE r = 1",
         "smoothed": f"{walk} SELECT pathway, window_id, nes, round(avg(nes) OVER (PARTITION BY pathway ORDER BY window_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 7) AS nes_smooth FROM v",
@@ -335,5 +338,6 @@ def oracle_sql() -> dict[str, str]:
         "bland_altman": f"{known} SELECT count(*) AS n, round(avg(d), 8) AS bias, round(avg(d) - 1.96 * stddev_pop(d), 8) AS low, round(avg(d) + 1.96 * stddev_pop(d), 8) AS high FROM j",
         "by_rank": f"WITH {SCORES} SELECT gene, CASE WHEN rnk < 100 THEN 'top' ELSE 'bottom' END AS side FROM ranks WHERE rnk < 100 OR rnk >= n - 100",
         "anchor_matrix": f"{walk} SELECT pathway, least(2, floor(window_id / (10.0 / 3)))::INT AS bin, round(avg(nes), 5) AS value FROM v GROUP BY ALL",
+        "anchor_matrix_all": f"{walk}, ends AS (SELECT min(window_id)::DOUBLE AS low, max(window_id)::DOUBLE AS high FROM v) SELECT pathway, least(60, floor((window_id - low) / CASE WHEN high > low THEN (high - low) / 61 ELSE 1.0 END))::INT AS bin, round(avg(nes), 5) AS value FROM v, ends GROUP BY ALL",
         "metadata_merge": "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
     }

@@ -4,11 +4,13 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave import queries
 from rankweave.operators import analytics, anchors, prep, pseudotime, trajectory
 from rankweave.plans import trajectory as plans
 from rankweave.sources import catalog as sources
@@ -134,6 +136,18 @@ def test_analytics(spark):
     assert band["low"] < band["mean"] < band["high"]
 
 
+def test_queries_of_all_windows(spark):
+    """Every window is a column of the heatmap, and the anchor matrix spans the data's own range; both equal their SQL."""
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    for name, key, ids in (("heatmap_all", "window_id", {0, 1, 2, 3, 4}), ("anchor_matrix_all", "bin", {0, 15, 30, 45, 60})):
+        got = {(r["pathway"], r[key]): r["value"] for r in queries.queries()[name](spark, d).select("pathway", key, "value").collect()}
+        want = {(p, k): v for p, k, v in con.execute(f"SELECT pathway, {key}, value FROM ({queries.oracle_sql()[name]})").fetchall()}
+        assert {k for _, k in got} == ids and got == want
+
+
 def test_entry_without_training_data_operators():
     code = "import sys; sys.modules['rankweave.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'run_gsea' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q); print('fine')"
     assert "fine" in subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout
