@@ -104,6 +104,11 @@ def _hits_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _found(docs, benchmark, limit).drop("__key")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
+    """What contamination() returns, and __key, the row's key."""
     windows = benchmark_windows(benchmark)
     held = window_set(benchmark, limit)
     own = docs.select("doc_id", "text")
@@ -126,21 +131,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WINDOW
     )
     items = F.coalesce("__items", F.expr("cast(array() as array<string>)"))
     return marked.join(listed, "__key", "left").select(
-        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+        "__key", "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WINDOWS) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    held = window_set(benchmark, limit)
-    if held is not None:
-        marked = _with_words(docs)
-        n_hit = F.expr(f"size({_covered(held.starts('__words'))})")
-        return marked.where(~((n_hit > 0) & (SHARE * n_hit >= F.size("__words")))).select(*[F.col(f"`{c}`") for c in docs.columns])
-    bad = contamination(docs, benchmark, limit).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The documents that are not contaminated, with their own columns: each row is decided by its own text, whatever the size of the benchmark."""
+    bad = written(_found(docs, benchmark, limit).where("contaminated").select("__key").distinct(), "contaminated")
+    return docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(bad, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WINDOWS) -> DataFrame:

@@ -271,6 +271,15 @@ def test_decontamination(spark, limit):
     assert decontaminate.contamination(docs, bench.limit(0), limit).where("n_hit <> 0 or contaminated").count() == 0
 
 
+@pytest.mark.parametrize("limit", [50_000, 3])
+def test_dropping_by_text_with_repeated_and_null_ids(spark, limit):
+    item = " ".join(f"test{i}" for i in range(30))
+    rows = [(1, item), (1, "clean text of the same id"), (None, item), (None, "clean text without an id"), (None, "another"), (2, None), (3, item), (3, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), limit)
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (r for r in rows if r[1] != item)))
+
+
 def test_span_removal(spark):
     item = " ".join(f"test{i}" for i in range(13))
     docs = docs_of(spark, [f"  Keep, this. {item.upper()}! And this?", "nothing", None])
