@@ -95,11 +95,16 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, resolve(members, lambda text, powers: word_shingles(text, powers, WORDS), PERCENT)
 
 
-def _classed(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, row_key, n_shingles, component_id."""
+def _own(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, row_key, n_shingles, class; the last null without shingles."""
     signed, linked = near_components(docs)
     own = signed.join(linked, "node", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("component", "node").alias("class"))
-    own = written(own, "classes")
+    return written(own, "classes")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, row_key, n_shingles, component_id."""
+    own = _own(docs)
     least = written(own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("__least")), "least")
     return own.join(least, "class", "left").select("doc_id", "row_key", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("__least")).alias("component_id"))
 
@@ -110,6 +115,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its own columns: the one of the smallest doc_id."""
-    gone = _classed(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row_key").alias("__key")).distinct()
-    return docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(gone, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
+    """One row of each group, with its own columns: the one of the smallest doc_id, ids before none, then of the smallest row key. Repeated rows are one."""
+    own = _own(docs)
+    first = own.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("__first"))
+    first = written(first.select("class", F.col("__first.row_key").alias("__stays")), "first")
+    gone = own.join(first, "class").where("row_key <> __stays").select(F.col("row_key").alias("__key")).distinct()
+    again = written(own.groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("__key")), "again")
+    kept = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(gone, F.col("__row") == F.col("__key"), "left_anti")
+    single = kept.join(again, F.col("__row") == F.col("__key"), "left_anti")
+    repeated = kept.join(again, F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row", "doc_id"])
+    return single.unionByName(repeated).drop("__row")

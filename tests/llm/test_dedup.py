@@ -134,6 +134,19 @@ def test_blocks_of_a_group(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in near_dup.near_duplicates(docs_of(spark, texts, ids)).collect()} == near_brute(texts, ids)
 
 
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    rng = random.Random(17)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    near = a + " more"
+    rows = [(1, a), (1, a), (1, near), (None, a), (None, b), (None, b), (None, b + " more"), (None, c), (2, c), (4, ""), (5, None), (None, "5")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    kept = near_dup.keep_one(docs)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(set(got)) == 6 and set(got) <= set(rows)
+    assert sum(r in ((1, a), (1, near)) for r in got) == 1 and sum(r in ((None, b), (None, b + " more")) for r in got) == 1
+    assert {(2, c), (4, ""), (5, None), (None, "5")} <= set(got)
+
+
 # lines
 
 
