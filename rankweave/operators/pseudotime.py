@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most cells whose neighbour graph is put to the eigensolver on the driver (its size is checked); beyond, the first component orders the cells.
+#: Most cells whose neighbour graph is put to the eigensolver on the driver; more are refused.
 MAX_CELLS = 20_000
 
 
@@ -43,10 +43,12 @@ def _components(expression: DataFrame, genes: list[str], n_pcs: int) -> tuple[np
     return mean, vectors[:, np.argsort(values)[::-1][:n_pcs]]
 
 
-def with_pseudotime(expression: DataFrame, cells: DataFrame, key: str = "pseudotime", root_gene: str | None = None, root_cell: str | None = None, top_genes: int = 500, n_pcs: int = 30, neighbours: int = 15) -> DataFrame:
-    """cells with a pseudotime column from 0 (root) to 1: the root is the given cell, else the cell of largest root gene, else the first cell id."""
+def with_pseudotime(expression: DataFrame, cells: DataFrame, key: str = "pseudotime", root_gene: str | None = None, root_cell: str | None = None, top_genes: int = 2000, n_pcs: int = 30, neighbours: int = 15) -> DataFrame:
+    """cells with a pseudotime column from 0 (root) to 1: the root is the given cell, else the cell of largest root gene, else the first cell id. More than MAX_CELLS cells raise."""
     spark = cells.sparkSession
     n = cells.count()
+    if n > MAX_CELLS:
+        raise ValueError(f"pseudotime takes at most {MAX_CELLS} cells, here are {n}; give cells with a pseudotime column")
     genes = sorted(r[0] for r in variable_genes(expression, n, top_genes).collect())
     if not genes or not n:
         return cells.withColumn(key, F.lit(None).cast("double"))
@@ -60,12 +62,6 @@ def with_pseudotime(expression: DataFrame, cells: DataFrame, key: str = "pseudot
     if root_cell is None and root_gene is not None:
         top = expression.where(F.col("gene") == root_gene).orderBy(F.desc("value"), "cell_id").first()
         root_cell = top["cell_id"] if top else None
-    if n > MAX_CELLS:
-        root = placed.where(F.col("cell_id") == root_cell).first() if root_cell else None
-        start = float(root["x"][0]) if root else 0.0
-        away = F.abs(F.col("x")[0] - start)
-        most = placed.agg(F.max(away)).first()[0] or 1.0
-        return cells.join(placed.select("cell_id", (away / most).alias(key)), "cell_id")
     pdf = placed.toPandas().sort_values("cell_id").reset_index(drop=True)
     times = diffusion_times(np.array(pdf["x"].tolist()) - np.array(base), int(pdf.index[pdf["cell_id"] == root_cell][0]) if root_cell in set(pdf["cell_id"]) else 0, neighbours)
     return cells.join(spark.createDataFrame(pd.DataFrame({"cell_id": pdf["cell_id"], key: times})), "cell_id")

@@ -136,6 +136,18 @@ def test_analytics(spark):
     assert band["low"] < band["mean"] < band["high"]
 
 
+def test_pseudotime_has_one_method(spark, monkeypatch):
+    """2,000 genes unless another number is given, and too many cells are refused, not ordered another way."""
+    x = np.random.default_rng(2).random((12, 700))
+    expression, cells, asked = expression_of(spark, x), cells_of(spark, range(12)).drop("pseudotime"), []
+    chosen = pseudotime.variable_genes
+    monkeypatch.setattr(pseudotime, "variable_genes", lambda e, n, top: (asked.append(top), chosen(e, n, top))[1])
+    assert pseudotime.with_pseudotime(expression, cells, neighbours=4).where("pseudotime between 0 and 1").count() == 12 and asked == [2000]
+    monkeypatch.setattr(pseudotime, "MAX_CELLS", 11)
+    with pytest.raises(ValueError, match="at most 11 cells"):
+        pseudotime.with_pseudotime(expression, cells)
+
+
 def test_queries_of_all_windows(spark):
     """Every window is a column of the heatmap, and the anchor matrix spans the data's own range; both equal their SQL."""
     d = "/root/testdata/sf0.01"
