@@ -146,9 +146,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WI
 def remove_spans(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WINDOWS) -> DataFrame:
     """docs with the hit words, and the separators after them, cut out of text; other columns as they are."""
     held = window_set(benchmark, limit)
-    if held is None:
-        raise ValueError("span removal takes a benchmark of at most `limit` windows; raise limit or drop documents")
-    marked = _with_words(docs).select("*", F.expr(_covered(held.starts("__words"))).alias("__hit"))
+    if held is not None:
+        marked = _with_words(docs).select("*", F.expr(_covered(held.starts("__words"))).alias("__hit"))
+    else:
+        found = _hits_by_join(docs.select("doc_id", "text").distinct(), benchmark_windows(benchmark)).select("__key", F.expr(_covered("hits")).alias("__places"))
+        keyed = docs.withColumn("__own", row_key(F.col("doc_id"), F.col("text")))
+        marked = keyed.join(found, F.col("__own") == F.col("__key"), "left").withColumn("__hit", F.coalesce("__places", F.expr("cast(array() as array<int>)")))
     kept = F.expr(f"filter(regexp_extract_all(text, '{_PIECE}', 0), (x, i) -> not array_contains(__hit, i))".replace("\\", "\\\\"))
     text = F.when(F.size("__hit") > 0, F.concat(F.regexp_extract("text", _LEAD, 0), F.array_join(kept, ""))).otherwise(F.col("text"))
     return marked.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -280,6 +280,17 @@ def test_dropping_by_text_with_repeated_and_null_ids(spark, limit):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (r for r in rows if r[1] != item)))
 
 
+def test_span_removal_of_a_large_benchmark(spark):
+    """Above the limit the spans are found by a shuffle, and the same words are cut as below it."""
+    item = " ".join(f"test{i}" for i in range(20))
+    rows = [(1, f"  Keep, this. {item.upper()}! And this?"), (1, f"{item} twice {item}"), (None, f"No id. {item}"), (None, "no hit"), (2, None), (3, item), (3, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "keep this")], "item_id long, text string")
+    below, above = (decontaminate.remove_spans(docs, bench, limit) for limit in (50_000, 3))
+    assert above.columns == docs.columns and sorted(map(str, map(tuple, above.collect()))) == sorted(map(str, map(tuple, below.collect())))
+    assert {r["text"] for r in above.collect()} == {"  And this?", "twice ", "No id. ", "no hit", None, ""}
+
+
 def test_span_removal(spark):
     item = " ".join(f"test{i}" for i in range(13))
     docs = docs_of(spark, [f"  Keep, this. {item.upper()}! And this?", "nothing", None])
