@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables that written() made, by id of their DataFrame, which is held so that ids stay unique.
+_written: dict[int, tuple[SparkSession, str, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +32,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode (tests), else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="rankweave-checkpoint-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -45,9 +49,9 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankweave-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _written[id(made)] = (spark, path, made)
+    return made
 
 
 def release(spark: SparkSession) -> None:
@@ -56,23 +60,33 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def delete_written(df_paths: list[str] | None = None) -> None:
-    """Remove tables that written() made, all of this process if none are named."""
-    for spark, path in list(_written):
-        if df_paths is not None and path not in df_paths:
-            continue
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that written() made and no later step reads."""
+    for made in tables:
+        spark, path, _ = _written.pop(id(made))
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session may have ended
             pass
-        _written.remove((spark, path))
+
+
+def delete_written() -> None:
+    """Remove all tables that written() made in this process and that are still there."""
+    discard(*[made for _, _, made in list(_written.values())])
 
 
 atexit.register(delete_written)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, made longer until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings; null becomes empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

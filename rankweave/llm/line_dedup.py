@@ -1,17 +1,17 @@
 """Fuzzy line de-duplication by MinHash.
 
-Lines (cut at newlines) of at least `least` characters, lower-cased and with white space squeezed, are nodes: equal lines are one node. The queries take
-every line that isn't blank (EVERY_LINE). The 5-character shingles of lines of at least MIN_CHARS characters give HASHES minhashes in BANDS bands; lines that share a band and whose coarse signatures are near form candidate groups, and their
-links are decided on whole shingle sets: 100 * intersection >= PERCENT * union. (At a Jaccard similarity of 0.8, bands miss 1 pair in 200; at 0.9, fewer than 1 in 10,000.)
-Of each component one line stays: the first by (doc_id, row key, line number). Lines under MIN_CHARS are copies only if they are equal: they hold too few shingles
-for links.
-
-Defined results: a null text has no lines; an empty line is kept; a null doc_id sorts first; rows with equal doc_id and text are one
-document and get equal results.
+Lines (cut at newlines) of at least `least` characters, lower-cased and with white space squeezed, are nodes: equal lines are one node (by 128 bits of hash). The
+5-character shingles of a line (a shorter line is one) give HASHES minhashes in BANDS bands; lines that share a band and whose one-bit signatures are near form candidate groups, and their
+links are decided on whole shingle sets: 100 * intersection >= PERCENT * union. (At a Jaccard similarity of 0.8, bands miss 1 pair in 200; at 0.9, fewer than 1 in 1,000,000.)
+Of each component one line stays: the first by (doc_id, row key, line number).
+
+Defined results: a null text has no lines; a blank line is kept; a null doc_id sorts first; rows with equal doc_id and text are one
+document and get equal results; columns of any name go through.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import bound_batches, row_key, texts_of, written
-from rankweave.llm.similar import ROWS_DDL, bucket_rows, candidate_groups, char_shingles, min_hashes, mixed, resolve
+from rankweave.llm.common import bound_batches, row_key, texts_of, unused, written
+from rankweave.llm.similar import CELLS_DDL, candidate_groups, cells_of, char_shingles, min_hashes, mixed, packed, resolve
 
 CHARS = 5
 PERCENT = 80
-#: Fewest characters of a line with fuzzy links.
-MIN_CHARS = 30
-#: `least` for which every line that isn't blank is a node.
-EVERY_LINE = 1
-HASHES, BANDS = 40, 10
-#: Most of the 16 four-bit symbols, of hashes outside the shared band, that may differ between candidates (at 0.8, 3 differ on average, 11 or more in 1 of 50,000 pairs).
-COARSE, MOST = 16, 10
+#: Fewest characters of a line that can be a copy; with 1 every line that isn't blank.
+LEAST = 1
+HASHES, BANDS = 108, 18
+#: Most of CHECK_BITS one-bit minhashes that may differ between candidates (at 0.8, 6.4 differ on average, 19 or more in 1 of 100,000 pairs).
+CHECK_BITS, MOST = 64, 18
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("weight", pa.int32())])
+_LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("twin", pa.int64()), ("weight", pa.int32())])
 
 
 def squeezed(line: str) -> str:
@@ -44,9 +42,9 @@ def _lines_from(text: str, least: int) -> list[tuple[int, str]]:
     return [(i, s) for i, x in enumerate(text.split("\n")) if len(x) >= least and len(s := squeezed(x)) >= least]
 
 
-def _node(line: str) -> int:
-    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def _node(line: str) -> tuple[int, int]:
+    """Two signed 64-bit halves of a hash: the node, and its twin, which differs where unequal lines share a node."""
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -56,72 +54,83 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [
-            (doc, key, i, _node(s), len(s))
+            (doc, key, i, *_node(s), len(s))
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), strict=True)
             for i, s in _lines_from(text, least)
         ]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
+        columns = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
 
 
 def line_signatures(lines: list[str]) -> np.ndarray:
-    """(lines, HASHES) minhashes of the character shingles of lines of MIN_CHARS characters or more."""
+    """(lines, HASHES) minhashes of the character shingles of lines that aren't empty; a line of fewer characters than a shingle is one."""
+    lines = [x if len(x) >= CHARS else x.ljust(CHARS, "\0") for x in lines]
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    h = np.zeros(len(codes) - CHARS + 1, np.uint64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    n = len(codes) - CHARS + 1
+    h = np.zeros(n, np.uint32)
     for k in range(CHARS):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - CHARS + 1 + k] + np.uint64(1)
-    ends = np.cumsum(sizes)
+        h ^= h >> np.uint32(15)
+        h += codes[k : k + n]
+        h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
     inside = np.ones(len(codes), bool)
     for k in range(1, CHARS):
-        inside[ends - k] = False
+        inside[np.cumsum(sizes) - k] = False
     counts = sizes - CHARS + 1
-    return min_hashes(mixed(h[inside[: len(h)]]), np.cumsum(counts) - counts, HASHES)
+    return min_hashes(h[inside[:n]], np.cumsum(counts) - counts, HASHES)
+
+
+def band_keys(made: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) keys of signatures."""
+    keys = np.empty((len(made), BANDS), np.uint64)
+    for b, places in enumerate(np.array_split(np.arange(HASHES), BANDS)):
+        h = np.full(len(made), b, np.uint64)
+        for p in places:
+            h = h * np.uint64(0x9E3779B97F4A7C15) + made[:, p].astype(np.uint64) + np.uint64(1)
+        keys[:, b] = mixed(h)
+    return keys
+
+
+def checks_of(made: np.ndarray) -> np.ndarray:
+    """(lines, words): one bit of each of the first CHECK_BITS hashes."""
+    return np.packbits((made[:, :CHECK_BITS] & 1).astype(np.uint8), axis=1).view("<u4")
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], least: int, cells: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        distinct = {_node(s): s for text in texts_of(batch) for _, s in _lines_from(text, MIN_CHARS)}
-        names = np.array(sorted(distinct), np.int64)
-        if not len(names):
+        distinct = {_node(s)[0]: s for text in texts_of(batch) for _, s in _lines_from(text, least)}
+        if not distinct:
             continue
         signed, part, held = [], [], 0
-        for node in names.tolist():
-            part.append(distinct[node])
-            held += len(part[-1])
+        for line in distinct.values():
+            part.append(line)
+            held += len(line)
             if held > 60_000:
                 signed.append(line_signatures(part))
                 part, held = [], 0
         if part:
             signed.append(line_signatures(part))
         made = np.concatenate(signed)
-        keys = np.empty((len(names), BANDS), np.uint64)
-        for b, places in enumerate(np.array_split(np.arange(HASHES), BANDS)):
-            h = np.full(len(names), b, np.uint64)
-            for p in places:
-                h = h * np.uint64(0x9E3779B97F4A7C15) + made[:, p].astype(np.uint64) + np.uint64(1)
-            keys[:, b] = mixed(h)
-        nibbles = (made >> np.uint32(28)).astype(np.uint8)
-        width = HASHES // BANDS
-        others = (np.arange(BANDS)[:, None] * width + width + np.arange(COARSE)) % HASHES
-        coarse = nibbles[:, others]
-        yield from bucket_rows(names, keys, coarse[:, :, ::2] << 4 | coarse[:, :, 1::2], _differing, MOST)
+        yield packed(np.fromiter(distinct, np.int64, len(distinct)), band_keys(made), checks_of(made), cells)
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a ^ b
-    return ((x & 15) != 0).sum(-1) + ((x >> 4) != 0).sum(-1)
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def removed_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(row_key, gone): the numbers of the lines of a document that are copies of a line that stays; documents without are left out."""
     spark = docs.sparkSession
     bound_batches(spark)
     keyed = _keyed(docs)
-    lines = written(keyed.mapInArrow(lambda batches: _lines(batches, least), "doc_id long, row_key long, line int, node long, weight int"), "lines")
-    groups = candidate_groups(keyed.select("text").mapInArrow(_banded, ROWS_DDL), _differing, MOST)
-    chosen = lines.join(groups, "node").groupBy("node").agg(F.min(F.struct("row_key", "line")).alias("p"), F.max("weight").alias("weight"), F.max("component").alias("group"))
-    chosen = chosen.select("node", "p.row_key", "p.line", "weight", "group")
+    lines = written(keyed.mapInArrow(lambda batches: _lines(batches, least), "doc_id long, row_key long, line int, node long, twin long, weight int"), "lines")
+    cells = cells_of(docs)
+    groups = candidate_groups(keyed.select("text").mapInArrow(lambda batches: _banded(batches, least, cells), CELLS_DDL), CHECK_BITS // 32, _differing, MOST)
+    places = lines.groupBy("node").agg(F.min(F.struct("row_key", "line", "twin")).alias("p"), F.max("weight").alias("weight"))
+    chosen = written(places.join(groups.withColumnRenamed("component", "group"), "node").select("node", "p.twin", "p.row_key", "p.line", "weight", "group"), "chosen")
     wanted = chosen.groupBy("row_key").agg(F.collect_list(F.struct("line", "node", "weight", "group")).alias("wanted"))
     texts = (
         keyed.select("row_key", "text").join(wanted, "row_key")
@@ -130,33 +139,41 @@ def removed_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
         .dropDuplicates(["node"])
     )
     linked = resolve(texts, lambda text, powers: char_shingles(squeezed(text), powers, CHARS), PERCENT)
-    own = written(lines.join(linked, "node", "left").select("doc_id", "row_key", "line", F.coalesce("component", "node").alias("class")), "classes")
-    first = own.groupBy("class").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    first = written(first.select("class", F.col("__first.row_key").alias("__key"), F.col("__first.line").alias("__line")), "first")
-    gone = own.join(first, "class").where(~((F.col("row_key") == F.col("__key")) & (F.col("line") == F.col("__line"))))
+    linked = written(linked.join(chosen.select("node", "twin"), "node"), "linked")
+    # a class is a component, or a line by both halves of its hash
+    alone = F.col("component").isNull()
+    own = lines.join(linked, ["node", "twin"], "left").select("doc_id", "row_key", "line", F.coalesce("component", "node").alias("class"), F.when(alone, F.col("twin")).otherwise(0).alias("twin"), alone.alias("alone"))
+    own = written(own, "classes")
+    keys = ["class", "twin", "alone"]
+    first = own.groupBy(*keys).agg(F.min(F.struct("doc_id", "row_key", "line")).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    first = written(first.select(*keys, F.col("__first.row_key").alias("__key"), F.col("__first.line").alias("__line")), "first")
+    gone = own.join(first, keys).where(~((F.col("row_key") == F.col("__key")) & (F.col("line") == F.col("__line"))))
     return gone.groupBy("row_key").agg(F.collect_set("line").alias("gone"))
 
 
-_KEPT = "if(__gone is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(__gone, i)), '\\n'))"
+def _left(gone: str) -> str:
+    """SQL: the text without the lines whose numbers the column holds. The lines are bound once, and set difference takes time linear in them."""
+    return f"if({gone} is null, text, transform(array(split(text, '\\n', -1)), x -> array_join(transform(array_except(sequence(0, size(x) - 1), {gone}), i -> x[i]), '\n'))[0])"
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_chars (of what is left) and kept_sha256."""
-    gone = written(removed_lines(docs, least), "gone").withColumnRenamed("gone", "__gone")
-    text = F.coalesce(F.expr(_KEPT), F.lit(""))
+    gone = written(removed_lines(docs, least), "gone")
+    text = F.coalesce(F.expr(_left("gone")), F.lit(""))
     return _keyed(docs).join(gone, "row_key", "left").select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         F.length(text).cast("long").alias("n_chars"),
         F.sha2(text, 256).alias("kept_sha256"),
     )
 
 
-def drop_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs without the lines that are copies; a document that loses all its text goes. n_chars follows the text if there is such a column."""
-    gone = written(removed_lines(docs, least), "gone").select(F.col("row_key").alias("__key"), F.col("gone").alias("__gone"))
-    kept = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(gone, F.col("__row") == F.col("__key"), "left")
-    kept = kept.withColumn("__text", F.expr(_KEPT)).where(F.col("__gone").isNull() | (F.trim("__text") != ""))
-    columns = [F.col("__text").alias("text") if c == "text" else F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    key, gone, left = (unused(docs, c) for c in ("key", "gone", "left"))
+    removed = written(removed_lines(docs, least), "gone").select(F.col("row_key").alias(key), F.col("gone").alias(gone))
+    kept = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(removed, key, "left")
+    kept = kept.withColumn(left, F.expr(_left(f"`{gone}`"))).where(F.col(gone).isNull() | (F.trim(left) != ""))
+    columns = [F.col(left).alias("text") if c == "text" else F.when(F.col(gone).isNull(), F.col(f"`{c}`")).otherwise(F.length(left)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import bound_batches, row_key, texts_of, written
-from rankweave.llm.similar import ROWS_DDL, Powers, bucket_rows, candidate_groups, min_hashes, mixed, resolve, set_hash, word_shingles
+from rankweave.llm.common import bound_batches, row_key, texts_of, unused, written
+from rankweave.llm.similar import CELLS_DDL, Powers, candidate_groups, cells_of, min_hashes, mixed, packed, resolve, set_hash, word_shingles
 
 WORDS = 5
 PERCENT = 75
@@ -44,8 +44,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             signed: Iterator[bytes] = iter(())
             if full:
                 sizes = np.fromiter(map(len, full), np.int64, len(full))
-                made = min_hashes(np.concatenate(full), np.cumsum(sizes) - sizes, SYMBOLS)
-                signed = iter([x.tobytes() for x in (made >> np.uint32(32 - BITS)).astype("<u2")])
+                made = min_hashes((np.concatenate(full) >> np.uint64(32)).astype(np.uint32), np.cumsum(sizes) - sizes, SYMBOLS)
+                signed = iter([x.tobytes() for x in (made & np.uint32((1 << BITS) - 1)).astype("<u2")])
             columns = [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
@@ -69,27 +69,40 @@ def entries(symbols: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
+CHECK_WORDS = SYMBOLS // 8
+
+
+def checks_of(symbols: np.ndarray) -> np.ndarray:
+    """(signatures, CHECK_WORDS): the low four bits of each symbol."""
+    low = (symbols & 15).astype(np.uint8)
+    return np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2]).view("<u4")
+
+
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing symbols by their low bytes: never more than by the whole symbols."""
-    return (a != b).sum(-1)
+    """Differing symbols by their low four bits: never more than by the whole symbols."""
+    x = a ^ b
+    x |= x >> np.uint32(2)
+    x |= x >> np.uint32(1)
+    return np.bitwise_count(x & np.uint32(0x11111111)).sum(-1, dtype=np.int64)
 
 
-def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entered(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes = batch.column(0).to_numpy(zero_copy_only=False)
         nodes, first = np.unique(nodes, return_index=True)
         if len(nodes):
             raw = batch.column(1).to_pylist()
             symbols = np.frombuffer(b"".join(raw[i] for i in first), "<u2").reshape(len(nodes), SYMBOLS)
-            yield from bucket_rows(nodes, entries(symbols), (symbols & 255).astype(np.uint8), _differing, DISTANCE)
+            yield packed(nodes, entries(symbols), checks_of(symbols), cells)
 
 
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The signatures table, and (node, component) of the nodes with links."""
     signed = written(signatures(docs), "signatures")
     some = signed.where("n_shingles > 0")
-    groups = candidate_groups(some.select("node", "signature").mapInArrow(_entered, ROWS_DDL), _differing, DISTANCE)
-    chosen = some.join(groups, "node").groupBy("node").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("weight"), F.max("component").alias("group"))
+    cells = cells_of(docs)
+    groups = candidate_groups(some.select("node", "signature").mapInArrow(lambda batches: _entered(batches, cells), CELLS_DDL), CHECK_WORDS, _differing, DISTANCE)
+    chosen = some.groupBy("node").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("weight")).join(groups.withColumnRenamed("component", "group"), "node")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
     members = texts.join(chosen, "row_key").dropDuplicates(["node"])
     return signed, resolve(members, lambda text, powers: word_shingles(text, powers, WORDS), PERCENT)
@@ -121,7 +134,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = written(first.select("class", F.col("__first.row_key").alias("__stays")), "first")
     gone = own.join(first, "class").where("row_key <> __stays").select(F.col("row_key").alias("__key")).distinct()
     again = written(own.groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("__key")), "again")
-    kept = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(gone, F.col("__row") == F.col("__key"), "left_anti")
-    single = kept.join(again, F.col("__row") == F.col("__key"), "left_anti")
-    repeated = kept.join(again, F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row", "doc_id"])
-    return single.unionByName(repeated).drop("__row")
+    row, key = unused(docs, "row"), unused(docs, "key")
+    gone, again = gone.withColumnRenamed("__key", key), again.withColumnRenamed("__key", key)
+    kept = docs.withColumn(row, row_key(F.col("doc_id"), F.col("text"))).join(gone, F.col(row) == F.col(key), "left_anti")
+    single = kept.join(again, F.col(row) == F.col(key), "left_anti")
+    repeated = kept.join(again, F.col(row) == F.col(key), "left_semi").dropDuplicates([row, "doc_id"])
+    return single.unionByName(repeated).drop(row)

@@ -1,9 +1,10 @@
 """What the near-duplicate operators share: shingle hashes, signatures, bucket joins and exact resolution of candidate groups.
 
-A bucket join turns (key, node, check) rows into candidate edges, linear in the rows: within a bucket, nodes whose checks are
-near enough are joined by a forest. Candidate groups are the components of these edges. They hold every candidate pair, and their
-links are then decided on whole shingle sets, a block of a group against a block of a group in a task, so that no task holds an unbounded group and no
-pair is ever a row.
+A bucket join takes (key, node, check) entries, dealt to cells by key and packed, many to a row. Within a bucket, nodes are joined if a chain of
+nodes with near checks leads from one to the other, so a bucket adds no more edges than it has nodes. Every entry is compared with every other of its bucket, whatever partition
+it comes from. A bucket of over BUCKET nodes becomes one group without comparing checks: groups may be too large, never too small. Candidate groups
+are the components of these edges; they hold every candidate pair, and their links are then decided on whole shingle sets, so that no task
+holds an unbounded group and no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import bound_batches, written
-from rankweave.llm.graph import components
-
-#: A bucket with more nodes than this in one batch is joined there, and only one node of each tree goes on.
-BATCH_BUCKET = 16
-#: A bucket with more nodes than this is joined by a star without comparing checks: its nodes become one candidate group.
-BUCKET = 8192
+from rankweave.llm.common import bound_batches, release, written
+from rankweave.llm.graph import HELD_EDGES, components, labelled, stars_of
+
+#: A bucket with more nodes than this becomes one candidate group without comparing checks.
+BUCKET = 32_768
+#: Buckets up to this size are compared together, larger ones one by one.
+SMALL_BUCKET = 16
+#: Entries of a cell that a task holds before it puts buckets of over BUCKET nodes together.
+HELD = 1_000_000
+#: Cells for each shuffle partition, and in all at least.
+CELLS, LEAST_CELLS = 4, 2048
 #: A block of a candidate group holds about so many shingles.
-BLOCK_SHINGLES = 300_000
+BLOCK_SHINGLES = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
@@ -97,19 +102,23 @@ def char_shingles(line: str, powers: Powers, n: int = 5) -> np.ndarray:
 
 
 def min_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """(sets, k) minima of k 32-bit permutations, of the consecutive sets hashes[starts[i]:starts[i + 1]], none of them empty."""
+    """(sets, k) values of k minhashes of the consecutive sets hashes[starts[i]:starts[i + 1]], 32-bit hashes, none of the sets empty.
+
+    Multiplication by an odd number permutes 32-bit numbers. The values are mixed, so that their low bits serve as b-bit minhashes.
+    """
     i = np.arange(k, dtype=np.uint64)
-    a = (mixed(i * np.uint64(2) + np.uint64(12345)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    b = (mixed(i + np.uint64(1 << 32)) >> np.uint64(32)).astype(np.uint32)
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), k), np.uint32)
+    factors = (mixed(i * np.uint64(2) + np.uint64(12345)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    out = np.empty((k, len(starts)), np.uint32)
+    x = np.empty(len(hashes), np.uint32)
     for at in range(k):
-        x = low * a[at]
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        x += b[at]
-        out[:, at] = np.minimum.reduceat(x, starts)
-    return out
+        np.multiply(hashes, factors[at], out=x)
+        out[at] = np.minimum.reduceat(x, starts)
+    out ^= out >> np.uint32(16)
+    out *= np.uint32(0x85EBCA6B)
+    out ^= out >> np.uint32(13)
+    out *= np.uint32(0xC2B2AE35)
+    out ^= out >> np.uint32(16)
+    return np.ascontiguousarray(out.T)
 
 
 def set_hash(hashes: np.ndarray) -> int:
@@ -119,202 +128,268 @@ def set_hash(hashes: np.ndarray) -> int:
     return int(np.int64(h.astype(np.int64)))
 
 
-class Forest:
-    """Union-find over numbers 0..n-1."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+def flooded(checks: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> np.ndarray:
+    """labelled() for the pairs with distance <= most: each number is only compared with those not yet reached."""
+    label, left = np.arange(len(checks)), np.arange(len(checks))
+    while len(left):
+        root, left = left[0], left[1:]
+        queue = [root]
+        while queue and len(left):
+            near = distance(checks[queue.pop()], checks[left]) <= most
+            if near.any():
+                found, left = left[near], left[~near]
+                label[found] = root
+                queue.extend(found)
+    return label
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+def entry_type(words: int) -> np.dtype:
+    """An entry: the low half of its key, its node and a check of 32-bit words."""
+    return np.dtype([("key", "<u4"), ("node", "<i8"), ("check", "<u4", (words,))])
 
 
-def bucket_edges(nodes: np.ndarray, checks: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> list[tuple[int, int]]:
-    """A forest over the nodes of one bucket: pairs with distance <= most, or a star where there are more than BUCKET nodes.
-
-    distance compares rows of checks that broadcast against each other.
-    """
-    if len(nodes) > BUCKET:
-        return [(int(nodes[0]), int(x)) for x in nodes[1:]]
-    out, forest = [], Forest(len(nodes))
-    for i in range(len(nodes) - 1):
-        near = np.flatnonzero(distance(checks[i], checks[i + 1 :]) <= most)
-        for j in near:
-            if forest.join(i, i + 1 + int(j)):
-                out.append((int(nodes[i]), int(nodes[i + 1 + j])))
-    return out
-
+_CELLS = pa.schema([("cell", pa.int32()), ("entries", pa.binary())])
+CELLS_DDL = "cell int, entries binary"
 
-_ROWS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("check", pa.binary()), ("other", pa.int64())])
-_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-ROWS_DDL = "key long, node long, check binary, other long"
 
+def cells_of(df: DataFrame) -> int:
+    """Cells that df's session deals entries to."""
+    return max(LEAST_CELLS, CELLS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def bucket_rows(nodes: np.ndarray, keys: np.ndarray, checks: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows for the bucket join from distinct nodes, their keys (n, k) and checks, (n, bytes) or (n, k, bytes).
 
-    Crowded buckets are joined here by edges, and one node of each tree stands for it: so a hot bucket sends few rows from each batch.
-    """
+def packed(nodes: np.ndarray, keys: np.ndarray, checks: np.ndarray, cells: int) -> pa.RecordBatch:
+    """Entries of distinct nodes, their keys (n, k), unsigned 64 bits, and checks (n, words), packed by cell."""
     n, k = keys.shape
-    if not n:
-        return
-    flat, owner = keys.ravel(), np.repeat(np.arange(n), k)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    raw = checks.reshape(n * k, -1)[order] if checks.ndim == 3 else checks[owner]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    sizes = np.diff(np.r_[first, len(flat)])
-    stays = np.ones(len(flat), bool)
-    pairs: set[tuple[int, int]] = set()
-    for a, m in zip(first[sizes > BATCH_BUCKET], sizes[sizes > BATCH_BUCKET], strict=True):
-        place = {int(x): a + i for i, x in enumerate(nodes[owner[a : a + m]])}
-        forest = Forest(m)
-        for u, v in bucket_edges(nodes[owner[a : a + m]], raw[a : a + m], distance, most):
-            pairs.add((u, v))
-            forest.join(place[u] - a, place[v] - a)
-        stays[a : a + m] = [forest.find(i) == i for i in range(m)]
-    raw = np.ascontiguousarray(raw[stays])
-    width = raw.shape[1]
-    values = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-    yield pa.RecordBatch.from_arrays([pa.array(flat[stays].view(np.int64)), pa.array(nodes[owner[stays]]), values, pa.nulls(len(raw), pa.int64())], schema=_ROWS)
-    if pairs:
-        made = np.array(sorted(pairs), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 0]), pa.nulls(len(made), pa.binary()), pa.array(made[:, 1])], schema=_ROWS)
-
-
-def candidate_groups(rows: DataFrame, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> DataFrame:
-    """(node, component) of the nodes that share a candidate group, from rows (key, node, check, other)."""
+    flat = keys.ravel()
+    cell = ((flat >> np.uint64(32)) % np.uint64(cells)).astype(np.int32)
+    order = np.argsort(cell, kind="stable")
+    cell, owner = cell[order], order // k
+    made = np.empty(n * k, entry_type(checks.shape[1]))
+    made["key"], made["node"], made["check"] = flat[order].astype(np.uint32), nodes[owner], checks[owner]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n * k else np.zeros(0, np.int64)
+    ends = np.r_[first, n * k] * made.dtype.itemsize
+    values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(made.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(cell[first], pa.int32()), values], schema=_CELLS)
+
+
+class CellJoin:
+    """Edges (node, smallest node of its part of the bucket) of one cell after the other."""
+
+    def __init__(self, words: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> None:
+        self.type, self.distance, self.most = entry_type(words), distance, most
+        self.held: list[np.ndarray] = []
+        self.size = 0
+        self.whole: dict[int, int] = {}
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, raw: object) -> None:
+        made = np.frombuffer(raw, self.type)
+        self.held.append(made)
+        self.size += len(made)
+        if self.size > HELD:
+            self._gather()
+
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The held entries that share a bucket, each node of a bucket once, with the buckets' starts and sizes."""
+        made = np.concatenate(self.held) if self.held else np.empty(0, self.type)
+        if self.whole and len(made):
+            hot = np.isin(made["key"], np.fromiter(self.whole, np.uint32, len(self.whole)))
+            if hot.any():
+                known = made[hot]
+                self.edges.append((known["node"].copy(), np.fromiter((self.whole[int(x)] for x in known["key"]), np.int64, len(known))))
+                made = made[~hot]
+        made = made[np.argsort(made["key"], kind="stable")]
+        key = made["key"]
+        same = key[1:] == key[:-1]
+        made = made[np.r_[False, same] | np.r_[same, False]] if len(made) else made
+        made = made[np.lexsort((made["node"], made["key"]))]
+        made = made[np.r_[True, (made["key"][1:] != made["key"][:-1]) | (made["node"][1:] != made["node"][:-1])]] if len(made) else made
+        first = np.flatnonzero(np.r_[True, made["key"][1:] != made["key"][:-1]]) if len(made) else np.zeros(0, np.int64)
+        return made, first, np.diff(np.r_[first, len(made)])
+
+    def _gather(self) -> None:
+        """Put buckets of over BUCKET nodes together and keep the others; entries alone in their bucket stay, others may follow."""
+        everything = np.concatenate(self.held)
+        self.held = [everything]
+        made, first, sizes = self._sorted()
+        for a, m in zip(first[sizes > BUCKET], sizes[sizes > BUCKET], strict=True):
+            self.whole[int(made["key"][a])] = int(made["node"][a])
+            self._star(made["node"][a : a + m])
+        if self.whole:
+            everything = everything[~np.isin(everything["key"], np.fromiter(self.whole, np.uint32, len(self.whole)))]
+        self.held, self.size = [everything], 0
+
+    def _star(self, nodes: np.ndarray) -> None:
+        self.edges.append((nodes[1:], np.full(len(nodes) - 1, nodes[0])))
+
+    def close(self) -> None:
+        """Join the held cell."""
+        made, first, sizes = self._sorted()
+        self.held, self.size = [], 0
+        self.whole = {}
+        for a, m in zip(first[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
+            part = made[a : a + m]
+            if m > BUCKET:
+                self._star(part["node"])
+                continue
+            label = flooded(part["check"], self.distance, self.most)
+            far = np.flatnonzero(label != np.arange(m))
+            self.edges.append((part["node"][far], part["node"][label[far]]))
+        small = made[np.repeat(sizes <= SMALL_BUCKET, sizes)]
+        bucket = np.repeat(np.arange(len(sizes)), sizes)[np.repeat(sizes <= SMALL_BUCKET, sizes)]
+        left, right = [], []
+        for step in range(1, SMALL_BUCKET):
+            at = np.flatnonzero(bucket[step:] == bucket[:-step])
+            if not len(at):
+                break
+            at = at[self.distance(small["check"][at], small["check"][at + step]) <= self.most]
+            left.append(at)
+            right.append(at + step)
+        if left:
+            label = labelled(len(small), np.concatenate(left), np.concatenate(right))
+            far = np.flatnonzero(label != np.arange(len(small)))
+            self.edges.append((small["node"][far], small["node"][label[far]]))
+
+    def contracted(self) -> pa.RecordBatch:
+        """A star for each component of the held edges, which are then forgotten."""
+        held, self.edges = self.edges, []
+        return stars_of(held)
+
+
+def candidate_groups(cells: DataFrame, words: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> DataFrame:
+    """(node, component) of the nodes that share a candidate group, from packed entries (cell, entries)."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def closed(last: bool) -> list[tuple[int, int]]:
-            if not held:
-                return []
-            keys, nodes, checks = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            ends = np.r_[first[1:], len(keys)]
-            if not last:  # the last bucket may go on in the next batch
-                a = first[-1]
-                k, n, c = keys[a:], nodes[a:], checks[a:]
-                if len(n) > 4 * BUCKET:
-                    stars.extend((int(n[0]), int(x)) for x in n[1:])
-                    k, n, c = k[:1], n[:1], c[:1]
-                held.append((k, n, c))
-                first, ends = first[:-1], ends[:-1]
-            two = first[ends - first == 2]
-            two = two[(nodes[two] != nodes[two + 1]) & (distance(checks[two], checks[two + 1]) <= most)]
-            out = list(zip(nodes[two].tolist(), nodes[two + 1].tolist(), strict=True))
-            for a, b in zip(first[ends - first > 2], ends[ends - first > 2], strict=True):
-                u, i = np.unique(nodes[a:b], return_index=True)
-                if len(u) > 1:
-                    out += bucket_edges(u, checks[a:b][i], distance, most)
-            return out
-
-        stars: list[tuple[int, int]] = []
-        for batch in _with_end(batches):
-            edges: list[tuple[int, int]] = []
-            if batch is not None and batch.num_rows:
-                given = ~np.asarray(batch.column(3).is_null())
-                other = batch.column(3).fill_null(0).to_numpy(zero_copy_only=False)
-                nodes = batch.column(1).to_numpy(zero_copy_only=False)
-                edges += list(zip(nodes[given].tolist(), other[given].tolist(), strict=True))
-                plain = batch.column(2).filter(pa.array(~given))
-                if len(plain):
-                    checks = np.frombuffer(b"".join(plain.to_pylist()), np.uint8).reshape(len(plain), -1)
-                    held.append((batch.column(0).to_numpy(zero_copy_only=False)[~given], nodes[~given], checks))
-            edges += closed(batch is None)
-            edges += stars
-            stars.clear()
-            if edges:
-                made = np.array(sorted(set(edges)), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], schema=_EDGES)
-
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(join, "u long, v long")
-    return components(edges)
-
-
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of the links between left and right sets: 100 * intersection >= percent * union.
-
-    Postings of each shingle count all intersections of one set at a time; a set is only counted against sets of other trees.
+        joined, now = CellJoin(words, distance, most), None
+        for batch in batches:
+            for cell, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if cell != now:
+                    joined.close()
+                    now = cell
+                    if sum(len(u) for u, _ in joined.edges) > HELD_EDGES:
+                        yield joined.contracted()
+                joined.add(raw.as_buffer())
+        joined.close()
+        yield joined.contracted()
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return components(cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(join, "u long, v long"))
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between sets: 100 * intersection >= percent * union. With sides, only sets of different sides are compared.
+
+    Postings of each shingle count all intersections of one set at a time, and only as long as sets are left that no tree has reached.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    forest, out = Forest(len(sets)), []
-    flat = np.concatenate([sets[j] for j in right]) if len(right) else np.zeros(0, np.uint64)
-    owner = np.repeat(right, sizes[right])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    same = len(left) == len(right) and bool((left == right).all())
-    for i in left:
-        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-        spans = high - low
-        at = np.repeat(low - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
-        shared = np.bincount(owner[at], minlength=len(sets))
-        union = sizes[i] + sizes - shared
-        near = (100 * shared >= percent * union) & (shared > 0)
-        near[: i + 1 if same else 0] = False
-        near[i] = False
-        for j in np.flatnonzero(near):
-            if forest.join(int(i), int(j)):
-                out.append((int(i), int(j)))
+    n, out = len(sets), []
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(shingle, kind="stable")
+    posting = owner[order]
+    counts = np.bincount(shingle)
+    begins = np.cumsum(counts) - counts
+    own = np.r_[0, np.cumsum(sizes)]
+    left = np.ones(n, bool)
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue:
+            i = queue.pop()
+            wanted = left if side is None else left & (side != side[i])
+            if not wanted.any():
+                continue
+            mine = shingle[own[i] : own[i + 1]]
+            spans = counts[mine]
+            at = np.repeat(begins[mine] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
+            shared = np.bincount(posting[at], minlength=n)
+            near = np.flatnonzero(wanted & (shared > 0) & (100 * shared >= percent * (sizes[i] + sizes - shared)))
+            left[near] = False
+            queue.extend(near.tolist())
+            out += [(i, j) for j in near.tolist()]
     return out
 
 
 def resolve(members: DataFrame, shingles: Callable[[str, Powers], np.ndarray], percent: int) -> DataFrame:
-    """(node, component) by exact links, from one row (node, group, text, weight) for each node of a candidate group."""
-    members = written(members.select("node", "group", "text", "weight"), "members")
-    sizes = members.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = placed.select(
-        "node", "group", "text", "block",
-        F.explode(F.expr("transform(sequence(0, blocks - 1), b -> named_struct('a', least(b, block), 'b', greatest(b, block)))")).alias("p"),
-    )
-    # groups of one block share tasks: a group by itself would be too little work for one call
-    small = F.col("p.b") == 0
-    spread = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
-    task = F.when(small & (F.col("p.a") == 0), F.pmod(F.xxhash64("group"), F.lit(spread))).otherwise(F.xxhash64("group", "p.a", "p.b"))
-    dealt = pairs.select(task.alias("task"), "group", "node", "text", "block", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        powers, out = Powers(), []
-        group, a, b, node, block = (rows[c].to_numpy() for c in ("group", "a", "b", "node", "block"))
-        text = rows["text"].to_numpy()
-        order = np.lexsort((node, b, a, group))
-        own = np.stack([group, a, b], 1)[order]
-        first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(1)])
-        for low, high in zip(first, np.r_[first[1:], len(order)], strict=True):
-            at = order[low:high]
-            if len(at) < 2:
-                continue
-            sets = [shingles(text[i], powers) for i in at]
-            if len(at) == 2:
-                shared = len(np.intersect1d(*sets, assume_unique=True))
-                if shared and 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared):
-                    out.append((int(node[at[0]]), int(node[at[1]])))
-                continue
-            left, right = np.flatnonzero(block[at] == own[low, 1]), np.flatnonzero(block[at] == own[low, 2])
-            out += [(int(node[at[i]]), int(node[at[j]])) for i, j in linked(sets, left, right, percent)]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    """(node, component) by exact links, from one row (node, group, text, weight) for each node of a candidate group.
 
-    bound_batches(members.sparkSession)
-    return components(dealt.groupBy("task").applyInPandas(decide, "u long, v long"))
+    A group of over BLOCK_SHINGLES shingles is cut into blocks. Each block is resolved by itself, then one node of each tree with those of other blocks.
+    A link that is still missing has an end outside the largest tree of its group: the nodes outside are compared, block by block, with
+    each other and with that tree.
+    """
+    spark = members.sparkSession
+    release(spark)
+    members = written(members.select("node", "group", "text", "weight"), "members")
+    release(spark)
+    bound_batches(spark)
+
+    def blocked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows (node, group, text, weight) with blocks and block; the groups (group, blocks) of more than one block."""
+        sizes = rows.groupBy("group").agg(F.ceil(F.sum("weight") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("blocks > 1")
+        sizes = written(sizes, "sizes")
+        placed = rows.join(sizes, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        return placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), sizes
+
+    def decided(dealt: DataFrame) -> DataFrame:
+        """Forest edges (u, v) of rows (task, group, node, text, block, a, b): links within block a, or between blocks a and b."""
+
+        def decide(rows: pd.DataFrame) -> pd.DataFrame:
+            powers, out = Powers(), []
+            group, a, b, node, block = (rows[c].to_numpy() for c in ("group", "a", "b", "node", "block"))
+            text = rows["text"].to_numpy()
+            order = np.lexsort((node, b, a, group))
+            own = np.stack([group, a, b], 1)[order]
+            first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(1)])
+            for low, high in zip(first, np.r_[first[1:], len(order)], strict=True):
+                at = order[low:high]
+                if len(at) < 2:
+                    continue
+                sets = [shingles(text[i], powers) for i in at]
+                if len(at) == 2:
+                    shared = len(np.intersect1d(*sets, assume_unique=True))
+                    near = shared and 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared)
+                    found = [(0, 1)] if near and (own[low, 1] == own[low, 2] or block[at[0]] != block[at[1]]) else []
+                else:
+                    found = linked(sets, None if own[low, 1] == own[low, 2] else block[at] == own[low, 1], percent)
+                out += [(int(node[at[i]]), int(node[at[j]])) for i, j in found]
+            return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+        return written(dealt.groupBy("task").applyInPandas(decide, "u long, v long"), "links")
+
+    def within(rows: DataFrame, shares: int) -> tuple[DataFrame, DataFrame]:
+        placed, sizes = blocked(rows)
+        # groups of one block share tasks: a group by itself would be too little work for one call
+        task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(shares))).otherwise(F.xxhash64("group", "block"))
+        return decided(placed.select(task.alias("task"), "group", "node", "text", "block", F.col("block").alias("a"), F.col("block").alias("b"))), sizes
+
+    weight = members.agg(F.sum("weight")).first()[0] or 0
+    shares = 1 + 4 * weight // BLOCK_SHINGLES
+    edges, sizes = within(members, shares)
+    release(spark)
+    whole = components(edges)
+    if sizes.isEmpty():
+        return whole
+    large = members.join(sizes, "group", "left_semi")
+    tree = F.coalesce("component", "node").alias("tree")
+    trees = written(large.join(written(whole, "trees"), "node", "left").select("node", "group", "weight", tree), "trees")
+    roots = large.join(trees.where("node = tree").select("node"), "node", "left_semi")
+    edges = edges.unionByName(within(roots, shares)[0])
+    whole = written(components(edges), "trees")
+    trees = large.join(whole, "node", "left").select("node", "group", "weight", tree)
+    trees = written(trees, "trees")
+    counts = trees.groupBy("group", "tree").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    most = counts.groupBy("group").agg(F.max(F.struct("n", "tree")).alias("m"), F.sum("weight").alias("weight"), F.count("*").alias("trees")).where("trees > 1")
+    largest = counts.join(most.select("group", F.col("m.tree").alias("tree"), F.col("weight").alias("all")), ["group", "tree"])
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / BLOCK_SHINGLES)).cast("int")
+    largest = written(largest.select("group", F.col("tree").alias("most"), blocks(F.col("all") - F.col("weight")).alias("rest"), blocks(F.col("weight")).alias("held")), "largest")
+    if largest.isEmpty():
+        return whole
+    outside = F.col("tree") != F.col("most")
+    block = F.when(outside, F.pmod(F.xxhash64("node"), F.col("rest"))).otherwise(F.col("rest") + F.pmod(F.xxhash64("node"), F.col("held"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(outside, F.col("rest") + F.col("held") - 1).otherwise(F.col("rest") - 1))
+    placed = written(trees.join(largest, "group").select("node", "group", block.alias("block"), others.alias("others")), "placed")
+    dealt = placed.join(members.select("node", "text"), "node").select("node", "group", "text", "block", F.explode("others").alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return components(edges.unionByName(decided(dealt.select(F.xxhash64("group", low, high).alias("task"), "group", "node", "text", "block", low.alias("a"), high.alias("b")))))
