@@ -1,13 +1,12 @@
 """Benchmark decontamination with DataFrame and SQL functions only.
 
-The windows of all benchmark items (NGRAM consecutive words; an item of fewer, but not none, is one window) form a
-hash set that goes to every task in the plan, if it has at most MAX_WINDOWS members. Every window has an anchor, its longest word; the windows
-of a document that hold an anchor at any place are looked up in the set, so that no window of the set is missed and most windows of clean text
-are never built. Nothing is shuffled but the short rows of documents with hits. A larger benchmark takes another way: all
-document windows are exploded and joined with the benchmark's windows by a shuffle.
+The windows of all benchmark items (NGRAM consecutive words; an item of fewer, but not none, is one window) form hash sets of at most about MAX_WINDOWS
+members, of which each goes to every task in the plan of a pass over the documents: a larger benchmark takes more passes. Every window has an anchor, its longest word; the
+windows of a document that hold an anchor at any place are looked up in the set by their hash, so that no window is missed and most windows of clean text
+are never built. What is found is verified by its text, in a join with the benchmark's windows. Nothing is shuffled but the short rows of documents with hits.
 
 Defined results: a null or empty text, or one of separators only, has no words and is never contaminated; a null or wordless item has no windows; an item
-with a null id hits words but is not listed; equal ids of items count once; repeated documents get equal rows; an empty benchmark hits nothing.
+with a null id hits words but is not listed; equal ids of items count once; repeated documents get equal rows; an empty benchmark hits nothing; columns of any name go through.
 """
 
 from __future__ import annotations
@@ -15,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import ascii_lower, row_key, written
+from rankweave.llm.common import ascii_lower, row_key, unused, written
 
 NGRAM = 13
-#: Most windows that go to the tasks in the plan (about 100 bytes each); more are joined by a shuffle.
+#: Windows whose hashes go to the tasks at a time (about 20 bytes each, and an anchor for each at most).
 MAX_WINDOWS = 50_000
 #: A document is contaminated if hit words are at least one in SHARE of its words.
 SHARE = 20
@@ -45,27 +44,27 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 class WindowSet:
-    """The benchmark's windows by length and an anchor word for each, held on the driver within MAX_WINDOWS."""
+    """The hashes of some windows by length, and an anchor word for each."""
 
-    def __init__(self, windows: list[str]) -> None:
-        self.by_length: dict[int, list[str]] = {}
+    def __init__(self, windows: list[tuple[str, int]]) -> None:
+        self.by_length: dict[int, set[int]] = {}
         self.anchors: dict[int, set[str]] = {}
-        for w in sorted(set(windows)):
-            words = w.split(" ")
-            self.by_length.setdefault(len(words), []).append(w)
+        for window, number in windows:
+            words = window.split(" ")
+            self.by_length.setdefault(len(words), set()).add(number)
             self.anchors.setdefault(len(words), set()).add(max(words, key=lambda x: (len(x), x)))
 
-    def starts(self, words: str) -> str:
-        """SQL: array of (start, length) of the windows of the array column that are in the set."""
+    def found(self, words: str) -> str:
+        """SQL: array of (start, length, window) of the windows of the array column whose hashes are in the set."""
         found = []
-        for length, windows in sorted(self.by_length.items()):
+        for length, numbers in sorted(self.by_length.items()):
             anchors = ", ".join(f"'{x}'" for x in sorted(self.anchors[length]))
-            members = ", ".join(f"'{x}'" for x in windows)
+            members = ", ".join(f"{x}L" if x > -(1 << 63) else "cast('-9223372036854775808' as bigint)" for x in sorted(numbers))
             at = f"filter(transform({words}, (w, i) -> if(w IN ({anchors}), i, -1)), p -> p >= 0)"
             around = f"array_distinct(flatten(transform({at}, p -> sequence(greatest(p - {length - 1}, 0), least(p, size({words}) - {length})))))"
-            hits = f"filter({around}, s -> array_join(slice({words}, s + 1, {length}), ' ') IN ({members}))"
-            found.append(f"if(size({words}) < {length}, array(), transform({hits}, s -> named_struct('start', s, 'length', {length})))")
-        return f"concat({', '.join(found)})" if found else "cast(array() as array<struct<start: int, length: int>>)"
+            built = f"transform({around}, s -> named_struct('start', s, 'length', {length}, 'window', array_join(slice({words}, s + 1, {length}), ' ')))"
+            found.append(f"if(size({words}) < {length}, array(), filter({built}, h -> xxhash64(h.window) IN ({members})))")
+        return f"concat({', '.join(found)})" if found else "cast(array() as array<struct<start: int, length: int, window: string>>)"
 
 
 def _covered(hits: str) -> str:
@@ -73,87 +72,64 @@ def _covered(hits: str) -> str:
     return f"array_distinct(flatten(transform({hits}, h -> sequence(h.start, h.start + h.length - 1))))"
 
 
-def window_set(benchmark: DataFrame, limit: int = MAX_WINDOWS) -> WindowSet | None:
-    """The windows, or None if there are more than limit."""
-    rows = benchmark_windows(benchmark).select("window").distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else WindowSet([r[0] for r in rows])
-
-
 def _with_words(docs: DataFrame) -> DataFrame:
-    """docs with __words, cut once: the row number keeps the optimizer from copying the cut into later expressions."""
-    return docs.select("*", words_of(F.col("text")).alias("__words"), F.monotonically_increasing_id().alias("__row"))
-
-
-def _hits_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(__key, hits, texts) of the documents with hits: every document window meets the benchmark's by a shuffle."""
-    lengths = [r[0] for r in windows.select("length").distinct().collect()]
-    keyed = _with_words(docs.select(row_key(F.col("doc_id"), F.col("text")).alias("__key"), "text"))
-    made = None
-    for n in sorted(lengths):
-        part = (
-            keyed.where(F.size("__words") >= n)
-            .select("__key", F.posexplode(F.expr(f"transform(sequence(0, size(__words) - {n}), s -> array_join(slice(__words, s + 1, {n}), ' '))")).alias("start", "window"))
-            .select("__key", "start", "window", F.lit(n).alias("length"))
-        )
-        made = part if made is None else made.unionByName(part)
-    if made is None:
-        return keyed.select("__key", F.expr("cast(array() as array<struct<start: int, length: int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("texts")).where("false")
-    met = made.join(windows.select("window").distinct(), "window", "left_semi")
-    return met.groupBy("__key").agg(F.collect_set(F.struct("start", "length")).alias("hits"), F.collect_set("window").alias("texts"))
+    """(key, doc_id, words, row). The words are cut once: the row number, which later steps use, keeps the optimizer from copying the cut into their expressions."""
+    return docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", words_of(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Per document (key, doc_id, n_words); and (key, start, length, item_id) of the verified hits, for each item with the window."""
+    windows = written(benchmark_windows(benchmark).withColumn("number", F.xxhash64("window")), "windows")
+    distinct = windows.select("window", "number").distinct()
+    passes = max(1, -(-distinct.count() // limit))
+    cut = _with_words(docs)
+    found = []
+    for k in range(passes):
+        held = WindowSet([tuple(r) for r in distinct.where(F.pmod("number", F.lit(passes)) == k).collect()])
+        rows = cut.select("key", "doc_id", F.size("words").cast("long").alias("n_words"), F.expr(held.found("words")).alias("found"), "row")
+        found.append(written(rows if not k else rows.where("size(found) > 0 and row >= 0"), "found"))
+    hits = None
+    for rows in found:
+        part = rows.select("key", F.inline("found")).distinct()
+        hits = part if hits is None else hits.unionByName(part)
+    return found[0].select("key", "doc_id", "n_words"), hits.join(windows.select("window", "item_id"), "window").select("key", "start", "length", "item_id")
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
+    """What contamination() returns, and key, the row's key."""
+    rows, hits = _found(docs, benchmark, limit)
+    met = hits.groupBy("key").agg(F.collect_set(F.struct("start", "length")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    met = met.select("key", F.expr(f"cast(size({_covered('hits')}) as bigint)").alias("hit"), "items")
+    items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
+    marked = rows.join(written(met, "met"), "key", "left").select("key", "doc_id", "n_words", F.coalesce("hit", F.lit(0)).alias("n_hit"), items.alias("items"))
+    return marked.select(
+        "key", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return _found(docs, benchmark, limit).drop("__key")
-
-
-def _found(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
-    """What contamination() returns, and __key, the row's key."""
-    windows = benchmark_windows(benchmark)
-    held = window_set(benchmark, limit)
-    own = docs.select("doc_id", "text")
-    if held is not None:
-        marked = _with_words(own).select(
-            row_key(F.col("doc_id"), F.col("text")).alias("__key"), "doc_id", F.size("__words").cast("long").alias("n_words"), "__words", F.expr(held.starts("__words")).alias("hits")
-        )
-        marked = marked.select("__key", "doc_id", "n_words", F.expr(f"cast(size({_covered('hits')}) as bigint)").alias("n_hit"), F.expr("array_distinct(transform(hits, h -> array_join(slice(__words, h.start + 1, h.length), ' ')))").alias("texts"))
-        marked = written(marked, "hits")
-    else:
-        all_rows = _with_words(own).select(row_key(F.col("doc_id"), F.col("text")).alias("__key"), "doc_id", F.size("__words").cast("long").alias("n_words"))
-        found = _hits_by_join(own, windows).select("__key", F.expr(f"cast(size({_covered('hits')}) as bigint)").alias("n_hit"), "texts")
-        marked = written(all_rows.join(found, "__key", "left").select("__key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("texts", F.expr("cast(array() as array<string>)")).alias("texts")), "hits")
-    listed = (
-        marked.where("n_hit > 0")
-        .select("__key", F.explode("texts").alias("window"))
-        .join(windows.where("item_id is not null").select("window", "item_id"), "window")
-        .groupBy("__key")
-        .agg(F.collect_set("item_id").alias("__items"))
-    )
-    items = F.coalesce("__items", F.expr("cast(array() as array<string>)"))
-    return marked.join(listed, "__key", "left").select(
-        "__key", "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    return _marked(docs, benchmark, limit).drop("key")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WINDOWS) -> DataFrame:
-    """The documents that are not contaminated, with their own columns: each row is decided by its own text, whatever the size of the benchmark."""
-    bad = written(_found(docs, benchmark, limit).where("contaminated").select("__key").distinct(), "contaminated")
-    return docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text"))).join(bad, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
+    """The documents that are not contaminated, with their own columns: each row is decided by its own text."""
+    row, key = unused(docs, "row"), unused(docs, "key")
+    bad = written(_marked(docs, benchmark, limit).where("contaminated").select(F.col("key").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(row, row_key(F.col("doc_id"), F.col("text"))).join(bad, F.col(row) == F.col(key), "left_anti").drop(row)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_WINDOWS) -> DataFrame:
     """docs with the hit words, and the separators after them, cut out of text; other columns as they are."""
-    held = window_set(benchmark, limit)
-    if held is not None:
-        marked = _with_words(docs).select("*", F.expr(_covered(held.starts("__words"))).alias("__hit"))
-    else:
-        found = _hits_by_join(docs.select("doc_id", "text").distinct(), benchmark_windows(benchmark)).select("__key", F.expr(_covered("hits")).alias("__places"))
-        keyed = docs.withColumn("__own", row_key(F.col("doc_id"), F.col("text")))
-        marked = keyed.join(found, F.col("__own") == F.col("__key"), "left").withColumn("__hit", F.coalesce("__places", F.expr("cast(array() as array<int>)")))
-    kept = F.expr(f"filter(regexp_extract_all(text, '{_PIECE}', 0), (x, i) -> not array_contains(__hit, i))".replace("\\", "\\\\"))
-    text = F.when(F.size("__hit") > 0, F.concat(F.regexp_extract("text", _LEAD, 0), F.array_join(kept, ""))).otherwise(F.col("text"))
+    row, key, hit = (unused(docs, c) for c in ("row", "key", "hit"))
+    hits = _found(docs, benchmark, limit)[1].groupBy("key").agg(F.collect_set(F.struct("start", "length")).alias("hits"))
+    hits = written(hits.select(F.col("key").alias(key), F.expr(_covered("hits")).alias(hit)), "places")
+    marked = docs.withColumn(row, row_key(F.col("doc_id"), F.col("text"))).join(hits, F.col(row) == F.col(key), "left")
+    pieces = f"regexp_extract_all(text, '{_PIECE}', 0)".replace("\\", "\\\\")
+    # the pieces are bound once, and set difference takes time linear in them
+    kept = F.expr(f"transform(array({pieces}), x -> array_join(transform(array_except(sequence(0, size(x) - 1), `{hit}`), i -> x[i]), ''))[0]")
+    text = F.when(F.col(hit).isNull(), F.col("text")).otherwise(F.concat(F.regexp_extract("text", _LEAD, 0), kept))
     return marked.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

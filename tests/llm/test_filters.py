@@ -260,7 +260,7 @@ def test_decontamination(spark, limit):
     for k in (0, 1, 2, 3, 8):
         texts.append(" ".join(word() for _ in range(60)) + " " + items[k][1].upper() + "!" + " ".join(word() for _ in range(rng.choice([5, 600]))))
         texts.append(items[k][1])
-    docs = docs_of(spark, texts).withColumn("words", F.lit(1)).withColumn("hits", F.lit(1))
+    docs = docs_of(spark, texts).withColumns({c: F.lit(1) for c in ("words", "hits", "row", "key", "found", "__row", "__key")})
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = contaminated(texts, items)
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs, bench, limit).collect()}
@@ -280,8 +280,17 @@ def test_dropping_by_text_with_repeated_and_null_ids(spark, limit):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (r for r in rows if r[1] != item)))
 
 
+def test_texts_are_cut_once(spark):
+    """Words are cut once in the plan of a pass, and not in each lambda over them."""
+    docs = docs_of(spark, ["a b c"])
+    held = decontaminate.WindowSet([("a b c", 1), ("b c", 2)])
+    rows = decontaminate._with_words(docs).select("key", F.size("words").alias("n_words"), F.expr(held.found("words")).alias("found"), "row")
+    for plan in (rows, rows.where("size(found) > 0 and row >= 0")):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_span_removal_of_a_large_benchmark(spark):
-    """Above the limit the spans are found by a shuffle, and the same words are cut as below it."""
+    """The windows of a benchmark above the limit are looked up in several passes, and the same words are cut."""
     item = " ".join(f"test{i}" for i in range(20))
     rows = [(1, f"  Keep, this. {item.upper()}! And this?"), (1, f"{item} twice {item}"), (None, f"No id. {item}"), (None, "no hit"), (2, None), (3, item), (3, item)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
