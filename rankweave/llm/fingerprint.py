@@ -1,11 +1,10 @@
 """I-Match document fingerprints.
 
-The lexicon holds the terms whose document frequency lies in a band (idf between ln(1/HIGH) and ln(1/LOW)). Frequencies are
-exact: a term in at least LOW of all documents is in at least LOW of the documents of some partition, so a first pass names the terms that
-are frequent in a partition, and a second counts those over all documents. At most (mean distinct terms of a document) / LOW terms can
-be in the band, whatever the corpus's size; that is the bound on what is broadcast.
+The lexicon holds the terms whose document frequency lies in a band (idf between ln(1/HIGH) and ln(1/LOW)). Frequencies are exact: each task counts its
+documents by term, and a shuffle sums the counts. At most (mean distinct terms of a document) / LOW terms can be in the band, whatever the corpus's size; that is
+the bound on what is collected and broadcast.
 
-A fingerprint hashes the sorted distinct lexicon terms of a text once for each of SUBSETS random parts of the lexicon. The parts
+A fingerprint hashes the sorted distinct lexicon terms of a text once for each of SUBSETS random parts of the lexicon (a sum of the terms' numbers in that part). The parts
 come in levels of falling share (RATES), so that short and long texts alike have parts in which few of their terms fall: there a partly edited text still agrees. Each part gives four
 hex digits, 0000 where no term falls in it; a text without lexicon terms has a mark and a hash of itself instead. The likeness of two fingerprints
 is the share of equal parts among those where either has terms, at the sparsest level with LEAST such parts.
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import bound_batches, plain_words, texts_of
+from rankweave.llm.common import bound_batches, discard, plain_words, release, texts_of, written
 
 LOW, HIGH = 0.01, 0.25
 RATES = (1 / 2, 1 / 8, 1 / 32, 1 / 128)
@@ -35,32 +34,34 @@ SUBSETS = PER_RATE * len(RATES)
 LEAST = 10
 
 
+#: Terms that a task counts before it hands its counts on.
+HELD_TERMS = 500_000
+
+
 class Lexicon:
-    """Terms in sorted order and, for each, the parts of the lexicon that it is in."""
+    """Terms in sorted order and, for each part of the lexicon, their 32-bit numbers there: 0 for terms that aren't in the part."""
 
     def __init__(self, terms: list[bytes]) -> None:
         self.number = {t: i for i, t in enumerate(sorted(terms))}
         seeds = np.array([xxhash.xxh64_intdigest(t) for t in self.number], np.uint64)
-        columns = []
+        self.weights = np.zeros((len(seeds), SUBSETS), np.uint32)
         for k in range(SUBSETS):
             with np.errstate(over="ignore"):
                 x = (seeds ^ np.uint64(xxhash.xxh64_intdigest(b"subset %d" % k))) * np.uint64(0xFF51AFD7ED558CCD)
                 x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-            columns.append((x >> np.uint64(11)).astype(np.float64) / 2**53 < RATES[k // PER_RATE])
-        self.parts = np.stack(columns, 1) if len(seeds) else np.zeros((0, SUBSETS), bool)
+            inside = (x >> np.uint64(40)).astype(np.float64) / 2**24 < RATES[k // PER_RATE]
+            self.weights[inside, k] = (x[inside] & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
     def fingerprint(self, text: str) -> str:
         number = self.number
-        found = sorted({number[w] for w in set(plain_words(text)) & number.keys()})
+        found = sorted([number[w] for w in set(plain_words(text)) & number.keys()])
         if not found:
             return f"-{xxhash.xxh64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
-        ids = np.array(found, "<u4")
-        inside = self.parts[ids]
-        out = []
-        for k in range(SUBSETS):
-            part = ids[inside[:, k]]
-            out.append(f"{xxhash.xxh64_intdigest(part.tobytes()) % 65535 + 1:04x}" if len(part) else "0000")
-        return "".join(out)
+        mine = self.weights[found]
+        sums = mine.sum(0, dtype=np.uint64)
+        sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        digits = np.where(mine.any(0), (sums >> np.uint64(32)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
+        return digits.astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
@@ -84,29 +85,27 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[bytes
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, counts = 0, Counter()
-        for batch in batches:
-            for text in texts_of(batch):
-                n += 1
-                counts.update(set(plain_words(text)))
-        terms = [t for t, c in counts.items() if c >= low * n]
-        yield pa.RecordBatch.from_arrays([pa.array([*terms, None], pa.binary()), pa.array([0] * len(terms) + [n], pa.int64())], names=["term", "n"])
 
-    rows = texts.mapInArrow(named, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in rows if r["term"] is None)
-    candidates = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r["term"]) for r in rows if r["term"] is not None))
+        def out(rows: int) -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.binary()), pa.array([*counts.values(), rows], pa.int64())], names=["term", "n"])
+            counts.clear()
+            return made
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = candidates.value, Counter()
         for batch in batches:
             for text in texts_of(batch):
-                counts.update(wanted & set(plain_words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
-    exact = texts.mapInArrow(counted, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    kept = exact.where((F.col("n") >= low * total) & (F.col("n") <= high * total)).collect()
-    candidates.destroy()
+                n += 1
+                counts.update(set(plain_words(text)))
+            if len(counts) > HELD_TERMS:
+                yield out(0)
+        yield out(n)
+
+    sums = written(texts.mapInArrow(counted, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    total = sums.where("term is null").agg(F.sum("n")).first()[0] or 0
+    kept = sums.where(F.col("term").isNotNull() & (F.col("n") >= low * total) & (F.col("n") <= high * total)).select("term").collect()
+    discard(sums)
+    release(docs.sparkSession)
     return sorted(bytes(r["term"]) for r in kept)
 
 
