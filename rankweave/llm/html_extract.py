@@ -6,7 +6,8 @@ notices, menus, sidebars or reader comments). Pass one classifies each block by
 density as good, bad, short or near-good. Pass two gives short and near-good blocks the label of
 their nearest decided neighbours: between two neighbours of one label, that label; between different ones, the nearer one's
 (a tie goes to bad, unless the block is near-good; an undecided heading goes with the block after it). Where a page names its main element (article or main),
-blocks outside it are left out, and inside it length or stop words alone make a block good.
+blocks outside it are left out, and inside it length or stop words alone make a block good. A class or id counts by whole words; if every block of a page is in containers
+that only a class or id leaves out (reader comments aside), their good blocks count.
 
 Defined results: null or empty html, or a page without main text, gives an empty text and n_chars 0. Character
 references are decoded once. White space inside a block becomes one space; blocks are joined in page order by one space. Unclosed and
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,12 +37,17 @@ CLOSED_BY = {
     "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "option": frozenset({"option"}),
 }
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side|widgets?|related|recommended|share|sharing|social|"
-    r"comments?|commentlist|respond|replies|reply|disqus|footer|foot|header|masthead|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip)(?:$|[\s_\d-])",
-    re.I,
+# Parts of a class or id that name what is never main text, wherever they stand in it, and those that do so only at its end.
+DROPPED_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored cookie cookies consent gdpr popup modal overlay nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs sidebar comment comments commentlist disqus footer masthead newsletter pagination pager toolbar".split()
 )
+DROPPED_ENDS = frozenset(
+    "promo promos promotion promotions banner notice notices side widget widgets related recommended share sharing social respond replies reply foot header subscribe signup login search skip".split()
+)
+# Those of them that name reader comments.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+_PARTS = re.compile(r"[a-z]+")
 # Function words by which running text is told from lists of names.
 STOP_WORDS = frozenset(
     "the of and to in is that it for was on are as with be by this from at or an a he not but have they which you "
@@ -56,38 +63,59 @@ LINKS_HIGH = 0.33
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$|(?=<))", re.S
 )
-_ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
+_ATTR = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 
 
 class Block:
-    __slots__ = ("heading", "linked", "main", "parts", "wanted")
+    __slots__ = ("heading", "linked", "main", "named", "parts", "wanted")
 
-    def __init__(self, wanted: bool, main: bool, heading: bool) -> None:
+    def __init__(self, wanted: bool, named: bool, main: bool, heading: bool) -> None:
         self.parts: list[str] = []
         self.linked = 0
-        self.wanted, self.main, self.heading = wanted, main, heading
+        self.wanted, self.named, self.main, self.heading = wanted, named, main, heading
+
+
+#: How a container is left out: not at all, by its class or id alone, or for certain.
+KEPT, BY_NAME, CERTAIN = range(3)
+
+
+def _by_name(names: str) -> int:
+    """How a class or id leaves its element out."""
+    found = KEPT
+    for name in names.lower().split():
+        parts = _PARTS.findall(name)
+        if not parts:
+            continue
+        if not COMMENTS.isdisjoint(parts[-1:]) or parts[0] in ("comment", "comments", "disqus"):
+            return CERTAIN
+        if parts[-1] in DROPPED_ENDS or not DROPPED_PARTS.isdisjoint(parts):
+            found = BY_NAME
+    return found
 
 
-def _dropped(name: str, attributes: str) -> bool:
+def _dropped(name: str, attributes: str) -> int:
     if name in DROPPED_TAGS:
-        return True
+        return CERTAIN
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)}
+        return KEPT
     if name in ("article", "main", "body", "html"):
-        return False
-    if DROPPED_NAMES.search(found.get("class", "")) or DROPPED_NAMES.search(found.get("id", "")):
-        return True
+        return KEPT
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)}
     if found.get("role", "").lower() in DROPPED_ROLES or found.get("aria-hidden", "").lower() == "true":
-        return True
-    return "display:none" in found.get("style", "").replace(" ", "").lower() or bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", _ATTR.sub(" ", attributes)))
+        return CERTAIN
+    if "display:none" in found.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|$|/)", _ATTR.sub(" ", attributes)):
+        return CERTAIN
+    return max(_by_name(found.get("class", "")), _by_name(found.get("id", "")))
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in page order."""
+    """The page's text blocks in page order, in time linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, drops what it holds, is the main element
-    drops = mains = links = headings = 0
+    stack: list[tuple[str, int, bool]] = []  # name, how it is left out, is the main element
+    open_names: Counter[str] = Counter()
+    open_blocks: list[int] = []  # places of block elements in the stack
+    left_out = [0, 0, 0]  # open elements by how they are left out
+    mains = links = headings = 0
     block: Block | None = None
     at = 0
 
@@ -96,16 +124,19 @@ def blocks(page: str) -> list[Block]:
         if not piece:
             return
         if block is None:
-            block = Block(drops == 0, mains > 0, headings > 0)
+            block = Block(not left_out[BY_NAME] and not left_out[CERTAIN], not left_out[CERTAIN], mains > 0, headings > 0)
             out.append(block)
         block.parts.append(piece)
         if links:
             block.linked += len(piece.strip())
 
     def pop() -> None:
-        nonlocal drops, mains, links, headings
-        name, dropping, main = stack.pop()
-        drops -= dropping
+        nonlocal mains, links, headings
+        name, how, main = stack.pop()
+        open_names[name] -= 1
+        if open_blocks and open_blocks[-1] == len(stack):
+            open_blocks.pop()
+        left_out[how] -= 1
         mains -= main
         links -= name == "a"
         headings -= name in HEADINGS
@@ -124,7 +155,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name in BLOCK_TAGS:
                 block = None
-            if any(x[0] == name for x in stack):
+            if open_names[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -133,27 +164,27 @@ def blocks(page: str) -> list[Block]:
             block = None
         while stack and name in CLOSED_BY.get(stack[-1][0], ()):
             pop()
-        if name == "p" or name in HEADINGS:  # an open inline element doesn't reach over a new paragraph
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in BLOCK_TAGS:
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                    break
+        if (name == "p" or name in HEADINGS) and open_blocks and stack[open_blocks[-1]][0] == "p":
+            k = open_blocks[-1]  # an open inline element doesn't reach over a new paragraph
+            while len(stack) > k:
+                pop()
         if name in RAW_TAGS:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if not m[3].rstrip().endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = close.end() if close else end
             continue
         if name in VOID_TAGS:
             continue
-        drop, main = _dropped(name, m[3]), name in ("article", "main")
-        if main and any(x[2] for x in stack) and re.search(r"comment", m[3], re.I):
-            drop = True
-        if name == "header" and mains and not drops:
-            drop = False  # the main element's own header has its title
-        stack.append((name, drop, main))
-        drops += drop
+        how, main = _dropped(name, m[3]), name in ("article", "main")
+        if main and mains and re.search(r"comment", m[3], re.I):
+            how = CERTAIN
+        if name == "header" and mains and not left_out[BY_NAME] and not left_out[CERTAIN]:
+            how = KEPT  # the main element's own header has its title
+        if name in BLOCK_TAGS:
+            open_blocks.append(len(stack))
+        stack.append((name, how, main))
+        open_names[name] += 1
+        left_out[how] += 1
         mains += main
         links += name == "a"
         headings += name in HEADINGS
@@ -208,6 +239,9 @@ def second_pass(found: list[tuple[Block, str]], labels: list[str], edge: str) ->
 def extract(page: str) -> str:
     """The main text of a page."""
     found = [(b, s) for b in blocks(page) if (s := _squeezed(b))]
+    if not any(b.wanted for b, _ in found):  # a name alone doesn't make all running text of a page something else
+        for b, s in found:
+            b.wanted = b.named and first_pass(b, s) == "good"
     main_found = any(b.main and b.wanted for b, _ in found)
     # neighbours are running text: not what stands in dropped containers, or outside a main element
     found = [(b, s) for b, s in found if b.wanted and (b.main or not main_found)]
