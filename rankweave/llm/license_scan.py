@@ -135,7 +135,7 @@ class Automaton:
         return 0
 
 
-def scan_words(words: list[bytes], automata: dict[str, Automaton], by_start: dict[bytes, list[str]]) -> tuple[int, int | None, int | None, set[str], set[str]]:
+def scan_words(words: list[bytes], automata: dict[str, Automaton], by_start: dict[bytes | None, list[str]]) -> tuple[int, int | None, int | None, set[str], set[str]]:
     """Base places, first and last base start, base labels, labels of accepted templates."""
     at: dict[bytes, list[int]] = defaultdict(list)
     for i, w in enumerate(words):
@@ -149,6 +149,8 @@ def scan_words(words: list[bytes], automata: dict[str, Automaton], by_start: dic
                 places.append(i)
                 base.add(label)
     accepted = {label for w, where in at.items() for label in by_start.get(w, ()) if any(automata[label].match(words, i) for i in where)}
+    # a template that starts with a replaceable region may start anywhere
+    accepted |= {label for label in by_start.get(ANY, ()) if label not in accepted and any(automata[label].match(words, i) for i in range(len(words)))}
     return len(places), min(places, default=None), max(places, default=None), base, accepted
 
 
@@ -168,7 +170,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = {label: Automaton(t) for label, t in templates.items()}
-        by_start: dict[bytes, list[str]] = defaultdict(list)
+        by_start: dict[bytes | None, list[str]] = defaultdict(list)
         for label, a in automata.items():
             for w in a.starts():
                 by_start[w].append(label)
