@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import bound_batches, row_key, texts_of, written
+from rankweave.llm.common import bound_batches, release, row_key, texts_of, unused, written
 from rankweave.llm.similar import Powers, mixed
 
 LENGTH = 200
@@ -36,7 +36,9 @@ HOT = 6_000
 #: Bytes of segments in a task, about.
 TASK_BYTES = 2 << 20
 
-_PLACE_BITS = np.uint64(28)
+#: Strings of a document whose anchors are searched at a time: longer documents are taken in ranges, which cuts a segment in two at most at each border.
+RANGE = 1 << 24
+
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -74,8 +76,11 @@ def segments(raw: np.ndarray, powers: Powers, length: int = LENGTH, q: int = Q)
     """Of a document's segments: anchor bucket, hash of the whole segment, first start and number of its strings."""
     if len(raw) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(raw) > int(_PLACE):
-        raise ValueError("a document of 256 MB or more must be split first")
+    if len(raw) - length + 1 > RANGE:
+        made = [segments(raw[a : a + RANGE + length - 1], powers, length, q) for a in range(0, len(raw) - length + 1, RANGE)]
+        for k, x in enumerate(made):
+            x[2][:] += k * RANGE
+        return tuple(np.concatenate(x) for x in zip(*made, strict=True))
     spans = Spans(raw, powers)
     grams = spans.fixed(q)
     keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -284,12 +289,14 @@ def repeated_strings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     compared = written(_compare(_keyed(docs).mapInArrow(_cut, _SEGMENTS_DDL)), "compared")
+    release(spark)
     repeated = compared.where(F.col("kind") == REPEATED).select("row_key", "lo", "n")
     mixed_rows = compared.where(F.col("kind") == MIXED).select("bucket", "row_key", "lo", "n")
     counts = mixed_rows.groupBy("bucket").agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select("bucket", F.lit(True).alias("hot"))
     counts = written(counts, "hot")
     wanted = mixed_rows.join(counts, "bucket", "left").groupBy("row_key").agg(F.collect_list(F.struct("bucket", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     pieces = written(_keyed(docs).join(wanted, "row_key").select("row_key", "text", "wanted").mapInArrow(_fetched, _PIECES_DDL), "pieces")
+    release(spark)
     size = pieces.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     tasks = max(1, -(-size // TASK_BYTES))
     refined = pieces.where("not hot").withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInPandas(_refined, "row_key long, lo int, n int")
@@ -330,16 +337,20 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
 
-def _with_spans(docs: DataFrame, hot: int) -> DataFrame:
-    found = written(repeated_strings(docs, hot).groupBy("row_key").agg(F.collect_set(F.struct("lo", "n")).alias("__spans")), "spans")
-    keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(found.withColumnRenamed("row_key", "__key"), F.col("__row") == F.col("__key"), "left")
+def _with_spans(docs: DataFrame, hot: int) -> tuple[DataFrame, str]:
+    """docs with a column of their repeated spans, and that column's name."""
+    row, key, spans = (unused(docs, c) for c in ("row", "key", "spans"))
+    found = written(repeated_strings(docs, hot).groupBy(F.col("row_key").alias(key)).agg(F.collect_set(F.struct("lo", "n")).alias(spans)), "spans")
+    release(docs.sparkSession)
+    keyed = docs.withColumn(row, row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(found, F.col(row) == F.col(key), "left"), spans
 
 
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(own, hot).select("doc_id", "text", "__spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined, spans = _with_spans(own, hot)
+    return joined.select("doc_id", "text", spans).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -349,7 +360,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else _kept(x.encode("utf-8", "surrogatepass"), None if s is None else list(s))[0].decode("utf-8", "replace") for x, s in zip(text, spans, strict=True)])
 
-    return _with_spans(docs, hot).withColumn("text", left("text", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined, spans = _with_spans(docs, hot)
+    return joined.withColumn("text", left("text", spans)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The rows of removed() in DuckDB SQL, over hexadecimal text.
