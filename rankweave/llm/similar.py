@@ -365,7 +365,7 @@ def resolve(members: DataFrame, shingles: Callable[[str, Powers], np.ndarray], p
         return decided(placed.select(task.alias("task"), "group", "node", "text", "block", F.col("block").alias("a"), F.col("block").alias("b"))), sizes
 
     weight = members.agg(F.sum("weight")).first()[0] or 0
-    shares = 1 + 4 * weight // BLOCK_SHINGLES
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * weight // BLOCK_SHINGLES)
     edges, sizes = within(members, shares)
     release(spark)
     whole = components(edges)

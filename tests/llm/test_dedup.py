@@ -304,6 +304,18 @@ def test_suffixes_of_repeated_rows_and_text(spark):
     assert left.columns == rows.columns and sorted(len(r["text"]) for r in left.collect())[:2] == [0, 0]
 
 
+def test_long_documents_are_cut_in_ranges(spark, monkeypatch):
+    """A document of many ranges loses the same bytes as in one."""
+    rng = random.Random(19)
+    part = sentence(rng, 120, 10**6)
+    texts = [sentence(rng, 300, 10**6) + part + sentence(rng, 300, 10**6), part[37:500], sentence(rng, 50, 10**6), "ab " * 900]
+    monkeypatch.setattr(suffix_dedup, "RANGE", 64)
+    docs = docs_of(spark, texts).withColumns({c: F.lit(1) for c in ("row", "key", "spans", "lo", "__spans")})
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removed(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == suffix_brute(texts)
+    assert suffix_dedup.remove_repeats(docs).columns == docs.columns
+
+
 def test_refinement_against_brute_force():
     rng = random.Random(11)
     base = bytes(rng.choices(b"ab", k=800))

@@ -1,9 +1,12 @@
 """Quality, licences, fingerprints, HTML, WARC and decontamination: brute force, round trips and hard inputs."""
 
+import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -129,6 +132,12 @@ def test_automaton_against_regular_expression():
         license_scan.Automaton("<<optional>>a<</optional>>")
 
 
+def test_template_that_starts_with_a_replaceable_region(spark):
+    docs = docs_of(spark, ["xx foo bar", "foo bar", "one two foo bar", None, ""]).withColumns({c: F.lit(1) for c in ("words", "labels", "score")})
+    got = [r["labels"] for r in license_scan.scan(docs, {"made": "<<any:1-2>> foo bar"}).orderBy("doc_id").collect()]
+    assert got == ["made", "", "made", "", ""]
+
+
 # fingerprints
 
 
@@ -154,6 +163,27 @@ def test_fingerprints(spark):
     assert alone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_fingerprint_by_definition():
+    """Each part's digits depend on the text's terms in that part and nothing else."""
+    rng = random.Random(41)
+    book = fingerprint.Lexicon([b"t%d" % i for i in range(300)])
+    texts = [" ".join(f"t{rng.randint(0, 350)}" for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    seen = defaultdict(set)
+    for t in texts:
+        own = {w.encode() for w in t.split()} & book.number.keys()
+        digits = book.fingerprint(t)
+        assert digits == book.fingerprint(" ".join(sorted(t.split(), reverse=True)) + " unknown") or not own
+        for k in range(fingerprint.SUBSETS if own else 0):
+            part = frozenset(w for w in own if book.weights[book.number[w], k])
+            seen[k].add((part, digits[4 * k : 4 * k + 4]))
+            assert (digits[4 * k : 4 * k + 4] == "0000") == (not part)
+    clashes = sum(len(x) - len({d for _, d in x}) for x in seen.values())
+    assert all(len(x) == len({p for p, _ in x}) for x in seen.values()) and clashes < 20
+    for k, rate in enumerate(fingerprint.RATES):
+        share = (book.weights[:, k * fingerprint.PER_RATE : (k + 1) * fingerprint.PER_RATE] > 0).mean()
+        assert abs(share - rate) < 0.25 * rate + 0.005
+
+
 def test_lexicon_is_exact(spark):
     texts = [f"common w{i % 7} rare{i} {'half' if i % 2 else ''}" for i in range(60)]
     got = fingerprint.lexicon(docs_of(spark, texts).repartition(7), 0.1, 0.6)
@@ -177,6 +207,68 @@ def test_html_rules():
     assert html_extract.extract("") == "" and html_extract.extract("<nav><a>x</a></nav>") == ""
     assert html_extract.extract("<article><p>short</p></article>") == "short"
     assert html_extract.extract("<<<a<p" * 2000 + "<!-- open") is not None
+    for name in ("side-story", "share-content related", "widget"):
+        assert html_extract.extract(f"<div class='{name}'><p>{text}</div>") == " ".join(text.split())
+    for name in ("comments", "comment-list", "reader-replies"):
+        assert html_extract.extract(f"<div class='{name}'><p>{text}</div>") == ""
+
+
+def test_html_blocks_against_brute_force():
+    """Pages of plain blocks: both passes by their definition, one block at a time."""
+    rng = random.Random(31)
+    stops = ["the", "of", "and", "to", "in"]
+
+    def words(n, share):
+        return " ".join(rng.choice(stops) if rng.random() < share else f"noun{rng.randint(0, 99)}" for _ in range(n))
+
+    for _ in range(300):
+        rows = []
+        for _ in range(rng.randint(1, 12)):
+            kind = rng.choice(["p", "p", "p", "h2", "nav", "li"])
+            plain, link = words(rng.randint(1, 60), rng.choice([0, 0.15, 0.5])), words(rng.randint(1, 12), 0) if rng.random() < 0.3 else ""
+            rows.append((kind, plain, link))
+        page = "".join(f"<{k}>{a}" + (f" <a href='x'>{b}</a>" if b else "") + f"</{k}>" for k, a, b in rows)
+        shown = [(k, f"{a} {b}" if b else a, len(b)) for k, a, b in rows if k != "nav"]
+        labels = []
+        for _, s, linked in shown:
+            density = sum(w in html_extract.STOP_WORDS for w in s.split()) / len(s.split())
+            if linked > 0.33 * len(s):
+                labels.append("bad")
+            elif len(s) < 70:
+                labels.append("bad" if linked else "short")
+            elif density >= 0.2:
+                labels.append("good" if len(s) > 200 else "near")
+            elif density >= 0.12:
+                labels.append("near")
+            else:
+                labels.append("good" if len(s) > 400 else "short")
+        if "good" not in labels:
+            labels = ["good" if x == "near" else x for x in labels]
+        decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
+
+        def kept(i):
+            if labels[i] in ("good", "bad"):  # noqa: B023
+                return labels[i] == "good"  # noqa: B023
+            left, right = [j for j in decided if j < i], [j for j in decided if j > i]  # noqa: B023
+            sides = [labels[j] for j in (left[-1:] + right[:1])] or ["bad"]  # noqa: B023
+            if len(set(sides)) == 1:
+                return sides[0] == "good"
+            if labels[i] == "near":  # noqa: B023
+                return True
+            if shown[i][0] == "h2":  # noqa: B023
+                return kept(i + 1)  # noqa: B023
+            a, b = i - left[-1], right[0] - i
+            return a != b and (sides[0] if a < b else sides[1]) == "good"
+
+        want = " ".join(s for i, (_, s, _) in enumerate(shown) if kept(i))
+        assert html_extract.extract(page) == want, page
+
+
+def test_html_takes_time_in_proportion():
+    for page in ("<b>" * 40_000 + "x" + "</i>" * 40_000, "<b>" * 20_000 + "<p>x" * 20_000, "<svg/>" * 40_000, "<a " + "a" * 200_000 + ">", "<div class='" + "x " * 50_000 + "'>y"):
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 5
 
 
 def test_html_of_a_table(spark):
@@ -229,6 +321,30 @@ def test_warc_files(spark, tmp_path):
     assert warc.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_warc_files_as_crawlers_write_them(spark, tmp_path):
+    """Ids of the form urn:uuid, ISO 8601 dates, gzip members, a bad length and a broken member."""
+    one = warc.write_record(1, "http://a.org/", 5, "response", {"ETag": '"x"', "etag": '"w"'}, "hello").replace(b"<urn:record:1>", b"<urn:uuid:0a1b2c3d-0000-4000-8000-00000000abcd>").replace(b"WARC-Date: 5", b"WARC-Date: 2024-05-01T10:00:00Z")
+    two = warc.write_record(2, "http://a.org", 9, "revisit", {"ETag": 'W/"x"'}, None).replace(b"WARC-Date: 9", b"WARC-Date: 2024-05-01T10:00:00.250000Z")
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(bad) + gzip.compress(two) + gzip.compress(one)[:40])
+    (tmp_path / "b.warc").write_bytes(bad + two)
+    records = warc.parse_files(spark.read.format("binaryFile").load(str(tmp_path / "*.warc*"))).collect()
+    times = sorted(r["ts"] for r in records)
+    assert len(records) == 3 and all(r["record_id"] is not None for r in records) and times[1] - times[0] == 250_000 and times[1] == times[2]
+    done = warc.resolve_revisits(spark.createDataFrame(records, warc.RECORDS_DDL)).collect()
+    assert [r["status"] for r in done] == ["resolved"] * 2 and all(r["headers"]["etag"] == 'W/"x"' for r in done)
+
+
+def test_an_outlier_in_time_leaves_the_slices_even(spark):
+    times = [*range(1000), 10**15, None]
+    rows = spark.createDataFrame([(t,) for t in times], "ts long")
+    cuts = sorted(set(rows.select(F.percentile_approx("ts", [i / 8 for i in range(1, 8)], 100)).first()[0]))
+    counts = Counter(r[1] for r in rows.select("ts", warc._cuts_up_to(F.col("ts"), cuts)).collect())
+    assert counts[None] == 1 and len(counts) == 9 and max(counts.values()) < 140
+    got = {r[0]: r[1] for r in rows.select("ts", warc._cuts_up_to(F.col("ts"), cuts)).collect()}
+    assert all(got[t] == sum(c <= t for c in cuts) for t in times if t is not None)
+
+
 # decontamination
 
 
