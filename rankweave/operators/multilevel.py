@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators.null import _spread, random_hits, rng_of, scores_of_sets
+from rankweave.operators.null import random_hits, rng_of, scores_of_sets, shared
 
 SCORE_TYPES = ("two_sided_abs", "one_sided_signed")
 MAX_LEVELS = 2000
@@ -126,13 +126,13 @@ def batched(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed
     metric = F.abs("es")
     sized = results.withColumn("__bin", size_key(F.col("size"), bin_width, F.col("n"))).withColumn("__sign", sign)
     work = sized.groupBy(*keys, "__bin", "__sign").agg(F.max(metric).alias("__target"))
-    work = work.join(weights, keys) if keys else work.crossJoin(F.broadcast(weights))
+    work = shared(work.select(*keys, F.struct(F.col("__bin").alias("size"), F.col("__sign").alias("sign"), F.col("__target").alias("target")).alias("unit")), weights, keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for r in rows.to_dict("records"):
-                w, size, s, target = np.asarray(r["weights"], float), int(r["__bin"]), int(r["__sign"]), float(r["__target"])
+            for r, u in ((r, u) for r in rows.to_dict("records") for u in r["units"]):
+                w, size, s, target = np.asarray(r["weights"], float), int(u["size"]), int(u["sign"]), float(u["target"])
                 unit = [*(r[c] for c in keys), size, s]
                 curve = None
                 if target >= 1e-10 and precheck:
@@ -146,7 +146,7 @@ def batched(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed
             yield pd.DataFrame(out, columns=[*keys, "__bin", "__sign", "thresholds", "log_probs", "populations", "sample_size"])
 
     types = "".join(f"{c} {results.schema[c].dataType.simpleString()}, " for c in keys)
-    curves = _spread(work).mapInPandas(run, f"{types}__bin int, __sign int, {CURVE_DDL}")
+    curves = work.mapInPandas(run, f"{types}__bin int, __sign int, {CURVE_DDL}")
     curves = curves.select(*keys, "__bin", "__sign", F.struct("thresholds", "log_probs", "populations", "sample_size").alias("__curve"))
     met = sized.join(curves, [*keys, "__bin", "__sign"], "left")
     p, err = query_curve(F.col("__curve"), metric, eps)
@@ -191,19 +191,18 @@ def per_set(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed
     """results (keys, pathway, size, es) with pval, log2err, n_levels and debug (thresholds, acceptance rates, level), a chain for each set."""
     two_sided = _checked(sample_size, score_type)
     keys = keys or []
-    work = results.select(*keys, "pathway", "size", "es")
-    work = work.join(weights, keys) if keys else work.crossJoin(F.broadcast(weights))
+    work = shared(results.select(*keys, F.struct("pathway", "size", "es").alias("unit")), weights, keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for r in rows.to_dict("records"):
+            for r, u in ((r, u) for r in rows.to_dict("records") for u in r["units"]):
                 w = np.asarray(r["weights"], float)
-                unit = [*(r[c] for c in keys), r["pathway"]]
-                p, err, thresholds, rates, levels = chain_p(w, int(r["size"]), float(r["es"]), sample_size, rng_of(seed, "chain", *unit), eps, two_sided)
+                unit = [*(r[c] for c in keys), u["pathway"]]
+                p, err, thresholds, rates, levels = chain_p(w, int(u["size"]), float(u["es"]), sample_size, rng_of(seed, "chain", *unit), eps, two_sided)
                 out.append((*unit, p, err, levels, {"thresholds": thresholds, "accept_rates": rates, "current_level": levels}))
             yield pd.DataFrame(out, columns=[*keys, "pathway", "pval", "log2err", "n_levels", "debug"])
 
     types = "".join(f"{c} {results.schema[c].dataType.simpleString()}, " for c in keys)
-    found = _spread(work).mapInPandas(run, f"{types}pathway string, pval double, log2err double, n_levels int, debug struct<thresholds: array<double>, accept_rates: array<double>, current_level: int>")
+    found = work.mapInPandas(run, f"{types}pathway string, pval double, log2err double, n_levels int, debug struct<thresholds: array<double>, accept_rates: array<double>, current_level: int>")
     return results.join(found, [*keys, "pathway"])

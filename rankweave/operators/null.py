@@ -60,22 +60,22 @@ def rank_weights(ranks: DataFrame, power: float, keys: list[str]) -> DataFrame:
 def background(sizes: DataFrame, weights: DataFrame, nperm: int = 500, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
     """(keys, size, pos_mean, neg_mean) for each (keys, size): means of the scores >= 0 and < 0 of nperm random sets; 1 and -1 where a side is empty."""
     keys = keys or []
-    work = sizes.join(weights, keys) if keys else sizes.crossJoin(F.broadcast(weights))
+    work = shared(sizes.select(*keys, F.struct("size").alias("unit")), weights, keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for r in rows.itertuples(index=False):
-                row = r._asdict()
-                w, k = np.asarray(row["weights"], float), int(row["size"])
-                rng = rng_of(seed, "background", *[row[c] for c in keys], k)
-                es = np.concatenate([scores_of_sets(w, random_hits(rng, len(w), min(k, len(w)), m)) for m in _chunks(nperm, k)]) if nperm else np.zeros(0)
-                up, down = es[es >= 0], es[es < 0]
-                out.append((*[row[c] for c in keys], k, float(up.mean()) if len(up) else 1.0, float(down.mean()) if len(down) else -1.0))
+            for row in rows.to_dict("records"):
+                w = np.asarray(row["weights"], float)
+                for k in sorted(int(u["size"]) for u in row["units"]):
+                    rng = rng_of(seed, "background", *[row[c] for c in keys], k)
+                    es = np.concatenate([scores_of_sets(w, random_hits(rng, len(w), min(k, len(w)), m)) for m in _chunks(nperm, k)]) if nperm else np.zeros(0)
+                    up, down = es[es >= 0], es[es < 0]
+                    out.append((*[row[c] for c in keys], k, float(up.mean()) if len(up) else 1.0, float(down.mean()) if len(down) else -1.0))
             yield pd.DataFrame(out, columns=[*keys, "size", "pos_mean", "neg_mean"])
 
     types = ", ".join(f"{c} {sizes.schema[c].dataType.simpleString()}" for c in keys)
-    return _spread(work).mapInPandas(run, f"{types + ', ' if types else ''}size int, pos_mean double, neg_mean double")
+    return work.mapInPandas(run, f"{types + ', ' if types else ''}size int, pos_mean double, neg_mean double")
 
 
 def _chunks(total: int, k: int, cells: int = 2_000_000) -> Iterator[int]:
@@ -85,10 +85,19 @@ def _chunks(total: int, k: int, cells: int = 2_000_000) -> Iterator[int]:
         yield min(part, total - at)
 
 
-def _spread(work: DataFrame) -> DataFrame:
-    """Units of work over all tasks: few rows of much work each."""
-    spark = work.sparkSession
-    return work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+def shared(units: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, units, weights): the units of work (keys, unit) of a list with its weights, dealt over all tasks.
+
+    A list of many is one row with all its units, so its weights travel once; a single list is one row for each of a bounded number of shares of its units.
+    """
+    spark = units.sparkSession
+    # lists are long rows: batches to Python are bounded by bytes
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if keys:
+        return units.groupBy(*keys).agg(F.collect_list("unit").alias("units")).join(weights, keys).repartition(tasks)
+    dealt = units.groupBy(F.pmod(F.xxhash64("unit"), F.lit(2 * tasks)).alias("share")).agg(F.collect_list("unit").alias("units"))
+    return dealt.crossJoin(F.broadcast(weights)).drop("share").repartition(tasks)
 
 
 def hashed_background(ranks: DataFrame, sizes: DataFrame, nperm: int = 100, seed: int = 42, power: float = 1.0) -> DataFrame:
@@ -99,8 +108,13 @@ def hashed_background(ranks: DataFrame, sizes: DataFrame, nperm: int = 100, seed
     perms = ranks.select("gene", "rnk", "score", "n", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))).alias("perm"))
     order = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), "gene").cast("binary")), "gene")
     drawn = perms.withColumn("place", F.row_number().over(order))
-    many = drawn.join(F.broadcast(sizes.select("size").distinct()), F.col("place") <= F.col("size"))
-    named = many.select("perm", F.col("size").alias("k"), F.col("size").cast("string").alias("pathway"), "rnk", "score", "n")
+    wanted = sorted(r[0] for r in sizes.select("size").distinct().collect())
+    if not wanted:
+        return drawn.where("false").select("perm", F.lit(0).alias("size"), F.lit(0.0).alias("es"))
+    # places beyond the largest size are in no set; the others go to the sizes that reach them
+    held = F.filter(F.array(*[F.lit(int(k)) for k in wanted]), lambda k: k >= F.col("place"))
+    many = drawn.where(F.col("place") <= wanted[-1]).select("perm", F.explode(held).alias("size"), "rnk", "score", "n")
+    named = many.select("perm", F.col("size").cast("string").alias("pathway"), "rnk", "score", "n")
     return enrichment(named, power, ["perm"]).select("perm", "size", "es")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.operators.ordering import Ranges
+
 DEDUP = ("max_abs", "first", "none")
 TIES = ("gene", "seeded")
 
@@ -33,15 +35,19 @@ def deduplicated(scores: DataFrame, mode: str = "max_abs", keys: list[str] | Non
     return scores.groupBy(*by).agg(best.alias("score"))
 
 
-def ranked(scores: DataFrame, keys: list[str] | None = None, tie: str = "gene", seed: int = 42) -> DataFrame:
+def ranked(scores: DataFrame, keys: list[str] | None = None, tie: str = "gene", seed: int = 42, spread: bool = False) -> DataFrame:
     """Scores with rnk (from 0, by falling score) and n (genes in the list); non-finite scores are dropped first.
 
-    Ties go by gene, or by a seeded hash of it. Lists of different keys are ranked side by side.
+    Ties go by gene, or by a seeded hash of it. Lists of different keys are ranked side by side; spread ranks one list, of any length, over all tasks.
     """
     if tie not in TIES:
         raise ValueError(f"tie is one of {TIES}")
     keys = keys or []
     second = F.col("gene") if tie == "gene" else F.md5(F.concat_ws("|", F.lit(str(seed)), "gene").cast("binary"))
+    kept = scores.where(finite(F.col("score")))
+    if spread and not keys:
+        ranges = Ranges(kept, [-F.col("score"), second])
+        return ranges.placed.withColumn("rnk", ranges.places().cast("int")).withColumn("n", F.lit(ranges.total).cast("long")).drop("__range")
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     kept = scores.where(finite(F.col("score")))
     return kept.withColumn("rnk", F.row_number().over(by.orderBy(F.desc("score"), second)) - 1).withColumn("n", F.count("*").over(by))
@@ -66,6 +72,28 @@ def lineage_filter(cells: DataFrame, column: str | None, keyword: str | None) ->
     return cells.where(F.coalesce(F.col(column).cast("string").rlike(f"(?i){keyword}"), F.lit(False)))
 
 
+def upper_names(rows: DataFrame, column: str = "gene") -> DataFrame:
+    """rows with a name column in upper case, so that names of sources with other habits meet."""
+    return rows.withColumn(column, F.upper(column))
+
+
+def chosen(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Rows whose column, as text, is one of the values."""
+    return rows.where(F.col(column).cast("string").isin(*values))
+
+
+def named_pathways(results: DataFrame, parts: list[str], fallback: int = 2) -> DataFrame:
+    """Results of the pathways whose name holds one of the parts, whatever its case; if none does, of the `fallback` pathways of the smallest p."""
+    holds = F.lit(False)
+    for part in parts:
+        holds = holds | F.contains(F.lower("pathway"), F.lit(part.lower()))
+    best = results.groupBy("pathway").agg(F.min("pval").alias("__p"), F.max(holds.cast("int")).alias("__holds"))
+    any_holds = best.agg(F.max("__holds").alias("__any"))
+    first = best.orderBy("__p", "pathway").limit(fallback)
+    wanted = best.where("__holds = 1").select("pathway").unionByName(first.join(F.broadcast(any_holds), F.col("__any") == 0).select("pathway"))
+    return results.join(wanted, "pathway", "left_semi")
+
+
 def display_name(name: Column) -> Column:
     """A set's name without its collection's prefix."""
     for prefix in ("HALLMARK_", "KEGG_", "REACTOME_"):

@@ -5,31 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.operators.ordering import Ranges
 from rankweave.operators.prep import finite
 
 
 def positions(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
-    """rows with their place (from 0) in the global order, without gathering them: places inside sorted ranges plus the sizes of the ranges before.
-
-    The order columns must tell rows apart. The sizes, one for each range, are all that reaches the driver.
-    """
-    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ends = rows.select(F.percentile_approx(F.col(order[0]).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    cuts = sorted(set(ends))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.coalesce(F.col(order[0]).cast("double") >= c, F.lit(False)).cast("int")
-    placed = rows.withColumn("__range", bucket)
-    sizes = {r[0]: r[1] for r in placed.groupBy("__range").count().collect()}
-    before, total = {}, 0
-    for k in sorted(sizes):
-        before[k] = total
-        total += sizes[k]
-    offset = F.lit(0).cast("long")
-    for k, v in before.items():
-        offset = F.when(F.col("__range") == k, F.lit(v)).otherwise(offset)
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return placed.withColumn(name, own + offset).drop("__range")
+    """rows with their place (from 0) in the global order of columns that tell rows apart."""
+    ranges = Ranges(rows, [F.col(c) for c in order])
+    return ranges.placed.withColumn(name, ranges.places()).drop("__range")
 
 
 def ordered_cells(cells: DataFrame, time: str = "pseudotime") -> DataFrame:
@@ -58,8 +41,9 @@ def windows(ordered: DataFrame, size: int, step: int, n: int | None = None) -> D
 
 
 def window_times(ordered: DataFrame, size: int, step: int, n: int | None = None) -> DataFrame:
-    """(window_id, pt_start, pt_end, pt_mid): first and last time of a window, and the mean of its times."""
-    return windows(ordered, size, step, n).groupBy("window_id").agg(F.min("pseudotime").alias("pt_start"), F.max("pseudotime").alias("pt_end"), F.avg("pseudotime").alias("pt_mid"))
+    """(window_id, pt_start, pt_end, pt_mid): first and last time of a window, and the middle between them."""
+    times = windows(ordered, size, step, n).groupBy("window_id").agg(F.min("pseudotime").alias("pt_start"), F.max("pseudotime").alias("pt_end"))
+    return times.withColumn("pt_mid", (F.col("pt_start") + F.col("pt_end")) / 2)
 
 
 def window_scores(expression: DataFrame, ordered: DataFrame, size: int, step: int, genes: DataFrame | None = None, n: int | None = None) -> DataFrame:

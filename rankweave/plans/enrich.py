@@ -44,9 +44,20 @@ def run_gsea(spark: SparkSession, data, sets: DataFrame | Mapping | str, gene_co
         scores = data.select(F.col(gene_col if isinstance(gene_col, str) else data.columns[gene_col]).cast("string").alias("gene"), F.col(score_col if isinstance(score_col, str) else data.columns[score_col]).cast("double").alias("score"), order_col)
     else:
         scores = sources.scores_of(spark, data, gene_col, score_col)
+    asked = {k: v for k, v in locals().items() if k not in ("spark", "data", "sets", "scores")}
     ranks = prep.ranked(prep.deduplicated(scores, dedup_genes, order=order_col)).persist()
     found = enrich_lists(ranks, sources.catalog(spark, sets), min_size, max_size, sample_size, seed, nperm_nes, gsea_param, eps, score_type, use_batched, bin_width, precheck, calculate_nes)
-    return found.orderBy("pval", "pathway")
+    return _noted(found.orderBy("pval", "pathway"), asked)
+
+
+def _noted(found: DataFrame, params: Mapping) -> DataFrame:
+    """found with the parameters of its run in its columns' metadata, which goes with them into Parquet."""
+    return found.withMetadata("pathway", {"run": {k: str(v) for k, v in params.items()}})
+
+
+def parameters(found: DataFrame) -> dict[str, str]:
+    """The parameters of the run that made a result, by its columns' metadata; none if they aren't there."""
+    return dict(found.schema["pathway"].metadata.get("run", {}))
 
 
 def run_params(spark: SparkSession, **params) -> DataFrame:

@@ -10,11 +10,16 @@ from rankweave.plans.enrich import enrich_lists
 from rankweave.sources import catalog as sources
 
 
-def run_trajectory(spark: SparkSession, expression: DataFrame, cells: DataFrame, sets, lineage_col: str | None = None, lineage_keyword: str | None = None, window_size: int = 500, step: int = 100, out: str | None = None, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, eps: float = 1e-50, nperm_nes: int = 100, pseudotime_key: str = "pseudotime", bin_width: int | None = 10, precheck: bool = True, calculate_nes: bool = True, use_nes_cache: bool = False, gsea_param: float = 1.0) -> DataFrame:
+def run_trajectory(spark: SparkSession, expression: DataFrame, cells: DataFrame, sets, lineage_col: str | None = None, lineage_keyword: str | None = None, window_size: int = 500, step: int = 100, out: str | None = None, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, eps: float = 1e-50, nperm_nes: int = 100, pseudotime_key: str = "pseudotime", bin_width: int | None = 10, precheck: bool = True, calculate_nes: bool = True, use_nes_cache: bool = False, gsea_param: float = 1.0, root_gene: str | None = None) -> DataFrame:
     """Results of every rolling window of cells, all windows in one plan: enrichment columns and window_id, pt_start, pt_end, pt_mid.
 
-    use_nes_cache takes the first window's background for all. out writes the result as Parquet or, by its name, CSV.
+    use_nes_cache takes the first window's background for all. out writes the result as Parquet or, by its name, CSV. root_gene orders the cells anew, from the cell
+    of its largest value; a column of that name is replaced.
     """
+    if root_gene is not None:
+        from rankweave.operators.pseudotime import with_pseudotime
+
+        cells = with_pseudotime(expression, prep.lineage_filter(cells, lineage_col, lineage_keyword).drop(pseudotime_key), pseudotime_key, root_gene=root_gene)
     if pseudotime_key not in cells.columns:
         raise ValueError(f"cells have no column {pseudotime_key}; make one first (see rankweave.operators.pseudotime)")
     kept = prep.lineage_filter(cells, lineage_col, lineage_keyword)
@@ -42,7 +47,7 @@ def run_pipeline(spark: SparkSession, expression: DataFrame, cells: DataFrame, s
     if pseudotime_key not in cells.columns:
         cells = pseudotime.with_pseudotime(expression, cells, pseudotime_key)
     given = {"window_size": window_size, "step": step, "min_size": min_size, "nperm_nes": nperm_nes, "pseudotime_key": pseudotime_key, **params}
-    core = sources.cached(spark, output_dir, given, lambda: run_trajectory(spark, expression, cells, sets, window_size=window_size, step=step, min_size=min_size, nperm_nes=nperm_nes, pseudotime_key=pseudotime_key, **params), force_rerun)
+    core = sources.cached(spark, output_dir, given, lambda: run_trajectory(spark, expression, cells, sets, window_size=window_size, step=step, min_size=min_size, nperm_nes=nperm_nes, pseudotime_key=pseudotime_key, **params), force_rerun, [expression, cells, sources.catalog(spark, sets)])
     smooth = trajectory.smoothed(core)
     pairs = anchors.anchor_pairs(smooth)
     best = pairs.first()

@@ -7,14 +7,18 @@ Revenue is summed as decimals (in the trajectory, as whole numbers of 1/10,000),
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators import adjust, analytics, anchors, enrichment, multilevel, null, prep, trajectory
-from rankweave.plans import enrich
+from rankweave.plans import enrich, plots
 from rankweave.sources import catalog as sources
+from rankweave.sources import synthetic
 
 CUT = "1998-06-01"
 CELLS, STEP = 5000, 2500
@@ -201,12 +205,214 @@ def tail_query(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found.select("pathway", p.alias("pval"), err.alias("log2err")), "pval", "log2err")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rankweave-")
+    return f"{named.rstrip('/')}/rankweave-{uuid.uuid4().hex}"
+
+
 def gmt_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Sets written as GMT text lines in memory and parsed back: members by set."""
+    """Sets written as a GMT file and read back: members by set."""
     wide = sets(spark, d).groupBy("pathway").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
-    line = wide.select(F.concat_ws("\t", "pathway", F.lit("NA"), F.concat_ws("\t", "genes")).alias("value"))
-    f = F.split("value", "\t")
-    return sources.exploded(line.select(f[0].alias("pathway"), F.expr("slice(split(value, '\\t'), 3, size(split(value, '\\t')) - 2)").alias("genes")))
+    path = _folder(spark)
+    sources.write_gmt(wide, path)
+    return sources.catalog(spark, path)
+
+
+def rank_file(spark: SparkSession, d: str) -> DataFrame:
+    """A ranked list written as a file and read back."""
+    path = _folder(spark)
+    sources.write_ranks(scores(spark, d), path)
+    return sources.read_ranks(spark, path)
+
+
+def sinks(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by set written as CSV, TSV and Parquet and read back, one row for each format and set."""
+    found = enrichment.enrichment(met(spark, d)).select(F.col("pathway").alias("Pathway"), "size", F.round("es", 8).alias("P-value"))
+    out = None
+    for fmt in ("csv", "tsv", "parquet"):
+        path = _folder(spark)
+        sources.write_result(found, path, fmt)
+        raw = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").csv(path)
+        rows = raw.toDF(*[c.lower().replace("p-value", "pval") for c in raw.columns]).select(F.lit(fmt).alias("fmt"), "pathway", F.col("size").cast("int").alias("size"), F.col("pval").cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def result_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A cached result is made once for the same parameters and rows, and anew for others: how often it was made, and its rows."""
+    folder, made, out = _folder(spark), [], None
+    for k, low in enumerate((15, 15, 10, 15)):
+        rows = sets(spark, d) if k < 3 else sets(spark, d, "p_type")
+
+        def make(low: int = low, rows: DataFrame = rows) -> DataFrame:
+            made.append(low)
+            return rows.groupBy("pathway").count().where(F.col("count") >= low)
+
+        held = sources.cached(spark, folder, {"low": low}, make, inputs=[rows])
+        step = held.agg(F.lit(k).alias("step"), F.lit(len(made)).alias("made"), F.count("*").alias("n"))
+        out = step if out is None else out.unionByName(step)
+    return out
+
+
+def score_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Scores given by place, by name, as a Series, as a dict and as pandas; nations are the genes."""
+    rows = _table(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("region"))
+    held = {r["n_name"]: float(r["key"]) for r in rows.collect()}
+    frame = pd.DataFrame({"name": list(held), "key": list(held.values())})
+    forms = {"place": (rows, 0, 1), "name": (rows, "n_name", "region"), "series": (pd.Series(held), 0, 1), "dict": (held, 0, 1), "pandas": (frame, "name", "key")}
+    out = None
+    for form, (data, gene, score) in forms.items():
+        part = sources.scores_of(spark, data, gene, score).select(F.lit(form).alias("form"), "gene", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def catalog_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Sets given as a dict, a long and a wide table, all with repeated members and an upper-cased copy of the names."""
+    rows = _table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("pathway"), F.lower("n_name").alias("gene"))
+    named: dict[str, list[str]] = {}
+    for r in rows.collect():
+        named.setdefault(r["pathway"], []).extend([r["gene"], r["gene"]])
+    twice = prep.upper_names(rows.unionByName(rows))
+    wide = twice.groupBy("pathway").agg(F.collect_list("gene").alias("genes"))
+    parts = [("dict", sources.catalog(spark, named)), ("long", sources.catalog(spark, twice)), ("wide", sources.catalog(spark, wide))]
+    out = None
+    for form, part in parts:
+        part = part.select(F.lit(form).alias("form"), "pathway", "gene")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def repeated_genes(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of lists that keep repeated genes: each counts at its last place."""
+    rows = _table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("gene"), F.round(F.col("l_extendedprice") - 30000, 2).cast("double").alias("score"))
+    listed = prep.ranked(prep.deduplicated(rows, "none"), spread=True)
+    place = listed.groupBy("gene").agg(F.max("rnk").alias("rnk"), F.max("n").alias("n"))
+    held = prep.members(sets(spark, d), listed, 15, 5000).groupBy("gene").agg(F.max("rnk").alias("rnk"), F.max("n").alias("n"))
+    return held.join(place, ["gene", "rnk", "n"]).select("gene", "rnk", "n")
+
+
+def positional_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Nations with the columns of another table of as many rows, by place."""
+    rows = _table(spark, d, "nation")
+    other = rows.select((25 - F.col("n_nationkey")).alias("place"), F.concat(F.lit("note "), "n_name").alias("note"))
+    left = rows.select(F.col("n_nationkey").alias("place"), "n_name")
+    return sources.merge_metadata(left, other, positional=True, order="place").select("n_name", "note")
+
+
+def picked_pathways(spark: SparkSession, d: str) -> DataFrame:
+    """Results by name parts, by list, and the two of smallest p where no name fits."""
+    found = enrichment.enrichment(met(spark, d)).select("pathway", _known_p("a").alias("pval"))
+    parts = {"part": prep.named_pathways(found, ["#1", "nobody"]), "list": prep.chosen(found, "pathway", ["Brand#11", "Brand#22"]), "none": prep.named_pathways(found, ["nobody"])}
+    out = None
+    for how, part in parts.items():
+        part = part.select(F.lit(how).alias("how"), "pathway")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def verified(found: DataFrame, keys: list[str] | None = None, eps: float = 1e-50) -> DataFrame:
+    """(keys, pathway, size, es) of results, and whether p is in range and flagged right, padj is its adjustment by definition, and NES has the score's sign."""
+    keys = keys or []
+    ps = F.sort_array(F.collect_list("pval").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))))
+    rows = found.withColumn("ps", ps).withColumn("m", F.size("ps"))
+    least = F.array_min(F.expr("transform(filter(sequence(1, m), i -> ps[i - 1] >= pval), i -> ps[i - 1] * m / i)"))
+    return rows.select(
+        *keys, "pathway", "size", F.round("es", 6).alias("es"), ((F.col("pval") >= eps) & (F.col("pval") <= 1) & (F.col("pval_capped") == (F.col("pval") <= eps))).alias("p_right"),
+        (F.abs(F.col("padj") - F.least(F.lit(1.0), least)) <= 1e-12 * F.col("padj")).alias("padj_right"),
+        (F.col("nes").isNull() | (F.signum("nes") == F.signum("es"))).alias("nes_right"),
+    )
+
+
+def compared(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """verified(), the p-value of hashed permutations, and whether p and NES agree with them within the sampling error of so few."""
+    plain = _gsea(spark, d).select("pathway", F.col("pval").alias("perm_p"), F.col("nes").alias("perm_nes"))
+    met_ = found.join(plain, "pathway")
+    error = F.sqrt(F.greatest(F.col("perm_p") * (1 - F.col("perm_p")), F.lit(0.03)) / PERMS)
+    close = met_.select("pathway", F.round("perm_p", 8).alias("perm_p"), (F.abs(F.col("pval") - F.col("perm_p")) <= 4.5 * error).alias("p_close"), (F.abs(F.col("nes") - F.col("perm_nes")) <= 0.5 * F.abs("perm_nes") + 0.05).alias("nes_close"))
+    return verified(found).join(close, "pathway")
+
+
+def background_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Means of hashed permutations, and whether the sampler's are within the error of so few."""
+    hashed = null.means_of(_hashed(spark, d)[1])
+    both = nes_background(spark, d).select("size", F.col("pos_mean").alias("p"), F.col("neg_mean").alias("n")).join(hashed, "size")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.5 * F.abs(b)
+    return _rounded(both.select("size", "pos_mean", "neg_mean", (near("p", "pos_mean") & near("n", "neg_mean")).alias("close")), "pos_mean", "neg_mean")
+
+
+def runner(spark: SparkSession, d: str) -> DataFrame:
+    """Two lists through one catalog with the first one's background for both: scores, and whether the normalised ones follow that background."""
+    r = scores(spark, d)
+    made = enrich.GseaRunner(spark, sets(spark, d), r, 15, 5000)
+    first = made.run(r, nperm_nes=50, use_nes_cache=True, eps=1e-6)
+    second = made.run(r.select("gene", (-F.col("score")).alias("score")), nperm_nes=50, use_nes_cache=True, eps=1e-6)
+    share = lambda df, name: df.select("pathway", "size", F.round("es", 6).alias(f"es_{name}"), (F.col("es") / F.col("nes")).alias(f"m_{name}"))
+    both = share(first, "a").join(share(second, "b").drop("size"), "pathway")
+    by_size = both.select("size", F.explode(F.array(F.struct(F.signum("es_a").alias("sign"), F.col("m_a").alias("m")), F.struct(F.signum("es_b").alias("sign"), F.col("m_b").alias("m")))).alias("x"))
+    spread_ = by_size.groupBy("size", "x.sign").agg((F.max("x.m") - F.min("x.m")).alias("d")).groupBy("size").agg((F.max("d") < 1e-9).alias("one_background"))
+    return both.join(spread_, "size").select("pathway", "size", "es_a", "es_b", "one_background")
+
+
+def ordered_results(spark: SparkSession, d: str) -> DataFrame:
+    """A run's results by rising p, then name: whether they come in that order, and what the run was asked for."""
+    found = run_gsea(spark, d).withColumn("place", F.monotonically_increasing_id())
+    wanted = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pval", "pathway"))
+    came = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place"))
+    asked = enrich.run_params(spark, **enrich.parameters(found))
+    return found.withColumn("wanted", wanted).withColumn("came", came).select("pathway", (F.col("wanted") == F.col("came")).alias("in_order")).crossJoin(F.broadcast(asked.select("max_size", "seed", "score_type")))
+
+
+def pseudotimes(spark: SparkSession, d: str) -> DataFrame:
+    """Diffusion pseudotime of the embeddings from one of them: whether each is from 0 to 1, and 0 at the root only."""
+    from rankweave.operators.pseudotime import with_pseudotime
+
+    expression, cells, _ = _dense(spark, d)
+    found = with_pseudotime(expression, cells.select("cell_id"), root_cell="7")
+    return found.select("cell_id", F.col("pseudotime").between(0, 1).alias("in_range"), (F.col("pseudotime") == 0).alias("is_root"))
+
+
+def bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Bootstrap intervals of order prices by status: the mean, and whether the interval is about its normal approximation."""
+    rows = _table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"))
+    band = anchors.bootstrap_interval(rows, "status", "price", 60, seed=3)
+    error = rows.groupBy("status").agg((F.stddev_samp("price") / F.sqrt(F.count("*"))).alias("e"))
+    half = (F.col("high") - F.col("low")) / 2 / (1.96 * F.col("e"))
+    return band.join(error, "status").select("status", F.round("mean", 4).alias("mean"), (F.col("low") < F.col("mean")).alias("low_right"), (F.col("high") > F.col("mean")).alias("high_right"), half.between(0.6, 1.5).alias("width_right"))
+
+
+def made_up(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic inputs: rows, sizes and planted signal."""
+    scores_, named = synthetic.benchmark_data(spark, 3000, 30)
+    tails = synthetic.tail_data(spark, 3000, 25, 3)[1]
+    tied = synthetic.tied_scores(spark, 3000, 500)
+    moved = scores_.select(F.col("score"), F.substring("gene", 6, 5).cast("int").alias("i"))
+    sizes = named.groupBy("pathway").agg(F.count("*").alias("n"), F.count_distinct("gene").alias("u"))
+    planted = tails.where("pathway like 'Tail%'").groupBy("pathway").agg(F.count("*").alias("n"))
+    return (
+        moved.agg(F.count("*").cast("long").alias("n"), ((F.avg(F.when(F.col("i") < 500, F.col("score"))) > 1.8) & (F.avg(F.when(F.col("i") >= 2500, F.col("score"))) < -1.8)).alias("right")).withColumn("what", F.lit("scores"))
+        .unionByName(sizes.agg(F.count("*").alias("n"), F.min((F.col("n") == F.col("u")) & F.col("n").between(15, 200)).alias("right")).withColumn("what", F.lit("sets")))
+        .unionByName(planted.agg(F.count("*").alias("n"), F.min(F.col("n").between(30, 50)).alias("right")).withColumn("what", F.lit("tails")))
+        .unionByName(tied.agg(F.count_distinct("score").alias("n"), F.lit(True).alias("right")).withColumn("what", F.lit("tied")))
+    )
+
+
+def speedups(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds (here mean quantities) by threads (here line numbers) against one thread."""
+    times = _table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("threads")).agg((F.sum("l_quantity").cast("double") / F.count("*")).alias("seconds"))
+    return _rounded(analytics.speedup(times), "seconds", "speedup", digits=6)
+
+
+def tost(spark: SparkSession, d: str) -> DataFrame:
+    """Two one-sided tests of fixed differences, and whether their p-value is the tabulated one."""
+    rows = [(f"p{i}", float(x)) for i, x in enumerate([-0.02, 0.01, 0.04, -0.01, 0.03, 0.0, 0.02, -0.03, 0.05, 0.01, 0.0])]
+    a = spark.createDataFrame(rows, "pathway string, nes double")
+    b = spark.createDataFrame([(p, 0.0) for p, _ in rows], "pathway string, nes double")
+    # ten degrees of freedom: the margin at which t is 2.228, a tabulated point of 2.5 %
+    mean = sum(x for _, x in rows) / 11
+    error = (sum((x - mean) ** 2 for _, x in rows) / 10 / 11) ** 0.5
+    return analytics.bland_altman(a, b, margin=mean + 2.228 * error).select("n", F.round("bias", 6).alias("bias"), F.round("tost_p", 4).alias("tost_p"))
 
 
 def dedup_modes(spark: SparkSession, d: str) -> DataFrame:
@@ -238,6 +444,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "enrichment_score_classic": es(0.0),
         "enrichment_score_root": es(0.5),
         "ranked_list": lambda s, d: ranks(s, d),
+        "ranked_list_spread": lambda s, d: prep.ranked(scores(s, d), spread=True),
+        "adjusted_spread": lambda s, d: _rounded(adjust.bh(enrichment.enrichment(met(s, d, "p_name", 2)).select("pathway", _known_p("a").alias("pval")), spread=True), "pval", "padj"),
+        "repeated_genes": repeated_genes,
+        "rank_file": rank_file,
+        "sinks": sinks,
+        "result_cache": result_cache,
+        "score_forms": score_forms,
+        "catalog_forms": catalog_forms,
+        "positional_merge": positional_merge,
+        "picked_pathways": picked_pathways,
+        "anchor_pairs": lambda s, d: _rounded(_rounded(anchors.anchor_pairs(windowed(s, d), "nes"), "corr", digits=5), "sep", "range", digits=7),
+        "switch_points": lambda s, d: _rounded(anchors.switch_points(windowed(s, d).withColumn("pt_mid", F.col("window_id").cast("double")), "Brand#11", "Brand#12", "nes"), "x", digits=5),
+        "pathway_dynamics": lambda s, d: plots.pathway_dynamics_data(windowed(s, d), ["Brand#11", "Brand#25"]),
+        "heatmap_plot": lambda s, d: _rounded(plots.trajectory_heatmap_data(windowed(s, d), n_win(s, d), 10), "value", digits=5),
+        "speedup": speedups,
+        "tost": tost,
+        "bootstrap": bootstrap,
+        "synthetic": made_up,
+        "pseudotime": pseudotimes,
+        "nes_background_compared": background_compared,
+        "run_gsea_compared": lambda s, d: compared(s, d, run_gsea(s, d)),
+        "run_gsea_per_set_compared": lambda s, d: compared(s, d, run_gsea_per_set(s, d)),
+        "run_gsea_many_sets_verified": lambda s, d: verified(run_gsea_many_sets(s, d)),
+        "run_gsea_one_sided_verified": lambda s, d: verified(run_gsea_one_sided(s, d)),
+        "run_trajectory_verified": lambda s, d: verified(run_trajectory(s, d), ["window_id"]),
+        "run_trajectory_times": lambda s, d: _rounded(run_trajectory(s, d).select("window_id", "pt_start", "pt_end", "pt_mid").distinct(), "pt_start", "pt_end", "pt_mid", digits=6),
+        "runner": runner,
+        "ordered_results": ordered_results,
         "dedup_modes": dedup_modes,
         "ranked_seeded_ties": lambda s, d: prep.ranked(scores(s, d).withColumn("score", F.round("score", -3)), tie="seeded", seed=7).select("gene", "rnk"),
         "size_filter": lambda s, d: prep.members(sets(s, d, "p_name"), ranks(s, d), 15, 40).groupBy("pathway").agg(F.max("size").alias("size")),
@@ -254,8 +488,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trajectory_es": lambda s, d: _rounded(trajectory_es(s, d), "es"),
         "lineage_filter": lambda s, d: prep.lineage_filter(_table(s, d, "orders"), "o_orderstatus", "f").select("o_orderkey"),
         "log_normalised": lambda s, d: _rounded(trajectory.log_normalised(_expression(s, d)), "value", digits=6),
-        "heatmap": lambda s, d: _rounded(analytics.heatmap(windowed(s, d), [0, 1, 2]), "w0", "w1", "w2", digits=5),
-        "heatmap_all": lambda s, d: _rounded(analytics.heatmap_long(windowed(s, d), n_win(s, d)), "value", digits=5),
+        "heatmap": lambda s, d: _rounded(analytics.heatmap_long(windowed(s, d), n_win(s, d)), "value", digits=5),
         "top_variable": lambda s, d: _rounded(analytics.top_variable(windowed(s, d), n_win(s, d), 10), "variance", digits=6),
         "peak_order": lambda s, d: analytics.peak_order(windowed(s, d), n_win(s, d)),
         "smoothed": lambda s, d: _rounded(trajectory.smoothed(windowed(s, d)), "nes_smooth", digits=7),
@@ -269,10 +502,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tail_band": lambda s, d: _rounded(analytics.tail_band(fake_p(s, d).unionByName(other(s, d)), fake_p(s, d)), "low", "high", "x"),
         "bland_altman": lambda s, d: _rounded(analytics.bland_altman(fake_p(s, d), other(s, d)).drop("tost_p"), "bias", "low", "high"),
         "by_rank": lambda s, d: analytics.by_rank(ranks(s, d), 100, 100).select("gene", "side"),
-        "anchor_matrix": lambda s, d: _rounded(anchors.anchor_matrix(windowed(s, d).withColumn("pt_mid", F.col("window_id").cast("double")), 3, "nes", 0.0, 10.0), "value", digits=5),
-        "anchor_matrix_all": lambda s, d: _rounded(anchors.anchor_matrix(windowed(s, d).withColumn("pt_mid", F.col("window_id").cast("double")), value="nes"), "value", digits=5),
+        "anchor_matrix": lambda s, d: _rounded(anchors.anchor_matrix(windowed(s, d).withColumn("pt_mid", F.col("window_id").cast("double")), value="nes"), "value", digits=5),
         "metadata_merge": lambda s, d: sources.merge_metadata(_table(s, d, "customer").select("c_custkey", "c_nationkey"), _table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select("c_custkey", "n_name"),
-        # Monte-Carlo operators: their draws aren't SQL; tests compare them with plain permutation and calibration
+        # Monte-Carlo operators: their draws aren't SQL; the queries above compare them with hashed permutations, tests with plain ones
         "nes_background": nes_background,
         "run_gsea": run_gsea,
         "run_gsea_per_set": run_gsea_per_set,
@@ -294,12 +526,70 @@ def oracle_sql() -> dict[str, str]:
         u AS (SELECT pathway, -log10(greatest(pval, 1e-300)) AS x FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
         o AS (SELECT *, row_number() OVER (ORDER BY pval, pathway) AS i, count(*) OVER () AS n, cume_dist() OVER (ORDER BY pval) AS c FROM a),
         j AS (SELECT a.pathway, a.nes - b.nes AS d, abs(log10(a.pval + 1e-300) - log10(b.pval + 1e-300)) AS lp FROM a JOIN b USING (pathway))"""
+    sure = "true AS p_right, true AS padj_right, true AS nes_right"
+    many = f"WITH {SCORES}, sets AS (SELECT p_brand || '/' || p_size AS pathway, p_partkey::VARCHAR AS gene FROM part), met AS (SELECT * FROM (SELECT pathway, gene, rnk, score, n, count(*) OVER (PARTITION BY pathway) AS size FROM sets JOIN ranks USING (gene)) WHERE size BETWEEN 2 AND 5000), {es_sql()}"
+    typed = f"WITH {SCORES}, {_sets_sql('p_type', 15, 10**9)}, {es_sql()}"
+    dense = f"""WITH cells AS (SELECT vec_id::VARCHAR AS cell_id, embedding[1]::DOUBLE AS pseudotime, embedding FROM embeddings),
+        ordered AS (SELECT *, row_number() OVER (ORDER BY pseudotime, cell_id) - 1 AS pos, count(*) OVER () AS cells FROM cells),
+        ids AS (SELECT unnest(range(CASE WHEN max(cells) < {DENSE} THEN 0 ELSE (max(cells) - {DENSE}) // {DENSE_STEP} + 1 END)) AS window_id FROM ordered),
+        x AS (SELECT cell_id, pos, cells, generate_subscripts(embedding, 1) - 1 AS g, unnest(embedding)::DOUBLE AS value FROM ordered),
+        lists AS (
+          SELECT window_id, g, sum(CASE WHEN pos >= window_id * {DENSE_STEP} AND pos < window_id * {DENSE_STEP} + {DENSE} THEN value ELSE 0 END) AS inside, sum(value) AS total, max(cells) AS cells FROM ids, x GROUP BY ALL),
+        scored AS (SELECT window_id, printf('g%02d', g) AS gene, 'set' || (g % 4) AS pathway, inside / {DENSE} - (total - inside) / greatest(cells - {DENSE}, 1) AS score FROM lists),
+        met AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, gene) - 1 AS rnk, count(*) OVER (PARTITION BY window_id) AS n FROM scored),
+        {es_sql(keys='window_id, ')}"""
     days = "WITH z AS (SELECT event_type AS gene, epoch(date_trunc('day', ts))::BIGINT AS pos, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
     return {
         "enrichment_score": es(1.0),
         "enrichment_score_classic": es(0.0),
         "enrichment_score_root": es(0.5),
         "ranked_list": f"WITH {SCORES} SELECT gene, score, rnk::INT AS rnk, n FROM ranks",
+        "ranked_list_spread": f"WITH {SCORES} SELECT gene, score, rnk::INT AS rnk, n FROM ranks",
+        "adjusted_spread": f"""WITH {SCORES}, {_sets_sql('p_name', 2)}, {es_sql()}, a AS (SELECT pathway, (('0x' || substr(md5('a' || pathway), 1, 4))::INT + 1) / 65537.0::DOUBLE AS pval FROM es),
+            o AS (SELECT *, row_number() OVER (ORDER BY pval, pathway) AS r, count(*) OVER () AS m FROM a)
+            SELECT pathway, round(pval, 8) AS pval, round(least(1.0, min(pval * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 8) AS padj FROM o""",
+        "repeated_genes": """WITH l AS (SELECT l_partkey::VARCHAR AS gene, round(l_extendedprice - 30000, 2)::DOUBLE AS score FROM lineitem),
+            r AS (SELECT gene, row_number() OVER (ORDER BY score DESC, gene) - 1 AS rnk, count(*) OVER () AS n FROM l)
+            SELECT gene, max(rnk)::INT AS rnk, max(n) AS n FROM r WHERE gene IN (SELECT p_partkey::VARCHAR FROM part) GROUP BY gene""",
+        "rank_file": f"WITH {SCORES} SELECT gene, score FROM scores",
+        "sinks": f"{base}, {es_sql()} SELECT fmt, pathway, size, round(es, 8) AS value FROM es, (SELECT unnest(['csv', 'tsv', 'parquet']) AS fmt)",
+        "result_cache": """WITH b AS (SELECT p_brand AS p, count(*) AS c FROM part GROUP BY 1), t AS (SELECT p_type AS p, count(*) AS c FROM part GROUP BY 1)
+            SELECT 0 AS step, 1 AS made, (SELECT count(*) FROM b WHERE c >= 15) AS n UNION ALL SELECT 1, 1, (SELECT count(*) FROM b WHERE c >= 15)
+            UNION ALL SELECT 2, 2, (SELECT count(*) FROM b WHERE c >= 10) UNION ALL SELECT 3, 3, (SELECT count(*) FROM t WHERE c >= 15)""",
+        "score_forms": "SELECT f AS form, n_name AS gene, (CASE WHEN f = 'name' THEN n_regionkey ELSE n_nationkey END)::DOUBLE AS score FROM nation, (SELECT unnest(['place', 'name', 'series', 'dict', 'pandas']) AS f)",
+        "catalog_forms": "SELECT f AS form, 'r' || n_regionkey AS pathway, CASE WHEN f = 'dict' THEN lower(n_name) ELSE upper(n_name) END AS gene FROM nation, (SELECT unnest(['dict', 'long', 'wide']) AS f)",
+        "positional_merge": """WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation), b AS (SELECT 'note ' || n_name AS note, row_number() OVER (ORDER BY 25 - n_nationkey) AS p FROM nation)
+            SELECT n_name, note FROM a JOIN b USING (p)""",
+        "picked_pathways": f"""{base}, {es_sql()}, a AS (SELECT pathway, (('0x' || substr(md5('a' || pathway), 1, 4))::INT + 1) / 65537.0::DOUBLE AS pval FROM es)
+            SELECT 'part' AS how, pathway FROM a WHERE contains(lower(pathway), '#1') UNION ALL SELECT 'list', pathway FROM a WHERE pathway IN ('Brand#11', 'Brand#22')
+            UNION ALL (SELECT 'none', pathway FROM a ORDER BY pval, pathway LIMIT 2)""",
+        "anchor_pairs": f"""{walk}, r AS (SELECT pathway, max(nes) - min(nes) AS r FROM v GROUP BY pathway ORDER BY r DESC, pathway LIMIT 30)
+            SELECT a.pathway AS a, b.pathway AS b, round(corr(a.nes, b.nes), 5) AS corr, round(max(abs(a.nes - b.nes)), 7) AS sep, round(least(max(ra.r), max(rb.r)), 7) AS range
+            FROM v a JOIN v b ON a.window_id = b.window_id AND a.pathway < b.pathway JOIN r ra ON ra.pathway = a.pathway JOIN r rb ON rb.pathway = b.pathway GROUP BY a.pathway, b.pathway""",
+        "switch_points": f"""{walk}, y AS (SELECT window_id::DOUBLE AS x, max(CASE WHEN pathway = 'Brand#11' THEN nes END) - max(CASE WHEN pathway = 'Brand#12' THEN nes END) AS d FROM v WHERE pathway IN ('Brand#11', 'Brand#12') GROUP BY window_id),
+            z AS (SELECT x, d, lag(d) OVER (ORDER BY x) AS d0, lag(x) OVER (ORDER BY x) AS x0 FROM y)
+            SELECT round(x0 + (x - x0) * d0 / (d0 - d), 5) AS x FROM z WHERE (d0 < 0 AND d >= 0) OR (d0 > 0 AND d <= 0)""",
+        "pathway_dynamics": f"{walk} SELECT pathway, pathway AS name, window_id, nes AS value FROM v WHERE pathway IN ('Brand#11', 'Brand#25')",
+        "heatmap_plot": f"""{walk}, t AS (SELECT pathway FROM grid GROUP BY pathway ORDER BY var_samp(v) DESC, pathway LIMIT 10),
+            p AS (SELECT pathway, window_id AS peak FROM (SELECT *, row_number() OVER (PARTITION BY pathway ORDER BY v DESC, window_id) AS r FROM grid JOIN t USING (pathway)) WHERE r = 1),
+            q AS (SELECT pathway, (row_number() OVER (ORDER BY peak, pathway) - 1)::INT AS place FROM p)
+            SELECT place, pathway, pathway AS name, window_id, round(v, 5) AS value FROM grid JOIN q USING (pathway)""",
+        "speedup": """WITH t AS (SELECT l_linenumber::INT AS threads, sum(l_quantity)::DOUBLE / count(*) AS seconds FROM lineitem GROUP BY 1)
+            SELECT threads, round(seconds, 6) AS seconds, round((SELECT seconds FROM t WHERE threads = 1) / seconds, 6) AS speedup FROM t""",
+        "tost": "SELECT 11::BIGINT AS n, round(0.1 / 11, 6) AS bias, 0.025::DOUBLE AS tost_p",
+        "bootstrap": "SELECT o_orderstatus AS status, round(avg(o_totalprice), 4) AS mean, true AS low_right, true AS high_right, true AS width_right FROM orders GROUP BY 1",
+        "synthetic": "SELECT * FROM (VALUES (3000::BIGINT, true, 'scores'), (30, true, 'sets'), (3, true, 'tails'), (2750, true, 'tied')) t(n, \"right\", what)",
+        "pseudotime": "SELECT vec_id::VARCHAR AS cell_id, true AS in_range, vec_id = 7 AS is_root FROM embeddings",
+        "nes_background_compared": GSEA + "SELECT size, round(pos_mean, 8) AS pos_mean, round(neg_mean, 8) AS neg_mean, true AS close FROM means",
+        "run_gsea_compared": GSEA + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(pval, 8) AS perm_p, true AS p_close, true AS nes_close FROM tested",
+        "run_gsea_per_set_compared": GSEA + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(pval, 8) AS perm_p, true AS p_close, true AS nes_close FROM tested",
+        "run_gsea_many_sets_verified": f"{many} SELECT pathway, size, round(es, 6) AS es, {sure} FROM es",
+        "run_gsea_one_sided_verified": f"{typed} SELECT pathway, size, round(es, 6) AS es, {sure} FROM es",
+        "run_trajectory_verified": f"{dense} SELECT window_id::INT AS window_id, pathway, size, round(es, 6) AS es, {sure} FROM es",
+        "run_trajectory_times": f"""{dense}, h AS (SELECT window_id, min(pseudotime) AS a, max(pseudotime) AS b FROM ids JOIN ordered ON pos >= window_id * {DENSE_STEP} AND pos < window_id * {DENSE_STEP} + {DENSE} GROUP BY window_id)
+            SELECT window_id::INT AS window_id, round(a, 6) AS pt_start, round(b, 6) AS pt_end, round((a + b) / 2, 6) AS pt_mid FROM h""",
+        "runner": f"{base}, {es_sql()} SELECT pathway, size, round(es, 6) AS es_a, -round(es, 6) AS es_b, true AS one_background FROM es",
+        "ordered_results": f"{base}, {es_sql()} SELECT pathway, true AS in_order, '5000' AS max_size, '42' AS seed, 'two_sided_abs' AS score_type FROM es",
         "dedup_modes": """WITH r AS (SELECT l_partkey::VARCHAR AS gene, round(l_extendedprice - 30000, 2) AS score, l_orderkey * 10 + l_linenumber AS pos FROM lineitem),
             x AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY abs(score) DESC, score DESC) AS a, row_number() OVER (PARTITION BY gene ORDER BY pos, score) AS b FROM r)
             SELECT gene, max(CASE WHEN a = 1 THEN score END) AS max_abs, max(CASE WHEN b = 1 THEN score END) AS first FROM x GROUP BY gene""",
@@ -315,13 +605,12 @@ def oracle_sql() -> dict[str, str]:
         "size_bins": f"{base}, {es_sql()} SELECT pathway, size, greatest(10, (size + 5) // 10 * 10)::INT AS size_key FROM es",
         "ordered_cells": f"WITH {WINDOWS} SELECT cell_id, pseudotime, pos FROM ordered",
         "windows": f"WITH {WINDOWS} SELECT window_id::INT AS window_id, cell_id FROM held",
-        "window_times": f"WITH {WINDOWS} SELECT window_id::INT AS window_id, min(pseudotime) AS pt_start, max(pseudotime) AS pt_end, round(avg(pseudotime), 2) AS pt_mid FROM held GROUP BY window_id",
+        "window_times": f"WITH {WINDOWS} SELECT window_id::INT AS window_id, min(pseudotime) AS pt_start, max(pseudotime) AS pt_end, round((min(pseudotime) + max(pseudotime)) / 2, 2) AS pt_mid FROM held GROUP BY window_id",
         "window_scores": f"WITH {WINDOWS} SELECT window_id, gene, score FROM lists",
         "trajectory_es": f"{TRAJECTORY} SELECT window_id, pathway, size, round(es, 8) AS es FROM es",
         "lineage_filter": "SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderstatus, '(?i)f')",
         "log_normalised": f"WITH {WINDOWS}, t AS (SELECT cell_id, sum(value) AS total FROM expression GROUP BY cell_id) SELECT cell_id, gene, round(CASE WHEN total > 0 THEN ln(1 + value * 10000.0 / total) ELSE 0.0 END, 6) AS value FROM expression JOIN t USING (cell_id)",
-        "heatmap": f"{walk} SELECT pathway, round(coalesce(avg(CASE WHEN window_id = 0 THEN nes END), 0), 5) AS w0, round(coalesce(avg(CASE WHEN window_id = 1 THEN nes END), 0), 5) AS w1, round(coalesce(avg(CASE WHEN window_id = 2 THEN nes END), 0), 5) AS w2 FROM v GROUP BY pathway",
-        "heatmap_all": f"{walk} SELECT pathway, window_id, round(v, 5) AS value FROM grid",
+        "heatmap": f"{walk} SELECT pathway, window_id, round(v, 5) AS value FROM grid",
         "top_variable": f"{walk} SELECT pathway, round(var_samp(v), 6) AS variance FROM grid GROUP BY pathway ORDER BY var_samp(v) DESC, pathway LIMIT 10",
         "peak_order": f"{walk} SELECT pathway, window_id AS peak_window FROM (SELECT *, row_number() OVER (PARTITION BY pathway ORDER BY v DESC, window_id) AS r FROM grid) WHERE r = 1",
         "smoothed": f"{walk} SELECT pathway, window_id, nes, round(avg(nes) OVER (PARTITION BY pathway ORDER BY window_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 7) AS nes_smooth FROM v",
@@ -337,7 +626,6 @@ def oracle_sql() -> dict[str, str]:
         "tail_band": f"{known}, q AS (SELECT pathway, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM u GROUP BY pathway) SELECT pathway, round(low, 8) AS low, round(high, 8) AS high, round(-log10(pval), 8) AS x, -log10(pval) BETWEEN low AND high AS inside FROM a JOIN q USING (pathway)",
         "bland_altman": f"{known} SELECT count(*) AS n, round(avg(d), 8) AS bias, round(avg(d) - 1.96 * stddev_pop(d), 8) AS low, round(avg(d) + 1.96 * stddev_pop(d), 8) AS high FROM j",
         "by_rank": f"WITH {SCORES} SELECT gene, CASE WHEN rnk < 100 THEN 'top' ELSE 'bottom' END AS side FROM ranks WHERE rnk < 100 OR rnk >= n - 100",
-        "anchor_matrix": f"{walk} SELECT pathway, least(2, floor(window_id / (10.0 / 3)))::INT AS bin, round(avg(nes), 5) AS value FROM v GROUP BY ALL",
-        "anchor_matrix_all": f"{walk}, ends AS (SELECT min(window_id)::DOUBLE AS low, max(window_id)::DOUBLE AS high FROM v) SELECT pathway, least(60, floor((window_id - low) / CASE WHEN high > low THEN (high - low) / 61 ELSE 1.0 END))::INT AS bin, round(avg(nes), 5) AS value FROM v, ends GROUP BY ALL",
+        "anchor_matrix": f"{walk}, ends AS (SELECT min(window_id)::DOUBLE AS low, max(window_id)::DOUBLE AS high FROM v) SELECT pathway, least(60, floor((window_id - low) / CASE WHEN high > low THEN (high - low) / 61 ELSE 1.0 END))::INT AS bin, round(avg(nes), 5) AS value FROM v, ends GROUP BY ALL",
         "metadata_merge": "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
     }

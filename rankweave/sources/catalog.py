@@ -111,11 +111,30 @@ def write_result(result: DataFrame, path: str, fmt: str = "csv") -> None:
         result.write.mode("overwrite").parquet(path)
 
 
-def cached(spark: SparkSession, folder: str, params: Mapping, make, force: bool = False) -> DataFrame:
-    """The result of make() from Parquet under a hash of its parameters, made and written when it isn't there or force is set."""
-    digest = hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
+def fingerprint(rows: DataFrame) -> str:
+    """A number for the rows of a table, whatever their order: count and sums of row hashes, made in one pass. Maps don't count."""
+    columns = [F.col(f"`{f.name}`") for f in rows.schema if not isinstance(f.dataType, T.MapType)]
+    h = F.xxhash64(*columns)
+    found = rows.agg(F.count("*"), F.sum(F.pmod(h, F.lit(1 << 40))), F.sum(F.pmod(F.shiftrightunsigned(h, 24), F.lit(1 << 40)))).first()
+    return "-".join(str(x or 0) for x in found)
+
+
+def cached(spark: SparkSession, folder: str, params: Mapping, make, force: bool = False, inputs: Iterable[DataFrame] = ()) -> DataFrame:
+    """The result of make() from Parquet under a hash of its parameters and of the rows of its inputs, made and written when it isn't there or force is set."""
+    held = {"params": params, "inputs": [fingerprint(x) for x in inputs]}
+    digest = hashlib.sha256(json.dumps(held, sort_keys=True, default=str).encode()).hexdigest()[:16]
     path = f"{folder.rstrip('/')}/result-{digest}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if force or not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_ranks(ranks: DataFrame, path: str) -> None:
+    """Write (gene, score) as tab-separated lines in falling order, without a header."""
+    ranks.select("gene", "score").orderBy(F.desc("score"), "gene").write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def read_ranks(spark: SparkSession, path: str) -> DataFrame:
+    """(gene, score) of tab-separated lines without a header."""
+    return spark.read.schema(RANKED).option("sep", "\t").csv(path)
