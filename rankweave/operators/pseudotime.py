@@ -1,14 +1,21 @@
-"""Diffusion pseudotime of cells: variable genes, PCA, nearest neighbours, diffusion map, distance from a root."""
+"""Diffusion pseudotime of cells: variable genes, PCA, nearest neighbours, diffusion map, distance from a root.
+
+The diffusion map is that of at most LANDMARKS cells, chosen by a hash of their ids, with the root among them. Other cells are placed in it in tasks, by the mean of
+their nearest landmarks' places under the same kernel (Nystroem's extension). So the driver holds a matrix of bounded size, and time is linear in the cells; with no more
+cells than landmarks the map is the exact one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most cells whose neighbour graph is put to the eigensolver on the driver; more are refused.
-MAX_CELLS = 20_000
+#: Cells whose neighbour graph is put to the eigensolver on the driver.
+LANDMARKS = 2000
 
 
 def variable_genes(expression: DataFrame, n_cells: int, top: int = 2000) -> DataFrame:
@@ -43,56 +50,97 @@ def _components(expression: DataFrame, genes: list[str], n_pcs: int) -> tuple[np
     return mean, vectors[:, np.argsort(values)[::-1][:n_pcs]]
 
 
-def with_pseudotime(expression: DataFrame, cells: DataFrame, key: str = "pseudotime", root_gene: str | None = None, root_cell: str | None = None, top_genes: int = 2000, n_pcs: int = 30, neighbours: int = 15) -> DataFrame:
-    """cells with a pseudotime column from 0 (root) to 1: the root is the given cell, else the cell of largest root gene, else the first cell id. More than MAX_CELLS cells raise."""
+def with_pseudotime(expression: DataFrame, cells: DataFrame, key: str = "pseudotime", root_gene: str | None = None, root_cell: str | None = None, top_genes: int = 2000, n_pcs: int = 30, neighbours: int = 15, landmarks: int = LANDMARKS) -> DataFrame:
+    """cells with a pseudotime column from 0 (root) to 1: the root is the given cell, else the cell of largest root gene, else the first cell id."""
     spark = cells.sparkSession
     n = cells.count()
-    if n > MAX_CELLS:
-        raise ValueError(f"pseudotime takes at most {MAX_CELLS} cells, here are {n}; give cells with a pseudotime column")
-    genes = sorted(r[0] for r in variable_genes(expression, n, top_genes).collect())
-    if not genes or not n:
+    genes = sorted(r[0] for r in variable_genes(expression, n, top_genes).collect()) if n else []
+    if not genes:
         return cells.withColumn(key, F.lit(None).cast("double"))
     mean, axes = _components(expression, genes, min(n_pcs, len(genes)))
     loads = spark.createDataFrame([(g, [float(v) for v in axes[i]]) for i, g in enumerate(genes)], "gene string, axis array<double>")
     base = [float(v) for v in mean @ axes]
     parts = expression.join(F.broadcast(loads), "gene").select("cell_id", F.posexplode(F.transform("axis", lambda a: a * F.col("value"))).alias("pc", "v"))
     summed = parts.groupBy("cell_id", "pc").agg(F.sum("v").alias("v")).groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pc", "v"))), lambda x: x["v"]).alias("x"))
-    found = cells.select(F.col("cell_id").cast("string").alias("cell_id")).join(summed, "cell_id", "left")
-    placed = found.select("cell_id", F.coalesce("x", F.array(*[F.lit(0.0)] * len(base))).alias("x"))
+    found = cells.select(F.col("cell_id").cast("string").alias("cell_id")).distinct().join(summed, "cell_id", "left")
+    placed = found.select("cell_id", F.coalesce("x", F.array(*[F.lit(0.0)] * len(base))).alias("x")).persist()
     if root_cell is None and root_gene is not None:
         top = expression.where(F.col("gene") == root_gene).orderBy(F.desc("value"), "cell_id").first()
         root_cell = top["cell_id"] if top else None
-    pdf = placed.toPandas().sort_values("cell_id").reset_index(drop=True)
-    times = diffusion_times(np.array(pdf["x"].tolist()) - np.array(base), int(pdf.index[pdf["cell_id"] == root_cell][0]) if root_cell in set(pdf["cell_id"]) else 0, neighbours)
-    return cells.join(spark.createDataFrame(pd.DataFrame({"cell_id": pdf["cell_id"], key: times})), "cell_id")
+    if root_cell is None or placed.where(F.col("cell_id") == str(root_cell)).isEmpty():
+        root_cell = placed.agg(F.min("cell_id")).first()[0]
+    root_cell = str(root_cell)
+    chosen = placed.orderBy(F.col("cell_id") != root_cell, F.xxhash64("cell_id"), "cell_id").limit(landmarks).toPandas().sort_values("cell_id").reset_index(drop=True)
+    x = np.array(chosen["x"].tolist()) - np.array(base)
+    map_ = DiffusionMap(x, neighbours)
+    own = dict(zip(chosen["cell_id"], map_.distances(int(chosen.index[chosen["cell_id"] == root_cell][0])).tolist(), strict=True))
+    start = map_.places[int(chosen.index[chosen["cell_id"] == root_cell][0])]
+
+    def timed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            away = np.sqrt(((map_.extended(np.array(rows["x"].tolist()).reshape(len(rows), -1) - np.array(base)) - start) ** 2).sum(1)) if len(rows) else np.zeros(0)
+            yield pd.DataFrame({"cell_id": rows["cell_id"], "__away": [own.get(c, d) for c, d in zip(rows["cell_id"], away.tolist(), strict=True)]})
+
+    away = placed.mapInPandas(timed, "cell_id string, __away double")
+    most = away.agg(F.max("__away")).first()[0] or 0.0
+    times = away.select("cell_id", (F.col("__away") / F.lit(most if most > 0 else 1.0)).alias(key))
+    placed.unpersist()
+    return cells.drop(key).withColumn("cell_id", F.col("cell_id").cast("string")).join(times, "cell_id")
+
+
+class DiffusionMap:
+    """The diffusion map of the nearest-neighbour graph of some points; `places` are the points' coordinates in it."""
+
+    def __init__(self, x: np.ndarray, neighbours: int = 15, components: int = 10) -> None:
+        n = len(x)
+        self.x, self.k = x, min(neighbours, n - 1)
+        self.places = np.zeros((n, 1))
+        if self.k < 1:
+            return
+        near, far = self._nearest(x, self.k, True)
+        self.scale = np.sqrt(far.max(1)) + 1e-12
+        rows = np.repeat(np.arange(n), self.k)
+        graph = np.zeros((n, n))
+        graph[rows, near.ravel()] = np.exp(-far.ravel() / (self.scale[rows] * self.scale[near.ravel()]))
+        graph = np.maximum(graph, graph.T)
+        self.degree = graph.sum(1) + 1e-12
+        graph /= np.outer(self.degree, self.degree)
+        norm = np.sqrt(graph.sum(1) + 1e-300)
+        values, vectors = np.linalg.eigh(graph / np.outer(norm, norm))
+        order = np.argsort(values)[::-1][1 : components + 1]
+        self.values = np.clip(values[order], -1 + 1e-9, 1 - 1e-9)
+        self.places = vectors[:, order] / norm[:, None] * (self.values / (1 - self.values))
+
+    def _nearest(self, x: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest points of each row and their squared distances, without the row itself if it is one of the points."""
+        near, far = np.zeros((len(x), k), int), np.zeros((len(x), k))
+        square = (self.x * self.x).sum(1)
+        for a in range(0, len(x), 1024):
+            part = x[a : a + 1024]
+            d = (part * part).sum(1)[:, None] + square[None] - 2 * part @ self.x.T
+            if own:
+                d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+            near[a : a + 1024] = np.argpartition(d, k - 1, 1)[:, :k]
+            far[a : a + 1024] = np.take_along_axis(d, near[a : a + 1024], 1)
+        return near, np.maximum(far, 0)
+
+    def extended(self, x: np.ndarray) -> np.ndarray:
+        """Places of other points: means of their nearest points' places by the kernel, over the eigenvalues."""
+        if self.k < 1 or not len(x):
+            return np.zeros((len(x), self.places.shape[1]))
+        near, far = self._nearest(x, self.k, False)
+        scale = np.sqrt(far.max(1)) + 1e-12
+        weight = np.exp(-far / (scale[:, None] * self.scale[near])) / self.degree[near]
+        weight /= weight.sum(1, keepdims=True) + 1e-300
+        value = np.where(np.abs(self.values) > 1e-6, self.values, 1.0)
+        return np.einsum("ij,ijk->ik", weight, self.places[near]) / value
+
+    def distances(self, root: int) -> np.ndarray:
+        """Distances of the points from one of them."""
+        return np.sqrt(((self.places - self.places[root]) ** 2).sum(1))
 
 
 def diffusion_times(x: np.ndarray, root: int, neighbours: int = 15, components: int = 10) -> np.ndarray:
     """Distances from the root in a diffusion map of the nearest-neighbour graph, scaled to 0..1."""
-    n = len(x)
-    k = min(neighbours, n - 1)
-    if k < 1:
-        return np.zeros(n)
-    near, far = np.zeros((n, k), int), np.zeros((n, k))
-    square = (x * x).sum(1)
-    for a in range(0, n, 1024):
-        d = square[a : a + 1024, None] + square[None] - 2 * x[a : a + 1024] @ x.T
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        near[a : a + 1024] = np.argpartition(d, k - 1, 1)[:, :k]
-        far[a : a + 1024] = np.take_along_axis(d, near[a : a + 1024], 1)
-    far = np.maximum(far, 0)
-    scale = np.sqrt(far.max(1)) + 1e-12
-    rows = np.repeat(np.arange(n), k)
-    weight = np.exp(-far.ravel() / (scale[rows] * scale[near.ravel()]))
-    graph = np.zeros((n, n))
-    graph[rows, near.ravel()] = weight
-    graph = np.maximum(graph, graph.T)
-    degree = graph.sum(1) + 1e-12
-    graph /= np.outer(degree, degree)
-    norm = np.sqrt(graph.sum(1) + 1e-300)
-    values, vectors = np.linalg.eigh(graph / np.outer(norm, norm))
-    order = np.argsort(values)[::-1][1 : components + 1]
-    lam = np.clip(values[order], -1 + 1e-9, 1 - 1e-9)
-    position = vectors[:, order] / norm[:, None] * (lam / (1 - lam))
-    distance = np.sqrt(((position - position[root]) ** 2).sum(1))
-    return distance / distance.max() if distance.max() > 0 else distance
+    distance = DiffusionMap(x, neighbours, components).distances(root)
+    return distance / distance.max() if len(distance) and distance.max() > 0 else distance

@@ -137,24 +137,36 @@ def test_analytics(spark):
 
 
 def test_pseudotime_has_one_method(spark, monkeypatch):
-    """2,000 genes unless another number is given, and too many cells are refused, not ordered another way."""
+    """2,000 genes unless another number is given; more cells than landmarks are placed in the landmarks' map."""
     x = np.random.default_rng(2).random((12, 700))
     expression, cells, asked = expression_of(spark, x), cells_of(spark, range(12)).drop("pseudotime"), []
     chosen = pseudotime.variable_genes
     monkeypatch.setattr(pseudotime, "variable_genes", lambda e, n, top: (asked.append(top), chosen(e, n, top))[1])
     assert pseudotime.with_pseudotime(expression, cells, neighbours=4).where("pseudotime between 0 and 1").count() == 12 and asked == [2000]
-    monkeypatch.setattr(pseudotime, "MAX_CELLS", 11)
-    with pytest.raises(ValueError, match="at most 11 cells"):
-        pseudotime.with_pseudotime(expression, cells)
+
+
+def test_pseudotime_of_more_cells_than_landmarks(spark):
+    """A curve of 400 cells: the order by 80 landmarks is that of the whole map, the root is at 0, and the map's own points extend to about their places."""
+    t = np.sort(np.random.default_rng(5).random(400))
+    x = np.stack([np.cos(3 * t), np.sin(3 * t), t**2], 1) * 5 + np.random.default_rng(6).normal(0, 0.02, (400, 3))
+    expression = expression_of(spark, x)
+    cells = spark.createDataFrame([(f"c{i:03d}",) for i in range(400)], "cell_id string")
+    by = {n: pseudotime.with_pseudotime(expression, cells, root_cell="c000", n_pcs=3, landmarks=n).toPandas().set_index("cell_id")["pseudotime"] for n in (400, 80)}
+    assert by[80]["c000"] == by[400]["c000"] == 0 and by[80].max() == by[400].max() == 1
+    assert abs(np.corrcoef(by[80].sort_index().rank(), by[400].sort_index().rank())[0, 1]) > 0.98
+    whole = pseudotime.DiffusionMap(x)
+    assert np.corrcoef(whole.extended(x + 1e-9)[:, 0], whole.places[:, 0])[0, 1] > 0.999
+    nobody = pseudotime.with_pseudotime(expression, cells.limit(0))
+    assert nobody.columns == ["cell_id", "pseudotime"] and nobody.count() == 0
 
 
 def test_queries_of_all_windows(spark):
-    """Every window is a column of the heatmap, and the anchor matrix spans the data's own range; both equal their SQL."""
+    """Every window is in the heatmap, and the anchor matrix spans the data's own range; both equal their SQL."""
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
     for name in ("orders", "lineitem", "part"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
-    for name, key, ids in (("heatmap_all", "window_id", {0, 1, 2, 3, 4}), ("anchor_matrix_all", "bin", {0, 15, 30, 45, 60})):
+    for name, key, ids in (("heatmap", "window_id", {0, 1, 2, 3, 4}), ("anchor_matrix", "bin", {0, 15, 30, 45, 60})):
         got = {(r["pathway"], r[key]): r["value"] for r in queries.queries()[name](spark, d).select("pathway", key, "value").collect()}
         want = {(p, k): v for p, k, v in con.execute(f"SELECT pathway, {key}, value FROM ({queries.oracle_sql()[name]})").fetchall()}
         assert {k for _, k in got} == ids and got == want
