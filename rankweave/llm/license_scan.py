@@ -33,8 +33,18 @@ TEMPLATES = {
     "gpl-2.0-notice": "<<optional>><<one:this work is|this software is|this program is>><</optional>> <<one:released|licensed|distributed|available>> under the <<optional>>terms of the<</optional>> GNU General Public License <<one:version 2|v2|2.0|version 2.0>>",
     "cc-by-nc-4.0-notice": "<<one:released|licensed|distributed|available>> under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> <<one:CC BY-NC|attribution noncommercial>> 4.0 <<optional>>international<</optional>>",
     "cc-by-4.0-notice": "<<one:released|licensed|distributed|available>> under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> <<one:CC BY|attribution>> 4.0 <<optional>>international<</optional>>",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<optional>>(the \"Software\")<</optional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-    "isc-text": "Permission to use, copy, modify, and<<optional>>/or<</optional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "mit-text": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<optional>>(the "Software")<</optional>>, '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice <<optional>>(including the next paragraph)<</optional>> shall be included in all copies or substantial portions of the Software. "
+        '<<optional>>THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL <<any:1-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.<</optional>>"
+    ),
+    "isc-text": (
+        "Permission to use, copy, modify, and<<optional>>/or<</optional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        '<<optional>>THE SOFTWARE IS PROVIDED "AS IS" AND <<any:1-12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.<</optional>>'
+    ),
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-3-clause-text": "Neither the name of <<any:1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "apache-2.0-text": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<any:1-12>> Unless required by applicable law or agreed to in writing",

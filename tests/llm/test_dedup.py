@@ -394,6 +394,22 @@ def test_best_fit_takes_the_tightest_bin():
 # pipeline
 
 
+def test_pipeline_of_hard_tables(spark, tmp_path):
+    """An empty table, and one of nulls, empty texts and repeated rows with other columns of clashing names, go through all stages."""
+    good, bad = sentence(random.Random(1), 60, 10**5), "BUY NOW!!! " * 30
+    spark.createDataFrame([(k, int(k % 2), 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, f"{good} {k}" if k % 2 else f"{bad} {k}") for k in range(40)] + [(None, None), (None, None), (7, ""), (7, ""), (8, "\n"), (None, good), (None, good)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "key", "gone", "left", "hit", "__row", "__key", "score", "label")})
+    for docs in (whole.limit(0), whole):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = now.count()
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns and now.count() <= before, name
+        assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() >= now.count()
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(13)
     texts, marks = [], []
