@@ -56,16 +56,19 @@ def window_scores(expression: DataFrame, ordered: DataFrame, size: int, step: in
     values = expression.where(F.col("value").isNotNull() & ~F.isnan("value")).join(ordered.select("cell_id", "pos"), "cell_id")
     genes = (genes if genes is not None else expression).select("gene").distinct()
     if size % step == 0:
-        sums = values.groupBy(F.floor(F.col("pos") / step).cast("int").alias("bin"), "gene").agg(F.sum("value").alias("v"))
+        sums = values.groupBy(F.floor(F.col("pos") / step).cast("int").alias("bin"), "gene").agg(F.sum("value").alias("value"))
         low, high = F.greatest(F.lit(0), F.col("bin") - (size // step - 1)), F.least(F.lit(count - 1), F.col("bin"))
         held = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        inside = sums.select("gene", "v", F.explode(held).alias("window_id")).groupBy("window_id", "gene").agg(F.sum("v").alias("inside"))
+        inside = sums.select(F.explode(held).alias("window_id"), "gene", "value")
     else:
-        held = _windows_of(F.col("pos"), count, size, step)
-        inside = values.select("gene", "value", F.explode(held).alias("window_id")).groupBy("window_id", "gene").agg(F.sum("value").alias("inside"))
+        inside = values.select(F.explode(_windows_of(F.col("pos"), count, size, step)).alias("window_id"), "gene", "value")
     total = values.groupBy("gene").agg(F.sum("value").alias("total"))
-    grid = genes.join(total, "gene", "left").select("gene", F.coalesce("total", F.lit(0.0)).alias("total"), F.explode(F.sequence(F.lit(0), F.lit(count - 1)) if count else F.array().cast("array<int>")).alias("window_id"))
-    met = grid.join(inside, ["window_id", "gene"], "left").withColumn("inside", F.coalesce("inside", F.lit(0.0)))
+    every = F.sequence(F.lit(0), F.lit(count - 1)) if count else F.array().cast("array<int>")
+    grid = genes.join(total, "gene", "left").select(F.explode(every).alias("window_id"), "gene", F.coalesce("total", F.lit(0.0)).alias("total"))
+    # the grid and the sums meet in one aggregate instead of a join
+    none = F.lit(None).cast("double")
+    both = grid.select("window_id", "gene", "total", none.alias("value")).unionByName(inside.select("window_id", "gene", none.alias("total"), F.col("value").cast("double").alias("value")))
+    met = both.groupBy("window_id", "gene").agg(F.max("total").alias("total"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("inside")).where("total is not null")
     score = F.col("inside") / max(size, 1) - (F.col("total") - F.col("inside")) / max(n - size, 1)
     return met.select("window_id", "gene", F.when(finite(score), score).otherwise(0.0).alias("score"))
 
