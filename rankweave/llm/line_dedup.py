@@ -39,12 +39,16 @@ def squeezed(line: str) -> str:
 
 
 def _lines_from(text: str, least: int) -> list[tuple[int, str]]:
-    return [(i, s) for i, x in enumerate(text.split("\n")) if len(x) >= least and len(s := squeezed(x)) >= least]
+    return [(i, s) for i, x in enumerate(text.lower().split("\n")) if len(x) >= least and len(s := " ".join(x.split())) >= least]
 
 
 def _node(line: str) -> tuple[int, int]:
     """Two signed 64-bit halves of a hash: the node, and its twin, which differs where unequal lines share a node."""
-    return struct.unpack(">qq", xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
+    return struct.unpack(">qq", _digest(line))
+
+
+def _digest(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -53,13 +57,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [
-            (doc, key, i, *_node(s), len(s))
-            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), strict=True)
-            for i, s in _lines_from(text, least)
-        ]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
+        found = [_lines_from(text, least) for text in texts_of(batch)]
+        each = [len(x) for x in found]
+        squeezed_ = [s for lines in found for _, s in lines]
+        halves = np.frombuffer(b"".join([_digest(s) for s in squeezed_]), ">i8").reshape(-1, 2).astype(np.int64)
+        columns = [
+            np.repeat(np.arange(len(each)), each), np.fromiter((i for lines in found for i, _ in lines), np.int32, len(squeezed_)), halves[:, 0], halves[:, 1],
+            np.fromiter(map(len, squeezed_), np.int32, len(squeezed_)),
+        ]
+        owner = pa.array(columns[0])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *[pa.array(c) for c in columns[1:]]], schema=_LINES)
 
 
 def line_signatures(lines: list[str]) -> np.ndarray:
@@ -134,8 +141,8 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     wanted = chosen.groupBy("row_key").agg(F.collect_list(F.struct("line", "node", "weight", "group")).alias("wanted"))
     texts = (
         keyed.select("row_key", "text").join(wanted, "row_key")
-        .select("text", F.explode("wanted").alias("w"))
-        .select(F.col("w.node").alias("node"), F.col("w.group").alias("group"), F.col("w.weight").alias("weight"), F.expr("split(text, '\\n', -1)[w.line]").alias("text"))
+        # the lines of a text are bound once for all that are wanted of it
+        .select(F.expr("inline(transform(array(split(text, '\\n', -1)), x -> transform(wanted, w -> named_struct('node', w.node, 'group', w.group, 'weight', w.weight, 'text', x[w.line])))[0])"))
         .dropDuplicates(["node"])
     )
     linked = resolve(texts, lambda text, powers: char_shingles(squeezed(text), powers, CHARS), PERCENT)

@@ -161,7 +161,7 @@ def packed(nodes: np.ndarray, keys: np.ndarray, checks: np.ndarray, cells: int)
     """Entries of distinct nodes, their keys (n, k), unsigned 64 bits, and checks (n, words), packed by cell."""
     n, k = keys.shape
     flat = keys.ravel()
-    cell = ((flat >> np.uint64(32)) % np.uint64(cells)).astype(np.int32)
+    cell = ((flat >> np.uint64(32)) % np.uint64(cells)).astype(np.uint16 if cells <= 1 << 16 else np.int32)  # 16-bit numbers sort by radix
     order = np.argsort(cell, kind="stable")
     cell, owner = cell[order], order // k
     made = np.empty(n * k, entry_type(checks.shape[1]))
@@ -169,7 +169,7 @@ def packed(nodes: np.ndarray, keys: np.ndarray, checks: np.ndarray, cells: int)
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n * k else np.zeros(0, np.int64)
     ends = np.r_[first, n * k] * made.dtype.itemsize
     values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(made.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(cell[first], pa.int32()), values], schema=_CELLS)
+    return pa.RecordBatch.from_arrays([pa.array(cell[first].astype(np.int32)), values], schema=_CELLS)
 
 
 class CellJoin:
@@ -198,7 +198,7 @@ class CellJoin:
                 known = made[hot]
                 self.edges.append((known["node"].copy(), np.fromiter((self.whole[int(x)] for x in known["key"]), np.int64, len(known))))
                 made = made[~hot]
-        made = made[np.argsort(made["key"], kind="stable")]
+        made = made[np.argsort(made["key"])]
         key = made["key"]
         same = key[1:] == key[:-1]
         made = made[np.r_[False, same] | np.r_[same, False]] if len(made) else made
