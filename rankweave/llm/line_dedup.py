@@ -30,6 +30,8 @@ LEAST = 1
 HASHES, BANDS = 108, 18
 #: Most of CHECK_BITS one-bit minhashes that may differ between candidates (at 0.8, 6.4 differ on average, 19 or more in 1 of 100,000 pairs).
 CHECK_BITS, MOST = 64, 18
+#: Lines whose entries a task packs at a time.
+SIGNED = 16_384
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("twin", pa.int64()), ("weight", pa.int32())])
 
@@ -111,17 +113,23 @@ def _banded(batches: Iterator[pa.RecordBatch], least: int, cells: int) -> Iterat
         distinct = {_node(s)[0]: s for text in texts_of(batch) for _, s in _lines_from(text, least)}
         if not distinct:
             continue
-        signed, part, held = [], [], 0
-        for line in distinct.values():
-            part.append(line)
-            held += len(line)
-            if held > 60_000:
-                signed.append(line_signatures(part))
-                part, held = [], 0
-        if part:
-            signed.append(line_signatures(part))
-        made = np.concatenate(signed)
-        yield packed(np.fromiter(distinct, np.int64, len(distinct)), band_keys(made), checks_of(made), cells)
+        nodes, lines = np.fromiter(distinct, np.int64, len(distinct)), list(distinct.values())
+        for a in range(0, len(lines), SIGNED):
+            made = np.concatenate(list(_signatures(lines[a : a + SIGNED])))
+            yield packed(nodes[a : a + SIGNED], band_keys(made), checks_of(made), cells)
+
+
+def _signatures(lines: list[str], chars: int = 60_000) -> Iterator[np.ndarray]:
+    """line_signatures() of lines in parts of about `chars` characters, which fit a processor's cache."""
+    part, held = [], 0
+    for line in lines:
+        part.append(line)
+        held += len(line)
+        if held > chars:
+            yield line_signatures(part)
+            part, held = [], 0
+    if part:
+        yield line_signatures(part)
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
