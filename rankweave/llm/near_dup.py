@@ -6,7 +6,8 @@ every way to leave out that many of its symbols, and every pair within the dista
 with probability below 0.0001.) Signatures that share an entry are compared, near ones form candidate groups, and the links of a group are decided on
 the full shingle sets: 100 * intersection >= 75 * union. Components of links are found by distributed star steps.
 
-Equal shingle sets are one node from the start, so copies never meet in pairs.
+Equal shingle sets are one node from the start, so copies never meet in pairs. A node is 64 bits of a hash of its set; 64 others, the twin, tell
+unequal sets of one node apart.
 
 Defined results: a null text, or one without words, has no shingles and is linked with nothing; rows with equal doc_id and
 text are one document; a null doc_id takes part in links, sorts after every id and has component_id null only where its whole component has null ids, and is kept then.
@@ -29,11 +30,11 @@ WORDS = 5
 PERCENT = 75
 SYMBOLS, BITS, CHUNKS, DISTANCE = 40, 16, 11, 21
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("signature", pa.binary())])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, row_key, n_shingles, node (hash of the shingle set) and signature; the last two null without shingles."""
+    """Per document: doc_id, row_key, n_shingles, node and twin (hashes of the shingle set) and signature; the last three null without shingles."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,15 +47,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes = np.fromiter(map(len, full), np.int64, len(full))
                 made = min_hashes((np.concatenate(full) >> np.uint64(32)).astype(np.uint32), np.cumsum(sizes) - sizes, SYMBOLS)
                 signed = iter([x.tobytes() for x in (made & np.uint32((1 << BITS) - 1)).astype("<u2")])
+            halves = [set_hash(s) if len(s) else (None, None) for s in sets]
             columns = [
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([node for node, _ in halves], pa.int64()),
+                pa.array([twin for _, twin in halves], pa.int64()),
                 pa.array([next(signed) if len(s) else None for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=_SIGNED)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node long, signature binary")
+    return keyed.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node long, twin long, signature binary")
 
 
 def entries(symbols: np.ndarray) -> np.ndarray:
@@ -97,21 +100,25 @@ def _entered(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.Recor
 
 
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The signatures table, and (node, component) of the nodes with links."""
+    """The signatures table, and (node, twin, component) of the nodes with links."""
     signed = written(signatures(docs), "signatures")
     some = signed.where("n_shingles > 0")
     cells = cells_of(docs)
     groups = candidate_groups(some.select("node", "signature").mapInArrow(lambda batches: _entered(batches, cells), CELLS_DDL), CHECK_WORDS, _differing, DISTANCE)
-    chosen = some.groupBy("node").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("weight")).join(groups.withColumnRenamed("component", "group"), "node")
+    chosen = some.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min_by("twin", "row_key").alias("twin"), F.max("n_shingles").alias("weight"))
+    chosen = written(chosen.join(groups.withColumnRenamed("component", "group"), "node"), "chosen")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
     members = texts.join(chosen, "row_key").dropDuplicates(["node"])
-    return signed, resolve(members, lambda text, powers: word_shingles(text, powers, WORDS), PERCENT)
+    linked = resolve(members, lambda text, powers: word_shingles(text, powers, WORDS), PERCENT)
+    return signed, linked.join(chosen.select("node", "twin"), "node")
 
 
 def _own(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, row_key, n_shingles, class; the last null without shingles."""
+    """Per document: doc_id, row_key, n_shingles, class (a component, or a shingle set by both halves of its hash); the last null without shingles."""
     signed, linked = near_components(docs)
-    own = signed.join(linked, "node", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("component", "node").alias("class"))
+    alone = F.col("component").isNull()
+    named = F.struct(F.coalesce("component", "node").alias("node"), F.when(alone, F.col("twin")).otherwise(0).alias("twin"), alone.alias("alone"))
+    own = signed.join(linked, ["node", "twin"], "left").select("doc_id", "row_key", "n_shingles", F.when(F.col("node").isNotNull(), named).alias("class"))
     return written(own, "classes")
 
 

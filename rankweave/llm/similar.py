@@ -121,11 +121,12 @@ def min_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def set_hash(hashes: np.ndarray) -> int:
-    """One signed 64-bit hash of a sorted set."""
+def set_hash(hashes: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a sorted set."""
+    size = mixed(np.array([len(hashes)], np.uint64))[0]
     with np.errstate(over="ignore"):
-        h = mixed(hashes * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) ^ mixed(np.array([len(hashes)], np.uint64))[0]
-    return int(np.int64(h.astype(np.int64)))
+        one, two = (mixed(hashes * np.uint64(f)).sum(dtype=np.uint64) ^ size for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+    return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
 def flooded(checks: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> np.ndarray:

@@ -129,6 +129,19 @@ def test_near_duplicates_empty_null_and_repeated(spark):
     assert len(rows) == 4 and sum(r["component_id"] == 4 for r in rows) == 3
 
 
+def test_unequal_sets_of_one_node_are_no_copies(spark, monkeypatch):
+    """With the first half of every hash equal, only equal sets are classes."""
+    whole = similar.set_hash
+    monkeypatch.setattr(near_dup, "set_hash", lambda hashes: (7, whole(hashes)[1]))
+    rng = random.Random(8)
+    texts = [sentence(rng, 40) for _ in range(9)]
+    texts += [texts[2], texts[5].upper(), texts[5], ""]
+    docs = docs_of(spark, texts, list(range(len(texts)))).repartition(3)
+    want = near_brute(texts, range(len(texts)))
+    assert {r["doc_id"]: tuple(r)[1:] for r in near_dup.near_duplicates(docs).collect()} == want
+    assert sorted(r["doc_id"] for r in near_dup.keep_one(docs).collect()) == sorted(i for i, x in want.items() if x[2])
+
+
 def test_blocks_of_a_group(spark, monkeypatch):
     """A large group cut into many blocks has the same links."""
     monkeypatch.setattr(similar, "BLOCK_SHINGLES", 150)
