@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,8 +99,20 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(id_col: Column, text: Column) -> Column:
-    """A key of a row by its id and text: rows that share it are equal for every operator here."""
-    return F.xxhash64(id_col.cast("string"), text)
+    """A key of a row by its id and text, 16 bytes: rows that share it are equal for every operator here. A null differs from every value, in either place."""
+    named = id_col.cast("string")
+    framed = F.concat(F.coalesce(F.concat(F.length(named).cast("string"), F.lit(":"), named), F.lit("-")), F.coalesce(F.concat(F.lit("+"), text.cast("string")), F.lit("-")))
+    return F.unhex(F.md5(framed.cast("binary")))
+
+
+def key_array(column: pa.Array) -> np.ndarray:
+    """Row keys as numpy elements of 16 bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), "V16")
+
+
+def key_column(keys: np.ndarray) -> pa.Array:
+    """The Arrow column of row keys that are numpy elements of 16 bytes."""
+    return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
 
 
 #: Byte table: A-Z lowered, bytes of word characters (0-9, a-z, 0x80 up) kept, all others a space.

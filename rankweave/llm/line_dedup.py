@@ -33,7 +33,7 @@ CHECK_BITS, MOST = 64, 18
 #: Lines whose entries a task packs at a time.
 SIGNED = 16_384
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("twin", pa.int64()), ("weight", pa.int32())])
+_LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("line", pa.int32()), ("node", pa.int64()), ("twin", pa.int64()), ("weight", pa.int32())])
 
 
 def squeezed(line: str) -> str:
@@ -141,7 +141,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     keyed = _keyed(docs)
-    lines = written(keyed.mapInArrow(lambda batches: _lines(batches, least), "doc_id long, row_key long, line int, node long, twin long, weight int"), "lines")
+    lines = written(keyed.mapInArrow(lambda batches: _lines(batches, least), "doc_id long, row_key binary, line int, node long, twin long, weight int"), "lines")
     cells = cells_of(docs)
     groups = candidate_groups(keyed.select("text").mapInArrow(lambda batches: _banded(batches, least, cells), CELLS_DDL), CHECK_BITS // 32, _differing, MOST)
     places = lines.groupBy("node").agg(F.min(F.struct("row_key", "line", "twin")).alias("p"), F.max("weight").alias("weight"))

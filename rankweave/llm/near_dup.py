@@ -30,7 +30,7 @@ WORDS = 5
 PERCENT = 75
 SYMBOLS, BITS, CHUNKS, DISTANCE = 40, 16, 11, 21
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("signature", pa.binary())])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=_SIGNED)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node long, twin long, signature binary")
+    return keyed.mapInArrow(run, "doc_id long, row_key binary, n_shingles long, node long, twin long, signature binary")
 
 
 def entries(symbols: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import bound_batches, release, row_key, texts_of, unused, written
+from rankweave.llm.common import bound_batches, key_array, key_column, release, row_key, texts_of, unused, written
 from rankweave.llm.similar import Powers, mixed
 
 LENGTH = 200
@@ -142,15 +142,15 @@ def refine(pieces: list[bytes], length: int = LENGTH, q: int = Q) -> list[np.nda
     return [active[cuts[i] : cuts[i + 1]] - starts[i] for i in range(len(pieces))]
 
 
-_SEGMENTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("whole", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("many", pa.bool_())])
-_SEGMENTS_DDL = "kind int, bucket long, whole long, row_key long, lo int, n int, many boolean"
+_SEGMENTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("whole", pa.int64()), ("row_key", pa.binary()), ("lo", pa.int32()), ("n", pa.int32()), ("many", pa.bool_())])
+_SEGMENTS_DDL = "kind int, bucket long, whole long, row_key binary, lo int, n int, many boolean"
 #: Rows of kind REPEATED say that the n strings from lo on repeat; OPEN ones are to be compared; MIXED ones are to be refined on their bytes.
 REPEATED, OPEN, MIXED = 0, 1, 2
 
 
 def _batch(kind: int, bucket: np.ndarray, whole: np.ndarray, key: np.ndarray, lo: np.ndarray, n: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
     columns = [np.full(len(key), kind, np.int32), bucket, whole, key, lo.astype(np.int32), n.astype(np.int32), many]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+    return pa.RecordBatch.from_arrays([key_column(c) if f.name == "row_key" else pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
 
 def _collapsed(bucket: np.ndarray, whole: np.ndarray, key: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def _collapsed(bucket: np.ndarray, whole: np.ndarray, key: np.ndarray, lo: np.nd
     many = np.bincount(number)[number] > 1
     yield _batch(OPEN, bucket[first], whole[first], key[first], lo[first], n[first], many[first])
     if many.any():
-        spread = mixed(key[many].view(np.uint64) + lo[many].astype(np.uint64)).view(np.int64)
+        spread = mixed(key[many].view(np.uint64)[::2] + lo[many].astype(np.uint64)).view(np.int64)
         yield _batch(REPEATED, spread, np.zeros(len(spread), np.int64), key[many], lo[many], n[many], many[many])
 
 
@@ -175,7 +175,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             if len(text) * 4 >= LENGTH:
                 bucket, whole, lo, n = segments(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), powers)
-                made.append((bucket, whole, np.full(len(lo), key, np.int64), lo, n))
+                made.append((bucket, whole, np.frombuffer(key * len(lo), "V16"), lo, n))
         if made:
             yield from _collapsed(*(np.concatenate(x) for x in zip(*made, strict=True)))
 
@@ -205,7 +205,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         kind = batch.column(0).to_numpy(zero_copy_only=False)
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)]
+        columns = [key_array(batch.column(i)) if i == 3 else batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)]
         done = kind == REPEATED
         if done.any():
             yield _batch(REPEATED, *(c[done] for c in columns))
@@ -243,7 +243,7 @@ def _compare(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "whole").mapInArrow(_compared, _SEGMENTS_DDL)
 
 
-_PIECES_DDL = "bucket long, row_key long, lo int, n int, hot boolean, piece binary"
+_PIECES_DDL = "bucket long, row_key binary, lo int, n int, hot boolean, piece binary"
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.encode("utf-8", "surrogatepass")
             out += [(w["bucket"], key, w["lo"], w["n"], w["hot"], raw[w["lo"] : w["lo"] + w["n"] - 1 + LENGTH]) for w in wanted]
         columns = list(zip(*out, strict=True)) or [()] * 6
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "row_key", "lo", "n", "hot", "piece"])
 
 
@@ -267,7 +267,7 @@ def _refined(rows: pd.DataFrame) -> pd.DataFrame:
             starts.append(np.full(len(first), i))
             runs.append(np.stack([found[first] + los[i], n], 1))
     if not runs:
-        return pd.DataFrame({"row_key": np.zeros(0, np.int64), "lo": np.zeros(0, np.int32), "n": np.zeros(0, np.int32)})
+        return pd.DataFrame({"row_key": np.zeros(0, object), "lo": np.zeros(0, np.int32), "n": np.zeros(0, np.int32)})
     run = np.concatenate(runs)
     return pd.DataFrame({"row_key": keys[np.concatenate(starts)], "lo": run[:, 0].astype(np.int32), "n": run[:, 1].astype(np.int32)})
 
@@ -279,7 +279,7 @@ def _by_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = []
         for key, lo, n, piece in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
             h = Spans(np.frombuffer(piece, np.uint8), powers).fixed(LENGTH)[:n].view(np.int64)
-            made.append((h, np.zeros(n, np.int64), np.full(n, key, np.int64), lo + np.arange(n), np.ones(n, np.int64)))
+            made.append((h, np.zeros(n, np.int64), np.frombuffer(key * n, "V16"), lo + np.arange(n), np.ones(n, np.int64)))
         if made:
             yield from _collapsed(*(np.concatenate(x) for x in zip(*made, strict=True)))
 
@@ -299,7 +299,7 @@ def repeated_strings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     release(spark)
     size = pieces.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     tasks = max(1, -(-size // TASK_BYTES))
-    refined = pieces.where("not hot").withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInPandas(_refined, "row_key long, lo int, n int")
+    refined = pieces.where("not hot").withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInPandas(_refined, "row_key binary, lo int, n int")
     by_string = _compare(pieces.where("hot").mapInArrow(_by_string, _SEGMENTS_DDL)).where(F.col("kind") == REPEATED).select("row_key", "lo", "n")
     return repeated.unionByName(refined).unionByName(by_string)
 
