@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import decontaminate, fingerprint, html_extract, license_scan, line_dedup, near_dup, packing, quality, suffix_dedup, warc
+from rankweave.llm import decontaminate, fingerprint, html_extract, license_scan, line_dedup, near_dup, packing, phrases, quality, secrets, spelling, suffix_dedup, warc
 from rankweave.llm.common import table
 
 
@@ -51,9 +51,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_lines": op3_lines, "op4_suffix": op4_suffix, "op5_pack": op5_pack, "op6_near": op6_near, "op7_fingerprint": op7_fingerprint, "op8_html": op8_html, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_lines": op3_lines, "op4_suffix": op4_suffix, "op5_pack": op5_pack, "op6_near": op6_near, "op7_fingerprint": op7_fingerprint, "op8_html": op8_html, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate, "op11_phrases": op11_phrases, "op12_secrets": op12_secrets, "op13_spelling": op13_spelling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op4_suffix": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_secrets": secrets.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
