@@ -33,36 +33,113 @@ def metric_of(es: np.ndarray, sign: int, two_sided: bool) -> np.ndarray:
     return np.abs(es) if two_sided else es * (1 if sign >= 0 else -1)
 
 
+#: Sets larger than this are walked by blocks of the list, smaller ones are scored anew at each step.
+BLOCKED = 300
+#: Scores this much below a floor count as at it: block sums are updated, not summed anew.
+SLACK = 1e-12
+
+
+def _proposed(rng: np.random.Generator, inside: np.ndarray, at: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row a member's place, a rank outside the set, and whether one was found."""
+    out = rng.integers(0, k, len(at))
+    new = rng.integers(0, n, len(at))
+    for _ in range(10):
+        taken = inside[at, new]
+        if not taken.any():
+            break
+        new[taken] = rng.integers(0, n, int(taken.sum()))
+    return out, new, ~inside[at, new]
+
+
 def walk(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray, metric: np.ndarray, floor: float, steps: int, sign: int, two_sided: bool) -> tuple[np.ndarray, np.ndarray, float]:
-    """Move each row of hits by `steps` exchanges of a member, kept where the metric stays at floor or above; also the share of kept moves."""
+    """Move each row of hits by `steps` exchanges of a member, kept where the metric stays at floor or above; also the share of kept moves.
+
+    Both ways to decide draw the same numbers and keep the same moves.
+    """
     n, (rows, k) = len(weights), hits.shape
     if k >= n:
         return hits, metric, 0.0
+    if k > BLOCKED and two_sided and floor > SLACK:
+        return _walk_blocks(rng, weights, hits, metric, floor, steps)
     inside = np.zeros((rows, n), bool)
     at = np.arange(rows)
     inside[at[:, None], hits] = True
     hits, metric = hits.copy(), metric.copy()
     kept = 0
     for _ in range(steps):
-        out = rng.integers(0, k, rows)
-        new = rng.integers(0, n, rows)
-        for _ in range(10):
-            taken = inside[at, new]
-            if not taken.any():
-                break
-            new[taken] = rng.integers(0, n, int(taken.sum()))
-        free = ~inside[at, new]
+        out, new, free = _proposed(rng, inside, at, n, k)
         trial = hits.copy()
         trial[at[free], out[free]] = new[free]
-        trial.sort(1)
-        es = metric_of(scores_of_sets(weights, trial), sign, two_sided)
-        good = free & (es >= floor)
+        es = metric_of(scores_of_sets(weights, np.sort(trial, 1)), sign, two_sided)
+        good = free & (es >= floor - SLACK)
         old = hits[at, out]
         inside[at[good], old[good]] = False
         inside[at[good], new[good]] = True
         hits[good], metric[good] = trial[good], es[good]
         kept += int(good.sum())
-    return hits, metric, kept / max(1, rows * steps)
+    return np.sort(hits, 1), metric, kept / max(1, rows * steps)
+
+
+def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray, metric: np.ndarray, floor: float, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """walk() of two-sided scores with running sums by blocks of about sqrt(n) ranks.
+
+    An exchange changes two blocks' counts and weights. The running sum at the blocks' ends often shows that the floor is reached, and what a block can add at most that it
+    isn't; only blocks that leave it open are scanned. The exact metric is computed once, at the end.
+    """
+    n, (rows, k) = len(weights), hits.shape
+    length = max(8, math.isqrt(n))
+    blocks = -(-n // length)
+    w = np.zeros(blocks * length)
+    w[:n] = weights
+    size = np.full(blocks, float(length))
+    size[-1] = n - (blocks - 1) * length
+    at = np.arange(rows)
+    inside = np.zeros((rows, blocks * length), bool)
+    inside[at[:, None], hits] = True
+    by_block = inside.reshape(rows, blocks, length)
+    members = by_block.sum(2).astype(float)
+    held = np.where(by_block, w.reshape(blocks, length), 0.0).sum(2)
+    total = held.sum(1)
+    hits = hits.copy()
+    level, misses = floor - SLACK, float(n - k)
+    start = np.zeros((rows, blocks))
+    kept = 0
+
+    def exchange(which: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
+        inside[which, old] = False
+        inside[which, new] = True
+        members[which, old // length] -= 1
+        members[which, new // length] += 1
+        held[which, old // length] -= w[old]
+        held[which, new // length] += w[new]
+        total[which] += w[new] - w[old]
+
+    for _ in range(steps):
+        out, new, free = _proposed(rng, inside, at, n, k)
+        old = hits[at, out]
+        exchange(at[free], old[free], new[free])
+        usable = total > 0
+        rise = held / np.where(usable, total, 1.0)[:, None]
+        fall = (size - members) / misses
+        end = np.cumsum(rise - fall, 1)
+        start[:, 1:] = end[:, :-1]
+        good = (np.maximum(end, -end) >= level).any(1)
+        row, block = np.nonzero(((start + rise >= level) | (fall - start >= level)) & ~good[:, None])
+        if len(row):
+            there = by_block[row, block]
+            ranks_left = size[block][:, None] > np.arange(length)
+            steps_ = np.where(there, w.reshape(blocks, length)[block] / np.where(usable, total, 1.0)[row][:, None], np.where(ranks_left, -1 / misses, 0.0))
+            course = np.cumsum(steps_, 1) + start[row, block][:, None]
+            reached = (course.max(1) >= level) | (-course.min(1) >= level)
+            good[row[reached]] = True
+        good &= free & usable
+        back = free & ~good
+        if back.any():
+            exchange(at[back], new[back], old[back])
+        hits[at[good], out[good]] = new[good]
+        kept += int(good.sum())
+    hits.sort(1)
+    return hits, np.abs(scores_of_sets(weights, hits)), kept / max(1, rows * steps)
 
 
 def tail_curve(weights: np.ndarray, size: int, sample_size: int, rng: np.random.Generator, eps: float, sign: int = 1, two_sided: bool = True, target: float = math.inf) -> dict:

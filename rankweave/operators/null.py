@@ -1,4 +1,4 @@
-"""Backgrounds of random sets: by hashed permutations in plain SQL, and by numpy in tasks of one size each."""
+"""Backgrounds of random sets: permutations of a list, drawn by generators or by hashes, each of which serves all sizes by its prefixes."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators.enrichment import enrichment
-
 
 def rng_of(seed: int, *parts: object) -> np.random.Generator:
     """A generator that depends on the seed and the unit of work, not on partitions."""
@@ -49,33 +47,103 @@ def random_hits(rng: np.random.Generator, n: int, k: int, sets: int) -> np.ndarr
         hits.sort(1)
 
 
-def rank_weights(ranks: DataFrame, power: float, keys: list[str]) -> DataFrame:
-    """(keys, weights): |score| ** power by rank, one array for each list."""
+def nested_scores(weights: np.ndarray, order: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """(permutations, sizes): scores of the sets that each permutation's first k ranks make, for every size k. order: (permutations, largest size) ranks as drawn.
+
+    The drawn ranks are sorted once; a size's members are those of the sorted ranks that were drawn among the first k.
+    """
+    drawn = np.argsort(order, 1, kind="stable")
+    ranks = np.take_along_axis(order, drawn, 1)
+    return np.stack([scores_of_sets(weights, ranks[drawn < k].reshape(len(order), k)) for k in sizes], 1) if sizes else np.zeros((len(order), 0))
+
+
+def random_order(rng: np.random.Generator, n: int, k: int, perms: int) -> np.ndarray:
+    """The first k ranks of random permutations of range(n)."""
+    return rng.permuted(random_hits(rng, n, k, perms), axis=1)
+
+
+def hashed_order(genes: list[bytes], seed: int, perm: int, k: int) -> np.ndarray:
+    """The first k ranks of the genes by md5(seed|perm|gene); genes are UTF-8 bytes by rank."""
+    import hashlib
+
+    head = f"{seed}|{perm}|".encode()
+    halves = np.frombuffer(b"".join([hashlib.md5(head + g).digest() for g in genes]), ">u8").reshape(-1, 2).astype(np.uint64)
+    last = np.partition(halves[:, 0], k - 1)[k - 1] if k else 0
+    near = np.flatnonzero(halves[:, 0] <= last)
+    return near[np.lexsort((halves[near, 1], halves[near, 0]))][:k]
+
+
+#: Draws of random sets: by numpy's generators, or by hashes that other engines can follow.
+DRAWS = ("random", "hashed")
+#: Shares of the permutations of a list, which are units of work; the draws don't depend on the number of tasks.
+SHARES = 16
+
+
+def rank_weights(ranks: DataFrame, power: float, keys: list[str], genes: bool = False) -> DataFrame:
+    """(keys, weights): |score| ** power by rank, one array for each list; with genes also their names by rank."""
     from rankweave.operators.enrichment import weight
 
-    rows = ranks.select(*keys, "rnk", weight(F.col("score"), power).alias("w"))
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "w"))), lambda x: x["w"]).alias("weights"))
+    rows = ranks.select(*keys, "rnk", weight(F.col("score"), power).alias("w"), *(["gene"] if genes else []))
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rnk", "w", *(["gene"] if genes else [])))).alias("held"))
+    return held.select(*keys, F.col("held.w").alias("weights"), *([F.col("held.gene").alias("genes")] if genes else []))
 
 
-def background(sizes: DataFrame, weights: DataFrame, nperm: int = 500, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
-    """(keys, size, pos_mean, neg_mean) for each (keys, size): means of the scores >= 0 and < 0 of nperm random sets; 1 and -1 where a side is empty."""
-    keys = keys or []
-    work = shared(sizes.select(*keys, F.struct("size").alias("unit")), weights, keys)
+def _drawn(sizes: DataFrame, weights: DataFrame, nperm: int, seed: int, keys: list[str], draws: str, out: str, of_share) -> DataFrame:
+    """What of_share(key values, sizes, share, permutations, scores by permutation and size) returns as rows, for each share of the permutations of each list."""
+    if draws not in DRAWS:
+        raise ValueError(f"draws is one of {DRAWS}")
+    wanted = sizes.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("size").cast("int"))).alias("sizes"))
+    units = wanted.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), "sizes")
+    work = shared(units.select(*keys, F.struct("share", "sizes").alias("unit")), weights, keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
+            made = []
             for row in rows.to_dict("records"):
                 w = np.asarray(row["weights"], float)
-                for k in sorted(int(u["size"]) for u in row["units"]):
-                    rng = rng_of(seed, "background", *[row[c] for c in keys], k)
-                    es = np.concatenate([scores_of_sets(w, random_hits(rng, len(w), min(k, len(w)), m)) for m in _chunks(nperm, k)]) if nperm else np.zeros(0)
-                    up, down = es[es >= 0], es[es < 0]
-                    out.append((*[row[c] for c in keys], k, float(up.mean()) if len(up) else 1.0, float(down.mean()) if len(down) else -1.0))
-            yield pd.DataFrame(out, columns=[*keys, "size", "pos_mean", "neg_mean"])
+                names = [g.encode() for g in row["genes"]] if draws == "hashed" else None
+                for unit in sorted(row["units"], key=lambda u: u["share"]):
+                    share = int(unit["share"])
+                    known = [int(k) for k in unit["sizes"]]
+                    if not known:
+                        continue
+                    ks = [min(k, len(w)) for k in known]
+                    perms = np.arange(share, nperm, SHARES)
+                    rng = rng_of(seed, "background", *[row[c] for c in keys], share)
+                    es = [np.zeros((0, len(ks)))]
+                    at = 0
+                    for m in _chunks(len(perms), ks[-1]):
+                        part = perms[at : at + m]
+                        order = random_order(rng, len(w), ks[-1], m) if names is None else np.stack([hashed_order(names, seed, int(p), ks[-1]) for p in part])
+                        es.append(nested_scores(w, order, ks))
+                        at += m
+                    made += of_share([row[c] for c in keys], known, share, perms, np.concatenate(es))
+            yield pd.DataFrame(made, columns=[*keys, *(x.split()[0] for x in out.split(", "))])
+
+    types = "".join(f"{c} {sizes.schema[c].dataType.simpleString()}, " for c in keys)
+    return work.mapInPandas(run, types + out)
+
+
+def background(sizes: DataFrame, weights: DataFrame, nperm: int = 500, seed: int = 42, keys: list[str] | None = None, draws: str = "random") -> DataFrame:
+    """(keys, size, pos_mean, neg_mean) for each (keys, size): means of the scores >= 0 and < 0 of nperm random sets; 1 and -1 where a side is empty.
+
+    One permutation of a list serves all its sizes by its prefixes. Hashed draws need weights with genes and equal hashed_background()'s.
+    """
+    keys = keys or []
 
-    types = ", ".join(f"{c} {sizes.schema[c].dataType.simpleString()}" for c in keys)
-    return work.mapInPandas(run, f"{types + ', ' if types else ''}size int, pos_mean double, neg_mean double")
+    def sums(key: list, ks: list[int], share: int, perms: np.ndarray, es: np.ndarray) -> list[tuple]:
+        up = es >= 0
+        return [(*key, k, share, float(es[up[:, j], j].sum()), int(up[:, j].sum()), float(es[~up[:, j], j].sum()), int((~up[:, j]).sum())) for j, k in enumerate(ks)]
+
+    made = _drawn(sizes, weights, nperm, seed, keys, draws, "size int, share int, up double, n_up long, down double, n_down long", sums)
+    parts = made.groupBy(*keys, "size").agg(F.array_sort(F.collect_list(F.struct("share", "up", "n_up", "down", "n_down"))).alias("p"))
+
+    def total(c: str):
+        return F.aggregate("p", F.lit(0.0), lambda a, x: a + x[c])  # in the order of shares, so that equal runs have equal sums
+
+    pos = F.when(total("n_up") > 0, total("up") / total("n_up")).otherwise(1.0)
+    neg = F.when(total("n_down") > 0, total("down") / total("n_down")).otherwise(-1.0)
+    return parts.select(*keys, "size", pos.alias("pos_mean"), neg.alias("neg_mean"))
 
 
 def _chunks(total: int, k: int, cells: int = 2_000_000) -> Iterator[int]:
@@ -101,21 +169,15 @@ def shared(units: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hashed_background(ranks: DataFrame, sizes: DataFrame, nperm: int = 100, seed: int = 42, power: float = 1.0) -> DataFrame:
-    """(perm, size, es) of hashed permutations in plain SQL: the first k genes by md5(seed|perm|gene) are permutation perm's random set of size k.
+    """(perm, size, es) of hashed permutations: the first k genes by md5(seed|perm|gene) are permutation perm's random set of size k.
 
-    One permutation serves all sizes. For one list; made for comparison with other engines.
+    One permutation serves all sizes. For one list; any engine with md5 can draw the same sets.
     """
-    perms = ranks.select("gene", "rnk", "score", "n", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))).alias("perm"))
-    order = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), "gene").cast("binary")), "gene")
-    drawn = perms.withColumn("place", F.row_number().over(order))
-    wanted = sorted(r[0] for r in sizes.select("size").distinct().collect())
-    if not wanted:
-        return drawn.where("false").select("perm", F.lit(0).alias("size"), F.lit(0.0).alias("es"))
-    # places beyond the largest size are in no set; the others go to the sizes that reach them
-    held = F.filter(F.array(*[F.lit(int(k)) for k in wanted]), lambda k: k >= F.col("place"))
-    many = drawn.where(F.col("place") <= wanted[-1]).select("perm", F.explode(held).alias("size"), "rnk", "score", "n")
-    named = many.select("perm", F.col("size").cast("string").alias("pathway"), "rnk", "score", "n")
-    return enrichment(named, power, ["perm"]).select("perm", "size", "es")
+
+    def each(key: list, ks: list[int], share: int, perms: np.ndarray, es: np.ndarray) -> list[tuple]:
+        return [(int(p), k, float(es[i, j])) for i, p in enumerate(perms) for j, k in enumerate(ks)]
+
+    return _drawn(sizes, rank_weights(ranks, power, [], genes=True), nperm, seed, [], "hashed", "perm int, size int, es double", each)
 
 
 def means_of(drawn: DataFrame) -> DataFrame:
@@ -126,6 +188,6 @@ def means_of(drawn: DataFrame) -> DataFrame:
 def permutation_p(results: DataFrame, drawn: DataFrame) -> DataFrame:
     """results with pval = (1 + random sets of the size with |es| at least as large) / (1 + their number)."""
     per_size = drawn.groupBy("size").agg(F.collect_list(F.round(F.abs("es"), 12)).alias("null_es"))
-    met = results.join(F.broadcast(per_size), "size", "left")
+    met = results.join(per_size, "size", "left")
     above = F.size(F.filter("null_es", lambda x: x >= F.round(F.abs("es"), 12)))
     return met.withColumn("pval", (1 + above) / (1 + F.size("null_es"))).drop("null_es")

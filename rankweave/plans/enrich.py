@@ -13,8 +13,11 @@ from rankweave.sources import catalog as sources
 COLUMNS = ["pathway", "es", "nes", "pval", "log2err", "size", "n_levels", "padj", "pval_capped"]
 
 
-def enrich_lists(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, nperm_nes: int = 500, gsea_param: float = 1.0, eps: float = 1e-50, score_type: str = "two_sided_abs", use_batched: bool = True, bin_width: int | None = None, precheck: bool = False, calculate_nes: bool = True, keys: list[str] | None = None, background: DataFrame | None = None) -> DataFrame:
-    """Results of ranked lists (keys, gene, score, rnk, n) against (pathway, gene) sets, a list for each key."""
+def enrich_lists(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, nperm_nes: int = 500, gsea_param: float = 1.0, eps: float = 1e-50, score_type: str = "two_sided_abs", use_batched: bool = True, bin_width: int | None = None, precheck: bool = False, calculate_nes: bool = True, keys: list[str] | None = None, background: DataFrame | None = None, draws: str = "random", spread: bool = False) -> DataFrame:
+    """Results of ranked lists (keys, gene, score, rnk, n) against (pathway, gene) sets, a list for each key.
+
+    draws: how the background's random sets are drawn (null.DRAWS); spread adjusts one run over all tasks.
+    """
     keys = keys or []
     met = prep.members(sets, ranks, min_size, max_size, keys)
     length = met.groupBy(*keys, "pathway").agg(F.max("n").alias("n"))
@@ -27,26 +30,28 @@ def enrich_lists(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size
         tested = multilevel.per_set(scored, weights, sample_size, seed, eps, score_type, keys).drop("debug")
     if calculate_nes:
         shared = [] if background is not None else keys
-        means = background if background is not None else null.background(scored.select(*keys, "size").distinct(), weights, nperm_nes, seed, keys)
+        named = null.rank_weights(ranks, gsea_param, keys, genes=True) if draws == "hashed" else weights
+        means = background if background is not None else null.background(scored.select(*keys, "size").distinct(), named, nperm_nes, seed, keys, draws)
         tested = tested.join(means, [*shared, "size"], "left").withColumn("nes", adjust.nes(F.col("es"), F.col("pos_mean"), F.col("neg_mean")))
     else:
         tested = tested.withColumn("nes", F.lit(None).cast("double"))
-    return adjust.flagged(adjust.bh(tested, "pval", keys), eps).select(*keys, *COLUMNS)
+    return adjust.flagged(adjust.bh(tested, "pval", keys, spread=spread), eps).select(*keys, *COLUMNS)
 
 
-def run_gsea(spark: SparkSession, data, sets: DataFrame | Mapping | str, gene_col: str | int = 0, score_col: str | int = 1, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, nperm_nes: int = 500, gsea_param: float = 1.0, eps: float = 1e-50, dedup_genes: str = "max_abs", order_col: str | None = None, score_type: str = "two_sided_abs", use_batched: bool = True, bin_width: int | None = None, precheck: bool = False, calculate_nes: bool = True) -> DataFrame:
+def run_gsea(spark: SparkSession, data, sets: DataFrame | Mapping | str, gene_col: str | int = 0, score_col: str | int = 1, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, nperm_nes: int = 500, gsea_param: float = 1.0, eps: float = 1e-50, dedup_genes: str = "max_abs", order_col: str | None = None, score_type: str = "two_sided_abs", use_batched: bool = True, bin_width: int | None = None, precheck: bool = False, calculate_nes: bool = True, draws: str = "random", spread: bool = False) -> DataFrame:
     """Enrichment of one list of scores: pathway, es, nes, pval, log2err, size, n_levels, padj, pval_capped, by rising p.
 
     data: a DataFrame, pandas DataFrame or Series, or dict; sets: a DataFrame, dict or GMT path. Always has its columns,
-    also when no set qualifies. Non-finite scores are dropped, repeated members count once.
+    also when no set qualifies. Non-finite scores are dropped, repeated members count once. spread ranks the list and adjusts the
+    results over all tasks; the results are the same.
     """
     if order_col is not None:
         scores = data.select(F.col(gene_col if isinstance(gene_col, str) else data.columns[gene_col]).cast("string").alias("gene"), F.col(score_col if isinstance(score_col, str) else data.columns[score_col]).cast("double").alias("score"), order_col)
     else:
         scores = sources.scores_of(spark, data, gene_col, score_col)
     asked = {k: v for k, v in locals().items() if k not in ("spark", "data", "sets", "scores")}
-    ranks = prep.ranked(prep.deduplicated(scores, dedup_genes, order=order_col)).persist()
-    found = enrich_lists(ranks, sources.catalog(spark, sets), min_size, max_size, sample_size, seed, nperm_nes, gsea_param, eps, score_type, use_batched, bin_width, precheck, calculate_nes)
+    ranks = prep.ranked(prep.deduplicated(scores, dedup_genes, order=order_col), spread=spread).persist()
+    found = enrich_lists(ranks, sources.catalog(spark, sets), min_size, max_size, sample_size, seed, nperm_nes, gsea_param, eps, score_type, use_batched, bin_width, precheck, calculate_nes, draws=draws, spread=spread)
     return _noted(found.orderBy("pval", "pathway"), asked)
 
 

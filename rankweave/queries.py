@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankweave.operators import adjust, analytics, anchors, enrichment, multilevel, null, prep, trajectory
+from rankweave.operators import adjust, analytics, anchors, enrichment, multilevel, null, prep, replicates, trajectory
 from rankweave.plans import enrich, plots
 from rankweave.sources import catalog as sources
 from rankweave.sources import synthetic
@@ -24,6 +24,9 @@ CUT = "1998-06-01"
 CELLS, STEP = 5000, 2500
 DENSE, DENSE_STEP = 100, 50
 PERMS = 40
+#: Permutations with which Monte-Carlo results are compared, and the size of their samples.
+MANY, SAMPLE = 2000, 1001
+REPLICATES = 20
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -102,21 +105,44 @@ def _gsea(spark: SparkSession, d: str) -> DataFrame:
     return adjust.flagged(adjust.bh(tested), 1 / (1 + PERMS)).select("pathway", "size", "es", "nes", "pval", "padj", "pval_capped")
 
 
-GSEA = f"""WITH {SCORES}, {_sets_sql()}, {es_sql()},
-sizes AS (SELECT DISTINCT size FROM es),
-drawn AS (SELECT gene, rnk, score, n, perm, row_number() OVER (PARTITION BY perm ORDER BY md5('42|' || perm || '|' || gene), gene) AS place FROM ranks, range({PERMS}) t(perm)),
-random AS (SELECT perm, size AS k, size::VARCHAR AS pathway, rnk, score, n FROM drawn JOIN sizes ON place <= size),
-{es_sql("random", keys="perm, ", name="rs")},
-means AS (SELECT size, coalesce(avg(CASE WHEN es >= 0 THEN es END), 1.0) AS pos_mean, coalesce(avg(CASE WHEN es < 0 THEN es END), -1.0) AS neg_mean FROM rs GROUP BY size),
-tested AS (
-  SELECT es.pathway, es.size, es.es, pos_mean, neg_mean,
-         (1 + (SELECT count(*) FROM rs WHERE rs.size = es.size AND round(abs(rs.es), 12) >= round(abs(es.es), 12))) / (1.0 + {PERMS}) AS pval
-  FROM es JOIN means USING (size)),
+def draws_sql(perms: int = PERMS, seed: int = 42, tag: str = "") -> str:
+    """CTEs ending in rs (perm, k, size, es) and means (size, pos_mean, neg_mean) of hashed random sets of the sizes in es. tag: goes to the names."""
+    return f"""
+sizes{tag} AS (SELECT DISTINCT size FROM es),
+drawn{tag} AS (SELECT gene, rnk, score, n, perm, row_number() OVER (PARTITION BY perm ORDER BY md5('{seed}|' || perm || '|' || gene), gene) AS place FROM ranks, range({perms}) t(perm)),
+random{tag} AS (SELECT perm, size AS k, size::VARCHAR AS pathway, rnk, score, n FROM drawn{tag} JOIN sizes{tag} ON place <= size),
+{es_sql(f"random{tag}", keys="perm, ", name=f"rs{tag}")},
+means{tag} AS (SELECT size, coalesce(avg(CASE WHEN es >= 0 THEN es END), 1.0) AS pos_mean, coalesce(avg(CASE WHEN es < 0 THEN es END), -1.0) AS neg_mean FROM rs{tag} GROUP BY size)"""
+
+
+def tested_sql(perms: int = PERMS, found: str = "es", keys: str = "", tag: str = "", name: str = "tested") -> str:
+    """A CTE (keys, pathway, size, es, nes, pos_mean, neg_mean, pval) of found's sets against rs. keys: names, each with a comma."""
+    return f"""
+{name} AS (
+  SELECT {keys} pathway, f.size, f.es, pos_mean, neg_mean,
+         CASE WHEN f.es > 0 THEN CASE WHEN pos_mean > 1e-9 THEN f.es / pos_mean END WHEN f.es < 0 THEN CASE WHEN abs(neg_mean) > 1e-9 THEN f.es / abs(neg_mean) END ELSE 0.0 END AS nes,
+         (1 + (SELECT count(*) FROM rs{tag} r WHERE r.size = f.size AND round(abs(r.es), 12) >= round(abs(f.es), 12))) / (1.0 + {perms}) AS pval
+  FROM {found} f JOIN means{tag} USING (size))"""
+
+
+def gsea_sql(perms: int = PERMS) -> str:
+    """CTEs ending in tested and adjusted, of the sets of brands."""
+    return f"""WITH {SCORES}, {_sets_sql()}, {es_sql()}, {draws_sql(perms)}, {tested_sql(perms)},
 ordered AS (SELECT *, row_number() OVER (ORDER BY pval, pathway) AS r, count(*) OVER () AS m FROM tested),
 adjusted AS (SELECT *, least(1.0, min(pval * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM ordered)
 """
 
 
+GSEA = gsea_sql()
+
+#: CTEs after base and es: the lists of the replicates, and es_r (replicate, pathway, size, es).
+REPLICATED = f"""
+dealt AS (SELECT replicate::INT AS replicate, gene, row_number() OVER (PARTITION BY replicate ORDER BY md5('replicate|42|' || replicate || '|' || gene), gene) - 1 AS rnk FROM ranks, range({REPLICATES}) t(replicate)),
+listed_r AS (SELECT replicate, dealt.gene, dealt.rnk, ranks.score, ranks.n FROM dealt JOIN ranks USING (rnk)),
+met_r AS (SELECT * FROM (SELECT replicate, pathway, gene, rnk, score, n, count(*) OVER (PARTITION BY replicate, pathway) AS size FROM sets JOIN listed_r USING (gene)) WHERE size BETWEEN 15 AND 5000),
+{es_sql("met_r", keys="replicate, ", name="es_r")}"""
+
+
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     cells = _table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("cell_id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("pseudotime"), F.col("o_orderstatus").alias("lineage"))
     return trajectory.ordered_cells(cells)
@@ -191,10 +217,11 @@ def run_trajectory(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, expression, cells, named, window_size=DENSE, step=DENSE_STEP, nperm_nes=100)
 
 
-def nes_background(spark: SparkSession, d: str) -> DataFrame:
+def nes_background(spark: SparkSession, d: str, perms: int = 500) -> DataFrame:
+    """Means of hashed random sets of the brands' sizes."""
     r = ranks(spark, d).persist()
     sizes = prep.members(sets(spark, d), r, 15, 5000).select("size").distinct()
-    return null.background(sizes, null.rank_weights(r, 1.0, []), 500)
+    return _rounded(null.background(sizes, null.rank_weights(r, 1.0, [], genes=True), perms, draws="hashed"), "pos_mean", "neg_mean")
 
 
 def tail_query(spark: SparkSession, d: str) -> DataFrame:
@@ -325,21 +352,74 @@ def verified(found: DataFrame, keys: list[str] | None = None, eps: float = 1e-50
     )
 
 
-def compared(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
-    """verified(), the p-value of hashed permutations, and whether p and NES agree with them within the sampling error of so few."""
-    plain = _gsea(spark, d).select("pathway", F.col("pval").alias("perm_p"), F.col("nes").alias("perm_nes"))
-    met_ = found.join(plain, "pathway")
-    error = F.sqrt(F.greatest(F.col("perm_p") * (1 - F.col("perm_p")), F.lit(0.03)) / PERMS)
-    close = met_.select("pathway", F.round("perm_p", 8).alias("perm_p"), (F.abs(F.col("pval") - F.col("perm_p")) <= 4.5 * error).alias("p_close"), (F.abs(F.col("nes") - F.col("perm_nes")) <= 0.5 * F.abs("perm_nes") + 0.05).alias("nes_close"))
-    return verified(found).join(close, "pathway")
+def close(p: str, perm_p: str) -> F.Column:
+    """Whether a splitting p-value of SAMPLE walkers and a permutation p-value of MANY draws are within 4.5 standard errors of each other.
+
+    A level of a splitting chain has a relative error of about 1 / sqrt(SAMPLE), and there are about log2(1 / p) levels.
+    """
+    plain = F.col(perm_p) * (1 - F.col(perm_p)) / MANY
+    chain = F.pow(F.col(perm_p), 2) * (1 + F.log2(1 / F.col(perm_p))) / SAMPLE
+    return F.abs(F.col(p) - F.col(perm_p)) <= 4.5 * F.sqrt(F.greatest(plain, F.lit(1 / MANY**2)) + 2 * chain)
+
+
+def compared(spark: SparkSession, d: str, use_batched: bool) -> DataFrame:
+    """A run with hashed background: scores and normalised scores, verified(), the p-value of MANY hashed permutations, and whether the run's is close to it."""
+    listed = ranks(spark, d).persist()
+    found = enrich.run_gsea(spark, scores(spark, d), sets(spark, d), max_size=5000, sample_size=SAMPLE, nperm_nes=MANY, use_batched=use_batched, draws="hashed")
+    drawn = null.hashed_background(listed, found.select("size"), MANY)
+    plain = null.permutation_p(found.select("pathway", "size", "es"), drawn).select("pathway", F.col("pval").alias("perm_p"))
+    near = found.join(plain, "pathway").select("pathway", F.round("nes", 8).alias("nes"), F.round("perm_p", 8).alias("perm_p"), close("pval", "perm_p").alias("p_close"))
+    return verified(found).join(near, "pathway")
 
 
 def background_compared(spark: SparkSession, d: str) -> DataFrame:
-    """Means of hashed permutations, and whether the sampler's are within the error of so few."""
+    """Means of hashed permutations, and whether those of 4,000 generated ones are within 5 percent and the error of so few."""
     hashed = null.means_of(_hashed(spark, d)[1])
-    both = nes_background(spark, d).select("size", F.col("pos_mean").alias("p"), F.col("neg_mean").alias("n")).join(hashed, "size")
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.5 * F.abs(b)
-    return _rounded(both.select("size", "pos_mean", "neg_mean", (near("p", "pos_mean") & near("n", "neg_mean")).alias("close")), "pos_mean", "neg_mean")
+    r = ranks(spark, d).persist()
+    drawn = null.background(hashed.select("size"), null.rank_weights(r, 1.0, []), 4000)
+    exact = null.background(hashed.select("size"), null.rank_weights(r, 1.0, [], genes=True), 4000, draws="hashed")
+    names = {"pos_mean": "p", "neg_mean": "n"}
+    both = hashed.join(drawn.select("size", F.col("pos_mean").alias("p"), F.col("neg_mean").alias("n")), "size").join(exact.select("size", F.col("pos_mean").alias("ep"), F.col("neg_mean").alias("en")), "size")
+    near = [F.abs(F.col(x) - F.col(f"e{x}")) <= 0.05 * F.abs(f"e{x}") for x in names.values()]
+    return _rounded(both.select("size", "pos_mean", "neg_mean", (near[0] & near[1]).alias("close")), "pos_mean", "neg_mean")
+
+
+def replicate_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(replicate, pathway, size, es, nes, pval) of REPLICATES null lists, by hashed permutations."""
+    listed = ranks(spark, d).persist()
+    lists = replicates.permuted_lists(listed, REPLICATES)
+    found = enrichment.enrichment(prep.members(sets(spark, d), lists, 15, 5000, ["replicate"]), 1.0, ["replicate"]).persist()
+    drawn = null.hashed_background(listed, found.select("size"), MANY).persist()
+    tested = null.permutation_p(found, drawn).join(null.means_of(drawn), "size")
+    nes = adjust.nes(F.col("es"), F.col("pos_mean"), F.col("neg_mean"))
+    return tested.select("replicate", "pathway", "size", "es", nes.alias("nes"), "pval")
+
+
+def replicates_compared(spark: SparkSession, d: str) -> DataFrame:
+    """The same replicates by splitting, all in one run: permutation p-values, and whether the run's are close to them."""
+    lists = replicates.permuted_lists(ranks(spark, d), REPLICATES).persist()
+    found = enrich.enrich_lists(lists, sets(spark, d), 15, 5000, SAMPLE, calculate_nes=False, keys=["replicate"]).select("replicate", "pathway", "pval")
+    plain = replicate_scores(spark, d).select("replicate", "pathway", F.col("pval").alias("perm_p"))
+    return found.join(plain, ["replicate", "pathway"]).select("replicate", "pathway", F.round("perm_p", 8).alias("perm_p"), close("pval", "perm_p").alias("p_close"))
+
+
+def replicates_calibrated(spark: SparkSession, d: str) -> DataFrame:
+    """Calibration of splitting p-values over all replicates: whether their largest distance from the uniform distribution and their share below 0.05 keep to bounds."""
+    lists = replicates.permuted_lists(ranks(spark, d), REPLICATES).persist()
+    found = enrich.enrich_lists(lists, sets(spark, d), 15, 5000, SAMPLE, calculate_nes=False, keys=["replicate"])
+    made = replicates.pooled_calibration(found.select("replicate", "pathway", "pval"))
+    return made.select("replicates", "n", F.round("ks_bound", 8).alias("ks_bound"), F.round("below_bound", 8).alias("below_bound"), (F.col("ks") <= F.col("ks_bound")).alias("uniform"), (F.abs(F.col("below_05") - 0.05) <= F.col("below_bound")).alias("level_right"))
+
+
+def seeds(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Results by hashed permutations of two seeds."""
+    found = enrichment.enrichment(met(spark, d)).persist()
+    out = []
+    for seed in (42, 43):
+        drawn = null.hashed_background(ranks(spark, d), found.select("size"), PERMS, seed).persist()
+        tested = null.permutation_p(found, drawn).join(null.means_of(drawn), "size")
+        out.append(tested.withColumn("nes", adjust.nes(F.col("es"), F.col("pos_mean"), F.col("neg_mean"))).select("pathway", "nes", "pval"))
+    return out
 
 
 def runner(spark: SparkSession, d: str) -> DataFrame:
@@ -464,8 +544,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "synthetic": made_up,
         "pseudotime": pseudotimes,
         "nes_background_compared": background_compared,
-        "run_gsea_compared": lambda s, d: compared(s, d, run_gsea(s, d)),
-        "run_gsea_per_set_compared": lambda s, d: compared(s, d, run_gsea_per_set(s, d)),
+        "run_gsea_compared": lambda s, d: compared(s, d, True),
+        "run_gsea_per_set_compared": lambda s, d: compared(s, d, False),
+        "replicate_scores": lambda s, d: _rounded(replicate_scores(s, d), "es", "nes", "pval"),
+        "replicates_compared": replicates_compared,
+        "replicates_calibrated": replicates_calibrated,
+        "replicate_calibration": lambda s, d: _rounded(analytics.calibration(replicate_scores(s, d)), "ks", "below_05"),
+        "replicate_qq": lambda s, d: _rounded(analytics.qq(replicate_scores(s, d)), "expected", "observed", "ecdf"),
+        "replicate_stability": lambda s, d: _rounded(analytics.stability(replicate_scores(s, d)), "mean", "sd", "low", "high", "cv"),
+        "replicate_tail_band": lambda s, d: _rounded(analytics.tail_band(replicate_scores(s, d), _gsea(s, d)), "low", "high", "x"),
+        "seed_agreement": lambda s, d: _rounded(analytics.agreement(*seeds(s, d)), "rmse", "mae", "most", "logp_mae"),
+        "seed_bland_altman": lambda s, d: _rounded(analytics.bland_altman(*seeds(s, d)).drop("tost_p"), "bias", "low", "high"),
         "run_gsea_many_sets_verified": lambda s, d: verified(run_gsea_many_sets(s, d)),
         "run_gsea_one_sided_verified": lambda s, d: verified(run_gsea_one_sided(s, d)),
         "run_trajectory_verified": lambda s, d: verified(run_trajectory(s, d), ["window_id"]),
@@ -526,6 +615,8 @@ def oracle_sql() -> dict[str, str]:
         u AS (SELECT pathway, -log10(greatest(pval, 1e-300)) AS x FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
         o AS (SELECT *, row_number() OVER (ORDER BY pval, pathway) AS i, count(*) OVER () AS n, cume_dist() OVER (ORDER BY pval) AS c FROM a),
         j AS (SELECT a.pathway, a.nes - b.nes AS d, abs(log10(a.pval + 1e-300) - log10(b.pval + 1e-300)) AS lp FROM a JOIN b USING (pathway))"""
+    replicated = f"{base}, {es_sql()}, {draws_sql(MANY)}, {REPLICATED}, {tested_sql(MANY, 'es_r', 'replicate, ', name='tested_r')}"
+    two_seeds = f"{base}, {es_sql()}, {draws_sql(PERMS, 42, '_a')}, {tested_sql(PERMS, tag='_a', name='ta')}, {draws_sql(PERMS, 43, '_b')}, {tested_sql(PERMS, tag='_b', name='tb')}, j AS (SELECT ta.nes - tb.nes AS d, abs(log10(ta.pval + 1e-300) - log10(tb.pval + 1e-300)) AS lp FROM ta JOIN tb USING (pathway))"
     sure = "true AS p_right, true AS padj_right, true AS nes_right"
     many = f"WITH {SCORES}, sets AS (SELECT p_brand || '/' || p_size AS pathway, p_partkey::VARCHAR AS gene FROM part), met AS (SELECT * FROM (SELECT pathway, gene, rnk, score, n, count(*) OVER (PARTITION BY pathway) AS size FROM sets JOIN ranks USING (gene)) WHERE size BETWEEN 2 AND 5000), {es_sql()}"
     typed = f"WITH {SCORES}, {_sets_sql('p_type', 15, 10**9)}, {es_sql()}"
@@ -581,8 +672,18 @@ def oracle_sql() -> dict[str, str]:
         "synthetic": "SELECT * FROM (VALUES (3000::BIGINT, true, 'scores'), (30, true, 'sets'), (3, true, 'tails'), (2750, true, 'tied')) t(n, \"right\", what)",
         "pseudotime": "SELECT vec_id::VARCHAR AS cell_id, true AS in_range, vec_id = 7 AS is_root FROM embeddings",
         "nes_background_compared": GSEA + "SELECT size, round(pos_mean, 8) AS pos_mean, round(neg_mean, 8) AS neg_mean, true AS close FROM means",
-        "run_gsea_compared": GSEA + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(pval, 8) AS perm_p, true AS p_close, true AS nes_close FROM tested",
-        "run_gsea_per_set_compared": GSEA + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(pval, 8) AS perm_p, true AS p_close, true AS nes_close FROM tested",
+        "run_gsea_compared": gsea_sql(MANY) + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(nes, 8) AS nes, round(pval, 8) AS perm_p, true AS p_close FROM tested",
+        "run_gsea_per_set_compared": gsea_sql(MANY) + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(nes, 8) AS nes, round(pval, 8) AS perm_p, true AS p_close FROM tested",
+        "nes_background": gsea_sql(500) + "SELECT size, round(pos_mean, 8) AS pos_mean, round(neg_mean, 8) AS neg_mean FROM means",
+        "replicate_scores": f"{replicated} SELECT replicate, pathway, size, round(es, 8) AS es, round(nes, 8) AS nes, round(pval, 8) AS pval FROM tested_r",
+        "replicates_compared": f"{replicated} SELECT replicate, pathway, round(pval, 8) AS perm_p, true AS p_close FROM tested_r",
+        "replicates_calibrated": f"{base}, {es_sql()}, c AS (SELECT {REPLICATES} * count(*) AS n FROM es) SELECT {REPLICATES}::BIGINT AS replicates, n, round(1.95 / sqrt(n), 8) AS ks_bound, round(3.3 * sqrt(0.05 * 0.95 / n), 8) AS below_bound, true AS uniform, true AS level_right FROM c",
+        "replicate_calibration": f"{replicated}, o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY replicate) AS n FROM tested_r WINDOW w AS (PARTITION BY replicate ORDER BY pval, pathway)) SELECT replicate, round(max(abs(i / n::DOUBLE - pval)), 8) AS ks, round(avg((pval < 0.05)::INT::DOUBLE), 8) AS below_05, max(n) AS n FROM o GROUP BY replicate",
+        "replicate_qq": f"{replicated} SELECT replicate, pathway, round(-log10(row_number() OVER (PARTITION BY replicate ORDER BY pval, pathway) / (count(*) OVER (PARTITION BY replicate) + 1.0)), 8) AS expected, round(-log10(pval), 8) AS observed, round(cume_dist() OVER (PARTITION BY replicate ORDER BY pval), 8) AS ecdf FROM tested_r",
+        "replicate_stability": f"{replicated}, u AS (SELECT pathway, -log10(pval) AS x FROM tested_r) SELECT pathway, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS sd, round(min(x), 8) AS low, round(max(x), 8) AS high, round(stddev_samp(x) / avg(x), 8) AS cv FROM u GROUP BY pathway",
+        "replicate_tail_band": f"{replicated}, {draws_sql(PERMS, 42, '_f')}, {tested_sql(PERMS, tag='_f')}, q AS (SELECT pathway, quantile_cont(-log10(pval), 0.025) AS low, quantile_cont(-log10(pval), 0.975) AS high FROM tested_r GROUP BY pathway) SELECT pathway, round(low, 8) AS low, round(high, 8) AS high, round(-log10(pval), 8) AS x, -log10(pval) BETWEEN low AND high AS inside FROM tested JOIN q USING (pathway)",
+        "seed_agreement": f"{two_seeds} SELECT count(*) AS n, round(sqrt(avg(d * d)), 8) AS rmse, round(avg(abs(d)), 8) AS mae, round(max(abs(d)), 8) AS most, round(avg(lp), 8) AS logp_mae, sum((abs(d) > 0.1)::INT)::BIGINT AS outliers FROM j",
+        "seed_bland_altman": f"{two_seeds} SELECT count(*) AS n, round(avg(d), 8) AS bias, round(avg(d) - 1.96 * stddev_pop(d), 8) AS low, round(avg(d) + 1.96 * stddev_pop(d), 8) AS high FROM j",
         "run_gsea_many_sets_verified": f"{many} SELECT pathway, size, round(es, 6) AS es, {sure} FROM es",
         "run_gsea_one_sided_verified": f"{typed} SELECT pathway, size, round(es, 6) AS es, {sure} FROM es",
         "run_trajectory_verified": f"{dense} SELECT window_id::INT AS window_id, pathway, size, round(es, 6) AS es, {sure} FROM es",
