@@ -100,9 +100,10 @@ def ascii_lower(text: Column) -> Column:
 
 def row_key(id_col: Column, text: Column) -> Column:
     """A key of a row by its id and text, 16 bytes: rows that share it are equal for every operator here. A null differs from every value, in either place."""
-    named = id_col.cast("string")
-    framed = F.concat(F.coalesce(F.concat(F.length(named).cast("string"), F.lit(":"), named), F.lit("-")), F.coalesce(F.concat(F.lit("+"), text.cast("string")), F.lit("-")))
-    return F.unhex(F.md5(framed.cast("binary")))
+    named, whole = id_col.cast("string"), text.cast("string")
+    # two chains of different seeds, each with the nulls as values of their own
+    halves = [F.xxhash64(F.lit(salt), named.isNull(), named, whole.isNull(), whole) for salt in (1, 2)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
 
 
 def key_array(column: pa.Array) -> np.ndarray:

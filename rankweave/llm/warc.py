@@ -217,21 +217,28 @@ def _named(lines: bytes) -> dict[str, str]:
     return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines.decode("utf-8", "replace").split("\r\n")) if v}
 
 
+#: Bytes of a file that are decompressed at a time: what a member leaves of them is read again.
+CHUNK = 16 << 10
+
+
 def _members(raw: bytes) -> Iterator[bytes]:
     """The gzip members of a file, one after the other, or the file itself where it isn't compressed; a member that is cut off or broken ends it."""
     if not raw.startswith(b"\x1f\x8b"):
         yield raw
         return
-    while raw:
-        one = zlib.decompressobj(31)
-        try:
-            made = one.decompress(raw)
-        except zlib.error:
-            return
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        one, made = zlib.decompressobj(31), []
+        while not one.eof and at < len(raw):
+            part = view[at : at + CHUNK]
+            try:
+                made.append(one.decompress(part))
+            except zlib.error:
+                return
+            at += len(part) - len(one.unused_data)
         if not one.eof:
             return
-        yield made
-        raw = one.unused_data
+        yield b"".join(made)
 
 
 def _number(name: str) -> int | None:

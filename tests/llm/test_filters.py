@@ -335,6 +335,18 @@ def test_warc_files_as_crawlers_write_them(spark, tmp_path):
     assert [r["status"] for r in done] == ["resolved"] * 2 and all(r["headers"]["etag"] == 'W/"x"' for r in done)
 
 
+def test_many_members_take_time_in_proportion():
+    rng = random.Random(4)
+    one = [gzip.compress(warc.write_record(k, f"http://a.org/{k}", k, "response", {}, "".join(rng.choices("abcdefgh ", k=2000)))) for k in range(500)]
+    raw = b"".join(one * 40)
+    began = time.perf_counter()
+    found = [r["record_id"] for r in warc.read_records(raw)]
+    assert len(found) == 20_000 and found[:500] == list(range(500)) and time.perf_counter() - began < 20
+    long = warc.write_record(7, "http://b.org", 1, "response", {}, "x" * 3 * warc.CHUNK + "é")
+    cut = gzip.compress(long) + gzip.compress(long)[:-9]
+    assert [(r["record_id"], len(r["body"])) for r in warc.read_records(gzip.compress(b"") + cut)] == [(7, 3 * warc.CHUNK + 1)]
+
+
 def test_an_outlier_in_time_leaves_the_slices_even(spark):
     times = [*range(1000), 10**15, None]
     rows = spark.createDataFrame([(t,) for t in times], "ts long")
