@@ -16,6 +16,7 @@ from rankweave.api import (  # noqa: E402
     get_random_es_means,
     load_gmt,
     multilevel_batched,
+    multilevel_batched_scores,
     multilevel_per_set,
     plot_pathway_dynamics,
     plot_trajectory_heatmap,
@@ -29,6 +30,6 @@ from rankweave.api import (  # noqa: E402
 )
 
 __all__ = [
-    "GseaRunner", "build_tail_curve", "calculate_es", "get_random_es_means", "load_gmt", "multilevel_batched", "multilevel_per_set", "plot_pathway_dynamics",
+    "GseaRunner", "build_tail_curve", "calculate_es", "get_random_es_means", "load_gmt", "multilevel_batched", "multilevel_batched_scores", "multilevel_per_set", "plot_pathway_dynamics",
     "plot_trajectory_heatmap", "prepare_pathways", "query_tail_curve", "run", "run_gsea", "run_params", "run_pipeline", "run_trajectory_gsea",
 ]

@@ -9,14 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from rankweave.operators import multilevel, null, prep
-from rankweave.plans.enrich import GseaRunner, run_gsea, run_params
+from rankweave.plans.enrich import GseaRunner, enrich_lists, run_gsea, run_params
 from rankweave.plans.plots import plot_pathway_dynamics, plot_trajectory_heatmap
 from rankweave.plans.trajectory import run_pipeline
 from rankweave.plans.trajectory import run_trajectory as run_trajectory_gsea
 from rankweave.sources import catalog as _sources
 
 __all__ = [
-    "GseaRunner", "build_tail_curve", "calculate_es", "get_random_es_means", "load_gmt", "multilevel_batched", "multilevel_per_set", "plot_pathway_dynamics",
+    "GseaRunner", "build_tail_curve", "calculate_es", "get_random_es_means", "load_gmt", "multilevel_batched", "multilevel_batched_scores", "multilevel_per_set", "plot_pathway_dynamics",
     "plot_trajectory_heatmap", "prepare_pathways", "query_tail_curve", "run", "run_gsea", "run_params", "run_pipeline", "run_trajectory_gsea",
 ]
 
@@ -82,6 +82,11 @@ def multilevel_batched(spark: SparkSession, scores, sets, **params) -> DataFrame
     return run_gsea(spark, scores, sets, use_batched=True, **params)
 
 
+def multilevel_batched_scores(ranks: DataFrame, sets: DataFrame, **params) -> DataFrame:
+    """Many lists (list, gene, score) side by side, each with its own curves."""
+    return enrich_lists(prep.ranked(prep.deduplicated(ranks, keys=["list"]), ["list"]), sets, keys=["list"], **params)
+
+
 def multilevel_per_set(spark: SparkSession, scores, sets, **params) -> DataFrame:
     """run_gsea() with a splitting chain for each set."""
     return run_gsea(spark, scores, sets, use_batched=False, **params)

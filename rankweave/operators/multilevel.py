@@ -19,6 +19,8 @@ from rankweave.operators.null import random_hits, rng_of, scores_of_sets, shared
 SCORE_TYPES = ("two_sided_abs", "one_sided_signed")
 MAX_LEVELS = 2000
 TINY = 1e-9
+#: The levels that a set has passed: threshold, log probability of reaching it, and the share of accepted moves of a chain of its own.
+TRACE = "array<struct<level: int, threshold: double, log_prob: double, accept_rate: double>>"
 CURVE_DDL = "thresholds array<double>, log_probs array<double>, populations array<array<double>>, sample_size int"
 
 
@@ -193,7 +195,7 @@ def _checked(sample_size: int, score_type: str) -> bool:
 
 
 def batched(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed: int = 42, eps: float = 1e-50, score_type: str = "two_sided_abs", bin_width: int | None = None, precheck: bool = False, precheck_n: int = 64, precheck_eps: float = 0.005, keys: list[str] | None = None) -> DataFrame:
-    """results (keys, pathway, size, es, n) with pval, log2err, n_levels, from one curve for each (keys, size bin, sign).
+    """results (keys, pathway, size, es, n) with pval, log2err, n_levels and trace (level, threshold, log_prob, accept_rate), from one curve for each (keys, size bin, sign).
 
     A curve ends beyond its most extreme observed score. With precheck a cheap curve serves the bin if that score isn't rare.
     """
@@ -228,7 +230,8 @@ def batched(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed
     met = sized.join(curves, [*keys, "__bin", "__sign"], "left")
     p, err = query_curve(F.col("__curve"), metric, eps)
     level = F.when(F.col("__curve").isNotNull(), F.size(F.filter(F.col("__curve")["thresholds"], lambda t: metric >= t)))
-    return met.withColumn("pval", p).withColumn("log2err", err).withColumn("n_levels", level).drop("__bin", "__sign", "__curve")
+    passed = F.transform(F.slice(F.col("__curve")["thresholds"], 1, level), lambda t, i: F.struct((i + 1).alias("level"), t.alias("threshold"), F.get(F.col("__curve")["log_probs"], i + 1).alias("log_prob"), F.lit(None).cast("double").alias("accept_rate")))
+    return met.withColumn("pval", p).withColumn("log2err", err).withColumn("n_levels", level).withColumn("trace", F.coalesce(passed, F.expr(f"cast(array() as {TRACE})"))).drop("__bin", "__sign", "__curve")
 
 
 def chain_p(weights: np.ndarray, size: int, es: float, sample_size: int, rng: np.random.Generator, eps: float, two_sided: bool = True) -> tuple[float, float, list[float], list[float], int]:
@@ -265,7 +268,7 @@ def chain_p(weights: np.ndarray, size: int, es: float, sample_size: int, rng: np
 
 
 def per_set(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed: int = 42, eps: float = 1e-50, score_type: str = "two_sided_abs", keys: list[str] | None = None) -> DataFrame:
-    """results (keys, pathway, size, es) with pval, log2err, n_levels and debug (thresholds, acceptance rates, level), a chain for each set."""
+    """results (keys, pathway, size, es) with pval, log2err, n_levels and trace (level, threshold, log_prob, accept_rate), a chain for each set."""
     two_sided = _checked(sample_size, score_type)
     keys = keys or []
     work = shared(results.select(*keys, F.struct("pathway", "size", "es").alias("unit")), weights, keys)
@@ -277,9 +280,11 @@ def per_set(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed
                 w = np.asarray(r["weights"], float)
                 unit = [*(r[c] for c in keys), u["pathway"]]
                 p, err, thresholds, rates, levels = chain_p(w, int(u["size"]), float(u["es"]), sample_size, rng_of(seed, "chain", *unit), eps, two_sided)
-                out.append((*unit, p, err, levels, {"thresholds": thresholds, "accept_rates": rates, "current_level": levels}))
-            yield pd.DataFrame(out, columns=[*keys, "pathway", "pval", "log2err", "n_levels", "debug"])
+                halved = math.log((sample_size // 2) / sample_size)
+                trace = [{"level": i, "threshold": t, "log_prob": i * halved, "accept_rate": a} for i, (t, a) in enumerate(zip(thresholds, rates, strict=True), 1)]
+                out.append((*unit, p, err, levels, trace))
+            yield pd.DataFrame(out, columns=[*keys, "pathway", "pval", "log2err", "n_levels", "trace"])
 
     types = "".join(f"{c} {results.schema[c].dataType.simpleString()}, " for c in keys)
-    found = work.mapInPandas(run, f"{types}pathway string, pval double, log2err double, n_levels int, debug struct<thresholds: array<double>, accept_rates: array<double>, current_level: int>")
+    found = work.mapInPandas(run, f"{types}pathway string, pval double, log2err double, n_levels int, trace {TRACE}")
     return results.join(found, [*keys, "pathway"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators.ordering import Ranges
@@ -46,22 +46,52 @@ def window_times(ordered: DataFrame, size: int, step: int, n: int | None = None)
     return times.withColumn("pt_mid", (F.col("pt_start") + F.col("pt_end")) / 2)
 
 
+def bin_sums(expression: DataFrame, ordered: DataFrame, width: int) -> DataFrame:
+    """(bin, gene, value): sums over each `width` places; values that are missing or no numbers don't count."""
+    values = expression.where(F.col("value").isNotNull() & ~F.isnan("value")).join(ordered.select("cell_id", "pos"), "cell_id")
+    return values.groupBy(F.floor(F.col("pos") / width).cast("int").alias("bin"), "gene").agg(F.sum("value").cast("double").alias("value"))
+
+
+def span_sums(sums: DataFrame, genes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, gene, inside, total): sums over the bins low to high - 1 of each span (keys, low, high), for every gene, and over all bins.
+
+    A span is the difference of two prefix sums, so a bin's sum is one row whatever the spans' length; a key with several spans adds them up. The only shuffle of the sums is by gene.
+    """
+    ends = spans.select(*keys, F.explode(F.array(F.struct(F.col("low").alias("bin"), F.lit(-1).alias("sign")), F.struct(F.col("high").alias("bin"), F.lit(1).alias("sign")))).alias("e")).select(*keys, "e.*")
+    # a prefix sum is read where no sum stands: before its bin
+    asked = genes.select("gene").distinct().crossJoin(F.broadcast(ends.agg(F.collect_set("bin").alias("bins")))).select("gene", F.explode("bins").alias("bin"))
+    rows = asked.select("gene", (2 * F.col("bin")).alias("at"), F.lit(0.0).alias("value")).unionByName(sums.select("gene", (2 * F.col("bin") + 1).alias("at"), "value"))
+    by = Window.partitionBy("gene")
+    prefix = rows.select("gene", "at", F.sum("value").over(by.orderBy("at")).alias("before"), F.sum("value").over(by).alias("total")).where("at % 2 = 0")
+    prefix = prefix.select("gene", (F.col("at") / 2).cast("int").alias("bin"), "before", "total")
+    return prefix.join(ends, "bin").groupBy(*keys, "gene").agg(F.sum(F.col("sign") * F.col("before")).alias("inside"), F.max("total").alias("total"))
+
+
+def mean_difference(found: DataFrame, size: Column, n: int) -> Column:
+    """The mean of `size` places minus the mean of the others, of n; 0 where it is no finite number."""
+    score = F.col("inside") / F.greatest(size, F.lit(1)) - (F.col("total") - F.col("inside")) / F.greatest(F.lit(n) - size, F.lit(1))
+    return F.when(finite(score), score).otherwise(0.0)
+
+
+def window_spans(spark: SparkSession, count: int, size: int, step: int) -> DataFrame:
+    """(window_id, low, high): the bins of `step` places of each window."""
+    return spark.range(count).select(F.col("id").cast("int").alias("window_id"), F.col("id").cast("int").alias("low"), (F.col("id") + size // step).cast("int").alias("high"))
+
+
 def window_scores(expression: DataFrame, ordered: DataFrame, size: int, step: int, genes: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """(window_id, gene, score): mean inside the window minus mean outside; absent values are 0, so every gene has every window.
 
-    If step divides size, values are summed by steps first and the few sums are dealt to windows, else each value goes to its windows.
+    If step divides size, values are summed by steps first and a window is the difference of two prefix sums, else each value goes to its windows.
     """
     n = ordered.count() if n is None else n
     count = window_count(n, size, step)
-    values = expression.where(F.col("value").isNotNull() & ~F.isnan("value")).join(ordered.select("cell_id", "pos"), "cell_id")
     genes = (genes if genes is not None else expression).select("gene").distinct()
     if size % step == 0:
-        sums = values.groupBy(F.floor(F.col("pos") / step).cast("int").alias("bin"), "gene").agg(F.sum("value").alias("value"))
-        low, high = F.greatest(F.lit(0), F.col("bin") - (size // step - 1)), F.least(F.lit(count - 1), F.col("bin"))
-        held = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        inside = sums.select(F.explode(held).alias("window_id"), "gene", "value")
-    else:
-        inside = values.select(F.explode(_windows_of(F.col("pos"), count, size, step)).alias("window_id"), "gene", "value")
+        spans = window_spans(expression.sparkSession, count, size, step)
+        met = span_sums(bin_sums(expression, ordered, step), genes, spans, ["window_id"])
+        return met.select("window_id", "gene", mean_difference(met, F.lit(size), n).alias("score"))
+    values = expression.where(F.col("value").isNotNull() & ~F.isnan("value")).join(ordered.select("cell_id", "pos"), "cell_id")
+    inside = values.select(F.explode(_windows_of(F.col("pos"), count, size, step)).alias("window_id"), "gene", "value")
     total = values.groupBy("gene").agg(F.sum("value").alias("total"))
     every = F.sequence(F.lit(0), F.lit(count - 1)) if count else F.array().cast("array<int>")
     grid = genes.join(total, "gene", "left").select(F.explode(every).alias("window_id"), "gene", F.coalesce("total", F.lit(0.0)).alias("total"))
@@ -69,8 +99,7 @@ def window_scores(expression: DataFrame, ordered: DataFrame, size: int, step: in
     none = F.lit(None).cast("double")
     both = grid.select("window_id", "gene", "total", none.alias("value")).unionByName(inside.select("window_id", "gene", none.alias("total"), F.col("value").cast("double").alias("value")))
     met = both.groupBy("window_id", "gene").agg(F.max("total").alias("total"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("inside")).where("total is not null")
-    score = F.col("inside") / max(size, 1) - (F.col("total") - F.col("inside")) / max(n - size, 1)
-    return met.select("window_id", "gene", F.when(finite(score), score).otherwise(0.0).alias("score"))
+    return met.select("window_id", "gene", mean_difference(met, F.lit(size), n).alias("score"))
 
 
 def log_normalised(expression: DataFrame, limit: float = 20.0, target: float = 1e4) -> DataFrame:

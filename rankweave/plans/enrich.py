@@ -13,10 +13,11 @@ from rankweave.sources import catalog as sources
 COLUMNS = ["pathway", "es", "nes", "pval", "log2err", "size", "n_levels", "padj", "pval_capped"]
 
 
-def enrich_lists(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, nperm_nes: int = 500, gsea_param: float = 1.0, eps: float = 1e-50, score_type: str = "two_sided_abs", use_batched: bool = True, bin_width: int | None = None, precheck: bool = False, calculate_nes: bool = True, keys: list[str] | None = None, background: DataFrame | None = None, draws: str = "random", spread: bool = False) -> DataFrame:
+def enrich_lists(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, nperm_nes: int = 500, gsea_param: float = 1.0, eps: float = 1e-50, score_type: str = "two_sided_abs", use_batched: bool = True, bin_width: int | None = None, precheck: bool = False, calculate_nes: bool = True, keys: list[str] | None = None, background: DataFrame | None = None, draws: str = "random", spread: bool = False, traces: bool = False) -> DataFrame:
     """Results of ranked lists (keys, gene, score, rnk, n) against (pathway, gene) sets, a list for each key.
 
-    draws: how the background's random sets are drawn (null.DRAWS); spread adjusts one run over all tasks.
+    draws: how the background's random sets are drawn (null.DRAWS); spread adjusts one run over all tasks; traces adds the
+    column trace, which levels() makes rows of.
     """
     keys = keys or []
     met = prep.members(sets, ranks, min_size, max_size, keys)
@@ -27,7 +28,7 @@ def enrich_lists(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size
     if use_batched:
         tested = multilevel.batched(scored, weights, sample_size, seed, eps, score_type, bin_width, precheck, keys=keys)
     else:
-        tested = multilevel.per_set(scored, weights, sample_size, seed, eps, score_type, keys).drop("debug")
+        tested = multilevel.per_set(scored, weights, sample_size, seed, eps, score_type, keys)
     if calculate_nes:
         shared = [] if background is not None else keys
         named = null.rank_weights(ranks, gsea_param, keys, genes=True) if draws == "hashed" else weights
@@ -35,10 +36,10 @@ def enrich_lists(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size
         tested = tested.join(means, [*shared, "size"], "left").withColumn("nes", adjust.nes(F.col("es"), F.col("pos_mean"), F.col("neg_mean")))
     else:
         tested = tested.withColumn("nes", F.lit(None).cast("double"))
-    return adjust.flagged(adjust.bh(tested, "pval", keys, spread=spread), eps).select(*keys, *COLUMNS)
+    return adjust.flagged(adjust.bh(tested, "pval", keys, spread=spread), eps).select(*keys, *COLUMNS, *(["trace"] if traces else []))
 
 
-def run_gsea(spark: SparkSession, data, sets: DataFrame | Mapping | str, gene_col: str | int = 0, score_col: str | int = 1, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, nperm_nes: int = 500, gsea_param: float = 1.0, eps: float = 1e-50, dedup_genes: str = "max_abs", order_col: str | None = None, score_type: str = "two_sided_abs", use_batched: bool = True, bin_width: int | None = None, precheck: bool = False, calculate_nes: bool = True, draws: str = "random", spread: bool = False) -> DataFrame:
+def run_gsea(spark: SparkSession, data, sets: DataFrame | Mapping | str, gene_col: str | int = 0, score_col: str | int = 1, min_size: int = 15, max_size: int = 500, sample_size: int = 101, seed: int = 42, nperm_nes: int = 500, gsea_param: float = 1.0, eps: float = 1e-50, dedup_genes: str = "max_abs", order_col: str | None = None, score_type: str = "two_sided_abs", use_batched: bool = True, bin_width: int | None = None, precheck: bool = False, calculate_nes: bool = True, draws: str = "random", spread: bool = False, traces: bool = False) -> DataFrame:
     """Enrichment of one list of scores: pathway, es, nes, pval, log2err, size, n_levels, padj, pval_capped, by rising p.
 
     data: a DataFrame, pandas DataFrame or Series, or dict; sets: a DataFrame, dict or GMT path. Always has its columns,
@@ -51,10 +52,15 @@ def run_gsea(spark: SparkSession, data, sets: DataFrame | Mapping | str, gene_co
         scores = sources.scores_of(spark, data, gene_col, score_col)
     asked = {k: v for k, v in locals().items() if k not in ("spark", "data", "sets", "scores")}
     ranks = prep.ranked(prep.deduplicated(scores, dedup_genes, order=order_col), spread=spread).persist()
-    found = enrich_lists(ranks, sources.catalog(spark, sets), min_size, max_size, sample_size, seed, nperm_nes, gsea_param, eps, score_type, use_batched, bin_width, precheck, calculate_nes, draws=draws, spread=spread)
+    found = enrich_lists(ranks, sources.catalog(spark, sets), min_size, max_size, sample_size, seed, nperm_nes, gsea_param, eps, score_type, use_batched, bin_width, precheck, calculate_nes, draws=draws, spread=spread, traces=traces)
     return _noted(found.orderBy("pval", "pathway"), asked)
 
 
+def levels(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, pathway, level, threshold, log_prob, accept_rate): the levels that each set of a result with traces has passed."""
+    return found.select(*(keys or []), "pathway", F.inline("trace"))
+
+
 def _noted(found: DataFrame, params: Mapping) -> DataFrame:
     """found with the parameters of its run in its columns' metadata, which goes with them into Parquet."""
     return found.withMetadata("pathway", {"run": {k: str(v) for k, v in params.items()}})

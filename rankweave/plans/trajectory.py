@@ -41,8 +41,9 @@ def run_trajectory(spark: SparkSession, expression: DataFrame, cells: DataFrame,
 
 
 def run_pipeline(spark: SparkSession, expression: DataFrame, cells: DataFrame, sets, output_dir: str, pseudotime_key: str = "pseudotime", force_rerun: bool = False, window_size: int = 800, step: int = 50, min_size: int = 15, nperm_nes: int = 1000, **params) -> dict[str, DataFrame]:
-    """core (cached results with smoothed NES), anchors (opposed pathway pairs) and switch points of the best pair."""
-    from rankweave.operators import anchors, pseudotime
+    """core (cached results with smoothed NES), anchors (opposed pathway pairs), switch points of the best pair, and the data of the plots: heatmap, and dynamics of the best pair (of the two pathways of smallest p where no pair is)."""
+    from rankweave.operators import analytics, anchors, pseudotime
+    from rankweave.plans import plots
 
     if pseudotime_key not in cells.columns:
         cells = pseudotime.with_pseudotime(expression, cells, pseudotime_key)
@@ -52,4 +53,6 @@ def run_pipeline(spark: SparkSession, expression: DataFrame, cells: DataFrame, s
     pairs = anchors.anchor_pairs(smooth)
     best = pairs.first()
     switch = anchors.switch_points(smooth, best["a"], best["b"]) if best else None
-    return {"core": smooth, "anchors": pairs, "switch": switch}
+    n_windows = (core.agg(F.max("window_id")).first()[0] or 0) + 1
+    shown = [best["a"], best["b"]] if best else [r["pathway"] for r in analytics.top_by_p(core.groupBy("pathway").agg(F.min("pval").alias("pval")), 2).collect()]
+    return {"core": smooth, "anchors": pairs, "switch": switch, "heatmap": plots.trajectory_heatmap_data(core, n_windows), "dynamics": plots.pathway_dynamics_data(smooth, shown, "nes_smooth")}

@@ -7,18 +7,17 @@ Revenue is summed as decimals (in the trajectory, as whole numbers of 1/10,000),
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankweave.operators import adjust, analytics, anchors, enrichment, multilevel, null, prep, replicates, trajectory
+from rankweave.operators import adjust, analytics, anchors, enrichment, multilevel, null, prep, replicates, robustness, trajectory
 from rankweave.plans import enrich, plots
 from rankweave.sources import catalog as sources
 from rankweave.sources import synthetic
+from rankweave.sources.steps import shared_folder
 
 CUT = "1998-06-01"
 CELLS, STEP = 5000, 2500
@@ -27,6 +26,8 @@ PERMS = 40
 #: Permutations with which Monte-Carlo results are compared, and the size of their samples.
 MANY, SAMPLE = 2000, 1001
 REPLICATES = 20
+#: Window sizes and steps of the parameter scan.
+GRID = [(100, 50), (150, 50), (200, 100), (100, 25)]
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -232,23 +233,17 @@ def tail_query(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found.select("pathway", p.alias("pval"), err.alias("log2err")), "pval", "log2err")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rankweave-")
-    return f"{named.rstrip('/')}/rankweave-{uuid.uuid4().hex}"
-
-
 def gmt_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Sets written as a GMT file and read back: members by set."""
     wide = sets(spark, d).groupBy("pathway").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
-    path = _folder(spark)
+    path = shared_folder(spark)
     sources.write_gmt(wide, path)
     return sources.catalog(spark, path)
 
 
 def rank_file(spark: SparkSession, d: str) -> DataFrame:
     """A ranked list written as a file and read back."""
-    path = _folder(spark)
+    path = shared_folder(spark)
     sources.write_ranks(scores(spark, d), path)
     return sources.read_ranks(spark, path)
 
@@ -258,7 +253,7 @@ def sinks(spark: SparkSession, d: str) -> DataFrame:
     found = enrichment.enrichment(met(spark, d)).select(F.col("pathway").alias("Pathway"), "size", F.round("es", 8).alias("P-value"))
     out = None
     for fmt in ("csv", "tsv", "parquet"):
-        path = _folder(spark)
+        path = shared_folder(spark)
         sources.write_result(found, path, fmt)
         raw = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").csv(path)
         rows = raw.toDF(*[c.lower().replace("p-value", "pval") for c in raw.columns]).select(F.lit(fmt).alias("fmt"), "pathway", F.col("size").cast("int").alias("size"), F.col("pval").cast("double").alias("value"))
@@ -268,7 +263,7 @@ def sinks(spark: SparkSession, d: str) -> DataFrame:
 
 def result_cache(spark: SparkSession, d: str) -> DataFrame:
     """A cached result is made once for the same parameters and rows, and anew for others: how often it was made, and its rows."""
-    folder, made, out = _folder(spark), [], None
+    folder, made, out = shared_folder(spark), [], None
     for k, low in enumerate((15, 15, 10, 15)):
         rows = sets(spark, d) if k < 3 else sets(spark, d, "p_type")
 
@@ -435,6 +430,17 @@ def runner(spark: SparkSession, d: str) -> DataFrame:
     return both.join(spread_, "size").select("pathway", "size", "es_a", "es_b", "one_background")
 
 
+def traced(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a run with traces, and whether each set's levels are as many as n_levels, rise, stay at or below its score and hold ever less probability."""
+    found = enrich.run_gsea(spark, scores(spark, d), sets(spark, d), max_size=5000, use_batched=False, calculate_nes=False, traces=True).persist()
+    up = Window.partitionBy("pathway").orderBy("level")
+    rows = enrich.levels(found).withColumn("rising", F.coalesce(F.col("threshold") >= F.lag("threshold").over(up), F.lit(True))).withColumn("falling", F.coalesce(F.col("log_prob") < F.lag("log_prob").over(up), F.col("log_prob") < 0))
+    each = rows.groupBy("pathway").agg(F.count("*").alias("rows"), F.min("rising").alias("rising"), F.min("falling").alias("falling"), F.max("threshold").alias("most"), F.min(F.col("accept_rate").between(0, 1)).alias("rates"))
+    met_ = found.join(each, "pathway", "left")
+    right = lambda c: F.coalesce(c, F.lit(True))
+    return met_.select("pathway", "size", F.round("es", 6).alias("es"), (F.coalesce("rows", F.lit(0)) == F.col("n_levels")).alias("count_right"), right(F.col("rising") & F.col("falling")).alias("ordered"), right(F.col("most") <= F.abs("es")).alias("below"), right(F.col("rates")).alias("rates_right"))
+
+
 def ordered_results(spark: SparkSession, d: str) -> DataFrame:
     """A run's results by rising p, then name: whether they come in that order, and what the run was asked for."""
     found = run_gsea(spark, d).withColumn("place", F.monotonically_increasing_id())
@@ -453,6 +459,13 @@ def pseudotimes(spark: SparkSession, d: str) -> DataFrame:
     return found.select("cell_id", F.col("pseudotime").between(0, 1).alias("in_range"), (F.col("pseudotime") == 0).alias("is_root"))
 
 
+def variable_genes(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 parts of largest normalised dispersion over all orders."""
+    from rankweave.operators.pseudotime import variable_genes as chosen
+
+    return _rounded(chosen(_expression(spark, d), _table(spark, d, "orders").count(), 100), "dispersion", digits=5)
+
+
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap intervals of order prices by status: the mean, and whether the interval is about its normal approximation."""
     rows = _table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"))
@@ -462,6 +475,25 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return band.join(error, "status").select("status", F.round("mean", 4).alias("mean"), (F.col("low") < F.col("mean")).alias("low_right"), (F.col("high") > F.col("mean")).alias("high_right"), half.between(0.6, 1.5).alias("width_right"))
 
 
+def _dense_ordered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    expression, cells, named = _dense(spark, d)
+    return expression, trajectory.ordered_cells(cells).persist(), named
+
+
+def trajectory_null(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the dense trajectory's windows against those of REPLICATES turned orders."""
+    expression, ordered, named = _dense_ordered(spark, d)
+    lists = robustness.shifted_scores(expression, ordered, DENSE, DENSE_STEP, REPLICATES)
+    return _rounded(robustness.null_distribution(robustness.window_enrichment(lists, named, ["replicate", "window_id"])), "es", "null_mean", "null_sd", "null_p", digits=6)
+
+
+def trajectory_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Extremes of the dense trajectory's courses over a grid of window sizes and steps."""
+    expression, ordered, named = _dense_ordered(spark, d)
+    found = robustness.window_enrichment(robustness.scan_scores(expression, ordered, GRID), named, ["width", "step", "window_id"])
+    return _rounded(robustness.scan_summary(found), "most", "least", "peak_mean", "peak_sd", "sign_share", digits=6)
+
+
 def made_up(spark: SparkSession, d: str) -> DataFrame:
     """Synthetic inputs: rows, sizes and planted signal."""
     scores_, named = synthetic.benchmark_data(spark, 3000, 30)
@@ -541,8 +573,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speedup": speedups,
         "tost": tost,
         "bootstrap": bootstrap,
+        "trajectory_null": trajectory_null,
+        "trajectory_scan": trajectory_scan,
         "synthetic": made_up,
         "pseudotime": pseudotimes,
+        "variable_genes": variable_genes,
         "nes_background_compared": background_compared,
         "run_gsea_compared": lambda s, d: compared(s, d, True),
         "run_gsea_per_set_compared": lambda s, d: compared(s, d, False),
@@ -560,6 +595,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_trajectory_verified": lambda s, d: verified(run_trajectory(s, d), ["window_id"]),
         "run_trajectory_times": lambda s, d: _rounded(run_trajectory(s, d).select("window_id", "pt_start", "pt_end", "pt_mid").distinct(), "pt_start", "pt_end", "pt_mid", digits=6),
         "runner": runner,
+        "traces": traced,
         "ordered_results": ordered_results,
         "dedup_modes": dedup_modes,
         "ranked_seeded_ties": lambda s, d: prep.ranked(scores(s, d).withColumn("score", F.round("score", -3)), tie="seeded", seed=7).select("gene", "rnk"),
@@ -620,6 +656,9 @@ def oracle_sql() -> dict[str, str]:
     sure = "true AS p_right, true AS padj_right, true AS nes_right"
     many = f"WITH {SCORES}, sets AS (SELECT p_brand || '/' || p_size AS pathway, p_partkey::VARCHAR AS gene FROM part), met AS (SELECT * FROM (SELECT pathway, gene, rnk, score, n, count(*) OVER (PARTITION BY pathway) AS size FROM sets JOIN ranks USING (gene)) WHERE size BETWEEN 2 AND 5000), {es_sql()}"
     typed = f"WITH {SCORES}, {_sets_sql('p_type', 15, 10**9)}, {es_sql()}"
+    cells = """WITH cells AS (SELECT vec_id::VARCHAR AS cell_id, embedding[1]::DOUBLE AS pseudotime, embedding FROM embeddings),
+        ordered AS (SELECT *, row_number() OVER (ORDER BY pseudotime, cell_id) - 1 AS pos, count(*) OVER () AS cells FROM cells),
+        x AS (SELECT cell_id, pos, cells, generate_subscripts(embedding, 1) - 1 AS g, unnest(embedding)::DOUBLE AS value FROM ordered)"""
     dense = f"""WITH cells AS (SELECT vec_id::VARCHAR AS cell_id, embedding[1]::DOUBLE AS pseudotime, embedding FROM embeddings),
         ordered AS (SELECT *, row_number() OVER (ORDER BY pseudotime, cell_id) - 1 AS pos, count(*) OVER () AS cells FROM cells),
         ids AS (SELECT unnest(range(CASE WHEN max(cells) < {DENSE} THEN 0 ELSE (max(cells) - {DENSE}) // {DENSE_STEP} + 1 END)) AS window_id FROM ordered),
@@ -670,6 +709,11 @@ def oracle_sql() -> dict[str, str]:
         "tost": "SELECT 11::BIGINT AS n, round(0.1 / 11, 6) AS bias, 0.025::DOUBLE AS tost_p",
         "bootstrap": "SELECT o_orderstatus AS status, round(avg(o_totalprice), 4) AS mean, true AS low_right, true AS high_right, true AS width_right FROM orders GROUP BY 1",
         "synthetic": "SELECT * FROM (VALUES (3000::BIGINT, true, 'scores'), (30, true, 'sets'), (3, true, 'tails'), (2750, true, 'tied')) t(n, \"right\", what)",
+        "variable_genes": f"""WITH {WINDOWS}, c AS (SELECT count(*) AS c FROM cells), s AS (SELECT gene, sum(value) / max(c) AS mean, sum(value * value) / max(c) AS square, max(c) AS c FROM expression, c GROUP BY gene),
+            v AS (SELECT gene, mean, (square - mean * mean) * c / greatest(1, c - 1) AS variance FROM s), k AS (SELECT gene, variance, ln(variance / mean) AS d, ln(1 + mean) AS m FROM v WHERE mean > 0 AND variance > 0),
+            e AS (SELECT min(m) AS low, max(m) AS high FROM k), b AS (SELECT k.*, greatest(1, least(20, ceil((m - low) / (high - low) * 20))) AS bin FROM k, e),
+            g AS (SELECT bin, avg(d) AS centre, stddev_samp(d) AS sd FROM b GROUP BY bin)
+            SELECT gene, round(CASE WHEN sd IS NULL THEN 1.0 WHEN sd > 0 THEN (d - centre) / sd ELSE 0.0 END, 5) AS dispersion FROM b JOIN g USING (bin) ORDER BY round(CASE WHEN sd IS NULL THEN 1.0 WHEN sd > 0 THEN (d - centre) / sd ELSE 0.0 END, 9) DESC, variance DESC, gene LIMIT 100""",
         "pseudotime": "SELECT vec_id::VARCHAR AS cell_id, true AS in_range, vec_id = 7 AS is_root FROM embeddings",
         "nes_background_compared": GSEA + "SELECT size, round(pos_mean, 8) AS pos_mean, round(neg_mean, 8) AS neg_mean, true AS close FROM means",
         "run_gsea_compared": gsea_sql(MANY) + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(nes, 8) AS nes, round(pval, 8) AS perm_p, true AS p_close FROM tested",
@@ -689,6 +733,28 @@ def oracle_sql() -> dict[str, str]:
         "run_trajectory_verified": f"{dense} SELECT window_id::INT AS window_id, pathway, size, round(es, 6) AS es, {sure} FROM es",
         "run_trajectory_times": f"""{dense}, h AS (SELECT window_id, min(pseudotime) AS a, max(pseudotime) AS b FROM ids JOIN ordered ON pos >= window_id * {DENSE_STEP} AND pos < window_id * {DENSE_STEP} + {DENSE} GROUP BY window_id)
             SELECT window_id::INT AS window_id, round(a, 6) AS pt_start, round(b, 6) AS pt_end, round((a + b) / 2, 6) AS pt_mid FROM h""",
+        "trajectory_null": f"""{cells},
+            b AS (SELECT max(cells) // {DENSE_STEP} AS bins, (max(cells) - {DENSE}) // {DENSE_STEP} + 1 AS n_win FROM ordered),
+            r AS (SELECT replicate::INT AS replicate, CASE WHEN replicate = 0 THEN 0 ELSE 1 + ('0x' || substr(md5('shift|42|' || replicate), 1, 8))::BIGINT % greatest(1, bins - 1) END AS shift, bins, n_win FROM range({REPLICATES + 1}) t(replicate), b),
+            k AS (SELECT replicate, shift, bins, unnest(range(n_win)) AS window_id FROM r),
+            lists AS (
+              SELECT replicate, window_id, g, sum(CASE WHEN pos < bins * {DENSE_STEP} AND (pos // {DENSE_STEP} - window_id - shift + 2 * bins) % bins < {DENSE // DENSE_STEP} THEN value ELSE 0 END) AS inside, sum(value) AS total, max(cells) AS cells FROM k, x GROUP BY ALL),
+            scored AS (SELECT replicate, window_id, printf('g%02d', g) AS gene, 'set' || (g % 4) AS pathway, inside / {DENSE} - (total - inside) / greatest(cells - {DENSE}, 1) AS score FROM lists),
+            met AS (SELECT *, row_number() OVER (PARTITION BY replicate, window_id ORDER BY score DESC, gene) - 1 AS rnk, count(*) OVER (PARTITION BY replicate, window_id) AS n FROM scored),
+            {es_sql(keys='replicate, window_id, ')}, o AS (SELECT window_id, pathway, es AS own FROM es WHERE replicate = 0)
+            SELECT window_id::INT AS window_id, pathway, round(max(own), 6) AS es, round(avg(es), 6) AS null_mean, round(stddev_samp(es), 6) AS null_sd, round((1 + sum((round(abs(es), 12) >= round(abs(own), 12))::INT)) / (1.0 + count(*)), 6) AS null_p
+            FROM es JOIN o USING (window_id, pathway) WHERE replicate > 0 GROUP BY window_id, pathway""",
+        "trajectory_scan": f"""{cells},
+            shapes AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b})' for a, b in GRID)}) t(width, step)),
+            k AS (SELECT width, step, unnest(range(CASE WHEN n < width THEN 0 ELSE (n - width) // step + 1 END)) AS window_id FROM shapes, (SELECT max(cells) AS n FROM ordered)),
+            lists AS (SELECT width, step, window_id, g, sum(CASE WHEN pos >= window_id * step AND pos < window_id * step + width THEN value ELSE 0 END) AS inside, sum(value) AS total, max(cells) AS cells FROM k, x GROUP BY ALL),
+            scored AS (SELECT width, step, window_id, printf('g%02d', g) AS gene, 'set' || (g % 4) AS pathway, inside / width - (total - inside) / greatest(cells - width, 1) AS score FROM lists),
+            met AS (SELECT *, row_number() OVER (PARTITION BY width, step, window_id ORDER BY score DESC, gene) - 1 AS rnk, count(*) OVER (PARTITION BY width, step, window_id) AS n FROM scored),
+            {es_sql(keys='width, step, window_id, ')}, e AS (SELECT width, step, max(window_id * step + width) AS fin FROM es GROUP BY width, step),
+            f AS (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY width, step, pathway ORDER BY round(abs(es), 12) DESC, window_id) = 1),
+            p AS (SELECT pathway, es AS v, (window_id * step + width / 2.0) / fin AS peak FROM f JOIN e USING (width, step))
+            SELECT pathway, count(*) AS settings, round(max(v), 6) AS most, round(min(v), 6) AS least, round(avg(peak), 6) AS peak_mean, round(stddev_samp(peak), 6) AS peak_sd, round(greatest(avg((v > 0)::INT::DOUBLE), 1 - avg((v > 0)::INT::DOUBLE)), 6) AS sign_share FROM p GROUP BY pathway""",
+        "traces": f"{base}, {es_sql()} SELECT pathway, size, round(es, 6) AS es, true AS count_right, true AS ordered, true AS below, true AS rates_right FROM es",
         "runner": f"{base}, {es_sql()} SELECT pathway, size, round(es, 6) AS es_a, -round(es, 6) AS es_b, true AS one_background FROM es",
         "ordered_results": f"{base}, {es_sql()} SELECT pathway, true AS in_order, '5000' AS max_size, '42' AS seed, 'two_sided_abs' AS score_type FROM es",
         "dedup_modes": """WITH r AS (SELECT l_partkey::VARCHAR AS gene, round(l_extendedprice - 30000, 2) AS score, l_orderkey * 10 + l_linenumber AS pos FROM lineitem),

@@ -7,10 +7,12 @@ import json
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankweave.operators.ordering import Ranges
+
 SETS = T.StructType([T.StructField("pathway", T.StringType()), T.StructField("gene", T.StringType())])
 RANKED = T.StructType([T.StructField("gene", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -86,18 +88,18 @@ def melted(wide: DataFrame, cell_col: str = "cell_id") -> DataFrame:
 def merge_metadata(cells: DataFrame, meta: DataFrame, key: str = "cell_id", positional: bool = False, order: str | None = None) -> DataFrame:
     """Cells with metadata columns: joined by key, or by place in `order` if asked for and both have as many rows.
 
-    Metadata columns that cells already have are left out.
+    Metadata columns that cells already have are left out. Places are found by ranges of the order on both sides, in all tasks; missing values come first.
     """
     if not positional:
         extra = [c for c in meta.columns if c == key or c not in cells.columns]
         return cells.join(meta.select(*extra).dropDuplicates([key]), key, "left")
-    if cells.count() != meta.count():
+    by = [F.col(order or key).isNotNull(), F.col(order or key)]
+    left, right = Ranges(cells, by), Ranges(meta, by)
+    if left.total != right.total:
         return cells
-    place = Window.orderBy(order or key)
     extra = [c for c in meta.columns if c not in cells.columns]
-    left = cells.withColumn("__place", F.row_number().over(place))
-    right = meta.withColumn("__place", F.row_number().over(Window.orderBy(order or key))).select("__place", *extra)
-    return left.join(right, "__place").drop("__place")
+    placed = right.placed.withColumn("__place", right.places()).select("__place", *extra)
+    return left.placed.withColumn("__place", left.places()).drop("__range").join(placed, "__place").drop("__place")
 
 
 def write_result(result: DataFrame, path: str, fmt: str = "csv") -> None:
