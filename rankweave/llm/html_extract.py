@@ -29,6 +29,9 @@ from rankweave.llm.common import bound_batches, texts_of
 # Element names by role.
 BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 RAW_TAGS = frozenset("script style noscript template iframe svg math textarea title object canvas audio video xmp noembed noframes".split())
+# Raw elements that hold nothing but text, and those in which a slash closes a tag.
+TEXT_TAGS = frozenset("script style textarea title iframe xmp noembed noframes noscript".split())
+FOREIGN_TAGS = frozenset("svg math".split())
 DROPPED_TAGS = frozenset("nav header footer aside form head menu dialog button select option fieldset label input".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -108,6 +111,32 @@ def _dropped(name: str, attributes: str) -> int:
     return max(_by_name(found.get("class", "")), _by_name(found.get("id", "")))
 
 
+#: A tag's slash that isn't part of an unquoted value.
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
+
+
+def _after(page: str, name: str, at: int, unclosed: set[str]) -> int:
+    """The place after the end of a raw element whose content starts at `at`, elements of its name inside it included.
+
+    Without an end, text-only elements reach to the page's end, and of others only the tag is left out.
+    """
+    if name not in unclosed:
+        depth, first = 1, 0
+        for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s>/])([^>]*)>", re.I).finditer(page, at):
+            if name in TEXT_TAGS:
+                if m[1]:
+                    return m.end()
+                continue
+            depth += -1 if m[1] else not _SELF_CLOSED.search(m[2])
+            first = first or (m.end() if m[1] else 0)
+            if not depth:
+                return m.end()
+        if first:  # more starts than ends
+            return first
+        unclosed.add(name)
+    return len(page) if name in TEXT_TAGS else at
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in page order, in time linear in the page."""
     out: list[Block] = []
@@ -117,6 +146,7 @@ def blocks(page: str) -> list[Block]:
     left_out = [0, 0, 0]  # open elements by how they are left out
     mains = links = headings = 0
     block: Block | None = None
+    unclosed: set[str] = set()  # raw elements that have no end in the rest of the page
     at = 0
 
     def text(piece: str) -> None:
@@ -169,9 +199,8 @@ def blocks(page: str) -> list[Block]:
             while len(stack) > k:
                 pop()
         if name in RAW_TAGS:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if name not in FOREIGN_TAGS or not _SELF_CLOSED.search(m[3]):
+                at = _after(page, name, at, unclosed)
             continue
         if name in VOID_TAGS:
             continue

@@ -149,7 +149,8 @@ def pack_pieces(made: DataFrame, capacity: int = CAPACITY, leaf_pieces: int = LE
         return rows.assign(bin=(number << 40) + bins, offset=offsets, fill=np.array(fills, np.int64)[bins])
 
     kept_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
-    grouped = part.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(leaves)))
+    # equal rows are told apart by their places in the table
+    grouped = part.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(leaves)))
     placed = written(grouped.groupBy("leaf").applyInPandas(leaf, f"{kept_types}, leaf long, bin long, offset long, fill long"), "leaves")
     if leaves == 1:
         out = placed.select(*columns, F.col("bin").alias("sequence_id"), "offset")

@@ -110,14 +110,24 @@ def test_license_base(spark):
     assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def whole(label):
+    """A template's wording with its optional words, the first of listed wordings, and a name where any words may stand."""
+    made = re.sub(r"<</?optional>>", "", license_scan.TEMPLATES[label]).replace("<<any:1-12>>", "the Foo Bar Institute")
+    return re.sub(r"<<one:([^|>]*)[^>]*>>", r"\1", made)
+
+
 def test_templates(spark):
     texts = [
         "Released under the MIT License.", "Licensed under the terms of the MIT license", "Not under the MIT of License",
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-ND 4.0.", "Licensed under the Apache License, Version 2.0.",
-        license_scan.TEMPLATES["bsd-3-clause-text"].replace("<<any:1-12>>", "the Foo Bar Institute"), license_scan.TEMPLATES["bsd-3-clause-text"].replace("<<any:1-12>>", "foo").replace("endorse", "enhance"),
+        whole("bsd-3-clause-text"), whole("bsd-3-clause-text").replace("endorse", "enhance"), whole("bsd-2-clause-text"), whole("bsd-2-clause-text").replace("2.", ""),
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: totally proprietary terms",
+        whole("mit-text"), whole("mit-text").rpartition("IN NO EVENT")[0], whole("isc-text"), whole("apache-2.0-text"), whole("apache-2.0-text").partition("Unless")[0],
+        whole("gpl-text"), whole("gpl-text").replace("hope", "fear"),
     ]
     got = [r["labels"] for r in license_scan.scan(docs_of(spark, texts)).orderBy("doc_id").collect()]
-    assert got == ["mit,mit-notice", "mit,mit-notice", "", "gpl,gpl-3.0-notice", "cc-by-nc-4.0-notice", "", "apache,apache-2.0-notice", "bsd-3-clause-text", ""]
+    assert got == ["mit,mit-notice", "mit,mit-notice", "", "gpl,gpl-3.0-notice", "cc-by-nc-4.0-notice", "", "apache,apache-2.0-notice", "bsd-3-clause-text", "", "bsd-2-clause-text", "bsd-2-clause-text", "",
+        "mit-text", "", "isc-text", "apache,apache-2.0-notice,apache-2.0-text", "apache,apache-2.0-notice", "gpl,gpl-text", "gpl"]
 
 
 def test_automaton_against_regular_expression():
@@ -264,8 +274,20 @@ def test_html_blocks_against_brute_force():
         assert html_extract.extract(page) == want, page
 
 
+def test_html_raw_elements():
+    """Scripts have no self-closing tags, drawings end with their own end, and of an unclosed player only the tag goes."""
+    def text(page):
+        return html_extract.extract(f"<article>{page}</article>")
+
+    assert text("<script src=/js/>code</script><p>one") == "one" and text("<script/>code</script><p>one") == "one"
+    assert text("<p>one<video src=x><p>two") == "one two" and text("<p>one<svg><svg><text>in</text></svg><text>in</text></svg>two") == "one" + "two"
+    assert text("<p>one<svg src=/a/><text>in</text></svg> two") == "one two" and text("<p>one<svg/> two<svg width='1' />three") == "one twothree"
+    assert text("<p>one<svg><svg>in</svg> two") == "one two" and text("<p>one<style>p {} ") == "one" and text("<p>one<template><p>in</template> two") == "one two"
+    assert text("<p>one<svgs>two</svgs><title>no") == "onetwo"
+
+
 def test_html_takes_time_in_proportion():
-    for page in ("<b>" * 40_000 + "x" + "</i>" * 40_000, "<b>" * 20_000 + "<p>x" * 20_000, "<svg/>" * 40_000, "<a " + "a" * 200_000 + ">", "<div class='" + "x " * 50_000 + "'>y"):
+    for page in ("<svg>" * 40_000, "<svg>" * 40_000 + "</svg>", "<video>x" * 30_000, "<svg></svg>x" * 20_000 + "<svg>", "<b>" * 40_000 + "x" + "</i>" * 40_000, "<b>" * 20_000 + "<p>x" * 20_000, "<svg/>" * 40_000, "<a " + "a" * 200_000 + ">", "<div class='" + "x " * 50_000 + "'>y"):
         began = time.time()
         html_extract.extract(page)
         assert time.time() - began < 5
