@@ -42,13 +42,18 @@ RANGE = 1 << 24
 _PLACE = np.uint64((1 << 28) - 1)
 
 
+#: Values of the bytes for a second hash that doesn't depend on the first.
+_OTHER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
 class Spans:
-    """Hashes of any span of one byte string."""
+    """Hashes of any span of one byte string; table: the bytes' values, else each byte plus one."""
 
-    def __init__(self, raw: np.ndarray, powers: Powers) -> None:
+    def __init__(self, raw: np.ndarray, powers: Powers, table: np.ndarray | None = None) -> None:
         powers.reach(len(raw))
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers.up[: len(raw)], out=self.sums[1:])
+        values = raw.astype(np.uint64) + np.uint64(1) if table is None else table[raw]
+        np.cumsum(values * powers.up[: len(raw)], out=self.sums[1:])
         self.down = powers.down
 
     def fixed(self, n: int) -> np.ndarray:
@@ -273,13 +278,14 @@ def _refined(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows to compare for each string of the pieces of unbounded buckets."""
+    """Rows to compare for each string of the pieces of unbounded buckets: strings are told apart by two hashes, 128 bits."""
     powers = Powers()
     for batch in batches:
         made = []
         for key, lo, n, piece in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
-            h = Spans(np.frombuffer(piece, np.uint8), powers).fixed(LENGTH)[:n].view(np.int64)
-            made.append((h, np.zeros(n, np.int64), np.frombuffer(key * n, "V16"), lo + np.arange(n), np.ones(n, np.int64)))
+            raw = np.frombuffer(piece, np.uint8)
+            one, two = (Spans(raw, powers, t).fixed(LENGTH)[:n].view(np.int64) for t in (None, _OTHER))
+            made.append((one, two, np.frombuffer(key * n, "V16"), lo + np.arange(n), np.ones(n, np.int64)))
         if made:
             yield from _collapsed(*(np.concatenate(x) for x in zip(*made, strict=True)))
 
