@@ -153,18 +153,23 @@ def _chunks(total: int, k: int, cells: int = 2_000_000) -> Iterator[int]:
         yield min(part, total - at)
 
 
+#: Rows that a list of many is dealt to, each with a share of its units.
+KEYED = 4
+
+
 def shared(units: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, units, weights): the units of work (keys, unit) of a list with its weights, dealt over all tasks.
 
-    A list of many is one row with all its units, so its weights travel once; a single list is one row for each of a bounded number of shares of its units.
+    A list of many is KEYED rows at most, so its weights travel so many times; a single list is one row for each of a bounded number of shares of its units.
     """
     spark = units.sparkSession
     # lists are long rows: batches to Python are bounded by bytes
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    share = F.pmod(F.xxhash64("unit"), F.lit(KEYED if keys else 2 * tasks)).alias("share")
+    dealt = units.groupBy(*keys, share).agg(F.collect_list("unit").alias("units"))
     if keys:
-        return units.groupBy(*keys).agg(F.collect_list("unit").alias("units")).join(weights, keys).repartition(tasks)
-    dealt = units.groupBy(F.pmod(F.xxhash64("unit"), F.lit(2 * tasks)).alias("share")).agg(F.collect_list("unit").alias("units"))
+        return dealt.join(weights, keys).drop("share").repartition(tasks)
     return dealt.crossJoin(F.broadcast(weights)).drop("share").repartition(tasks)
 
 

@@ -49,7 +49,6 @@ def ranked(scores: DataFrame, keys: list[str] | None = None, tie: str = "gene",
         ranges = Ranges(kept, [-F.col("score"), second])
         return ranges.placed.withColumn("rnk", ranges.places().cast("int")).withColumn("n", F.lit(ranges.total).cast("long")).drop("__range")
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    kept = scores.where(finite(F.col("score")))
     return kept.withColumn("rnk", F.row_number().over(by.orderBy(F.desc("score"), second)) - 1).withColumn("n", F.count("*").over(by))
 
 

@@ -34,7 +34,7 @@ def run_trajectory(spark: SparkSession, expression: DataFrame, cells: DataFrame,
         sizes = prep.members(catalog, first, min_size, max_size).select("size").distinct()
         background = null.background(sizes, null.rank_weights(first, gsea_param, []), nperm_nes, seed)
     found = enrich_lists(ranks, catalog, min_size, max_size, sample_size, seed, nperm_nes, gsea_param, eps, bin_width=bin_width, precheck=precheck, calculate_nes=calculate_nes, keys=["window_id"], background=background)
-    found = found.join(F.broadcast(trajectory.window_times(ordered, window_size, step, n)), "window_id")
+    found = found.join(trajectory.window_times(ordered, window_size, step, n), "window_id")
     if out:
         sources.write_result(found, out, "csv" if out.rstrip("/").endswith(".csv") else "parquet")
     return found

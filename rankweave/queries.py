@@ -495,15 +495,16 @@ def trajectory_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def made_up(spark: SparkSession, d: str) -> DataFrame:
-    """Synthetic inputs: rows, sizes and planted signal."""
-    scores_, named = synthetic.benchmark_data(spark, 3000, 30)
-    tails = synthetic.tail_data(spark, 3000, 25, 3)[1]
-    tied = synthetic.tied_scores(spark, 3000, 500)
-    moved = scores_.select(F.col("score"), F.substring("gene", 6, 5).cast("int").alias("i"))
+    """Synthetic inputs with as many genes as there are parts (1,200 at least) and a set for each brand: rows, sizes and planted signal."""
+    n, brands = _table(spark, d, "part").agg(F.greatest(F.count("*"), F.lit(1200)), F.count_distinct("p_brand")).first()
+    scores_, named = synthetic.benchmark_data(spark, n, max(20, brands))
+    tails = synthetic.tail_data(spark, n, 25, 3)[1]
+    tied = synthetic.tied_scores(spark, n, 500)
+    moved = scores_.select(F.col("score"), F.substring("gene", 6, 9).cast("int").alias("i"))
     sizes = named.groupBy("pathway").agg(F.count("*").alias("n"), F.count_distinct("gene").alias("u"))
     planted = tails.where("pathway like 'Tail%'").groupBy("pathway").agg(F.count("*").alias("n"))
     return (
-        moved.agg(F.count("*").cast("long").alias("n"), ((F.avg(F.when(F.col("i") < 500, F.col("score"))) > 1.8) & (F.avg(F.when(F.col("i") >= 2500, F.col("score"))) < -1.8)).alias("right")).withColumn("what", F.lit("scores"))
+        moved.agg(F.count("*").cast("long").alias("n"), ((F.avg(F.when(F.col("i") < 500, F.col("score"))) > 1.8) & (F.avg(F.when(F.col("i") >= n - 500, F.col("score"))) < -1.8)).alias("right")).withColumn("what", F.lit("scores"))
         .unionByName(sizes.agg(F.count("*").alias("n"), F.min((F.col("n") == F.col("u")) & F.col("n").between(15, 200)).alias("right")).withColumn("what", F.lit("sets")))
         .unionByName(planted.agg(F.count("*").alias("n"), F.min(F.col("n").between(30, 50)).alias("right")).withColumn("what", F.lit("tails")))
         .unionByName(tied.agg(F.count_distinct("score").alias("n"), F.lit(True).alias("right")).withColumn("what", F.lit("tied")))
@@ -517,14 +518,11 @@ def speedups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tost(spark: SparkSession, d: str) -> DataFrame:
-    """Two one-sided tests of fixed differences, and whether their p-value is the tabulated one."""
-    rows = [(f"p{i}", float(x)) for i, x in enumerate([-0.02, 0.01, 0.04, -0.01, 0.03, 0.0, 0.02, -0.03, 0.05, 0.01, 0.0])]
-    a = spark.createDataFrame(rows, "pathway string, nes double")
-    b = spark.createDataFrame([(p, 0.0) for p, _ in rows], "pathway string, nes double")
-    # ten degrees of freedom: the margin at which t is 2.228, a tabulated point of 2.5 %
-    mean = sum(x for _, x in rows) / 11
-    error = (sum((x - mean) ** 2 for _, x in rows) / 10 / 11) ** 0.5
-    return analytics.bland_altman(a, b, margin=mean + 2.228 * error).select("n", F.round("bias", 6).alias("bias"), F.round("tost_p", 4).alias("tost_p"))
+    """Two one-sided tests of the brands' normalised scores by two seeds, at the margin at which the p-value is tabulated."""
+    a, b = seeds(spark, d)
+    row = a.join(b.select("pathway", F.col("nes").alias("other")), "pathway").agg(F.avg(F.col("nes") - F.col("other")).alias("mean"), (F.stddev_samp(F.col("nes") - F.col("other")) / F.sqrt(F.count("*"))).alias("error")).first()
+    # 24 degrees of freedom: the margin at which t is 2.0639, a tabulated point of 2.5 %
+    return analytics.bland_altman(a, b, margin=row["mean"] + 2.0639 * row["error"]).select("n", F.round("bias", 6).alias("bias"), F.round("tost_p", 4).alias("tost_p"))
 
 
 def dedup_modes(spark: SparkSession, d: str) -> DataFrame:
@@ -706,9 +704,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT place, pathway, pathway AS name, window_id, round(v, 5) AS value FROM grid JOIN q USING (pathway)""",
         "speedup": """WITH t AS (SELECT l_linenumber::INT AS threads, sum(l_quantity)::DOUBLE / count(*) AS seconds FROM lineitem GROUP BY 1)
             SELECT threads, round(seconds, 6) AS seconds, round((SELECT seconds FROM t WHERE threads = 1) / seconds, 6) AS speedup FROM t""",
-        "tost": "SELECT 11::BIGINT AS n, round(0.1 / 11, 6) AS bias, 0.025::DOUBLE AS tost_p",
+        "tost": f"{two_seeds} SELECT count(*) AS n, round(avg(d), 6) AS bias, 0.025::DOUBLE AS tost_p FROM j",
         "bootstrap": "SELECT o_orderstatus AS status, round(avg(o_totalprice), 4) AS mean, true AS low_right, true AS high_right, true AS width_right FROM orders GROUP BY 1",
-        "synthetic": "SELECT * FROM (VALUES (3000::BIGINT, true, 'scores'), (30, true, 'sets'), (3, true, 'tails'), (2750, true, 'tied')) t(n, \"right\", what)",
+        "synthetic": """WITH c AS (SELECT greatest(count(*), 1200) AS n, greatest(count(DISTINCT p_brand), 20) AS b FROM part)
+            SELECT n, true AS "right", 'scores' AS what FROM c UNION ALL SELECT b, true, 'sets' FROM c UNION ALL SELECT 3, true, 'tails' UNION ALL SELECT n - 250, true, 'tied' FROM c""",
         "variable_genes": f"""WITH {WINDOWS}, c AS (SELECT count(*) AS c FROM cells), s AS (SELECT gene, sum(value) / max(c) AS mean, sum(value * value) / max(c) AS square, max(c) AS c FROM expression, c GROUP BY gene),
             v AS (SELECT gene, mean, (square - mean * mean) * c / greatest(1, c - 1) AS variance FROM s), k AS (SELECT gene, variance, ln(variance / mean) AS d, ln(1 + mean) AS m FROM v WHERE mean > 0 AND variance > 0),
             e AS (SELECT min(m) AS low, max(m) AS high FROM k), b AS (SELECT k.*, greatest(1, least(20, ceil((m - low) / (high - low) * 20))) AS bin FROM k, e),
