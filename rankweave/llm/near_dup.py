@@ -108,7 +108,8 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = some.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min_by("twin", "row_key").alias("twin"), F.max("n_shingles").alias("weight"))
     chosen = written(chosen.join(groups.withColumnRenamed("component", "group"), "node"), "chosen")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    members = texts.join(chosen, "row_key").dropDuplicates(["node"])
+    # one plan at every size: the candidates grow with the documents
+    members = texts.join(chosen.hint("merge"), "row_key").dropDuplicates(["node"])
     linked = resolve(members, lambda text, powers: word_shingles(text, powers, WORDS), PERCENT)
     return signed, linked.join(chosen.select("node", "twin"), "node")
 
