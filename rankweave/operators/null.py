@@ -190,9 +190,10 @@ def means_of(drawn: DataFrame) -> DataFrame:
     return drawn.groupBy("size").agg(F.coalesce(F.avg(F.when(F.col("es") >= 0, F.col("es"))), F.lit(1.0)).alias("pos_mean"), F.coalesce(F.avg(F.when(F.col("es") < 0, F.col("es"))), F.lit(-1.0)).alias("neg_mean"))
 
 
-def permutation_p(results: DataFrame, drawn: DataFrame) -> DataFrame:
-    """results with pval = (1 + random sets of the size with |es| at least as large) / (1 + their number)."""
-    per_size = drawn.groupBy("size").agg(F.collect_list(F.round(F.abs("es"), 12)).alias("null_es"))
+def permutation_p(results: DataFrame, drawn: DataFrame, one_sided: bool = False) -> DataFrame:
+    """results with pval = (1 + random sets of the size that score at least as far from 0, one_sided: on the score's side) / (1 + their number)."""
+    per_size = drawn.groupBy("size").agg(F.collect_list(F.round("es", 12)).alias("null_es"))
     met = results.join(per_size, "size", "left")
-    above = F.size(F.filter("null_es", lambda x: x >= F.round(F.abs("es"), 12)))
+    seen = F.round(F.abs("es"), 12)
+    above = F.size(F.filter("null_es", lambda x: (x * F.when(F.col("es") >= 0, 1).otherwise(-1) if one_sided else F.abs(x)) >= seen))
     return met.withColumn("pval", (1 + above) / (1 + F.size("null_es"))).drop("null_es")

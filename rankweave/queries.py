@@ -116,13 +116,14 @@ random{tag} AS (SELECT perm, size AS k, size::VARCHAR AS pathway, rnk, score, n
 means{tag} AS (SELECT size, coalesce(avg(CASE WHEN es >= 0 THEN es END), 1.0) AS pos_mean, coalesce(avg(CASE WHEN es < 0 THEN es END), -1.0) AS neg_mean FROM rs{tag} GROUP BY size)"""
 
 
-def tested_sql(perms: int = PERMS, found: str = "es", keys: str = "", tag: str = "", name: str = "tested") -> str:
+def tested_sql(perms: int = PERMS, found: str = "es", keys: str = "", tag: str = "", name: str = "tested", one_sided: bool = False) -> str:
     """A CTE (keys, pathway, size, es, nes, pos_mean, neg_mean, pval) of found's sets against rs. keys: names, each with a comma."""
+    away = "round(r.es, 12) * CASE WHEN f.es >= 0 THEN 1 ELSE -1 END" if one_sided else "round(abs(r.es), 12)"
     return f"""
 {name} AS (
   SELECT {keys} pathway, f.size, f.es, pos_mean, neg_mean,
          CASE WHEN f.es > 0 THEN CASE WHEN pos_mean > 1e-9 THEN f.es / pos_mean END WHEN f.es < 0 THEN CASE WHEN abs(neg_mean) > 1e-9 THEN f.es / abs(neg_mean) END ELSE 0.0 END AS nes,
-         (1 + (SELECT count(*) FROM rs{tag} r WHERE r.size = f.size AND round(abs(r.es), 12) >= round(abs(f.es), 12))) / (1.0 + {perms}) AS pval
+         (1 + (SELECT count(*) FROM rs{tag} r WHERE r.size = f.size AND {away} >= round(abs(f.es), 12))) / (1.0 + {perms}) AS pval
   FROM {found} f JOIN means{tag} USING (size))"""
 
 
@@ -367,6 +368,14 @@ def compared(spark: SparkSession, d: str, use_batched: bool) -> DataFrame:
     return verified(found).join(near, "pathway")
 
 
+def one_sided_compared(spark: SparkSession, d: str) -> DataFrame:
+    """A one-sided run of the types' sets with hashed background, against one-sided p-values of MANY hashed permutations."""
+    found = enrich.run_gsea(spark, scores(spark, d), sets(spark, d, "p_type"), max_size=10**9, score_type="one_sided_signed", sample_size=SAMPLE, nperm_nes=MANY, draws="hashed")
+    drawn = null.hashed_background(ranks(spark, d), found.select("size"), MANY)
+    plain = null.permutation_p(found.select("pathway", "size", "es"), drawn, one_sided=True).select("pathway", F.col("pval").alias("perm_p"))
+    return found.join(plain, "pathway").select("pathway", "size", F.round("es", 6).alias("es"), F.round("nes", 8).alias("nes"), F.round("perm_p", 8).alias("perm_p"), close("pval", "perm_p").alias("p_close"))
+
+
 def background_compared(spark: SparkSession, d: str) -> DataFrame:
     """Means of hashed permutations, and whether those of 4,000 generated ones are within 5 percent and the error of so few."""
     hashed = null.means_of(_hashed(spark, d)[1])
@@ -579,6 +588,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nes_background_compared": background_compared,
         "run_gsea_compared": lambda s, d: compared(s, d, True),
         "run_gsea_per_set_compared": lambda s, d: compared(s, d, False),
+        "run_gsea_one_sided_compared": one_sided_compared,
         "replicate_scores": lambda s, d: _rounded(replicate_scores(s, d), "es", "nes", "pval"),
         "replicates_compared": replicates_compared,
         "replicates_calibrated": replicates_calibrated,
@@ -717,6 +727,7 @@ def oracle_sql() -> dict[str, str]:
         "nes_background_compared": GSEA + "SELECT size, round(pos_mean, 8) AS pos_mean, round(neg_mean, 8) AS neg_mean, true AS close FROM means",
         "run_gsea_compared": gsea_sql(MANY) + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(nes, 8) AS nes, round(pval, 8) AS perm_p, true AS p_close FROM tested",
         "run_gsea_per_set_compared": gsea_sql(MANY) + f"SELECT pathway, size, round(es, 6) AS es, {sure}, round(nes, 8) AS nes, round(pval, 8) AS perm_p, true AS p_close FROM tested",
+        "run_gsea_one_sided_compared": f"{typed}, {draws_sql(MANY)}, {tested_sql(MANY, one_sided=True)} SELECT pathway, size, round(es, 6) AS es, round(nes, 8) AS nes, round(pval, 8) AS perm_p, true AS p_close FROM tested",
         "nes_background": gsea_sql(500) + "SELECT size, round(pos_mean, 8) AS pos_mean, round(neg_mean, 8) AS neg_mean FROM means",
         "replicate_scores": f"{replicated} SELECT replicate, pathway, size, round(es, 8) AS es, round(nes, 8) AS nes, round(pval, 8) AS pval FROM tested_r",
         "replicates_compared": f"{replicated} SELECT replicate, pathway, round(pval, 8) AS perm_p, true AS p_close FROM tested_r",
