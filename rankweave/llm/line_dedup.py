@@ -144,10 +144,9 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lines = written(keyed.mapInArrow(lambda batches: _lines(batches, least), "doc_id long, row_key binary, line int, node long, twin long, weight int"), "lines")
     cells = cells_of(docs)
     groups = candidate_groups(keyed.select("text").mapInArrow(lambda batches: _banded(batches, least, cells), CELLS_DDL), CHECK_BITS // 32, _differing, MOST)
-    # only lines of candidate groups are sorted for their first place
-    grouped = lines.join(groups.withColumnRenamed("component", "group"), "node")
-    places = grouped.groupBy("node", "group").agg(F.min(F.struct("row_key", "line", "twin")).alias("p"), F.max("weight").alias("weight"))
-    chosen = written(places.select("node", "p.twin", "p.row_key", "p.line", "weight", "group"), "chosen")
+    # a frequent line's places are put together before they are shuffled
+    places = lines.groupBy("node").agg(F.min(F.struct("row_key", "line", "twin")).alias("p"), F.max("weight").alias("weight"))
+    chosen = written(places.join(groups.withColumnRenamed("component", "group"), "node").select("node", "p.twin", "p.row_key", "p.line", "weight", "group"), "chosen")
     wanted = chosen.groupBy("row_key").agg(F.collect_list(F.struct("line", "node", "weight", "group")).alias("wanted"))
     texts = (
         keyed.select("row_key", "text").join(wanted, "row_key")
