@@ -23,11 +23,15 @@ def permuted_lists(ranks: DataFrame, replicates: int, seed: int = 42) -> DataFra
 
 
 def pooled_calibration(results: DataFrame, key: str = "replicate") -> DataFrame:
-    """One row of all replicates: replicates, n, ks (largest |i/n - p_(i)|), below_05, and the bounds that uniform p-values keep to but for one run in about a thousand."""
+    """One row of all replicates: replicates, n, ks (largest |i/n - p_(i)|), below_05, and the bounds that uniform p-values keep to but for one run in about a thousand.
+
+    No results have infinite bounds, and neither ks nor below_05.
+    """
     w = Window.partitionBy(F.lit(0))
     at = results.select(key, "pval", F.row_number().over(w.orderBy("pval", key, "pathway")).alias("i"), F.count("*").over(w).alias("n"))
     made = at.agg(
         F.count_distinct(key).alias("replicates"), F.count("*").alias("n"), F.max(F.greatest(F.abs(F.col("i") / F.col("n") - F.col("pval")), F.abs((F.col("i") - 1) / F.col("n") - F.col("pval")))).alias("ks"),
         F.avg((F.col("pval") < 0.05).cast("double")).alias("below_05"),
     )
-    return made.withColumn("ks_bound", 1.95 / F.sqrt("n")).withColumn("below_bound", 3.3 * F.sqrt(0.05 * 0.95 / F.col("n")))
+    bound = lambda c: F.when(F.col("n") > 0, c).otherwise(float("inf"))
+    return made.withColumn("ks_bound", bound(1.95 / F.sqrt("n"))).withColumn("below_bound", bound(3.3 * F.sqrt(0.05 * 0.95 / F.col("n"))))
