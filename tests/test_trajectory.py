@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave import queries
-from rankweave.operators import analytics, anchors, prep, pseudotime, trajectory
+from rankweave.operators import analytics, anchors, enrichment, prep, pseudotime, trajectory
 from rankweave.plans import trajectory as plans
 from rankweave.sources import catalog as sources
 
@@ -180,3 +180,48 @@ def test_entry_without_training_data_operators():
 def test_melted(spark):
     wide = spark.createDataFrame(pd.DataFrame({"cell_id": ["a"], "g1": [1.0], "g2": [0.0]}))
     assert [tuple(r) for r in sources.melted(wide).collect()] == [("a", "g1", 1.0)]
+
+
+def test_runs_of_windows_are_few(spark):
+    """A gene's score is a row for each run of windows, so rows before the last step grow with the values and not with windows times genes."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((400, 30)) < 0.01, rng.integers(1, 9, (400, 30)), 0).astype(float)
+    ordered = trajectory.ordered_cells(cells_of(spark, range(400)))
+    genes = spark.createDataFrame([(f"g{j:02d}",) for j in range(31)], "gene string")
+    sums = trajectory.bin_sums(expression_of(spark, x), ordered, 4)
+    count = trajectory.window_count(400, 8, 4)
+    runs = trajectory.window_runs(sums, genes, count, 2).collect()
+    assert len(runs) <= 2 * sums.count() + 31 < count * 31 / 5
+    got = {(w, r["gene"]): (r["inside"], r["total"]) for r in runs for w in range(r["low"], r["high"] + 1)}
+    x = np.c_[x, np.zeros(400)]
+    assert got == {(w, f"g{j:02d}"): (x[4 * w : 4 * w + 8, j].sum(), x[:, j].sum()) for w in range(count) for j in range(31)}
+
+
+def test_window_enrichment_is_that_of_ranked_lists(spark):
+    x = np.random.default_rng(6).integers(0, 3, (60, 40)).astype(float)
+    ordered, expression = trajectory.ordered_cells(cells_of(spark, range(60))), expression_of(spark, x)
+    named = sources.sets_from_dict(spark, {"a": [f"g{j:02d}" for j in range(0, 40, 2)], "b": [f"g{j:02d}" for j in range(0, 40, 3)], "few": ["g01"], "none": ["h00"]})
+    lists = prep.ranked(trajectory.window_scores(expression, ordered, 20, 10).withColumn("score", F.round("score", 6)), ["window_id"])
+    want = enrichment.enrichment(prep.members(named, lists, 5, 30, ["window_id"]), 1.0, ["window_id"])
+    rows = lambda df: sorted((r["window_id"], r["pathway"], r["size"], round(r["es"], 12)) for r in df.collect())
+    got = rows(trajectory.window_enrichment(expression, ordered, named, 20, 10, 5, 30, digits=6))
+    assert got == rows(want) and len(got) == 10
+    assert trajectory.window_enrichment(expression, ordered, named, 20, 10, 30, 40, digits=6).collect() == []
+
+
+@pytest.mark.parametrize("name", ["calibration", "tost", "replicates_calibrated", "repeated_genes", "replicate_qq", "seed_agreement", "heatmap"])
+def test_queries_without_a_set_that_qualifies(spark, tmp_path, name):
+    """No brand has 15 parts here; brands of over 5,000 parts leave as few sets."""
+    con = duckdb.connect()
+    tables = {
+        "part": "SELECT i::BIGINT AS p_partkey, 'Brand#' || (11 + i % 9) AS p_brand, 'T' || i % 2 AS p_type FROM range(60) t(i)",
+        "orders": "SELECT i::BIGINT AS o_orderkey, TIMESTAMP '1998-01-01' + INTERVAL (i) DAY AS o_orderdate, 'F' AS o_orderstatus FROM range(300) t(i)",
+        "lineitem": "SELECT i::BIGINT AS l_orderkey, (i * 7 % 60)::BIGINT AS l_partkey, (1000 + i * 37 % 900)::DOUBLE AS l_extendedprice, 0.1::DOUBLE AS l_discount, TIMESTAMP '1998-01-01' + INTERVAL (i) DAY AS l_shipdate FROM range(300) t(i)",
+    }
+    for table, rows in tables.items():
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{table}.parquet'")
+        con.execute(f"CREATE VIEW {table} AS FROM read_parquet('{tmp_path}/{table}.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    held = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
+    assert held(want.fetchall()) == held(tuple(r[c] for c in names) for r in queries.queries()[name](spark, str(tmp_path)).collect())
