@@ -24,6 +24,8 @@ def enrich_lists(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size
     length = met.groupBy(*keys, "pathway").agg(F.max("n").alias("n"))
     scored = enrichment.enrichment(met, gsea_param, keys).join(length, [*keys, "pathway"])
     scored = scored.persist()
+    if scored.isEmpty():  # no list is gathered for nothing
+        ranks = ranks.limit(0)
     weights = null.rank_weights(ranks, gsea_param, keys)
     if use_batched:
         tested = multilevel.batched(scored, weights, sample_size, seed, eps, score_type, bin_width, precheck, keys=keys)
