@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import bound_batches, row_key, texts_of, unused, written
-from rankweave.llm.similar import CELLS_DDL, candidate_groups, cells_of, char_shingles, min_hashes, mixed, packed, resolve
+from rankweave.llm.similar import CELLS_DDL, candidate_groups, cells_of, char_shingle_sets, min_hashes, mixed, packed, resolve, sharpened
 
 CHARS = 5
 PERCENT = 80
@@ -30,6 +30,8 @@ LEAST = 1
 HASHES, BANDS = 108, 18
 #: Most of CHECK_BITS one-bit minhashes that may differ between candidates (at 0.8, 6.4 differ on average, 19 or more in 1 of 100,000 pairs).
 CHECK_BITS, MOST = 64, 18
+#: Most of the HASHES minhashes, 8 bits of each, that may differ within large groups (at 0.8, 21.5 differ on average, 42 or more in 1 of 100,000 pairs; at 0.5, 41 or fewer in 1 of 120).
+SHARP_MOST = 41
 #: Lines whose entries a task packs at a time.
 SIGNED = 16_384
 
@@ -40,8 +42,16 @@ def squeezed(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+#: White space besides spaces and newlines.
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
 def _lines_from(text: str, least: int) -> list[tuple[int, str]]:
-    return [(i, s) for i, x in enumerate(text.lower().split("\n")) if len(x) >= least and len(s := " ".join(x.split())) >= least]
+    text = text.lower()
+    if any(c in text for c in _WHITE):
+        return [(i, s) for i, x in enumerate(text.split("\n")) if len(x) >= least and len(s := " ".join(x.split())) >= least]
+    # only runs of spaces are left to squeeze
+    return [(i, s) for i, x in enumerate(text.split("\n")) if len(x) >= least and len(s := " ".join(x.split()) if "  " in x else x.strip(" ")) >= least]
 
 
 def _node(line: str) -> tuple[int, int]:
@@ -108,6 +118,28 @@ def checks_of(made: np.ndarray) -> np.ndarray:
     return np.packbits((made[:, :CHECK_BITS] & 1).astype(np.uint8), axis=1).view("<u4")
 
 
+def sharp_checks(made: np.ndarray) -> np.ndarray:
+    """(lines, words): 8 bits of each hash."""
+    return made.astype(np.uint8).view("<u4")
+
+
+def _unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.count_nonzero(np.ascontiguousarray(a ^ b).view(np.uint8), axis=-1)
+
+
+def _sharp(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            made = np.concatenate(list(_signatures([squeezed(x) for x in texts_of(batch)])))
+            yield packed(batch.column(0).to_numpy(), band_keys(made), sharp_checks(made), cells)
+
+
+def sharp_groups(members: DataFrame) -> DataFrame:
+    """sharpened() by all minhashes of the lines."""
+    cells = cells_of(members)
+    return sharpened(members, lambda batches: _sharp(batches, cells), HASHES // 4, _unequal, SHARP_MOST)
+
+
 def _banded(batches: Iterator[pa.RecordBatch], least: int, cells: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         distinct = {_node(s)[0]: s for text in texts_of(batch) for _, s in _lines_from(text, least)}
@@ -154,7 +186,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
         .select(F.expr("inline(transform(array(split(text, '\\n', -1)), x -> transform(wanted, w -> named_struct('node', w.node, 'group', w.group, 'weight', w.weight, 'text', x[w.line])))[0])"))
         .dropDuplicates(["node"])
     )
-    linked = resolve(texts, lambda text, powers: char_shingles(squeezed(text), powers, CHARS), PERCENT)
+    linked = resolve(texts, lambda texts: char_shingle_sets([squeezed(x) for x in texts], CHARS), PERCENT, sharp_groups)
     linked = written(linked.join(chosen.select("node", "twin"), "node"), "linked")
     # a class is a component, or a line by both halves of its hash
     alone = F.col("component").isNull()

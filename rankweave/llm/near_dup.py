@@ -33,6 +33,11 @@ SYMBOLS, BITS, CHUNKS, DISTANCE = 40, 16, 11, 21
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("signature", pa.binary())])
 
 
+def _sets_of(texts: list[str]) -> list[np.ndarray]:
+    powers = Powers()
+    return [word_shingles(x, powers, WORDS) for x in texts]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, row_key, n_shingles, node and twin (hashes of the shingle set) and signature; the last three null without shingles."""
     bound_batches(docs.sparkSession)
@@ -110,7 +115,7 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
     # one plan at every size: the candidates grow with the documents
     members = texts.join(chosen.hint("merge"), "row_key").dropDuplicates(["node"])
-    linked = resolve(members, lambda text, powers: word_shingles(text, powers, WORDS), PERCENT)
+    linked = resolve(members, _sets_of, PERCENT)
     return signed, linked.join(chosen.select("node", "twin"), "node")
 
 

@@ -30,6 +30,8 @@ HELD = 1_000_000
 CELLS, LEAST_CELLS = 4, 2048
 #: A block of a candidate group holds about so many shingles.
 BLOCK_SHINGLES = 1_000_000
+#: Candidate groups of more shingles are formed anew with longer checks.
+SHARPENED = BLOCK_SHINGLES // 10
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
@@ -85,20 +87,47 @@ def word_shingles(text: str, powers: Powers, n: int = 5) -> np.ndarray:
         starts, ends = starts[: len(words) - n + 1], ends[n - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    return np.unique(span_hashes(raw, starts, ends, powers))
+    return _distinct(span_hashes(raw, starts, ends, powers))
 
 
 def char_shingles(line: str, powers: Powers, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of n-character shingles of a line; a shorter line is one."""
-    if not line:
-        return np.zeros(0, np.uint64)
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    if len(codes) < n:
-        codes = np.concatenate([codes, np.zeros(n - len(codes), np.uint64)])
-    h = np.zeros(len(codes) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(_BASE) + codes[k : len(codes) - n + 1 + k] + np.uint64(1)
-    return np.unique(mixed(h))
+    return char_shingle_sets([line], n)[0]
+
+
+def char_shingle_sets(lines: list[str], n: int = 5, chars: int = 60_000) -> list[np.ndarray]:
+    """char_shingles() of many lines, hashed together in parts of about `chars` characters, which fit a processor's cache."""
+    out: list[np.ndarray] = []
+    while len(out) < len(lines):
+        part, held = [], 0
+        while len(out) + len(part) < len(lines) and held <= chars:
+            line = lines[len(out) + len(part)]
+            part.append(line if len(line) >= n or not line else line.ljust(n, "\0"))
+            held += len(line)
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+        for k in range(n):
+            h = h * np.uint64(_BASE) + codes[k : len(codes) - n + 1 + k]
+        h = mixed(h)
+        starts = np.cumsum(sizes) - sizes
+        ends = np.maximum(starts + sizes - n + 1, starts)
+        new = np.zeros(len(h), bool)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b > a:
+                h[a:b].sort()
+                new[a] = True
+                np.not_equal(h[a + 1 : b], h[a : b - 1], out=new[a + 1 : b])
+        bounds = np.r_[0, np.cumsum(new)]
+        kept = h[new]
+        out += [kept[bounds[a] : bounds[b]] if b > a else kept[:0] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return out
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The numbers, at least one, sorted, each once; sorts them in place (np.unique's hash table takes several times as long)."""
+    hashes.sort()
+    return hashes[np.r_[True, hashes[1:] != hashes[:-1]]]
 
 
 def min_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
@@ -277,21 +306,32 @@ def candidate_groups(cells: DataFrame, words: int, distance: Callable[[np.ndarra
     return components(cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(join, "u long, v long"))
 
 
+#: Share of a set's shingles, the rarest ones, whose postings are counted before an intersection is.
+RARE = 0.3
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """A forest of the links between sets: 100 * intersection >= percent * union. With sides, only sets of different sides are compared.
 
-    Postings of each shingle count all intersections of one set at a time, and only as long as sets are left that no tree has reached.
+    Linked sets of sizes a and b share at least percent * (a + b) / (100 + percent) shingles, and those that a set has besides its rarest ones are at most so many of them.
+    Postings of a set's rarest shingles leave few others, whose intersections are counted whole, and only as long as sets are left that no tree has reached.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     n, out = len(sets), []
-    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    every = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(shingle, kind="stable")
+    order = np.argsort(every)
+    found = every[order]
+    shingle = np.empty(len(every), np.int64)
+    shingle[order] = np.cumsum(np.r_[False, found[1:] != found[:-1]][: len(every)])
     posting = owner[order]
     counts = np.bincount(shingle)
     begins = np.cumsum(counts) - counts
     own = np.r_[0, np.cumsum(sizes)]
+    rising = shingle[np.lexsort((counts[shingle], owner))]
+    rare = np.ceil(RARE * sizes).astype(np.int64)
     left = np.ones(n, bool)
+    mark = np.zeros(len(counts), bool)
     for root in range(n):
         if not left[root]:
             continue
@@ -302,19 +342,45 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> lis
             wanted = left if side is None else left & (side != side[i])
             if not wanted.any():
                 continue
-            mine = shingle[own[i] : own[i + 1]]
-            spans = counts[mine]
-            at = np.repeat(begins[mine] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
-            shared = np.bincount(posting[at], minlength=n)
-            near = np.flatnonzero(wanted & (shared > 0) & (100 * shared >= percent * (sizes[i] + sizes - shared)))
+            mine = rising[own[i] : own[i] + rare[i]]
+            shared = np.bincount(posting[_ranges(begins[mine], counts[mine])], minlength=n)
+            least = -(-percent * (sizes[i] + sizes) // (100 + percent)) - (sizes[i] - rare[i])
+            near = np.flatnonzero(wanted & (shared >= least) & (sizes > 0))
+            if not len(near):
+                continue
+            mark[shingle[own[i] : own[i + 1]]] = True
+            shared = np.bincount(np.repeat(np.arange(len(near)), sizes[near]), mark[shingle[_ranges(own[near], sizes[near])]], len(near)).astype(np.int64)
+            mark[shingle[own[i] : own[i + 1]]] = False
+            near = near[(shared > 0) & (100 * shared >= percent * (sizes[i] + sizes[near] - shared))]
             left[near] = False
             queue.extend(near.tolist())
             out += [(i, j) for j in near.tolist()]
     return out
 
 
-def resolve(members: DataFrame, shingles: Callable[[str, Powers], np.ndarray], percent: int) -> DataFrame:
-    """(node, component) by exact links, from one row (node, group, text, weight) for each node of a candidate group.
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its size, one range after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def sharpened(members: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], words: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> DataFrame:
+    """members (node, group, text, weight) with the groups of over SHARPENED shingles cut to those that their nodes' longer checks form; nodes without any other near them go.
+
+    cells makes packed entries (cell, entries) of batches (node, text). Groups are chains of candidates, and short checks let unlike nodes pass now and then: with more nodes such
+    chains grow into one group of most nodes, of which every block would meet every other.
+    """
+    sizes = members.groupBy("group").agg(F.sum("weight").alias("w")).where(F.col("w") > SHARPENED).select("group")
+    sizes = written(sizes, "sizes")
+    if sizes.isEmpty():
+        return members
+    large = written(members.join(sizes, "group", "left_semi"), "large")
+    found = candidate_groups(large.select("node", "text").mapInArrow(cells, CELLS_DDL), words, distance, most).withColumnRenamed("component", "group")
+    cut = written(large.drop("group").join(found, "node").select("node", "group", "text", "weight"), "cut")
+    return members.join(sizes, "group", "left_anti").select("node", "group", "text", "weight").unionByName(cut)
+
+
+def resolve(members: DataFrame, shingles: Callable[[list[str]], list[np.ndarray]], percent: int, sharpen: Callable[[DataFrame], DataFrame] = lambda members: members) -> DataFrame:
+    """(node, component) by exact links, from one row (node, group, text, weight) for each node of a candidate group; sharpen may cut groups.
 
     A group of over BLOCK_SHINGLES shingles is cut into blocks. Each block is resolved by itself, then one node of each tree with those of other blocks.
     A link that is still missing has an end outside the largest tree of its group: the nodes outside are compared, block by block, with
@@ -325,6 +391,7 @@ def resolve(members: DataFrame, shingles: Callable[[str, Powers], np.ndarray], p
     members = written(members.select("node", "group", "text", "weight"), "members")
     release(spark)
     bound_batches(spark)
+    members = sharpen(members)
 
     def blocked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """rows (node, group, text, weight) with blocks and block; the groups (group, blocks) of more than one block."""
@@ -337,17 +404,18 @@ def resolve(members: DataFrame, shingles: Callable[[str, Powers], np.ndarray], p
         """Forest edges (u, v) of rows (task, group, node, text, block, a, b): links within block a, or between blocks a and b."""
 
         def decide(rows: pd.DataFrame) -> pd.DataFrame:
-            powers, out = Powers(), []
+            out = []
             group, a, b, node, block = (rows[c].to_numpy() for c in ("group", "a", "b", "node", "block"))
-            text = rows["text"].to_numpy()
             order = np.lexsort((node, b, a, group))
+            # a task's texts are bounded as its blocks are
+            every = shingles(rows["text"].to_numpy()[order].tolist())
             own = np.stack([group, a, b], 1)[order]
             first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(1)])
             for low, high in zip(first, np.r_[first[1:], len(order)], strict=True):
                 at = order[low:high]
                 if len(at) < 2:
                     continue
-                sets = [shingles(text[i], powers) for i in at]
+                sets = every[low:high]
                 if len(at) == 2:
                     shared = len(np.intersect1d(*sets, assume_unique=True))
                     near = shared and 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared)

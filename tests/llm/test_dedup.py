@@ -71,6 +71,39 @@ def test_char_shingles_are_those_of_the_line():
         assert len(np.intersect1d(similar.char_shingles(a, powers), similar.char_shingles(b, powers))) == len(want)
 
 
+def test_char_shingle_sets_are_those_of_each_line():
+    lines = ["", "ab", "abcde", "é" * 9, "", *[sentence(random.Random(i), 40) for i in range(30)], "x" * 500, ""]
+    for chars in (1, 300, 10**6):
+        got = similar.char_shingle_sets(lines, chars=chars)
+        for line, found in zip(lines, got, strict=True):
+            assert len(found) == len({line[i : i + 5] for i in range(max(1, len(line) - 4))} if line else ())
+            assert (np.diff(found.astype(object)) > 0).all() and (found == similar.char_shingles(line, similar.Powers())).all()
+
+
+@pytest.mark.parametrize("percent", [75, 80])
+def test_linked_against_brute_force(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(60):
+        base = [rng.integers(0, 60, rng.integers(1, 25)) for _ in range(3)]
+        sets = []
+        for _ in range(rng.integers(2, 25)):
+            x = base[rng.integers(0, 3)].copy()
+            moved = rng.random(len(x)) < rng.choice([0, 0.1, 0.2])
+            x[moved] = rng.integers(0, 60, moved.sum())
+            sets.append(np.unique(x[: rng.integers(0, len(x) + 1)] if rng.random() < 0.2 else x).astype(np.uint64))
+        side = rng.random(len(sets)) < 0.5
+        for sides in (None, side):
+            want, got = Sets(range(len(sets))), Sets(range(len(sets)))
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets[:i]):
+                    shared = len(np.intersect1d(a, b))
+                    if shared and 100 * shared >= percent * (len(a) + len(b) - shared) and (sides is None or sides[i] != sides[j]):
+                        want.join(i, j)
+            for i, j in similar.linked(sets, sides, percent):
+                got.join(i, j)
+            assert [want.find(i) for i in range(len(sets))] == [got.find(i) for i in range(len(sets))]
+
+
 def test_every_near_signature_shares_an_entry():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 65536, (400, near_dup.SYMBOLS)).astype(np.uint16)
@@ -264,6 +297,31 @@ def test_lines_link_on_five_characters(spark):
     assert got == {0: 0, 1: 1}
 
 
+def test_unlike_long_lines_are_no_chain(spark, monkeypatch):
+    """Long lines of few syllables share about half of their shingles, and short checks make one group of nearly all; the longer ones leave the near pairs."""
+    rng = random.Random(5)
+    syllables = ["".join(rng.choice("abcdeinrst") for _ in range(3)) for _ in range(22)]
+    lines = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(420)) for _ in range(200)]
+    near = {i: f"{lines[i][:-20]} near {i}" for i in range(0, 200, 20)}
+    texts = {i: x for i, x in enumerate(lines)} | {1000 + i: x for i, x in near.items()}
+    sets = {i: set(similar.char_shingles(x, similar.Powers()).tolist()) for i, x in texts.items()}
+    likeness = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(40) for j in range(i)]
+    assert 0.4 < sum(likeness) / len(likeness) < 0.6
+    made = line_dedup.line_signatures(list(texts.values()))
+    checks = line_dedup.checks_of(made)
+    assert np.mean([line_dedup._differing(checks[i], checks[j]) <= line_dedup.MOST for i in range(40) for j in range(i)]) > 0.2
+    monkeypatch.setattr(similar, "SHARPENED", 1000)
+    members = spark.createDataFrame([(i, 0, x, len(x)) for i, x in texts.items()], "node long, group long, text string, weight int").repartition(3)
+    grouped = defaultdict(set)
+    for r in line_dedup.sharp_groups(members).collect():
+        grouped[r["group"]].add(r["node"])
+    assert all(any({i, 1000 + i} <= g for g in grouped.values()) for i in near)
+    assert max(map(len, grouped.values())) < 20
+    # groups of few shingles stay as they are
+    monkeypatch.setattr(similar, "SHARPENED", 10**9)
+    assert line_dedup.sharp_groups(members).count() == len(texts)
+
+
 def test_short_lines_of_the_queries(spark, tmp_path):
     """Lines of any length are compared, and blank lines stay."""
     texts = ["All rights reserved.\n\nx", "  all RIGHTS reserved. \n\nall rights reserved!\nx", "x\nx", "\n \n"]
