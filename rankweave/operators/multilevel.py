@@ -7,7 +7,7 @@ moved together in numpy; generators depend on the seed and the unit, so results
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,16 +41,28 @@ BLOCKED = 300
 SLACK = 1e-12
 
 
-def _proposed(rng: np.random.Generator, inside: np.ndarray, at: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row a member's place, a rank outside the set, and whether one was found."""
-    out = rng.integers(0, k, len(at))
-    new = rng.integers(0, n, len(at))
+#: Numbers that a step holds at once, whatever the length of the list and the sets.
+CELLS = 2_000_000
+#: Sets of a walk that have at most so many rows times ranks are a table.
+TABLE = 64_000_000
+
+
+def _proposed(rng: np.random.Generator, held: Callable[[np.ndarray], np.ndarray], rows: int, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row a member's place, a rank outside the set, and whether one was found. held: whether each row holds a rank."""
+    out = rng.integers(0, k, rows)
+    new = rng.integers(0, n, rows)
     for _ in range(10):
-        taken = inside[at, new]
+        taken = held(new)
         if not taken.any():
             break
         new[taken] = rng.integers(0, n, int(taken.sum()))
-    return out, new, ~inside[at, new]
+    return out, new, ~held(new)
+
+
+def _parts(rows: int, each: int) -> Iterator[slice]:
+    """Slices of rows of about CELLS numbers, `each` a row."""
+    part = max(1, CELLS // max(1, each))
+    return (slice(a, min(a + part, rows)) for a in range(0, rows, part))
 
 
 def walk(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray, metric: np.ndarray, floor: float, steps: int, sign: int, two_sided: bool) -> tuple[np.ndarray, np.ndarray, float]:
@@ -61,32 +73,92 @@ def walk(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray, metric
     n, (rows, k) = len(weights), hits.shape
     if k >= n:
         return hits, metric, 0.0
-    if k > BLOCKED and two_sided and floor > SLACK:
-        return _walk_blocks(rng, weights, hits, metric, floor, steps)
-    inside = np.zeros((rows, n), bool)
+    if k > BLOCKED and floor > SLACK:
+        return _walk_blocks(rng, weights, hits, floor, steps, 0 if two_sided else 1 if sign >= 0 else -1)
     at = np.arange(rows)
-    inside[at[:, None], hits] = True
     hits, metric = hits.copy(), metric.copy()
     kept = 0
     for _ in range(steps):
-        out, new, free = _proposed(rng, inside, at, n, k)
-        trial = hits.copy()
-        trial[at[free], out[free]] = new[free]
-        es = metric_of(scores_of_sets(weights, np.sort(trial, 1)), sign, two_sided)
-        good = free & (es >= floor - SLACK)
+        out, new, free = _proposed(rng, lambda new: np.concatenate([(hits[p] == new[p, None]).any(1) for p in _parts(rows, k)]), rows, n, k)
         old = hits[at, out]
-        inside[at[good], old[good]] = False
-        inside[at[good], new[good]] = True
-        hits[good], metric[good] = trial[good], es[good]
+        hits[at[free], out[free]] = new[free]
+        es = metric_of(np.concatenate([scores_of_sets(weights, np.sort(hits[p], 1)) for p in _parts(rows, k)]), sign, two_sided)
+        good = free & (es >= floor - SLACK)
+        back = free & ~good
+        hits[at[back], out[back]] = old[back]
+        metric[good] = es[good]
         kept += int(good.sum())
-    return np.sort(hits, 1), metric, kept / max(1, rows * steps)
+    hits.sort(1)
+    return hits, metric, kept / max(1, rows * steps)
+
+
+class _Table:
+    """The sets of a walk as a table of rows and ranks, where it is small."""
+
+    def __init__(self, hits: np.ndarray, n: int, length: int) -> None:
+        self.at = np.arange(len(hits))
+        self.length = length
+        self.inside = np.zeros((len(hits), -(-n // length) * length), bool)
+        self.inside[self.at[:, None], hits] = True
+
+    def hold(self, rank: np.ndarray) -> np.ndarray:
+        return self.inside[self.at, rank]
+
+    def exchange(self, row: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
+        self.inside[row, old] = False
+        self.inside[row, new] = True
 
+    def undo(self, row: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
+        self.exchange(row, new, old)
 
-def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray, metric: np.ndarray, floor: float, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """walk() of two-sided scores with running sums by blocks of about sqrt(n) ranks.
+    def within(self, row: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """(pairs, length): which of the ranks of a block a row holds."""
+        return self.inside.reshape(len(self.at), -1, self.length)[row, block]
 
-    An exchange changes two blocks' counts and weights. The running sum at the blocks' ends often shows that the floor is reached, and what a block can add at most that it
-    isn't; only blocks that leave it open are scanned. The exact metric is computed once, at the end.
+
+class _Members:
+    """As _Table, without a column for each rank: the ranks as they were, in rising order, and those that entered or left since."""
+
+    def __init__(self, hits: np.ndarray, n: int, length: int, steps: int) -> None:
+        self.at, self.n, self.length = np.arange(len(hits)), n, length
+        self.keys = (hits + self.at[:, None] * n).ravel()
+        self.moved = np.full((len(hits), 2 * steps), -1, np.int64)
+        self.count = np.zeros(len(hits), np.int64)
+
+    def hold(self, rank: np.ndarray) -> np.ndarray:
+        key = self.at * self.n + rank
+        there = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+        return there ^ ((self.moved == rank[:, None]).sum(1) % 2 == 1)
+
+    def exchange(self, row: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
+        for rank in (old, new):
+            self.moved[row, self.count[row]] = rank
+            self.count[row] += 1
+
+    def undo(self, row: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
+        """Forget the rows' last exchanges."""
+        self.count[row] -= 2
+        self.moved[row, self.count[row]] = self.moved[row, self.count[row] + 1] = -1
+
+    def within(self, row: np.ndarray, block: np.ndarray) -> np.ndarray:
+        start = block * self.length
+        there = np.zeros((len(row), self.length), np.int8)
+        low, high = (np.searchsorted(self.keys, row * self.n + np.minimum(x, self.n)) for x in (start, start + self.length))
+        many = high - low
+        pair = np.repeat(np.arange(len(row)), many)
+        key = self.keys[np.arange(len(pair)) + np.repeat(low - (np.cumsum(many) - many), many)]
+        there[pair, key - (row * self.n + start)[pair]] = 1
+        moved = self.moved[row]
+        pair, column = np.nonzero((moved >= start[:, None]) & (moved < (start + self.length)[:, None]))
+        np.add.at(there, (pair, moved[pair, column] - start[pair]), 1)
+        return there % 2 == 1
+
+
+def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray, floor: float, steps: int, side: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """walk() with running sums by blocks of about sqrt(n) ranks; side: 0 for two-sided scores, else the sign.
+
+    An exchange changes two blocks' counts and weights. The running sum at the blocks' ends often shows that the floor is reached (one-sided: and that the other side is
+    less far from 0), and what a block can add at most that it isn't; only blocks that leave it open are scanned. The exact metric is computed once, at the end.
     """
     n, (rows, k) = len(weights), hits.shape
     length = max(8, math.isqrt(n))
@@ -96,52 +168,72 @@ def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray
     size = np.full(blocks, float(length))
     size[-1] = n - (blocks - 1) * length
     at = np.arange(rows)
-    inside = np.zeros((rows, blocks * length), bool)
-    inside[at[:, None], hits] = True
-    by_block = inside.reshape(rows, blocks, length)
-    members = by_block.sum(2).astype(float)
-    held = np.where(by_block, w.reshape(blocks, length), 0.0).sum(2)
-    total = held.sum(1)
+    sets = _Table(hits, n, length) if rows * n <= TABLE else _Members(hits, n, length, steps)
     hits = hits.copy()
+    members, held = np.zeros((rows, blocks)), np.zeros((rows, blocks))
+    for p in _parts(rows, k):
+        cell = (hits[p] // length + (at[p] - p.start)[:, None] * blocks).ravel()
+        members[p] = np.bincount(cell, minlength=(p.stop - p.start) * blocks).reshape(-1, blocks)
+        held[p] = np.bincount(cell, w[hits[p]].ravel(), (p.stop - p.start) * blocks).reshape(-1, blocks)
+    total = held.sum(1)
     level, misses = floor - SLACK, float(n - k)
     start = np.zeros((rows, blocks))
     kept = 0
 
-    def exchange(which: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
-        inside[which, old] = False
-        inside[which, new] = True
+    def change(which: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
         members[which, old // length] -= 1
         members[which, new // length] += 1
         held[which, old // length] -= w[old]
         held[which, new // length] += w[new]
         total[which] += w[new] - w[old]
 
+    def scanned(row: np.ndarray, block: np.ndarray, scale: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, largest, smallest) of the running sums in blocks of rows."""
+        for p in _parts(len(row), 4 * length):
+            r, b = row[p], block[p]
+            ranks_left = size[b][:, None] > np.arange(length)
+            rises = w.reshape(blocks, length)[b] / scale[r][:, None]
+            course = np.cumsum(np.where(sets.within(r, b), rises, np.where(ranks_left, -1 / misses, 0.0)), 1) + start[r, b][:, None]
+            yield r, course.max(1), course.min(1)
+
     for _ in range(steps):
-        out, new, free = _proposed(rng, inside, at, n, k)
+        out, new, free = _proposed(rng, sets.hold, rows, n, k)
         old = hits[at, out]
-        exchange(at[free], old[free], new[free])
+        sets.exchange(at[free], old[free], new[free])
+        change(at[free], old[free], new[free])
         usable = total > 0
-        rise = held / np.where(usable, total, 1.0)[:, None]
+        scale = np.where(usable, total, 1.0)
+        rise = held / scale[:, None]
         fall = (size - members) / misses
         end = np.cumsum(rise - fall, 1)
         start[:, 1:] = end[:, :-1]
-        good = (np.maximum(end, -end) >= level).any(1)
-        row, block = np.nonzero(((start + rise >= level) | (fall - start >= level)) & ~good[:, None])
-        if len(row):
-            there = by_block[row, block]
-            ranks_left = size[block][:, None] > np.arange(length)
-            steps_ = np.where(there, w.reshape(blocks, length)[block] / np.where(usable, total, 1.0)[row][:, None], np.where(ranks_left, -1 / misses, 0.0))
-            course = np.cumsum(steps_, 1) + start[row, block][:, None]
-            reached = (course.max(1) >= level) | (-course.min(1) >= level)
-            good[row[reached]] = True
+        if side == 0:
+            good = (np.maximum(end, -end) >= level).any(1)
+            row, block = np.nonzero(((start + rise >= level) | (fall - start >= level)) & ~good[:, None])
+            for r, most, least in scanned(row, block, scale):
+                good[r[(most >= level) | (-least >= level)]] = True
+        else:
+            # both sides' distances from 0: what the ends show, and what blocks can reach at most
+            near, far = (np.maximum(0.0, (x * end).max(1)) for x in (side, -side))
+            up, down = (start + rise, fall - start) if side > 0 else (fall - start, start + rise)
+            ahead = (lambda a, b: a >= b) if side > 0 else (lambda a, b: a > b)
+            good = (near >= level) & ahead(near, down.max(1))
+            open_ = ~good & (up.max(1) >= level) & ahead(up.max(1), far)
+            row, block = np.nonzero(((up > near[:, None]) | (down > far[:, None])) & open_[:, None])
+            for r, most, least in scanned(row, block, scale):
+                np.maximum.at(near, r, most if side > 0 else -least)
+                np.maximum.at(far, r, -least if side > 0 else most)
+            good |= open_ & (near >= level) & ahead(near, far)
         good &= free & usable
         back = free & ~good
         if back.any():
-            exchange(at[back], new[back], old[back])
+            sets.undo(at[back], old[back], new[back])
+            change(at[back], new[back], old[back])
         hits[at[good], out[good]] = new[good]
         kept += int(good.sum())
     hits.sort(1)
-    return hits, np.abs(scores_of_sets(weights, hits)), kept / max(1, rows * steps)
+    found = scores_of_sets(weights, hits)
+    return hits, np.abs(found) if side == 0 else found * side, kept / max(1, rows * steps)
 
 
 def tail_curve(weights: np.ndarray, size: int, sample_size: int, rng: np.random.Generator, eps: float, sign: int = 1, two_sided: bool = True, target: float = math.inf) -> dict:

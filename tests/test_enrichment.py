@@ -192,3 +192,40 @@ def test_size_key(spark):
 
 def test_t_distribution():
     assert analytics.t_cdf(2.228, 10) == pytest.approx(0.975, abs=1e-4) and analytics.t_cdf(0.0, 3) == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize("table", [10**9, 0])
+@pytest.mark.parametrize(("two_sided", "sign"), [(True, 1), (False, 1), (False, -1)])
+def test_walks_by_blocks_keep_the_moves_of_plain_walks(monkeypatch, two_sided, sign, table):
+    """Blocks of one-sided scores too, with sets as a table and without."""
+    monkeypatch.setattr(multilevel, "TABLE", table)
+    rng = np.random.default_rng(3)
+    for n, k in ((900, 310), (1000, 700)):
+        weights = np.abs(rng.normal(size=n))
+        hits = null.random_hits(rng, n, k, 60)
+        metric = multilevel.metric_of(null.scores_of_sets(weights, hits), sign, two_sided)
+        chosen = np.argsort(-metric)[:20]
+        floor = float(metric[chosen[-1]])
+        args = weights, hits[chosen], metric[chosen], floor, 30, sign, two_sided
+        by_blocks = multilevel.walk(null.rng_of(5, n), *args)
+        monkeypatch.setattr(multilevel, "BLOCKED", 10**9)
+        plain = multilevel.walk(null.rng_of(5, n), *args)
+        monkeypatch.undo()
+        monkeypatch.setattr(multilevel, "TABLE", table)
+        assert floor > 0 and 0 < plain[2] < 1 and by_blocks[2] == plain[2]
+        assert (by_blocks[0] == plain[0]).all() and np.allclose(by_blocks[1], plain[1], rtol=1e-12)
+
+
+@pytest.mark.parametrize("two_sided", [True, False])
+def test_a_walk_holds_no_row_as_long_as_the_list(two_sided):
+    import tracemalloc
+
+    n, k, rows = 3_000_000, 400, 51
+    weights = np.random.default_rng(1).random(n)
+    hits = null.random_hits(null.rng_of(1), n, k, rows)
+    metric = multilevel.metric_of(null.scores_of_sets(weights, hits), 1, two_sided)
+    tracemalloc.start()
+    multilevel.walk(null.rng_of(2), weights, hits, metric, 1e-3, 3, 1, two_sided)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
