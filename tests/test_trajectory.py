@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave import queries
-from rankweave.operators import analytics, anchors, enrichment, prep, pseudotime, trajectory
+from rankweave.operators import analytics, anchors, enrichment, prep, pseudotime, trajectory, windowed
 from rankweave.plans import trajectory as plans
 from rankweave.sources import catalog as sources
 
@@ -209,6 +209,30 @@ def test_window_enrichment_is_that_of_ranked_lists(spark):
     assert trajectory.window_enrichment(expression, ordered, named, 20, 10, 30, 40, digits=6).collect() == []
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 32])
+@pytest.mark.parametrize("power", [1.0, 0.5])
+def test_window_enrichment_by_blocks(spark, monkeypatch, blocks, power):
+    """Lists with many ties and genes of several sets, in blocks of windows; no row for each window and gene is shuffled."""
+    monkeypatch.setattr(windowed, "BLOCKS", blocks)
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((170, 50)) < 0.1, rng.integers(1, 4, (170, 50)), 0).astype(float)
+    x[60:100] = 0  # windows whose lists are alike
+    ordered, expression = trajectory.ordered_cells(cells_of(spark, range(170))), expression_of(spark, x)
+    named = sources.sets_from_dict(spark, {f"s{k}": [f"g{j:02d}" for j in rng.choice(50, 12, replace=False)] for k in range(6)} | {"all": [f"g{j:02d}" for j in range(50)]})
+    lists = prep.ranked(trajectory.window_scores(expression, ordered, 10, 5, digits=6), ["window_id"])
+    want = enrichment.enrichment(prep.members(named, lists, 5, 50, ["window_id"]), power, ["window_id"])
+    rows = lambda df: sorted((r["window_id"], r["pathway"], r["size"], round(r["es"], 12)) for r in df.collect())
+    found = trajectory.window_enrichment(expression, ordered, named, 10, 5, 5, 50, power, 6)
+    assert found.dtypes == want.dtypes and rows(found) == rows(want) and found.count() == 33 * 7
+    assert "hashpartitioning(window_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_block_rows_are_runs_and_a_list_for_each_block(spark):
+    runs = spark.createDataFrame([(0, 0, 9, 1.0, [3]), (1, 0, 4, 2.0, None), (1, 5, 9, 0.0, None)], "place int, low int, high int, score double, ids array<int>")
+    got = sorted(tuple(r) for r in windowed.block_rows(runs, 4).collect())
+    assert got == [(0, 0, 1.0, [3]), (0, 1, 2.0, None), (4, 0, 1.0, [3]), (4, 1, 2.0, None), (5, 1, 0.0, None), (8, 0, 1.0, [3]), (8, 1, 0.0, None)]
+
+
 @pytest.mark.parametrize("name", ["calibration", "tost", "replicates_calibrated", "repeated_genes", "replicate_qq", "seed_agreement", "heatmap"])
 def test_queries_without_a_set_that_qualifies(spark, tmp_path, name):
     """No brand has 15 parts here; brands of over 5,000 parts leave as few sets."""
