@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave import queries
 from rankweave.operators import multilevel, null, prep, replicates
 from rankweave.plans import enrich
 
@@ -119,3 +120,9 @@ def test_pooled_calibration(spark):
     rows = [(k % 4, f"p{k}", (k + 0.5) / 200) for k in range(200)]
     got = replicates.pooled_calibration(spark.createDataFrame(rows, "replicate int, pathway string, pval double")).first()
     assert (got["replicates"], got["n"]) == (4, 200) and got["ks"] == pytest.approx(0.0025) and got["below_05"] == pytest.approx(0.05)
+
+
+def test_lists_of_queries_are_ranked_by_all_tasks(spark):
+    """No task holds the whole list to rank it."""
+    listed = queries.ranks(spark, "/root/testdata/sf0.001")
+    assert "SinglePartition" not in listed._jdf.queryExecution().executedPlan().toString()
