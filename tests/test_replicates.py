@@ -81,6 +81,34 @@ def test_background_equals_hashed_draws(spark):
         null.background(sizes, named, 10, draws="other")
 
 
+def by_definition(rows, sizes, nperm, seed):
+    """(perm, size): score of hashed sets of one list of (rnk, w, gene) rows."""
+    rows = sorted(rows)
+    genes, w = [r[2].encode() for r in rows], np.array([r[1] for r in rows])
+    drawn = [null.hashed_order(genes, seed, p, min(max(sizes), len(w))) for p in range(nperm)]
+    return {(p, k): float(null.scores_of_sets(w, np.sort(drawn[p][:k])[None])[0]) for p in range(nperm) for k in sizes}
+
+
+@pytest.mark.parametrize("most", [null.ROWS, 0])
+def test_hashed_draws_of_rows(spark, monkeypatch, most):
+    """No task gets a list with names as one row; sets are exact where genes repeat, and where a size is none or all of the list."""
+    monkeypatch.setattr(null, "ROWS", most)
+    monkeypatch.setattr(null, "BLOCK", 64)
+    named = null.rank_weights(ranked(spark, 500), 1.0, [], genes=True)
+    assert named.count() == 500
+    lists = {1: [tuple(r) for r in named.select("rnk", "w", "gene").collect()]}
+    lists[2] = [(i, w, f"é{i % 3}" if i % 10 else g) for i, w, g in lists[1][:400]]
+    rows = spark.createDataFrame([(k, *r) for k, x in lists.items() for r in x], "k int, rnk int, w double, gene string")
+    sizes = {1: [0, 2, 7, 600], 2: [5, 20]}
+    asked = spark.createDataFrame([(k, s) for k, x in sizes.items() for s in x] + [(3, 4)], "k int, size int")
+    got = {(r["k"], r["perm"], r["size"]): r["es"] for r in null.hashed_scores(asked, rows, 9, 5, ["k"]).collect()}
+    want = {(k, *x): v for k in sizes for x, v in by_definition(lists[k], sizes[k], 9, 5).items()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(v, abs=1e-12) for x, v in want.items())
+    few = {(r["perm"], r["size"]): r["es"] for r in null.hashed_scores(asked.where("k = 2").select("size"), rows.where("k = 2").drop("k"), 9, 5, []).collect()}
+    assert few == {x[1:]: v for x, v in got.items() if x[0] == 2}
+    assert {tuple(r) for r in null.hashed_scores(asked.where("size = 4").select("size"), rows.where("k = 3").drop("k"), 2, 5, []).collect()} == {(0, 4, 0.0), (1, 4, 0.0)}
+
+
 def test_background_of_many_lists(spark):
     """Each list has its own draws, which don't depend on the others or on the number of tasks."""
     one = ranked(spark, 120)
