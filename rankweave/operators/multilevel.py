@@ -1,6 +1,6 @@
 """Tail probabilities by multilevel splitting: shared curves for set sizes, or a chain for each set.
 
-A unit of work is one row (a size and sign of a list, or one set of it) that carries the list's weights by rank. Walkers are
+A unit of work (a size and sign of a list, or one set of it) comes with the list's weights by rank. Walkers are
 moved together in numpy; generators depend on the seed and the unit, so results don't depend on partitions.
 """
 
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators.null import random_hits, rng_of, scores_of_sets, shared
+from rankweave.operators.null import by_list, random_hits, rng_of, scores_of_sets, shared
 
 SCORE_TYPES = ("two_sided_abs", "one_sided_signed")
 MAX_LEVELS = 2000
@@ -45,6 +45,8 @@ SLACK = 1e-12
 CELLS = 2_000_000
 #: Sets of a walk that have at most so many rows times ranks are a table.
 TABLE = 64_000_000
+#: Walkers times members that a unit of work holds; sets of more are drawn again whenever they are walked.
+HELD = 8_000_000
 
 
 def _proposed(rng: np.random.Generator, held: Callable[[np.ndarray], np.ndarray], rows: int, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,13 +238,85 @@ def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray
     return hits, np.abs(found) if side == 0 else found * side, kept / max(1, rows * steps)
 
 
+class _Held:
+    """Walkers' sets as rows of ranks, with what scores them."""
+
+    def __init__(self, weights: np.ndarray, sign: int, two_sided: bool, hits: np.ndarray) -> None:
+        self.weights, self.sign, self.two_sided, self.hits = weights, sign, two_sided, hits
+
+    def metric(self) -> np.ndarray:
+        return metric_of(scores_of_sets(self.weights, self.hits), self.sign, self.two_sided)
+
+    def walked(self, rng: np.random.Generator, elite: np.ndarray, parents: np.ndarray, metric: np.ndarray, floor: float, steps: int) -> tuple[_Held, np.ndarray, float]:
+        """The elite's sets and those that walks from parents end in, the metric of both, and the share of kept moves."""
+        moved, value, rate = walk(rng, self.weights, self.hits[parents], metric[parents], floor, steps, self.sign, self.two_sided)
+        return _Held(self.weights, self.sign, self.two_sided, np.concatenate([self.hits[elite], moved])), np.concatenate([metric[elite], value]), rate
+
+
+class _Redrawn:
+    """As _Held, without the sets: the draw that each began as, and the ranks in which it differs from that since (at most two for each kept move).
+
+    Sets are drawn again by parts of CELLS ranks, so a unit of work holds the list's weights and a few sets, however many walkers there are.
+    """
+
+    def __init__(self, weights: np.ndarray, sign: int, two_sided: bool, size: int, key: int, draws: list[int], changes: list[np.ndarray]) -> None:
+        self.weights, self.sign, self.two_sided = weights, sign, two_sided
+        self.size, self.key, self.draws, self.changes = size, key, draws, changes
+
+    def _hits(self, rows: np.ndarray) -> np.ndarray:
+        """(rows, size) rising ranks."""
+        n, out = len(self.weights), np.empty((len(rows), self.size), np.int64)
+        few = min(self.size, n - self.size)  # of members or of the others, whichever are fewer
+        for i, r in enumerate(rows):
+            rng = np.random.Generator(np.random.Philox(key=self.key, counter=self.draws[r] << 192))
+            drawn, found = np.zeros(n, bool), 0
+            while found < few:
+                drawn[rng.integers(0, n, few - found)] = True
+                found = int(np.count_nonzero(drawn))
+            if few < self.size:
+                np.logical_not(drawn, out=drawn)
+            drawn[self.changes[r]] ^= True
+            out[i] = np.flatnonzero(drawn)
+        return out
+
+    def _between(self, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Ranks that only one of two sets holds."""
+        one = np.zeros(len(self.weights), bool)
+        one[old] = True
+        one[new] ^= True
+        return np.flatnonzero(one).astype(np.int32)
+
+    def metric(self) -> np.ndarray:
+        rows = np.arange(len(self.draws))
+        return metric_of(np.concatenate([scores_of_sets(self.weights, self._hits(rows[p])) for p in _parts(len(rows), self.size)]), self.sign, self.two_sided)
+
+    def walked(self, rng: np.random.Generator, elite: np.ndarray, parents: np.ndarray, metric: np.ndarray, floor: float, steps: int) -> tuple[_Redrawn, np.ndarray, float]:
+        changes, values, kept = [self.changes[r] for r in elite], [metric[elite]], 0.0
+        for p in _parts(len(parents), self.size):
+            part = parents[p]
+            hits = self._hits(part)
+            moved, value, rate = walk(rng, self.weights, hits, metric[part], floor, steps, self.sign, self.two_sided)
+            changes += [np.setxor1d(self.changes[r], self._between(a, b), assume_unique=True) for r, a, b in zip(part, hits, moved, strict=True)]
+            values.append(value)
+            kept += rate * len(part)
+        draws = [self.draws[r] for r in (*elite, *parents)]
+        return _Redrawn(self.weights, self.sign, self.two_sided, self.size, self.key, draws, changes), np.concatenate(values), kept / max(1, len(parents))
+
+
+def walkers(rng: np.random.Generator, weights: np.ndarray, size: int, sample_size: int, sign: int, two_sided: bool) -> _Held | _Redrawn:
+    """Random sets to begin with, held where they are at most HELD ranks."""
+    if size * sample_size <= HELD or size >= len(weights):
+        return _Held(weights, sign, two_sided, random_hits(rng, len(weights), size, sample_size))
+    return _Redrawn(weights, sign, two_sided, size, int.from_bytes(rng.bytes(16), "little"), list(range(sample_size)), [np.zeros(0, np.int32)] * sample_size)
+
+
 def tail_curve(weights: np.ndarray, size: int, sample_size: int, rng: np.random.Generator, eps: float, sign: int = 1, two_sided: bool = True, target: float = math.inf) -> dict:
     """Thresholds, log probabilities and populations of nested tail levels, each holding about half of the one before.
 
     A one-sided curve whose middle is not on its side of zero takes the positive values as its first level, so that rare signs still split.
     """
-    hits = random_hits(rng, len(weights), size, sample_size)
-    metric = metric_of(scores_of_sets(weights, hits), sign, two_sided)
+    sets = walkers(rng, weights, size, sample_size, sign, two_sided)
+    metric = sets.metric()
     thresholds: list[float] = []
     logs, populations, log_p = [0.0], [metric.tolist()], 0.0
     half = sample_size // 2
@@ -262,8 +336,7 @@ def tail_curve(weights: np.ndarray, size: int, sample_size: int, rng: np.random.
         logs.append(log_p)
         elite = rng.permutation(passing)[:half]
         parents = elite[rng.integers(0, len(elite), sample_size - len(elite))]
-        moved, value, _ = walk(rng, weights, hits[parents], metric[parents], threshold, steps, sign, two_sided)
-        hits, metric = np.concatenate([hits[elite], moved]), np.concatenate([metric[elite], value])
+        sets, metric, _ = sets.walked(rng, elite, parents, metric, threshold, steps)
         populations.append(metric.tolist())
     return {"thresholds": thresholds, "log_probs": logs, "populations": populations, "sample_size": sample_size}
 
@@ -300,11 +373,11 @@ def batched(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed
     work = shared(work.select(*keys, F.struct(F.col("__bin").alias("size"), F.col("__sign").alias("sign"), F.col("__target").alias("target")).alias("unit")), weights, keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for own, units, w in by_list(batches, keys):
             out = []
-            for r, u in ((r, u) for r in rows.to_dict("records") for u in r["units"]):
-                w, size, s, target = np.asarray(r["weights"], float), int(u["size"]), int(u["sign"]), float(u["target"])
-                unit = [*(r[c] for c in keys), size, s]
+            for u in units:
+                size, s, target = int(u["size"]), int(u["sign"]), float(u["target"])
+                unit = [*own, size, s]
                 curve = None
                 if target >= 1e-10 and precheck:
                     cheap = tail_curve(w, size, precheck_n, rng_of(seed, "precheck", *unit), 1.0, s, two_sided)
@@ -313,7 +386,7 @@ def batched(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed
                     curve = cheap if p > precheck_eps else None
                 if curve is None:
                     curve = tail_curve(w, size, sample_size, rng_of(seed, "curve", *unit), eps, s, two_sided, target)
-                out.append((*[r[c] for c in keys], size, s, curve["thresholds"], curve["log_probs"], curve["populations"], curve["sample_size"]))
+                out.append((*own, size, s, curve["thresholds"], curve["log_probs"], curve["populations"], curve["sample_size"]))
             yield pd.DataFrame(out, columns=[*keys, "__bin", "__sign", "thresholds", "log_probs", "populations", "sample_size"])
 
     types = "".join(f"{c} {results.schema[c].dataType.simpleString()}, " for c in keys)
@@ -332,8 +405,8 @@ def chain_p(weights: np.ndarray, size: int, es: float, sample_size: int, rng: np
     seen = abs(es)
     if seen < 1e-10:
         return 1.0, 0.0, [], [], 0
-    hits = random_hits(rng, len(weights), size, sample_size)
-    metric = metric_of(scores_of_sets(weights, hits), sign, two_sided)
+    sets = walkers(rng, weights, size, sample_size, sign, two_sided)
+    metric = sets.metric()
     above = int((metric >= seen).sum())
     if above >= math.ceil(0.05 * sample_size):
         return max((above + 1) / (sample_size + 1), eps), 1 / math.sqrt(sample_size), [], [], 0
@@ -352,8 +425,7 @@ def chain_p(weights: np.ndarray, size: int, es: float, sample_size: int, rng: np
         log_p += math.log(half / sample_size)
         elite = order[:half]
         parents = elite[rng.integers(0, half, sample_size - half)]
-        moved, value, rate = walk(rng, weights, hits[parents], metric[parents], threshold, steps, sign, two_sided)
-        hits, metric = np.concatenate([hits[elite], moved]), np.concatenate([metric[elite], value])
+        sets, metric, rate = sets.walked(rng, elite, parents, metric, threshold, steps)
         thresholds.append(threshold)
         rates.append(rate)
     return max(eps, 5e-324), 0.0, thresholds, rates, len(thresholds)
@@ -366,11 +438,10 @@ def per_set(results: DataFrame, weights: DataFrame, sample_size: int = 101, seed
     work = shared(results.select(*keys, F.struct("pathway", "size", "es").alias("unit")), weights, keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for own, units, w in by_list(batches, keys):
             out = []
-            for r, u in ((r, u) for r in rows.to_dict("records") for u in r["units"]):
-                w = np.asarray(r["weights"], float)
-                unit = [*(r[c] for c in keys), u["pathway"]]
+            for u in units:
+                unit = [*own, u["pathway"]]
                 p, err, thresholds, rates, levels = chain_p(w, int(u["size"]), float(u["es"]), sample_size, rng_of(seed, "chain", *unit), eps, two_sided)
                 halved = math.log((sample_size // 2) / sample_size)
                 trace = [{"level": i, "threshold": t, "log_prob": i * halved, "accept_rate": a} for i, (t, a) in enumerate(zip(thresholds, rates, strict=True), 1)]

@@ -229,3 +229,56 @@ def test_a_walk_holds_no_row_as_long_as_the_list(two_sided):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20
+
+
+@pytest.mark.parametrize("k", [400, 2600])
+@pytest.mark.parametrize("two_sided", [True, False])
+def test_redrawn_walkers_are_sets_that_keep_to_the_floor(monkeypatch, two_sided, k):
+    """Walkers whose sets aren't held have k members each after any walk, the metric that those sets score, and a floor that they keep to."""
+    monkeypatch.setattr(multilevel, "HELD", 0)
+    monkeypatch.setattr(multilevel, "CELLS", 5 * k)
+    n, weights = 3000, np.random.default_rng(1).random(3000)
+    rng = null.rng_of(1, "walkers")
+    sets = multilevel.walkers(rng, weights, k, 24, 1, two_sided)
+    metric = sets.metric()
+    first = sets._hits(np.arange(24))
+    assert len({tuple(x) for x in first}) == 24 and (np.diff(first) > 0).all() and first.min() >= 0 and first.max() < n
+    for _ in range(3):
+        order = np.argsort(-metric)
+        floor = float(metric[order[11]])
+        sets, metric, rate = sets.walked(rng, order[:12], order[rng.integers(0, 12, 12)], metric, floor, 40)
+        hits = sets._hits(np.arange(24))
+        assert 0 < rate < 1 and hits.shape == (24, k) and (np.diff(hits) > 0).all() and (metric >= floor - 1e-9).all()
+        assert np.allclose(metric, multilevel.metric_of(null.scores_of_sets(weights, hits), 1, two_sided), rtol=1e-12)
+    assert len({tuple(x) for x in hits}) > 12
+
+
+@pytest.mark.parametrize("one_chain", [True, False])
+def test_memory_of_walkers_does_not_grow_with_large_sets(one_chain):
+    """1,001 sets of 20,000 ranks are 160 MB as numbers."""
+    import tracemalloc
+
+    weights = np.random.default_rng(1).random(120_000)
+    tracemalloc.start()
+    if one_chain:
+        multilevel.chain_p(weights, 20_000, 1e-9, 1001, null.rng_of(1), 1.0, False)
+    else:
+        multilevel.tail_curve(weights, 20_000, 1001, null.rng_of(1), 1.0, 1, False, 1e-9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_no_row_to_the_samplers_holds_a_list(spark, monkeypatch):
+    monkeypatch.setattr(null, "BLOCK", 16)
+    listed = prep.ranked(spark.createDataFrame([(f"g{i:03d}", float(i - 40)) for i in range(100)], "gene string, score double"))
+    units = spark.createDataFrame([(i,) for i in range(9)], "unit int")
+    rows = null.shared(units, null.rank_weights(listed, 1.0, []), [])
+    assert {len(r["weights"]) for r in rows.collect()} == {16, 4}
+
+    def run(batches):
+        for _, asked, w in null.by_list(batches, []):
+            yield pd.DataFrame([(u, w.tolist()) for u in asked], columns=["unit", "w"])
+
+    got = {r["unit"]: r["w"] for r in rows.mapInPandas(run, "unit int, w array<double>").collect()}
+    assert got == {i: [abs(float(59 - j)) for j in range(100)] for i in range(9)}
