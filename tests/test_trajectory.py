@@ -249,3 +249,19 @@ def test_queries_without_a_set_that_qualifies(spark, tmp_path, name):
     names = [c[0] for c in want.description]
     held = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
     assert held(want.fetchall()) == held(tuple(r[c] for c in names) for r in queries.queries()[name](spark, str(tmp_path)).collect())
+
+
+def test_smoothed_has_brands_of_any_size(spark, tmp_path):
+    """A brand of 5,600 parts has its rows as one of 400 has."""
+    con = duckdb.connect()
+    tables = {
+        "part": "SELECT i::BIGINT AS p_partkey, 'Brand#' || CASE WHEN i % 15 = 0 THEN 12 ELSE 11 END AS p_brand FROM range(6000) t(i)",
+        "orders": "SELECT i::BIGINT AS o_orderkey, TIMESTAMP '1992-01-01' + INTERVAL (i) HOUR AS o_orderdate, 'F' AS o_orderstatus FROM range(10000) t(i)",
+        "lineitem": "SELECT i::BIGINT AS l_orderkey, (i * 7 % 6000)::BIGINT AS l_partkey, (1000 + i * 37 % 900)::DOUBLE AS l_extendedprice, 0.1::DOUBLE AS l_discount, TIMESTAMP '1998-01-01' AS l_shipdate FROM range(10000) t(i)",
+    }
+    for table, rows in tables.items():
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{table}.parquet'")
+        con.execute(f"CREATE VIEW {table} AS FROM read_parquet('{tmp_path}/{table}.parquet')")
+    want = sorted(con.execute(queries.oracle_sql()["smoothed"]).fetchall())
+    got = sorted((r["pathway"], r["window_id"], r["nes"], r["nes_smooth"]) for r in queries.queries()["smoothed"](spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 6 and {r[0] for r in got} == {"Brand#11", "Brand#12"}
