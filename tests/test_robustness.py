@@ -51,6 +51,23 @@ def test_windows_of_named_genes(spark):
     assert all(r["score"] == (0 if r["gene"] == "none" else pytest.approx(plain[r["window_id"], "g1"])) for r in got)
 
 
+def test_window_scores_are_shuffled_by_gene_once(spark):
+    """Genes without a value in any cell have their windows too, before and after the first value."""
+    x, expression, ordered = cells_of(spark, 43)
+    odd = spark.createDataFrame([("nobody", "a", 5.0), ("c0001", "b", None), ("c0002", "c", float("nan")), ("nobody", "g1", 7.0)], "cell_id string, gene string, value double")
+    late = ordered.where("pos = 36").select("cell_id", F.lit("d").alias("gene"), F.lit(3.0).alias("value"))
+    found = trajectory.window_scores(expression.unionByName(odd).unionByName(late), ordered, 8, 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(gene") == 1
+    got = {(r["window_id"], r["gene"]): r["score"] for r in found.collect()}
+    x = np.c_[x, np.zeros((43, 4))]
+    x[36, 9] = 3
+    names = [*(f"g{g}" for g in range(6)), "a", "b", "c", "d"]
+    assert len(got) == 10 * 9
+    for w in range(9):
+        want = score_of(x, np.arange(w * 4, w * 4 + 8))
+        assert all(got[w, name] == pytest.approx(want[j], abs=1e-9) for j, name in enumerate(names))
+
+
 def test_turned_orders(spark):
     n, size, step = 43, 12, 4
     x, expression, ordered = cells_of(spark, n)
