@@ -41,6 +41,8 @@ BLOCKED = 300
 SLACK = 1e-12
 
 
+#: Bounds of scanned blocks allow for so much rounding.
+ROUNDED = 1e-13
 #: Numbers that a step holds at once, whatever the length of the list and the sets.
 CELLS = 2_000_000
 #: Sets of a walk that have at most so many rows times ranks are a table.
@@ -160,7 +162,8 @@ def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray
     """walk() with running sums by blocks of about sqrt(n) ranks; side: 0 for two-sided scores, else the sign.
 
     An exchange changes two blocks' counts and weights. The running sum at the blocks' ends often shows that the floor is reached (one-sided: and that the other side is
-    less far from 0), and what a block can add at most that it isn't; only blocks that leave it open are scanned. The exact metric is computed once, at the end.
+    less far from 0), and what a block can add at most that it isn't; only blocks that leave it open are scanned. What a scan found bounds its block from both sides until a member enters or
+    leaves there, as other exchanges change no more than the total weight. The exact metric is computed once, at the end.
     """
     n, (rows, k) = len(weights), hits.shape
     length = max(8, math.isqrt(n))
@@ -180,6 +183,8 @@ def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray
     total = held.sum(1)
     level, misses = floor - SLACK, float(n - k)
     start = np.zeros((rows, blocks))
+    # largest and smallest sums of scanned blocks from their start on, and the scale that they were found with
+    top, bottom, at_scale = np.full((rows, blocks), np.inf), np.full((rows, blocks), -np.inf), np.ones((rows, blocks))
     kept = 0
 
     def change(which: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
@@ -188,6 +193,8 @@ def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray
         held[which, old // length] -= w[old]
         held[which, new // length] += w[new]
         total[which] += w[new] - w[old]
+        for rank in (old, new):
+            top[which, rank // length], bottom[which, rank // length] = np.inf, -np.inf
 
     def scanned(row: np.ndarray, block: np.ndarray, scale: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, largest, smallest) of the running sums in blocks of rows."""
@@ -195,8 +202,9 @@ def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray
             r, b = row[p], block[p]
             ranks_left = size[b][:, None] > np.arange(length)
             rises = w.reshape(blocks, length)[b] / scale[r][:, None]
-            course = np.cumsum(np.where(sets.within(r, b), rises, np.where(ranks_left, -1 / misses, 0.0)), 1) + start[r, b][:, None]
-            yield r, course.max(1), course.min(1)
+            course = np.cumsum(np.where(sets.within(r, b), rises, np.where(ranks_left, -1 / misses, 0.0)), 1)
+            top[r, b], bottom[r, b], at_scale[r, b] = course.max(1), course.min(1), scale[r]
+            yield r, top[r, b] + start[r, b], bottom[r, b] + start[r, b]
 
     for _ in range(steps):
         out, new, free = _proposed(rng, sets.hold, rows, n, k)
@@ -209,15 +217,21 @@ def _walk_blocks(rng: np.random.Generator, weights: np.ndarray, hits: np.ndarray
         fall = (size - members) / misses
         end = np.cumsum(rise - fall, 1)
         start[:, 1:] = end[:, :-1]
+        off = held * np.abs(1 / scale[:, None] - 1 / at_scale) + ROUNDED
+        most, least = start + top, start + bottom
+        up, down = np.minimum(start + rise, most + off), np.minimum(fall - start, off - least)
+        known = np.isfinite(top)
+        risen, fallen = np.where(known, most - off, end), np.where(known, least + off, end)
         if side == 0:
-            good = (np.maximum(end, -end) >= level).any(1)
-            row, block = np.nonzero(((start + rise >= level) | (fall - start >= level)) & ~good[:, None])
+            good = ((np.maximum(end, risen) >= level) | (np.minimum(end, fallen) <= -level)).any(1)
+            row, block = np.nonzero(((up >= level) | (down >= level)) & ~good[:, None])
             for r, most, least in scanned(row, block, scale):
                 good[r[(most >= level) | (-least >= level)]] = True
         else:
             # both sides' distances from 0: what the ends show, and what blocks can reach at most
-            near, far = (np.maximum(0.0, (x * end).max(1)) for x in (side, -side))
-            up, down = (start + rise, fall - start) if side > 0 else (fall - start, start + rise)
+            near, far = np.maximum(0.0, np.maximum(end, risen).max(1)), np.maximum(0.0, -np.minimum(end, fallen).min(1))
+            if side < 0:
+                near, far, up, down = far, near, down, up
             ahead = (lambda a, b: a >= b) if side > 0 else (lambda a, b: a > b)
             good = (near >= level) & ahead(near, down.max(1))
             open_ = ~good & (up.max(1) >= level) & ahead(up.max(1), far)
